@@ -16,8 +16,13 @@ from tidemark.llm.common import materialize, scratch, table
 HOT_SHARE = 0.001
 #: Up to so many digests with copies are broadcast to find the texts to compare; more are joined by shuffle.
 HITS_BROADCAST = 1_000_000
-_STATE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on the executors' disks, with changes alone in each checkpoint, and without the space that
+#: RocksDB sets aside ahead in every partition's logs.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalized(text: Column) -> Column:
@@ -36,8 +41,9 @@ def run_stream(landing: str, schema, spark: SparkSession, files_per_batch: int |
     values. The state lives in RocksDB, with its checkpoint in the shared folder; each micro-batch
     writes the digests it changed under its own number, so a repeated batch overwrites itself."""
     updates = scratch(spark, "updates")
-    before = spark.conf.get(_STATE)
-    spark.conf.set(_STATE, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(schema)
         reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
@@ -46,7 +52,8 @@ def run_stream(landing: str, schema, spark: SparkSession, files_per_batch: int |
         query = state.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "state")).foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(_STATE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not query.lastProgress:  # no file at all
         return state_of_nothing(spark, schema)
     found = spark.read.parquet(updates)
