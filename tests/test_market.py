@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timeline import MICROS
 from tidemark.operators import coverage, detect, evaluate, outcomes, paper
+from tidemark.plans import render
 from tidemark.sources import store, wire
 from tidemark.sources.market import books_from_levels
 
@@ -128,7 +129,7 @@ def test_coverage_gate(trades, spark):
         coverage.require_dates(present, 4)
     with pytest.raises(ValueError):
         coverage.required_dates(present, 0)
-    assert coverage.humanize(90) == "90 s" and coverage.humanize(7200) == "2.0 h" and "no projection" in coverage.projection(1, 1, 0, 28)
+    assert render.span(119) == "119s" and render.span(7199) == "119m" and render.span(172_799) == "48.0h" and render.span(172_800) == "2.0d"
 
 
 def test_store(spark, tmp_path, trades):

@@ -9,8 +9,8 @@ from tidemark.functions.timeline import MICROS, utc_date
 
 
 def daily(trades: DataFrame, books: DataFrame, signals: DataFrame, connections: DataFrame) -> DataFrame:
-    """One row per UTC date of any input: counts, distinct markets of trades and books, losses
-    (disconnected or stalled) and the gaps of ``connected`` rows."""
+    """One row per UTC date of any input: counts, distinct markets of trades and books, disconnected
+    and stalled states and the gaps of ``connected`` rows."""
     tag = lambda df, kind, **more: df.select(utc_date().alias("date"), F.lit(kind).alias("kind"), "market", more.get("state", F.lit(None).cast("string")).alias("state"), more.get("gap", F.lit(None).cast("bigint")).alias("gap_ms"))
     rows = tag(trades, "trade").unionByName(tag(books, "book")).unionByName(tag(signals, "signal")).unionByName(tag(connections, "event", state=F.col("state"), gap=F.col("gap_ms")))
     is_ = lambda kind: F.col("kind") == kind
@@ -20,7 +20,8 @@ def daily(trades: DataFrame, books: DataFrame, signals: DataFrame, connections:
         F.count(F.when(is_("book"), 1)).alias("books"),
         F.count(F.when(is_("signal"), 1)).alias("signals"),
         F.count_distinct(F.when(F.col("kind").isin("trade", "book"), F.col("market"))).alias("markets"),
-        F.count(F.when(F.col("state").isin("disconnected", "stalled"), 1)).alias("losses"),
+        F.count(F.when(F.col("state") == "disconnected", 1)).alias("disconnected"),
+        F.count(F.when(F.col("state") == "stalled", 1)).alias("stalled"),
         F.coalesce(F.sum(gap), F.lit(0)).alias("gap_ms"),
         F.coalesce(F.max(gap), F.lit(0)).alias("max_gap_ms"),
     )
@@ -65,18 +66,3 @@ def observed_seconds(*parts: DataFrame) -> DataFrame:
     for s in seconds[1:]:
         out = out.unionByName(s)
     return out.agg(F.count_distinct("s").alias("observed_seconds"))
-
-
-def projection(n_bytes: int, files: int, observed: int, days: int) -> str:
-    if observed <= 0:
-        return "nothing observed yet: no projection"
-    scale = days * 86_400 / observed
-    return f"{n_bytes / 1e9:.1f} GB, {files:,} files in {humanize(observed)} -> {n_bytes * scale / 1e9:.1f} GB, {round(files * scale):,} files in {days} days"
-
-
-def humanize(seconds: float) -> str:
-    if seconds < 120:
-        return f"{seconds:.0f} s"
-    if seconds < 7200:
-        return f"{seconds / 60:.1f} m"
-    return f"{seconds / 3600:.1f} h" if seconds < 172_800 else f"{seconds / 86_400:.1f} d"

@@ -42,21 +42,24 @@ def _rules(df: DataFrame, kind: str, values: list[float]) -> DataFrame:
     return df.withColumn("rule", F.explode(F.array(*(F.struct(F.lit(k).alias("id"), F.lit(v).alias("at")) for k, v in rules.items())))).withColumn("rule_id", F.col("rule.id"))
 
 
-def _signals(df: DataFrame, kind: str, direction, feature, baseline) -> DataFrame:
-    return df.withColumns({"signal_type": F.lit(kind), "direction": direction, "feature_value": feature.cast("double"), "baseline": baseline.cast("double")}).select(*SIGNAL)
+def _signals(df: DataFrame, kind: str, direction, feature, baseline, counted: bool = False) -> DataFrame:
+    named = df.withColumns({"signal_type": F.lit(kind), "direction": direction, "feature_value": feature.cast("double"), "baseline": baseline.cast("double")})
+    return named.select(*SIGNAL, F.col("n").alias("prior_n")) if counted else named.select(*SIGNAL)
 
 
-def large_trades(trades: DataFrame, multiples: list[float], seconds: int, block: int = 10 * DAY) -> DataFrame:
+def large_trades(trades: DataFrame, multiples: list[float], seconds: int, block: int = 10 * DAY, counted: bool = False) -> DataFrame:
+    """Trade signals; with ``counted`` also ``prior_n``, the trades in the window before."""
     df = _rules(prior_window(trades, seconds, block), "large", multiples)
     active = (F.col("n") >= LEAST) & (F.col("notional").cast("double") > F.col("baseline") * F.col("rule.at"))
-    return _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "large_aggressive_trade", F.col("side"), F.col("notional"), F.col("baseline"))
+    return _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "large_aggressive_trade", F.col("side"), F.col("notional"), F.col("baseline"), counted)
 
 
-def trade_rate(trades: DataFrame, multiples: list[float], seconds: int, block: int = 10 * DAY) -> DataFrame:
+def trade_rate(trades: DataFrame, multiples: list[float], seconds: int, block: int = 10 * DAY, counted: bool = False) -> DataFrame:
+    """Trade signals; with ``counted`` also ``prior_n``, the trades in the window before."""
     df = _rules(prior_window(trades, seconds, block), "rate", multiples)
     rate, base = F.col("n") / F.lit(float(seconds)), F.lit(LEAST / seconds)
     active = (F.col("n") >= LEAST) & (rate > base * F.col("rule.at"))
-    return _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "trade_rate_acceleration", F.col("side"), rate, base)
+    return _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "trade_rate_acceleration", F.col("side"), rate, base, counted)
 
 
 def imbalance(books: DataFrame, thresholds: list[float], block: int = 10 * DAY) -> DataFrame:

@@ -155,19 +155,23 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     return shared_table(evaluate.candidates(_signals(spark, sf), _pairs(spark, sf), TUNING_END), "candidates")
 
 
+#: Every event as a row of the connection journal; its market's name gives the state.
+STATES = {"error": "disconnected", "click": "connected", "view": "stalled"}
+
+
 def _connections(spark: SparkSession, sf: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 50 < 3")
-    state = F.when(F.col("event_id") % 50 == 0, "disconnected").when(F.col("event_id") % 50 == 1, "connected").otherwise("stalled")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    state = F.coalesce(F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv))[F.col("event_type")], F.lit("reconnect"))
     return events.select(F.lit("ALL").alias("market"), market.micros("ts").alias("ts"), state.alias("state"), (F.col("event_id") % 997).alias("gap_ms"))
 
 
-_CONN = """conn AS (SELECT epoch_us(ts) AS ts, CASE event_id % 50 WHEN 0 THEN 'disconnected' WHEN 1 THEN 'connected' ELSE 'stalled' END AS state, event_id % 997 AS gap_ms FROM events WHERE event_id % 50 < 3)"""
+_CONN = f"""conn AS (SELECT epoch_us(ts) AS ts, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items())} ELSE 'reconnect' END AS state, event_id % 997 AS gap_ms FROM events)"""
 
 
 @_query(f"""{_S}, {_B}, {_CONN}, u AS (SELECT ts, 'trade' AS kind, market, NULL AS state, NULL::BIGINT AS gap_ms FROM t UNION ALL SELECT ts, 'book', market, NULL, NULL FROM b UNION ALL SELECT ts, 'signal', market, NULL, NULL FROM sig
  UNION ALL SELECT ts, 'event', 'ALL', state, gap_ms FROM conn)
 SELECT CAST(make_timestamp(ts) AS DATE) AS date, count(*) FILTER (WHERE kind = 'trade') AS trades, count(*) FILTER (WHERE kind = 'book') AS books, count(*) FILTER (WHERE kind = 'signal') AS signals,
- count(DISTINCT market) FILTER (WHERE kind IN ('trade', 'book')) AS markets, count(*) FILTER (WHERE state IN ('disconnected', 'stalled')) AS losses, CAST(coalesce(sum(gap_ms) FILTER (WHERE state = 'connected'), 0) AS BIGINT) AS gap_ms,
+ count(DISTINCT market) FILTER (WHERE kind IN ('trade', 'book')) AS markets, count(*) FILTER (WHERE state = 'disconnected') AS disconnected, count(*) FILTER (WHERE state = 'stalled') AS stalled, CAST(coalesce(sum(gap_ms) FILTER (WHERE state = 'connected'), 0) AS BIGINT) AS gap_ms,
  coalesce(max(gap_ms) FILTER (WHERE state = 'connected'), 0) AS max_gap_ms FROM u GROUP BY 1""", date="date")
 def coverage_daily(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.daily(market.trades(spark, sf), market.books(spark, sf), _signals(spark, sf), _connections(spark, sf))
@@ -178,11 +182,11 @@ def observed_seconds(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.observed_seconds(market.trades(spark, sf), market.books(spark, sf))
 
 
-_PRESENT = f"""{_T}, {_B}, present AS {_dates("SELECT ts FROM t WHERE seq % 700 > 20 UNION ALL SELECT ts FROM b WHERE seq % 2 = 0")}, req AS (SELECT CAST(unnest(generate_series(max(date) - INTERVAL 399 DAY, max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM present)"""
+_PRESENT = f"""{_T}, {_B}, present AS {_dates("SELECT ts FROM t UNION ALL SELECT ts FROM b")}, req AS (SELECT CAST(unnest(generate_series(max(date) - INTERVAL 399 DAY, max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM present)"""
 
 
 def _present(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.dates(market.trades(spark, sf).where("seq % 700 > 20"), market.books(spark, sf).where("seq % 2 = 0"))
+    return coverage.dates(market.trades(spark, sf), market.books(spark, sf))
 
 
 @_query(f"{_PRESENT} SELECT 400 AS required, max(req.date) AS end_date, count(p.date) AS present, count(*) - count(p.date) AS missing FROM req LEFT JOIN present p USING (date)", date="end_date")

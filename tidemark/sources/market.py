@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeline import micros
+from tidemark.sources.wire import LEVELS
 
 #: trades: market, ts (micros), seq, price, volume, side, notional DECIMAL(18,2)
 #: books:  market, ts, seq, ask, bid (totals), ask_wall, bid_wall (null without levels)
@@ -47,6 +48,31 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fields of stored records, by dataset; what is not required may be missing or null.
+TRADE = "market string, ts_ms bigint, receive_ns bigint, price double, volume double, side string, sequential_id decimal(20,0)"
+BOOK = f"market string, ts_ms bigint, receive_ns bigint, ask double, bid double, levels {LEVELS}"
+
+
+def _numbered(records: DataFrame, order: list[str]) -> DataFrame:
+    """``ts`` and ``seq``, unique in a market and rising with ``order`` among rows of one time; only
+    such rows are sorted together, never a whole market."""
+    place = F.row_number().over(Window.partitionBy("market", "ts_ms").orderBy(*order))
+    return records.withColumns({"ts": F.col("ts_ms") * 1000, "seq": F.col("ts_ms") * 4096 + place})
+
+
+def trades_of(records: DataFrame) -> DataFrame:
+    """Trades of stored records, in the order time, receipt, sequence id (none first), price, volume,
+    side. Notional is kept to a hundredth, so that sums are exact in any order."""
+    rows = _numbered(records, ["receive_ns", "sequential_id", "price", "volume", "side"])
+    return rows.select("market", "ts", "seq", "price", "volume", "side", (F.col("price") * F.col("volume")).cast("decimal(18,2)").alias("notional"))
+
+
+def books_of(records: DataFrame) -> DataFrame:
+    """Books of stored records, in the order time, receipt, total sizes, levels."""
+    rows = books_from_levels(_numbered(records, ["receive_ns", "ask", "bid", "levels"]))
+    return rows.select("market", "ts", "seq", "ask", "bid", "ask_wall", "bid_wall")
+
+
 def books_from_levels(records: DataFrame) -> DataFrame:
     """Books of records with ``levels`` ARRAY<STRUCT<ask_price, bid_price, ask_size, bid_size>>."""
     wall = lambda side: F.when(F.size("levels") > 0, F.greatest(F.lit(0.0), F.array_max(F.transform("levels", lambda x: x[f"{side}_price"] * x[f"{side}_size"]))))

@@ -42,6 +42,7 @@ def dataset_dates(spark: SparkSession, root: str, dataset: str) -> list[date]:
     if not fs.exists(place):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory()]
+    names = [n for n in names if n != "_spark_metadata"]  # the commit log of a streaming sink
     for name in names:
         if not re.fullmatch(r"date=\d{4}-\d\d-\d\d", name):
             raise ValueError(f"{dataset}: {name} is no date partition")

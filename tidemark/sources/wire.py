@@ -20,16 +20,16 @@ def normalize(frames: DataFrame, column: str = "frame") -> DataFrame:
     return f.withColumn("error", error)
 
 
-def trades(normalized: DataFrame) -> DataFrame:
+def trades(normalized: DataFrame, *more: str) -> DataFrame:
     return normalized.where("error is null and f.type = 'trade'").select(
         F.col("f.code").alias("market"), F.col("f.timestamp").alias("ts_ms"), F.col("f.trade_price").alias("price"), F.col("f.trade_volume").alias("volume"),
-        F.when(F.col("f.ask_bid") == "BID", "buy").otherwise("sell").alias("side"), F.col("f.sequential_id").alias("sequential_id"),
+        F.when(F.col("f.ask_bid") == "BID", "buy").otherwise("sell").alias("side"), F.col("f.sequential_id").alias("sequential_id"), *more,
     )
 
 
-def orderbooks(normalized: DataFrame) -> DataFrame:
+def orderbooks(normalized: DataFrame, *more: str) -> DataFrame:
     return normalized.where("error is null and f.type = 'orderbook'").select(
-        F.col("f.code").alias("market"), F.col("f.timestamp").alias("ts_ms"), F.col("f.total_ask_size").alias("ask"), F.col("f.total_bid_size").alias("bid"), F.col("f.orderbook_units").alias("levels")
+        F.col("f.code").alias("market"), F.col("f.timestamp").alias("ts_ms"), F.col("f.total_ask_size").alias("ask"), F.col("f.total_bid_size").alias("bid"), F.col("f.orderbook_units").alias("levels"), *more
     )
 
 
