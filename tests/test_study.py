@@ -10,6 +10,7 @@ import pytest
 
 from tidemark import __main__ as cli
 from tidemark import config as settings
+from tidemark.operators import journal
 from tidemark.plans import render, study
 from tidemark.streaming import live
 
@@ -84,8 +85,8 @@ def test_from_frames_to_reports(spark, tmp_path):
     assert "GATE: " in text and "| orderbook_imbalance | orderbook_imbalance:imbalance-0.4 | 2025-01-01–2025-01-02 |" in text
     lines = _say(spark, config, "report", "--csv").splitlines()
     assert lines[0] == render.EVALUATION_COLUMNS and all(x.count(",") == 17 for x in lines)
-    shown = _say(spark, config, "coverage")
-    assert "| 2025-01-01 | 99 | 6 | 3 | 1 | 0 | 0 | 0 | 0 |" in shown and "4 of 4 required contiguous UTC dates present" in shown
+    shown = _say(spark, config, "coverage")  # quiet for 90 s: 32 times a block, 2 between blocks, 1 before the next day
+    assert "| 2025-01-01 | 99 | 6 | 3 | 1 | 0 | 99 | 0 | 0 |" in shown and "4 of 4 required contiguous UTC dates present" in shown
     assert rule["passed"]
     paper = _say(spark, config, "paper", "--csv").splitlines()
     assert paper[0] == render.PAPER_COLUMNS and paper[1].startswith("rule,orderbook_imbalance:imbalance-0.4,6,0,0,1.0000,") and paper[-1].startswith("VERDICT: STRATEGY WINS by ")
@@ -138,6 +139,8 @@ def test_live_sequence_checks_epochs_and_cooldown(spark, tmp_path):
     checks = events.where("kind like 'integrity%'").orderBy("receive_ns").select("kind", "detail").collect()
     assert [tuple(r) for r in checks] == [("integrity_duplicate", "10 after 10"), ("integrity_out_of_order", "9 after 10")]
     assert study.trades(spark, config.data_root).count() == 6  # raw records stay
+    links = study.connections(spark, config).orderBy("ts", "state").select("state", "gap_ms").collect()
+    assert [tuple(r) for r in links if r.state != "stalled"] == [("connected", None), ("disconnected", None), ("connected", 1)] and sum(r.state == "stalled" for r in links) == 1
     alerts = events.where("kind = 'signal'").orderBy("ts").select("alert").collect()
     assert [r.alert for r in alerts] == [True, False, False, True, False]
     live.send_alerts(spark, config.data_root, str(tmp_path / "state"), once=True).awaitTermination()
@@ -145,6 +148,11 @@ def test_live_sequence_checks_epochs_and_cooldown(spark, tmp_path):
     assert spark.read.json(f"{config.data_root}/alerts").count() == 2
 
 
+def test_universe_refresh():
+    at = lambda day, hour: datetime(2025, 1, day, hour, tzinfo=UTC)
+    assert journal.refresh_due(at(1, 5), at(2, 3), 3) and not journal.refresh_due(at(1, 5), at(2, 2), 3) and not journal.refresh_due(at(1, 5), at(1, 23), 3)
+
+
 def test_settings(tmp_path):
     path = tmp_path / "t.toml"
     path.write_text(settings.template())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeline import DAY, MICROS, utc_date
-from tidemark.operators import coverage, detect, evaluate, outcomes, paper
+from tidemark.operators import coverage, detect, evaluate, journal, outcomes, paper
 from tidemark.sources import market, wire
 from tidemark.sources.store import shared_table
 
@@ -205,6 +205,34 @@ def universe_topk(spark: SparkSession, sf: str) -> DataFrame:
     return wire.universe(t.where(F.col("market").contains("e")), 3)
 
 
+STALL, CONNECTION = 1_200, 3 * DAY
+_EPOCHS = f"""ar AS (SELECT epoch_us(ts) AS ts, epoch_us(ts) // {CONNECTION * MICROS} AS epoch FROM events),
+ep AS (SELECT *, lag(last) OVER w AS before, lead(first) OVER w AS after FROM (SELECT epoch, min(ts) AS first, max(ts) AS last FROM ar GROUP BY 1) WINDOW w AS (ORDER BY epoch))"""
+
+
+@_query(f"""{_EPOCHS} SELECT first AS ts, epoch, 'connected' AS state, (first - before) // 1000 AS gap_ms FROM ep UNION ALL SELECT last, epoch, 'disconnected', NULL FROM ep WHERE after IS NOT NULL
+ UNION ALL SELECT before + {STALL * MICROS}, epoch, 'stalled', NULL FROM (SELECT *, lag(ts) OVER (PARTITION BY epoch ORDER BY ts) AS before FROM ar) WHERE ts - before >= {STALL * MICROS}""")
+def connection_journal(spark: SparkSession, sf: str) -> DataFrame:
+    arrivals = market.trades(spark, sf).select("ts", F.floor(F.col("ts") / (CONNECTION * MICROS)).alias("epoch"))
+    return journal.connections(arrivals, STALL)
+
+
+_DAILY = f"""{_T}, dv AS (SELECT CAST(make_timestamp(ts) AS DATE) AS date, market, CAST(sum(notional) AS DOUBLE) AS volume FROM t GROUP BY 1, 2),
+du AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY volume DESC, market) AS place FROM dv) WHERE place <= 3)"""
+
+
+@_query(f"{_DAILY} SELECT * FROM du", date="date")
+def universe_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return journal.daily_universe(market.trades(spark, sf), 3)
+
+
+@_query(f"""{_DAILY}, dd AS (SELECT * FROM (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM du)) WHERE before IS NOT NULL)
+SELECT dd.date, du.market, 'joined' AS change FROM dd JOIN du USING (date) WHERE NOT EXISTS (FROM du o WHERE o.date = dd.before AND o.market = du.market)
+UNION ALL SELECT dd.date, du.market, 'left' FROM dd JOIN du ON du.date = dd.before WHERE NOT EXISTS (FROM du o WHERE o.date = dd.date AND o.market = du.market)""", date="date")
+def universe_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return journal.universe_changes(shared_table(journal.daily_universe(market.trades(spark, sf), 3), "universes"))
+
+
 @_query(f"{_T},\n{_PW} SELECT market, ts, seq, n, CAST(total AS DOUBLE) AS total, baseline FROM pb")
 def prior_window_stats(spark: SparkSession, sf: str) -> DataFrame:
     return detect.prior_window(market.trades(spark, sf), WINDOW).select("market", "ts", "seq", "n", F.col("total").cast("double").alias("total"), "baseline")

@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.config import Config
 from tidemark.functions.timeline import DAY, MICROS, utc_date
-from tidemark.operators import coverage, detect, evaluate, outcomes, paper
+from tidemark.operators import coverage, detect, evaluate, journal, outcomes, paper
 from tidemark.plans import render
 from tidemark.sources import market, store, wire
 
@@ -33,12 +33,28 @@ def _records(spark: SparkSession, root: str, dataset: str, schema: str, needed:
     return wire.unpack(packed, schema, NEEDED + needed)
 
 
+def _trade_records(spark: SparkSession, root: str) -> DataFrame:
+    return _records(spark, root, "trades", market.TRADE, ["price", "volume", "side"])
+
+
+def _book_records(spark: SparkSession, root: str) -> DataFrame:
+    return _records(spark, root, "orderbooks", market.BOOK, ["ask", "bid", "levels"])
+
+
 def trades(spark: SparkSession, root: str) -> DataFrame:
-    return market.trades_of(_records(spark, root, "trades", market.TRADE, ["price", "volume", "side"]))
+    return market.trades_of(_trade_records(spark, root))
 
 
 def books(spark: SparkSession, root: str) -> DataFrame:
-    return market.books_of(_records(spark, root, "orderbooks", market.BOOK, ["ask", "bid", "levels"]))
+    return market.books_of(_book_records(spark, root))
+
+
+def connections(spark: SparkSession, config: Config) -> DataFrame:
+    """Stored connection events, and those that the records' arrivals and connections show."""
+    stored = store.read(spark, config.data_root, "connection_events", StructType.fromDDL("market string, ts bigint, state string, gap_ms bigint"))
+    arrivals = [market.arrivals_of(r(spark, config.data_root)) for r in (_trade_records, _book_records)]
+    seen = journal.connections(arrivals[0].unionByName(arrivals[1]), config.stall_timeout_seconds)
+    return stored.select("market", "ts", "state", "gap_ms").unionByName(seen.select(F.lit("ALL").alias("market"), "ts", "state", "gap_ms"))
 
 
 def live_events(spark: SparkSession, root: str) -> DataFrame:
@@ -196,9 +212,9 @@ def collected(spark: SparkSession, config: Config, csv: bool) -> tuple[str, str]
     """The coverage table, and the summary with dates missing and the projected footprint."""
     root, v = config.data_root, config.validation
     t, b, live = trades(spark, root), books(spark, root), live_events(spark, root)
-    journal = store.read(spark, root, "connection_events", StructType.fromDDL("market string, ts bigint, state string, detail string, gap_ms bigint"))
+    links = connections(spark, config)
     days = v.tuning_days + v.validation_days
-    rows = _rows(coverage.daily(t, b, live.where("kind = 'signal'"), journal), "date")
+    rows = _rows(coverage.daily(t, b, live.where("kind = 'signal'"), links), "date")
     present = coverage.dates(t, b)
     status, missing = coverage.date_status(present, days).first(), [str(r["date"]) for r in _rows(coverage.missing_dates(present, days), "date")]
     n_bytes, files = store.footprint(spark, root)

@@ -49,8 +49,8 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Fields of stored records, by dataset; what is not required may be missing or null.
-TRADE = "market string, ts_ms bigint, receive_ns bigint, price double, volume double, side string, sequential_id decimal(20,0)"
-BOOK = f"market string, ts_ms bigint, receive_ns bigint, ask double, bid double, levels {LEVELS}"
+TRADE = "market string, ts_ms bigint, receive_ns bigint, price double, volume double, side string, sequential_id decimal(20,0), epoch bigint"
+BOOK = f"market string, ts_ms bigint, receive_ns bigint, ask double, bid double, levels {LEVELS}, epoch bigint"
 
 
 def _numbered(records: DataFrame, order: list[str]) -> DataFrame:
@@ -67,6 +67,11 @@ def trades_of(records: DataFrame) -> DataFrame:
     return rows.select("market", "ts", "seq", "price", "volume", "side", (F.col("price") * F.col("volume")).cast("decimal(18,2)").alias("notional"))
 
 
+def arrivals_of(records: DataFrame) -> DataFrame:
+    """Receipt times (micros) with the connection's number; records stored without one are left out."""
+    return records.where("epoch is not null").select(F.floor(F.col("receive_ns") / 1000).alias("ts"), "epoch")
+
+
 def books_of(records: DataFrame) -> DataFrame:
     """Books of stored records, in the order time, receipt, total sizes, levels."""
     rows = books_from_levels(_numbered(records, ["receive_ns", "ask", "bid", "levels"]))

@@ -163,7 +163,7 @@ def collect(frames: DataFrame, root: str, checkpoint: str, config: Config, quali
     day = F.to_date(F.timestamp_millis("ts_ms"))
     sinks = []
     for name, part in (("trades", wire.trades), ("orderbooks", wire.orderbooks)):
-        rows = part(normalized, "receive_ns")
+        rows = part(normalized, "receive_ns", "epoch")
         sinks.append(_sink(rows.select(F.to_json(F.struct(*rows.columns)).alias("payload"), day.alias("date"), "market"), root, name, checkpoint, **trigger))
     bad = normalized.where("error is not null").select("frame", "error", "receive_ns", F.to_date(F.timestamp_micros((F.col("receive_ns") / 1000).cast("bigint"))).alias("date"))
     sinks.append(_sink(bad, root, "dead_letters", checkpoint, by=("date",), **trigger))
