@@ -9,6 +9,8 @@ from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 from tidemark.operators.evaluate import fnv1a64
 
+# ---- fixed values: names and defaults of the settings, as existing settings files have them
+
 
 @dataclass
 class Candidate:

@@ -37,7 +37,8 @@ def yes(flag: bool) -> str:
 
 
 def rationale(s) -> str:
-    """Why a signal fired, from its own figures (market, signal_type, rule_id, feature_value, baseline, ...)."""
+    """Why a signal fired, from its own figures (market, signal_type, rule_id, feature_value, baseline, ...).
+    The wording is fixed: stored alerts are searched by it."""
     kind, f, b = s["signal_type"], s["feature_value"], s["baseline"]
     at = float(s["rule_id"].rpartition("-")[2]) if kind != "wall_disappearance" else 0.0
     times = f / b if b else float("inf")
