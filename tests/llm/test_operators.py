@@ -247,6 +247,22 @@ def test_near_dedup_equals_brute_force(spark, empty):
     assert near_dedup.near_classes(empty).collect() == []
 
 
+def test_near_dedup_compares_all_of_a_large_bucket(spark):
+    # every text has one heavy shingle, so most buckets hold most texts; 300 of them are one class
+    own = lambda name, n: [f"{name}{k}" for k in range(n)]
+    text = lambda *words: " ".join(["x"] * 104 + [w for part in words for w in part])
+    rows = [(k, text(own(f"d{k}q", 4))) for k in range(300)]
+    for k in range(80):  # alike only to each other
+        rows += [(1000 + 2 * k + side, text(own(f"p{k}q", 14), own(f"p{k}r{side}q", 11))) for side in (0, 1)]
+    shared = [weighted(t) for _, t in rows]
+    bounds = lambda a, b: [j / (j + (1 - j) * f) for f in (1.1, 1 / 1.1) for j in [sum((a & b).values()) / sum((a | b).values())]]
+    for a in range(300, 460):
+        assert max(bounds(shared[0], shared[a])) < 0.8 and min(bounds(shared[0], shared[1])) >= 0.8
+        assert all((min(bounds(shared[a], shared[b])) >= 0.8) if b == a ^ 1 else (max(bounds(shared[a], shared[b])) < 0.8) for b in range(300, 460) if b != a)
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {k: 0 if k < 300 else k - k % 2 for k, _ in rows}
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 900, np.uint64)

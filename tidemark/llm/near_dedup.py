@@ -34,6 +34,8 @@ MEMBERS = 256
 SMALL = 16
 #: Members that a larger bucket of several classes compares the others with, in each later round.
 PIVOTS = 4
+#: Members of a bucket's two sides that one key of the last pass holds.
+BLOCK = 512
 #: Standard deviations by which a pair at the similarity may differ in more samples than on average and
 #: still has its texts compared: of 10 ** 4 such pairs, about one is further off.
 SIGMAS = 4
@@ -221,15 +223,40 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(fresh)
 
 
+def untried(rows: DataFrame, classes: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (pivot, node) of two classes that share a bucket of more than SMALL members, can be
+    alike and is not in ``tried``.
+
+    Members outside a bucket's largest class meet all its members, so a bucket that one class fills
+    is linear work. Both sides are dealt in blocks of about BLOCK members, and each pair of blocks is
+    a key of its own, so no bucket is a single task."""
+    now = rows.where(F.col("n") > SMALL).join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    held = held.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("all")).where("most.m < all")
+    parts = lambda n, name: F.ceil(n / BLOCK).cast("int").alias(name)
+    sides = held.select("bucket", F.col("most.component").alias("main"), parts(F.col("all") - F.col("most.m"), "lefts"), parts(F.col("all"), "rights"))
+    now = materialize(now.join(sides, "bucket").withColumn("minor", F.col("component") != F.col("main")), "mixed")
+    dealt = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = now.where("minor").withColumn("i", dealt(F.col("lefts"))).withColumn("j", every("rights"))
+    right = now.withColumn("j", dealt(F.col("rights"))).withColumn("i", every("lefts"))
+    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.component") != F.col("b.component"))
+    once = ~F.col("b.minor") | (F.col("a.node") < F.col("b.node"))
+    pair = lambda x, y: [F.least(x, y).alias("pivot"), F.greatest(x, y).alias("node")]
+    met = left.alias("a").join(right.alias("b"), meet & once & alike("a", "b", similarity)).select(pair("a.node", "b.node"))
+    return met.distinct().join(tried.select(pair("pivot", "node")).distinct(), ["pivot", "node"], "left_anti")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id of every row: the smallest doc_id of those it is linked with, step by step.
 
     Texts of the same words are one node. In every bucket of a band, members are compared with the
     smallest node. Buckets that still hold several classes go on: small ones compare their classes
     with each other, larger ones draw PIVOTS members by hash and compare their other classes with
-    these, again and again while a round finds links. So a text that is unlike one pivot meets others,
-    in all its buckets. Sketches tell which of these pairs can be alike, and the texts decide. Work is
-    linear in a bucket's members in each round, and no pair's texts are compared twice.
+    these, again and again while a round finds links. That joins most of a bucket at little cost; at last
+    every pair of two classes in a larger bucket that was not tried is. Sketches tell which pairs can be
+    alike, and the texts decide. Rounds are linear in a bucket's members; the last pass is their
+    number times that of those outside the largest class. No pair's texts are compared twice.
 
     A text without words (null, empty, only marks) and a row with a null id are classes of their own
     (class_id is doc_id). Repeated rows and ties are in one class. An empty table gives no rows. Only
@@ -266,10 +293,15 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
         if pairs.isEmpty():
             break
         found = materialize(similar(texts, pairs, weights, similarity), "links")
+        tried = tried.unionByName(pairs)
         if found.isEmpty():
             break
         classes = materialize(_merged(classes, found), "classes")
-        tried = tried.unionByName(pairs)
+    pairs = materialize(untried(rows, classes, tried, similarity), "pairs")
+    if not pairs.isEmpty():
+        found = materialize(similar(texts, pairs, weights, similarity), "links")
+        if not found.isEmpty():
+            classes = materialize(_merged(classes, found), "classes")
     by_digest = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
     # Copies of one text are not joined with each other but with their node, and Spark splits a skewed side.
     return marks.join(by_digest, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("class_id"))
