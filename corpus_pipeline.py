@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, table
-from tidemark.llm.exact_dedup import find_copies
+from tidemark.llm.common import materialize, scratch, table
+from tidemark.llm.exact_dedup import find_copies, normalized
 from tidemark.llm.near_dedup import near_classes
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import judge
@@ -16,18 +16,33 @@ from tidemark.llm.quality import judge
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep; the labels calibrate the cutoffs."""
-    kept = judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id")
-    return _with_ids(docs, kept)
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    labels = rows.select("_row", "doc_id").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("_row").alias("doc_id"), "quality")
+    kept = judge(rows, labels, id_col="_row").where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _with_ids(docs, find_copies(docs).where("kept").select("doc_id"), one_each=True)
+    """One document of each group of equal texts. Of rows that repeat its id, the longest stays."""
+    kept = find_copies(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    rows = docs.withColumn("_digest", F.sha2(normalized(F.col("text")), 256))
+    own = (rows._digest == kept._digest) & rows.doc_id.eqNullSafe(kept._id)
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.coalesce(F.char_length("text"), F.lit(0)), "text"))
+    return rows.join(kept, own, "left_semi").groupBy("_digest").agg(best.alias("_best")).select("_best.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies."""
-    return _with_ids(docs, near_classes(docs).where("doc_id <=> class_id").select("doc_id"), one_each=True)
+    """The document with the smallest id of each class of near copies; rows with a null id all stay.
+    Rows that repeat an id and text are one, other texts of a repeated id are documents of their own."""
+    rows = docs.withColumn("_digest", F.sha2("text", 256))
+    # Numbers in the order of (id, text), so that classes keep the smallest id.
+    keys = rows.where("doc_id is not null").select("doc_id", "_digest").distinct().orderBy("doc_id", "_digest")
+    keys = materialize(keys.withColumn("_row", F.monotonically_increasing_id()), "keys")
+    same = rows.doc_id.eqNullSafe(keys.doc_id) & rows._digest.eqNullSafe(keys._digest)
+    rows = materialize(rows.join(keys, same, "left").select(*(rows[c] for c in docs.columns), "_row"), "rows")
+    kept = near_classes(rows, id_col="_row").where("doc_id = class_id").select(F.col("doc_id").alias("_row"))
+    named = rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return named.unionByName(rows.where("_row is null")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +50,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, one_each: bool = False) -> DataFrame:
-    """All columns of the rows of ``docs`` with these ids, null included. ``one_each``: rows that
-    repeat an id and text are one."""
-    keep = ids.distinct().withColumnRenamed("doc_id", "_tidemark_id")
-    out = docs.join(keep, docs.doc_id.eqNullSafe(keep._tidemark_id), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if one_each else out
-
-
 #: (name, function) in order; each takes (spark, docs, sf_dir).
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
