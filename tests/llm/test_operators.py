@@ -406,3 +406,14 @@ def test_main_text(spark, empty):
         assert found[10 + k] == [f"Title {k}\nFirst {k} <x>.\nSecond {k} line link."]
     assert found[20] == [""] and found[21] == [""] and found[22] == ["plain <text"] and found[None] == ["x"]
     assert html_text.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+def test_main_text_by_importance_inside_and_outside_of_main(spark):
+    page = """<body><div class="notice"><article><h1>Title {k}</h1><p>Text {k}</p><div class="hidden-gem">Gem {k}</div><div class="more">Read on</div>
+<div class="comments">said {k}</div></article></div><div class="lede">Lede {k}</div><div class="box">Same</div><div class="ad">Buy {k}</div></body>"""
+    both = page + """<div class="related"><article>Teaser {k}</article></div><main>Main {k}</main>"""
+    rows = [(k, "https://a.org/", page.format(k=k)) for k in range(6)] + [(10 + k, "https://b.org/", both.format(k=k)) for k in range(6)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == f"Title {k}\nText {k}\nGem {k}\nLede {k}"
+        assert got[10 + k] == f"Lede {k}\nMain {k}"

@@ -16,7 +16,11 @@ from tidemark.llm.common import materialize, table
 
 #: A branch below this importance is removed; hosts with fewer distinct pages tell nothing.
 IMPORTANCE, LEAST_PAGES = 0.5, 4
-#: Up to so many pages with branches to remove are broadcast to the pages, more are joined by shuffle.
+#: A branch that markup leaves in doubt is kept from this importance on.
+IMPORTANT = 0.9
+#: What markup says ahead of the tree: no main text; main text unless unimportant; none unless important.
+NOISE, KEEP, DOUBT = 0, 1, 2
+#: Up to so many pages with branches that the tree decides are broadcast to the pages, more are joined by shuffle.
 PAGES_BROADCAST = 50_000
 
 # Elements of HTML by how they are read.
@@ -47,12 +51,15 @@ class Block:
     text: str
     named_noise: bool
     in_main: bool
+    doubt: bool  # a part of a class or id is a noise name
+    below_noise: bool  # in a main element below a wrapper with a noise name
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, each with the path of its branch in the style tree."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # tag, path, noise, main, silent
+    # tag, path, noise by name, noise by tag or role, main, silent, doubt, below noise
+    stack: list[tuple[str, str, bool, bool, bool, bool, bool, bool]] = [("", "", False, False, False, False, False, False)]
     text: list[str] = []
 
     def flush() -> None:
@@ -60,7 +67,8 @@ def blocks(page: str) -> list[Block]:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append(Block(stack[-1][1], line, stack[-1][2], stack[-1][3]))
+                _, path, named, noise, main, _, doubt, below = stack[-1]
+                out.append(Block(path, line, named or noise, main, doubt, below))
 
     def close(names: set[str], until: set[str] = frozenset()) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -74,7 +82,7 @@ def blocks(page: str) -> list[Block]:
     at, end = 0, len(page)
     while at < end:
         m = _MARKUP.search(page, at)
-        if not stack[-1][4]:
+        if not stack[-1][5]:
             text.append(page[at : m.start() if m else end])
         if not m:
             break
@@ -103,14 +111,17 @@ def blocks(page: str) -> list[Block]:
         for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
             name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
             if name in ("class", "id"):
-                names.update(_NAME.findall(value))
+                names.update(value.split())
                 label += ("." if name == "class" else "#") + " ".join(sorted(value.split()))
             noise |= name == "role" and value in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-        _, path, was_noise, was_main, silent = stack[-1]
+        _, path, named, was_noise, was_main, silent, doubt, below = stack[-1]
         main = was_main or tag in MAIN_TAGS
         if tag not in ("html", "body", *MAIN_TAGS):
-            noise |= bool(names & NOISE_NAMES)
-        stack.append((tag, f"{path}/{label}", was_noise or noise, main, silent or tag in SILENT))
+            named |= bool(names & NOISE_NAMES)
+            doubt |= any(part in NOISE_NAMES for name in names for part in _NAME.findall(name))
+        elif main and not was_main:
+            named, doubt, below = False, False, named or doubt
+        stack.append((tag, f"{path}/{label}", named, was_noise or noise, main, silent or tag in SILENT, doubt, below))
         if tag in RAW:
             close_at = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close_at.end() if close_at else end
@@ -119,6 +130,15 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def priors(found: list[Block]) -> list[int]:
+    """What markup says of each block of a page. A main element below a wrapper with a noise name is
+    one only if the page has no other."""
+    mains = [b for b in found if b.in_main and not b.named_noise]
+    other = any(not b.below_noise for b in mains)
+    noise = lambda b: b.named_noise or b.below_noise and other
+    return [NOISE if noise(b) else DOUBT if b.doubt or mains and not b.in_main else KEEP for b in found]
+
+
 def host(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][\w+.-]*://([^/?#]*)", url or "")
     return m[1].rpartition("@")[2].lower() if m else ""
@@ -130,8 +150,7 @@ def _hash(*parts: str) -> int:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """Text nodes of the pages outside named main elements: page_id, host, path, content, page digest,
-    and whether markup leaves open what the node is."""
+    """All text nodes of the pages: page_id, host, path, content, page digest, and what markup says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,60 +158,63 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             for page_id, url, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 found = blocks(raw or "")
                 site, digest = host(url), _hash(*(b.text for b in found))
-                has_main = any(b.in_main and not b.named_noise for b in found)
-                rows += [(page_id, site, _hash(b.path), _hash(b.text), digest, not b.named_noise and not has_main) for b in found if not b.in_main]
+                rows += [(page_id, site, _hash(b.path), _hash(b.text), digest, prior) for b, prior in zip(found, priors(found))]
             columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "host", "path", "content", "digest", "open"])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "host", "path", "content", "digest", "prior"])
 
-    return pages.mapInArrow(run, "page_id bigint, host string, path bigint, content bigint, digest bigint, open boolean")
+    return pages.mapInArrow(run, "page_id bigint, host string, path bigint, content bigint, digest bigint, prior int")
 
 
-def unimportant(nodes: DataFrame, threshold: float = IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, path, content) of the merged tree's branches below the threshold.
+def decided(nodes: DataFrame, threshold: float = IMPORTANCE, important: float = IMPORTANT, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, path, content, prior) where the merged tree decides against the prior: KEEP below the
+    threshold, DOUBT that is important.
 
     A content found on c of the m distinct pages that have its branch is spread evenly over them, with
     entropy log_m c, and has importance 1 - log_m c; the branch's own importance is the mean of its
     contents', weighted by pages. The two are averaged: an advert that changes among a few texts is
     as much a part of the template as a menu that never does."""
-    per_page = nodes.select("host", "path", "content", "digest").distinct()
-    counts = per_page.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("c"))
+    has = lambda prior: F.max(F.col("prior") == prior)
+    per_page = nodes.groupBy("host", "path", "content", "digest").agg(has(KEEP).alias("keep"), has(DOUBT).alias("doubt"))
+    counts = per_page.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("c"), F.max("keep").alias("keep"), F.max("doubt").alias("doubt"))
     pages = nodes.select("host", "path", "digest").distinct().groupBy("host", "path").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least_pages)
     own = counts.join(pages, ["host", "path"]).withColumn("own", 1 - F.log("c") / F.log("m"))
     branch = own.groupBy("host", "path").agg((F.sum(F.col("own") * F.col("c")) / F.sum("c")).alias("branch"))
-    return own.join(branch, ["host", "path"]).where((F.col("own") + F.col("branch")) / 2 < threshold).select("host", "path", "content")
+    score = (F.col("own") + F.col("branch")) / 2
+    against = F.when(F.col("keep") & (score < threshold), KEEP).when(F.col("doubt") & (score >= important), DOUBT)
+    return own.join(branch, ["host", "path"]).select("host", "path", "content", against.alias("prior")).where("prior is not null")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page's whole html.
 
     Blocks are runs of text between block-level tags; character references are decoded, white space
-    becomes one space, and blocks are joined by line breaks in page order. Markup that names a role
-    (nav, footer, class "ad", ...) decides at once; a page with a named main element gives that
-    element; all other branches are judged by their importance in the host's style tree.
+    becomes one space, and blocks are joined by line breaks in page order. All blocks are in the host's
+    style tree. Markup that names a role (nav, footer, class "ad", ...) is a prior that importance does
+    not outweigh, since adverts and comments differ from page to page. Other blocks, those of a main
+    element included, stay unless unimportant; on a page with a main element, those outside it, and
+    those with a noise name as a part of a class ("ad-slot"), stay only if important.
 
     Null and empty html gives an empty text. A null url belongs to the host ''. Repeated rows give a
     row each and count once in the tree; rows with a null page_id are read without the tree; an empty
     table gives no rows; other columns are not read."""
     source = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     nodes = materialize(style_nodes(source), "style-nodes")
-    low = materialize(unimportant(nodes), "unimportant")
-    # A page's own list of branches to remove is no longer than the page. Spark splits a skewed host.
-    drops = nodes.where("open and page_id is not null").join(low, ["host", "path", "content"], "left_semi")
-    drops = materialize(drops.groupBy("page_id").agg(F.collect_set(F.struct("path", "content")).alias("drops")), "branches")
-    few = drops.count() <= PAGES_BROADCAST
-    joined = source.join(F.broadcast(drops) if few else drops, "page_id", "left").select("page_id", "url", "html", "drops")
+    against = materialize(decided(nodes), "decided")
+    # A page's own list of branches is no longer than the page. Spark splits a skewed host.
+    turns = nodes.where("page_id is not null").join(against, ["host", "path", "content", "prior"], "left_semi")
+    turns = materialize(turns.groupBy("page_id").agg(F.collect_set(F.struct("path", "content", "prior")).alias("against")), "branches")
+    few = turns.count() <= PAGES_BROADCAST
+    joined = source.join(F.broadcast(turns) if few else turns, "page_id", "left").select("page_id", "url", "html", "against")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for raw, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = [b for b in blocks(raw or "") if not b.named_noise]
-                if any(b.in_main for b in found):
-                    found = [b for b in found if b.in_main]
-                elif drop:
-                    gone = {(d["path"], d["content"]) for d in drop}
-                    found = [b for b in found if (_hash(b.path), _hash(b.text)) not in gone]
+            for raw, against in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = blocks(raw or "")
+                turned = {(d["path"], d["content"], d["prior"]) for d in against or ()}
+                keys = zip(found, priors(found))
+                found = [b for b, prior in keys if prior != NOISE and (prior == KEEP) != (bool(turned) and (_hash(b.path), _hash(b.text), prior) in turned)]
                 texts.append("\n".join(b.text for b in found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
