@@ -200,7 +200,8 @@ def weighted(text):
     import re
 
     words = re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
-    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+    counts = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+    return Counter({k: n.bit_length() for k, n in counts.items()})  # term frequency: 1 more with each doubling
 
 
 def near_rows():
@@ -248,12 +249,12 @@ def test_near_dedup_equals_brute_force(spark, empty):
 
 
 def test_near_dedup_compares_all_of_a_large_bucket(spark):
-    # every text has one heavy shingle, so most buckets hold most texts; 300 of them are one class
+    # most buckets hold hundreds of nodes: 300 of one class, and 80 pairs that are alike only to each other
     own = lambda name, n: [f"{name}{k}" for k in range(n)]
-    text = lambda *words: " ".join(["x"] * 104 + [w for part in words for w in part])
+    text = lambda *words: " ".join([*own("c", 60), *(w for part in words for w in part)])
     rows = [(k, text(own(f"d{k}q", 4))) for k in range(300)]
-    for k in range(80):  # alike only to each other
-        rows += [(1000 + 2 * k + side, text(own(f"p{k}q", 14), own(f"p{k}r{side}q", 11))) for side in (0, 1)]
+    for k in range(80):
+        rows += [(1000 + 2 * k + side, text(own(f"p{k}q", 12), own(f"p{k}r{side}q", 3))) for side in (0, 1)]
     shared = [weighted(t) for _, t in rows]
     bounds = lambda a, b: [j / (j + (1 - j) * f) for f in (1.1, 1 / 1.1) for j in [sum((a & b).values()) / sum((a | b).values())]]
     for a in range(300, 460):
@@ -263,6 +264,59 @@ def test_near_dedup_compares_all_of_a_large_bucket(spark):
     assert {r.doc_id: r.class_id for r in got} == {k: 0 if k < 300 else k - k % 2 for k, _ in rows}
 
 
+def test_near_dedup_of_loose_copies(spark):
+    # 400 copies of a text with 0 to 12 edits: classes against all pairs, with few to many draws and small blocks
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(160)]
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for _ in range(rng.randint(0, 12)):
+            words[rng.randrange(160)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    counts = [weighted(t) for t in texts]
+    parent = list(range(400))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    pairs = []
+    for a in range(400):
+        for b in range(a):
+            j = sum((counts[a] & counts[b]).values()) / sum((counts[a] | counts[b]).values())
+            if j / (j + (1 - j) * 1.1) >= 0.8:
+                pairs.append((a, b))
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    results = []
+    rounds, block = near_dedup.ROUNDS, near_dedup.BLOCK
+    try:
+        for near_dedup.ROUNDS, near_dedup.BLOCK in ((2, 1024), (0, 64)):
+            results.append({r.doc_id: r.class_id for r in near_dedup.near_classes(df).collect()})
+    finally:
+        near_dedup.ROUNDS, near_dedup.BLOCK = rounds, block
+    assert results[0] == results[1]  # draws and blocks change nothing
+    assert np.mean([results[0][a] == results[0][b] for a, b in pairs]) > 0.999
+    assert len(set(results[0].values())) > 20  # and loose ones are left alone
+
+
+def test_sketches_let_alike_pairs_through():
+    rng, refused, tried = np.random.default_rng(1), 0, 0
+    for n in (6, 20, 60, 200, 1000, 6000):
+        for _ in range(60):
+            h = rng.integers(0, 2**63, 2 * n, np.uint64)
+            extra = int(0.25 * n * rng.random())  # n shingles in common, extra ones on one side or both
+            a, b = np.sort(h[: n + extra // 2]), np.sort(np.concatenate([h[:n], h[n + extra // 2 : n + extra]]))
+            one = np.ones(len(a) + len(b), np.int64)
+            x, y = near_dedup.sketches(np.concatenate([a, b]), one, np.array([0, len(a)]))
+            can, differ = near_dedup.alike(x, y, np.float64(len(a)), np.float64(len(b)), 0.8)
+            refused, tried = refused + (not can), tried + 1
+            assert abs(differ - extra / (n + extra)) < 0.13
+    assert refused == 0 and tried == 360
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 900, np.uint64)

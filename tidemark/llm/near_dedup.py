@@ -3,13 +3,12 @@ verified by weighted Jaccard similarity."""
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import slices
@@ -30,16 +29,15 @@ CELL_BITS, SLICES = 20, 64
 REQUESTS_BROADCAST = 300_000
 #: Members compared with one copy of a pivot's text.
 MEMBERS = 256
-#: Buckets of up to so many members compare all classes they hold at once.
-SMALL = 16
-#: Members that a larger bucket of several classes compares the others with, in each later round.
-PIVOTS = 4
+#: Rounds of comparisons with drawn members ahead of the passes over all; they save work and change no result.
+ROUNDS = 2
 #: Members of a bucket's two sides that one key of the last pass holds.
-BLOCK = 512
-#: Standard deviations by which a pair at the similarity may differ in more samples than on average and
-#: still has its texts compared: of 10 ** 4 such pairs, about one is further off.
+BLOCK = 1024
+#: Standard deviations by which a pair at the similarity may differ in more bins of its sketches than
+#: on average and still has its texts compared.
 SIGMAS = 4
-_SKETCH = [f"s{k}" for k in range(ROWS)]
+#: Bins of a sketch, of four bits each.
+BINS = 512
 _POOL_BITS = 14
 
 
@@ -91,6 +89,12 @@ def cell_weights(cells: np.ndarray, n: int, idf: float = IDF) -> np.ndarray:
     return (1 + idf * (1 - share)).astype(np.float32)
 
 
+def term_frequency(counts: np.ndarray) -> np.ndarray:
+    """1 for one occurrence and 1 more with each doubling, so that one line repeated many times does not
+    outweigh all else that two texts have."""
+    return np.frexp(counts)[1].astype(np.int64)
+
+
 def _pool(seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Gamma(2, 1) r and ln c, and uniform beta, for 2 ** 14 hash values; multipliers of the samples."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -118,9 +122,26 @@ def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.n
     return out
 
 
+def sketches(hashes: np.ndarray, tf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A sketch of each text that has shingles, as BINS / 16 numbers: of every shingle, each
+    unit of its term frequency is an element of its own, elements are dealt into BINS by hash, and a bin
+    keeps four bits of its least element (1 to 15; 0 if it is empty). The share of equal bins follows
+    the weighted Jaccard similarity without idf."""
+    n = len(starts)
+    firsts = np.cumsum(tf) - tf
+    nth = np.arange(tf.sum()) - np.repeat(firsts, tf)
+    elements = mix(np.repeat(hashes, tf) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ends = np.append(firsts, len(elements))[np.append(starts, len(hashes))]
+    text = np.repeat(np.arange(n, dtype=np.uint64), np.diff(ends))
+    least = np.full(n * BINS, np.iinfo(np.uint64).max)
+    np.minimum.at(least, (text * np.uint64(BINS) + (elements >> np.uint64(32)) % np.uint64(BINS)).astype(np.intp), elements)
+    bits = np.where(least == np.iinfo(np.uint64).max, np.uint64(0), least % np.uint64(15) + np.uint64(1)).reshape(n, BINS // 16, 16)
+    return np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
 def signatures(texts: DataFrame, weights) -> DataFrame:
-    """doc_id, digest of the words (null without words), one hash per band, a sketch (four bits of
-    each sample, those of one row of all bands in one number) and the weight of all shingles."""
+    """doc_id, digest of the words (null without words), one hash per band, a sketch and the weight of
+    all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = weights.value
@@ -128,48 +149,55 @@ def signatures(texts: DataFrame, weights) -> DataFrame:
             for first, part in slices(batch.column(1).to_pylist(), 400_000):
                 found = shingles(part)
                 some = np.flatnonzero(np.diff(found.starts))
-                bands, sketch = np.zeros((len(some), BANDS), np.uint64), np.zeros((len(some), ROWS), np.uint64)
+                bands, sketch = np.zeros((len(some), BANDS), np.uint64), np.zeros((len(some), BINS // 16), np.uint64)
                 total = np.zeros(len(part))
                 if len(some):
-                    w = found.counts * idf[_cells(found.hashes)]
-                    total[some] = np.add.reduceat(w.astype(np.float64), found.starts[some])
-                    own = samples(found.hashes, w, found.starts[some])
+                    starts = found.starts[some]
+                    tf = term_frequency(found.counts)
+                    w = tf * idf[_cells(found.hashes)]
+                    total[some] = np.add.reduceat(w.astype(np.float64), starts)
+                    own = samples(found.hashes, w, starts)
                     for band in range(BANDS):
                         h = np.full(len(some), band + 1, np.uint64)
                         for k in range(ROWS):
                             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[:, band * ROWS + k])
                         bands[:, band] = h
-                    for k in range(ROWS):
-                        for band in range(BANDS):
-                            sketch[:, k] |= mix(own[:, band * ROWS + k]) >> np.uint64(60) << np.uint64(4 * band)
+                    sketch = sketches(found.hashes, tf, starts)
                 counts = np.zeros(len(part), np.int32)
                 counts[some] = 1
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends * x.shape[1]), pa.array(x.ravel().view(np.int64))) for x in (bands, sketch)]
+                buckets = pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(bands.ravel().view(np.int64)))
+                packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends * np.int32(BINS // 2)), pa.py_buffer(sketch)])
                 digest = pa.array(found.digests.view(np.int64), mask=np.diff(found.starts) == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), digest, *lists, pa.array(total)], ["doc_id", "digest", "bands", "sketch", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), digest, buckets, packed, pa.array(total)], ["doc_id", "digest", "bands", "sketch", "weight"])
+
+    return texts.mapInArrow(run, "doc_id bigint, digest bigint, bands array<bigint>, sketch binary, weight double")
 
-    return texts.mapInArrow(run, "doc_id bigint, digest bigint, bands array<bigint>, sketch array<bigint>, weight double")
 
+def _filled(x: np.ndarray) -> np.ndarray:
+    """How many groups of four bits are not zero, over the last axis."""
+    x = x | x >> np.uint64(1)
+    x = x | x >> np.uint64(2)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int32)
 
-def differing(a: str, b: str) -> Column:
-    """How many samples of two rows' sketches differ: four-bit groups with a bit set in the exclusive or."""
-    n = F.lit(0)
-    for s in _SKETCH:
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        x = x.bitwiseOR(F.shiftright(x, 1))
-        x = x.bitwiseOR(F.shiftright(x, 2))
-        n = n + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return n
 
+def alike(x: np.ndarray, y: np.ndarray, w: np.ndarray, v: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether texts of the sketches ``x``, ``y`` and weights ``w``, ``v`` can be of the similarity, and
+    the share of bins that differ. They can if the lesser weight is at least this share of the other
+    and at most one bin more differs than SIGMAS allow.
 
-def alike(a: str, b: str, similarity: float) -> Column:
-    """Whether two rows with sketches can be of the similarity: the lesser weight of their shingles is
-    at least this share of the other, and no more samples differ than SIGMAS allow."""
-    differ = (1 - similarity) * 15 / 16
-    most = BANDS * ROWS * differ + SIGMAS * (BANDS * ROWS * differ * (1 - differ)) ** 0.5
-    w, v = F.col(f"{a}.weight"), F.col(f"{b}.weight")
-    return (F.least(w, v) >= F.lit(similarity - 1e-6) * F.greatest(w, v)) & (differing(a, b) <= math.ceil(most))
+    Sketches leave out the idf, so the least similarity without it is taken. Bins draw from a finite
+    set without returning: of few elements they hold nearly all, and the count is nearly exact."""
+    plain = similarity / (1 + IDF * (1 - similarity))
+    differ, used = _filled(x ^ y), np.maximum(_filled(x | y), 1)
+    elements = -BINS * np.log1p(-np.minimum(used, BINS - 0.5) / BINS)
+    spread = used * plain * (1 - plain) * np.maximum(0, elements - used) / np.maximum(1, elements - 1)
+    can = (np.minimum(w, v) >= (similarity - 1e-6) * np.maximum(w, v)) & (differ <= 1 + used * (1 - plain) + SIGMAS * np.sqrt(spread))
+    return can, differ / used
+
+
+def _sketches_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BINS // 16)
 
 
 def similar(texts: DataFrame, pairs: DataFrame, weights, similarity: float) -> DataFrame:
@@ -183,8 +211,7 @@ def similar(texts: DataFrame, pairs: DataFrame, weights, similarity: float) -> D
     requests = member.unionByName(pivot)
     small = 2 * pairs.count() <= REQUESTS_BROADCAST  # at most one pivot for each member
     asked = texts.join(F.broadcast(requests) if small else requests, texts.doc_id == requests.doc)
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = asked.select("doc", "pivot", "salt", "member", "text").repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "member", "doc")
+    asked = asked.select("doc", "pivot", "salt", "member", "text").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = weights.value
@@ -194,7 +221,7 @@ def similar(texts: DataFrame, pairs: DataFrame, weights, similarity: float) -> D
             a, b = [], []
             for first, part in slices(batch.column(4).to_pylist(), 400_000):
                 found = shingles(part)
-                w = found.counts * idf[_cells(found.hashes)]
+                w = term_frequency(found.counts) * idf[_cells(found.hashes)]
                 for k in range(len(part)):
                     row = first + k
                     h, own = found.hashes[found.starts[k] : found.starts[k + 1]], w[found.starts[k] : found.starts[k + 1]]
@@ -223,14 +250,37 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(fresh)
 
 
-def untried(rows: DataFrame, classes: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
-    """Every pair (pivot, node) of two classes that share a bucket of more than SMALL members, can be
-    alike and is not in ``tried``.
+def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
+    return found.select(F.least(a, b).alias("pivot"), F.greatest(a, b).alias("node")).distinct()
+
 
-    Members outside a bucket's largest class meet all its members, so a bucket that one class fills
-    is linear work. Both sides are dealt in blocks of about BLOCK members, and each pair of blocks is
-    a key of its own, so no bucket is a single task."""
-    now = rows.where(F.col("n") > SMALL).join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def draw(now: DataFrame, rnd: int, similarity: float) -> DataFrame:
+    """For every node of ``now`` (rows with component) at most one pair to try: of the members that a
+    hash draws in each of its buckets, the most alike one of another component, if it can be alike."""
+    own = F.struct("node", "component", "sketch", "weight")
+    drawn = now.groupBy("bucket").agg(F.min_by(own, F.xxhash64(F.lit(rnd), "bucket", "node")).alias("p"), F.min("component").alias("least"), F.max("component").alias("most"))
+    drawn = drawn.where("least <> most").select("bucket", "p.*")
+    met = now.alias("a").join(drawn.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, v = (batch.column(k).to_numpy() for k in (4, 5))
+            can, differ = alike(_sketches_of(batch.column(2)), _sketches_of(batch.column(3)), w, v, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ)], ["node", "pivot", "differ"]).filter(pa.array(can))
+
+    met = met.select("a.node", F.col("b.node").alias("pivot"), "a.sketch", F.col("b.sketch").alias("other"), "a.weight", F.col("b.weight").alias("w"))
+    one = met.mapInArrow(run, "node bigint, pivot bigint, differ double").groupBy("node").agg(F.min_by("pivot", F.struct("differ", "pivot")).alias("pivot"))
+    return _pairs(one, "node", "pivot")
+
+
+def untried(now: DataFrame, tried: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Every pair (pivot, node) of two components that share a bucket, can be alike and is not in ``tried``;
+    with ``nearest`` only the most alike of each node outside its buckets' largest components.
+
+    Members outside a bucket's largest component meet all its members, so a bucket that one component
+    fills is linear work. Both sides are dealt in blocks of about BLOCK members, and each pair of
+    blocks is a key of its own, so no bucket is a single task. A task compares the sketches of
+    two blocks in numpy and emits only pairs that can be alike."""
     held = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
     held = held.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("all")).where("most.m < all")
     parts = lambda n, name: F.ceil(n / BLOCK).cast("int").alias(name)
@@ -238,67 +288,82 @@ def untried(rows: DataFrame, classes: DataFrame, tried: DataFrame, similarity: f
     now = materialize(now.join(sides, "bucket").withColumn("minor", F.col("component") != F.col("main")), "mixed")
     dealt = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    left = now.where("minor").withColumn("i", dealt(F.col("lefts"))).withColumn("j", every("rights"))
-    right = now.withColumn("j", dealt(F.col("rights"))).withColumn("i", every("lefts"))
-    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.component") != F.col("b.component"))
-    once = ~F.col("b.minor") | (F.col("a.node") < F.col("b.node"))
-    pair = lambda x, y: [F.least(x, y).alias("pivot"), F.greatest(x, y).alias("node")]
-    met = left.alias("a").join(right.alias("b"), meet & once & alike("a", "b", similarity)).select(pair("a.node", "b.node"))
-    return met.distinct().join(tried.select(pair("pivot", "node")).distinct(), ["pivot", "node"], "left_anti")
+    columns = ["bucket", "i", "j", "side", "node", "component", "minor", "weight", "sketch"]
+    left = now.where("minor").withColumns({"side": F.lit(0), "i": dealt(F.col("lefts"))}).withColumn("j", every("rights"))
+    right = now.withColumns({"side": F.lit(1), "j": dealt(F.col("rights"))}).withColumn("i", every("lefts"))
+    sides = left.select(columns).unionByName(right.select(columns)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node")
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        first = rows.column("side").to_numpy() == 0
+        node, component, minor, weight = (rows.column(c).to_numpy() for c in ("node", "component", "minor", "weight"))
+        sketch = _sketches_of(rows.column("sketch").combine_chunks())
+        out = [(node[:0], node[:0], np.empty(0))]
+        for k in np.flatnonzero(first):
+            # two members of the minor side meet twice: once is enough
+            at = np.flatnonzero(~first & (component != component[k]) & (~minor | nearest | (node > node[k])))
+            can, differ = alike(sketch[k], sketch[at], weight[k], weight[at], similarity)
+            found, differ = node[at[can]], differ[can]
+            if nearest and len(found):
+                best = np.lexsort((found, differ))[:1]
+                found, differ = found[best], differ[best]
+            out.append((np.full(len(found), node[k]), found, differ))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["node", "other", "differ"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and tuple(keys[a]) != now:
+                    yield compared(pa.Table.from_batches(held))
+                    held = []
+                now = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield compared(pa.Table.from_batches(held))
+
+    found = sides.mapInArrow(run, "node bigint, other bigint, differ double")
+    if nearest:
+        found = found.groupBy("node").agg(F.min_by("other", F.struct("differ", "other")).alias("other"))
+    return _pairs(found, "node", "other").join(tried, ["pivot", "node"], "left_anti")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id of every row: the smallest doc_id of those it is linked with, step by step.
 
-    Texts of the same words are one node. In every bucket of a band, members are compared with the
-    smallest node. Buckets that still hold several classes go on: small ones compare their classes
-    with each other, larger ones draw PIVOTS members by hash and compare their other classes with
-    these, again and again while a round finds links. That joins most of a bucket at little cost; at last
-    every pair of two classes in a larger bucket that was not tried is. Sketches tell which pairs can be
-    alike, and the texts decide. Rounds are linear in a bucket's members; the last pass is their
-    number times that of those outside the largest class. No pair's texts are compared twice.
+    Texts of the same words are one node. Two nodes that share a bucket of some band are linked if the
+    weighted Jaccard similarity of their whole texts is ``similarity`` or more; sketches and weights
+    tell beforehand which pairs cannot be. In ROUNDS, each node is compared with one member drawn in
+    its buckets, which joins most of a large bucket at linear cost, then with its most alike one; at last every
+    pair of a bucket's nodes that are still in different classes is tried, in buckets of any size
+    alike. So the classes do not depend on the draws.
 
     A text without words (null, empty, only marks) and a row with a null id are classes of their own
-    (class_id is doc_id). Repeated rows and ties are in one class. An empty table gives no rows. Only
-    the two columns are read."""
+    (class_id is doc_id). Repeated rows and ties are in one class; texts of any length are read whole.
+    An empty table gives no rows. Only the two columns are read, so others cannot clash."""
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     weights = spark.sparkContext.broadcast(cell_weights(*document_frequencies(texts)))  # 4 MB whatever the input
     marks = materialize(signatures(texts, weights), "signatures")
     nodes = marks.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("weight").alias("weight"))
     nodes = materialize(nodes, "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("bucket"), *(F.col("sketch")[k].alias(s) for k, s in enumerate(_SKETCH)), "weight")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = materialize(rows.join(shared, "bucket"), "buckets")
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    rows = materialize(rows.join(shared, "bucket").join(nodes.select("node", "sketch", "weight"), "node"), "buckets")
     texts = texts.where("doc_id is not null")
-    first = rows.groupBy("bucket").agg(F.min(F.struct("node", *_SKETCH, "weight")).alias("p")).select("bucket", "p.*")
-    met = rows.alias("a").join(first.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") != F.col("b.node")) & alike("a", "b", similarity))
-    tried = materialize(met.select(F.col("b.node").alias("pivot"), F.col("a.node").alias("node")).distinct(), "pairs")
-    classes = materialize(components(similar(texts, tried, weights, similarity)), "classes")
-    rounds = 0
-    while True:
-        rounds += 1
+    classes = spark.createDataFrame([], "node bigint, component bigint")
+    tried = spark.createDataFrame([], "pivot bigint, node bigint")
+    for rnd in range(ROUNDS + 2):
         now = rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        large = now.where(F.col("n") > SMALL)
-        draws = [F.min(F.struct(F.xxhash64(F.lit(rounds), F.lit(k), "bucket", "node").alias("h"), "node", "component", *_SKETCH, "weight")) for k in range(PIVOTS)]
-        mixed = large.groupBy("bucket").agg(F.array_distinct(F.array(*draws)).alias("p"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-        drawn = mixed.select("bucket", F.explode("p").alias("p")).select("bucket", "p.*")
-        meet = (F.col("a.bucket") == F.col("b.bucket")) & alike("a", "b", similarity)
-        pair = [F.col("b.node").alias("pivot"), F.col("a.node").alias("node")]
-        pairs = large.alias("a").join(drawn.alias("b"), meet & (F.col("a.component") != F.col("b.component"))).select(pair)
-        if rounds == 1:
-            small = now.where(F.col("n") <= SMALL)
-            pairs = pairs.unionByName(small.alias("a").join(small.alias("b"), meet & (F.col("b.component") < F.col("a.component"))).select(pair))
-        pairs = materialize(pairs.distinct().join(tried, ["pivot", "node"], "left_anti"), "pairs")
+        pairs = draw(now, rnd, similarity).join(tried, ["pivot", "node"], "left_anti") if rnd < ROUNDS else untried(now, tried, similarity, rnd == ROUNDS)
+        pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            break
-        found = materialize(similar(texts, pairs, weights, similarity), "links")
+            continue
         tried = tried.unionByName(pairs)
-        if found.isEmpty():
-            break
-        classes = materialize(_merged(classes, found), "classes")
-    pairs = materialize(untried(rows, classes, tried, similarity), "pairs")
-    if not pairs.isEmpty():
         found = materialize(similar(texts, pairs, weights, similarity), "links")
         if not found.isEmpty():
             classes = materialize(_merged(classes, found), "classes")
