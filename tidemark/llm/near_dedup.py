@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.batches import groups
 from tidemark.llm.bpe import slices
 from tidemark.llm.common import materialize, table
 from tidemark.llm.graph import components
@@ -280,7 +281,7 @@ def untried(now: DataFrame, tried: DataFrame, similarity: float, nearest: bool)
     Members outside a bucket's largest component meet all its members, so a bucket that one component
     fills is linear work. Both sides are dealt in blocks of about BLOCK members, and each pair of
     blocks is a key of its own, so no bucket is a single task. A task compares the sketches of
-    two blocks in numpy and emits only pairs that can be alike."""
+    two blocks in numpy and emits only pairs that can be alike, each in the first bucket that it shares."""
     held = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
     held = held.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("all")).where("most.m < all")
     parts = lambda n, name: F.ceil(n / BLOCK).cast("int").alias(name)
@@ -288,7 +289,7 @@ def untried(now: DataFrame, tried: DataFrame, similarity: float, nearest: bool)
     now = materialize(now.join(sides, "bucket").withColumn("minor", F.col("component") != F.col("main")), "mixed")
     dealt = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    columns = ["bucket", "i", "j", "side", "node", "component", "minor", "weight", "sketch"]
+    columns = ["bucket", "i", "j", "side", "node", "component", "minor", "weight", "sketch", "bands"]
     left = now.where("minor").withColumns({"side": F.lit(0), "i": dealt(F.col("lefts"))}).withColumn("j", every("rights"))
     right = now.withColumns({"side": F.lit(1), "j": dealt(F.col("rights"))}).withColumn("i", every("lefts"))
     sides = left.select(columns).unionByName(right.select(columns)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node")
@@ -296,11 +297,15 @@ def untried(now: DataFrame, tried: DataFrame, similarity: float, nearest: bool)
     def compared(rows: pa.Table) -> pa.RecordBatch:
         first = rows.column("side").to_numpy() == 0
         node, component, minor, weight = (rows.column(c).to_numpy() for c in ("node", "component", "minor", "weight"))
-        sketch = _sketches_of(rows.column("sketch").combine_chunks())
+        sketch, bucket = _sketches_of(rows.column("sketch")), rows.column("bucket")[0].as_py()
+        bands = rows.column("bands").chunk(0).flatten().to_numpy().reshape(len(node), BANDS)
+        which = np.argmax(bands == bucket, axis=1)  # the bucket's band
+        earlier = np.arange(BANDS) < which[:, None]
         out = [(node[:0], node[:0], np.empty(0))]
         for k in np.flatnonzero(first):
             # two members of the minor side meet twice: once is enough
             at = np.flatnonzero(~first & (component != component[k]) & (~minor | nearest | (node > node[k])))
+            at = at[~((bands[at] == bands[k]) & earlier[at]).any(axis=1)]
             can, differ = alike(sketch[k], sketch[at], weight[k], weight[at], similarity)
             found, differ = node[at[can]], differ[can]
             if nearest and len(found):
@@ -310,21 +315,8 @@ def untried(now: DataFrame, tried: DataFrame, similarity: float, nearest: bool)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["node", "other", "differ"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and tuple(keys[a]) != now:
-                    yield compared(pa.Table.from_batches(held))
-                    held = []
-                now = tuple(keys[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield compared(pa.Table.from_batches(held))
+        for _, rows in groups(batches, ["bucket", "i", "j"]):
+            yield compared(rows)
 
     found = sides.mapInArrow(run, "node bigint, other bigint, differ double")
     if nearest:
@@ -353,7 +345,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     nodes = materialize(nodes, "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    rows = materialize(rows.join(shared, "bucket").join(nodes.select("node", "sketch", "weight"), "node"), "buckets")
+    rows = materialize(rows.join(shared, "bucket").join(nodes.select("node", "sketch", "weight", "bands"), "node"), "buckets")
     texts = texts.where("doc_id is not null")
     classes = spark.createDataFrame([], "node bigint, component bigint")
     tried = spark.createDataFrame([], "pivot bigint, node bigint")
