@@ -6,10 +6,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeline import MICROS
+from tidemark.functions.timeline import MICROS, running
 from tidemark.operators import coverage, detect, evaluate, outcomes, paper
 from tidemark.plans import render
-from tidemark.sources import store, wire
+from tidemark.sources import market, store, wire
 from tidemark.sources.market import books_from_levels
 
 TRADE = "market string, ts bigint, seq bigint, price double, volume double, side string, notional decimal(18,2)"
@@ -76,7 +76,7 @@ def test_outcomes(trades, rows, block):
 def test_walls(spark):
     level = lambda a, b: [(a, b, 1.0, 1.0)]
     raw = [("A", 0, 1, level(100.0, 90.0)), ("A", 1, 2, level(5.0, 9.0)), ("A", 2, 3, []), ("A", 3, 4, level(1.0, 1.0)), ("A", 4, 5, level(1.0, 100.0)), ("A", 10**12, 6, level(1.0, 2.0))]
-    books = books_from_levels(spark.createDataFrame(raw, "market string, ts bigint, seq bigint, levels " + wire.LEVELS))
+    books = books_from_levels(spark.createDataFrame(raw, "market string, ts bigint, seq bigint, levels " + wire.LEVELS)).withColumns({"ask": F.lit(1.0), "bid": F.lit(1.0)})
     got = {r.seq: (r.direction, r.feature_value, r.baseline) for r in detect.wall_drop(books, 50.0).collect()}
     assert got == {2: ("sell", 9.0, 100.0), 6: ("buy", 2.0, 100.0)}
 
@@ -116,12 +116,107 @@ def test_paper_trades_hold_one_position(spark):
 
 
 def test_bootstrap_bounds_and_reproducibility(spark):
-    pairs = spark.createDataFrame([("r", k, k < 30, 30 <= k < 45) for k in range(100)], "rule_key string, idx bigint, hit boolean, control boolean")
-    at = lambda tail: evaluate.bootstrap(pairs, 400, 7, F.lit(tail), ["rule_key"]).first()
+    counts = spark.createDataFrame([("r", 100, 30, 15)], "rule_key string, n bigint, plus bigint, minus bigint")
+    at = lambda tail: evaluate.bootstrap(counts.withColumn("tail", F.lit(tail)), 400, 7).first()
     wide, narrow = at(0.0005), at(0.025)
     assert wide.ci_low <= narrow.ci_low < 0.15 < narrow.ci_high <= wide.ci_high and at(0.025) == narrow
 
 
+@pytest.mark.parametrize("n", [50, 200, 1000, 10_000])
+def test_resampled_means_spread_as_independent_draws(spark, n, monkeypatch):
+    monkeypatch.setattr(evaluate, "DRAWS", 700)  # a resample in several parts
+    plus, minus, iterations = n * 3 // 10, n // 5, 10_000 if n == 200 else 1000
+    counts = spark.createDataFrame([("r", n, plus, minus, 0.16)], "rule_key string, n bigint, plus bigint, minus bigint, tail double")
+    ci = evaluate.bootstrap(counts, iterations, 7).first()
+    mean, sd = (plus - minus) / n, ((plus + minus) / n - ((plus - minus) / n) ** 2) ** 0.5 / n**0.5
+    # the 16th and 84th percentile lie about 0.994 standard deviations out
+    assert abs((ci.ci_high - ci.ci_low) / (2 * 0.9945) - sd) < 0.1 * sd + 0.5 / n and abs((ci.ci_low + ci.ci_high) / 2 - mean) < 0.15 * sd + 0.5 / n
+
+
+def test_controls_differ_by_rule_and_split(spark):
+    day = 86_400 * MICROS
+    trades = [("A", d * day + k * 60 * MICROS, d * 1000 + k, float(k % 7 + 1), 1.0, "buy", None) for d in range(2) for k in range(600)]
+    df = spark.createDataFrame(trades, TRADE)
+    signals = [("A", d * day + k * 60 * MICROS, d * 1000 + k, "s", rule, "buy") for d in range(2) for k in range(0, 500, 5) for rule in ("r1", "r2")]
+    signals = spark.createDataFrame(signals, "market string, ts bigint, seq bigint, signal_type string, rule_id string, direction string")
+    done = outcomes.outcomes(signals, df, ["ts", "seq", "signal_type", "rule_id"], 120, 60, 10.0)
+    at = lambda step: {tuple(r)[:5]: r.control for r in evaluate.control_pairs(done, df, 120, 60, 10.0, 7, "1970-01-01", step).select("market", "ts", "seq", "signal_type", "rule_id", "control").collect()}
+    pairs = at(3600)
+    assert len(pairs) == 400 and pairs == at(600) == at(10**6)
+    differ = lambda rows: sum(a != b for a, b in rows) / 100
+    for d in range(2):  # two rules of one trade have draws of their own
+        one, two = ([v for k, v in sorted(pairs.items()) if k[2] // 1000 == d and k[4] == r] for r in ("r1", "r2"))
+        assert differ(zip(one, two)) > 0.1
+    first, second = ([v for k, v in sorted(pairs.items()) if k[2] // 1000 == d and k[4] == "r1"] for d in range(2))
+    assert differ(zip(first, second)) > 0.1
+
+
+def test_folds_of_a_market_that_never_pauses(spark):
+    """10 ** 5 signals a second apart: linear work in blocks, none much larger than the others."""
+    df = spark.range(100_000).selectExpr("'A' as market", "id * 1000000L as ts", "id as seq")
+    got = paper.cooldown(df, ["market"], 10, ["ts", "seq"], block=3600)
+    assert got.where("emitted").selectExpr("count(*) n", "min(seq % 10 = 0) as even").first() == (10_000, True)
+    per_block = [r["count"] for r in df.selectExpr("ts div 3600000000 as b").groupBy("b").count().collect()]
+    assert max(per_block) == 3600 and len(per_block) == 28
+
+
+@pytest.mark.parametrize("block", [1, 7, 60, 10**6])
+def test_folds_and_running_values_in_blocks(spark, trades, rows, block):
+    want, last = set(), {}
+    for r in rows:
+        if r[0] not in last or r[1] >= last[r[0]] + 20 * MICROS:
+            want.add(r[2])
+            last[r[0]] = r[1]
+    got = paper.cooldown(trades, ["market"], 20, ["ts", "seq"], block)
+    assert {r.seq for r in got.where("emitted").collect()} == want and got.count() == len(rows)
+    sums, total = {}, {}
+    for r in rows:
+        sums[r[0]] = sums.get(r[0], 0) + r[3]
+        total[r[2]] = sums[r[0]]
+    got = running(trades, ["market"], ["ts", "seq"], F.sum, F.col("price"), "s", block)
+    assert {r.seq: r.s for r in got.collect()} == total
+
+
+def test_drawdown_in_blocks(spark):
+    rng = random.Random(8)
+    rows = [(m, k * 10, "s", "r", k, "filled", k * 10 + rng.randint(1, 9) * MICROS, rng.uniform(-9, 8)) for k in range(120) for m in "AB"]
+    trades = spark.createDataFrame(rows, "market string, ts bigint, signal_type string, rule_id string, seq bigint, state string, exit_ts bigint, net_pct double")
+    held = spark.createDataFrame([("A",), ("B",), ("C",)], "market string")
+    sleeves, value, peak, fall = {"A": 1.0, "B": 1.0}, 1.0, 1.0, 0.0
+    for r in sorted(rows, key=lambda r: (r[6], r[0], r[1])):
+        value += sleeves[r[0]] * r[7] / 100 / 3
+        sleeves[r[0]] *= 1 + r[7] / 100
+        peak = max(peak, value)
+        fall = min(fall, (value - peak) / peak * 100)
+    for block in (1, 3, 10**6):
+        assert abs(paper.drawdown(trades, held, block).first()[0] - fall) < 1e-5
+
+
+def test_a_market_outside_the_universe_takes_no_position(spark):
+    rows = [("A", 0, "s", "r", 0, "buy", 10.0, 11.0, True, 5), ("X", 0, "s", "r", 1, "buy", 10.0, 11.0, True, 5), ("X", 2, "s", "r", 2, "buy", 10.0, 11.0, True, 7)]
+    df = spark.createDataFrame(rows, "market string, ts bigint, signal_type string, rule_id string, seq bigint, direction string, entry_price double, horizon_price double, complete boolean, exit_ts bigint")
+    got = {r.seq: r.state for r in paper.paper_trades(df, 0, 100, 0.16, spark.createDataFrame([("A",)], "market string")).collect()}
+    assert got == {0: "filled", 1: "incomplete", 2: "incomplete"}
+
+
+def test_rule_names_keep_all_digits():
+    assert [detect.number(x) for x in (3.0, 0.25, 0.1234567, 0.1234568, 100.0, 1e-7)] == ["3", "0.25", "0.1234567", "0.1234568", "100", "0.0000001"]
+
+
+def test_pruned_scan_reads_one_partition(spark, tmp_path, trades):
+    store.append(trades.withColumn("date", F.expr("date_add(date'2025-01-01', cast(seq % 3 as int))")), str(tmp_path), "trades")
+    df = store.read(spark, str(tmp_path), "trades", trades.drop("market").schema, date(2025, 1, 2))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and len(df.inputFiles()) > 0 and df.where("seq % 3 <> 1").count() == 0
+
+
+def test_order_of_equal_times(spark):
+    """Ties of stored records go by receipt, sequence id (none first), price, volume and side."""
+    raw = [("A", 1, 5, 2.0, 1.0, "buy", None, 0), ("A", 1, 5, 1.0, 1.0, "sell", 3, 0), ("A", 1, 5, 1.0, 1.0, "buy", 3, 0), ("A", 1, 4, 9.0, 1.0, "buy", 9, 0), ("A", 0, 9, 7.0, 1.0, "buy", 1, 0)]
+    got = market.trades_of(spark.createDataFrame(raw, "market string, ts_ms bigint, receive_ns bigint, price double, volume double, side string, sequential_id long, epoch bigint")).orderBy("ts", "seq")
+    assert [(r.price, r.side) for r in got.collect()] == [(7.0, "buy"), (9.0, "buy"), (2.0, "buy"), (1.0, "buy"), (1.0, "sell")]
+
+
 def test_coverage_gate(trades, spark):
     present = spark.createDataFrame([(date(2025, 1, d),) for d in (1, 2, 4)], "date date")
     assert [str(r.date) for r in coverage.missing_dates(present, 4).collect()] == ["2025-01-03"]

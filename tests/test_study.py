@@ -3,6 +3,7 @@
 import io
 import json
 import random
+from collections import Counter
 from contextlib import redirect_stdout
 from datetime import UTC, datetime
 
@@ -10,9 +11,9 @@ import pytest
 
 from tidemark import __main__ as cli
 from tidemark import config as settings
-from tidemark.operators import journal
+from tidemark.operators import detect, journal
 from tidemark.plans import render, study
-from tidemark.streaming import live
+from tidemark.streaming import feed, live
 
 BASE = int(datetime(2025, 1, 1, tzinfo=UTC).timestamp()) * 1000
 
@@ -94,6 +95,12 @@ def test_from_frames_to_reports(spark, tmp_path):
     events = [json.loads(x) for x in _say(spark, config, "alert", "--json").splitlines()]
     assert len(events) == 12 and events[0]["rationale"] == "bid/ask size imbalance 0.600 (threshold 0.40, bid-heavy)"
     assert _say(spark, config, "alert").startswith("ALERT 2025-01-01T00:00:01+00:00  KRW-A  BUY  orderbook_imbalance\n  why:   bid/ask size")
+    stored = spark.read.parquet(f"{config.data_root}/signals").first()
+    assert stored.rationale and json.loads(stored.market_snapshot)["evidence"]["source"] in ("trade", "orderbook")
+    config.alert.cooldown_seconds = 1  # no part of the fingerprint
+    assert study.ruleset(spark, config)["config_fingerprint"].startswith("fnv1a64:")
+    with pytest.raises(study.Blocked, match="qualified rule x:y has no passed validation result"):
+        study.qualified(audit | {"rules": ["x:y"]})
     config.paper.fee_bps = 6.0
     with pytest.raises(study.Blocked, match="other settings"):
         study.ruleset(spark, config)
@@ -117,11 +124,19 @@ def test_live_detection_equals_replay_when_nothing_is_filtered(spark, tmp_path):
         frames.append(_trade(ms, float(rng.randint(1, 400)), market) if rng.random() < 0.7 else _book(ms, float(rng.randint(0, 99)), float(rng.randint(0, 99)), market, rng.choice([None, 0, 5.0])))
     _write(tmp_path / "frames", frames)
     _collect(spark, tmp_path, config)
-    columns = ["market", "ts", "signal_type", "rule_id", "direction", "feature_value", "baseline", "prior_n"]
+    columns = ["market", "ts", "signal_type", "rule_id", "direction", "feature_value", "baseline", "rationale"]
     rows = lambda df: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*columns).collect()), key=str)
     found = rows(study.live_events(spark, config.data_root).where("kind = 'signal'"))
-    replayed = rows(study.signals(study.trades(spark, config.data_root), study.books(spark, config.data_root), config))
+    signals = study.signals(study.trades(spark, config.data_root), study.books(spark, config.data_root), config)
+    replayed = rows(signals)
     assert sorted(set(found) ^ set(replayed), key=str) == []
+    seen = lambda df: {(r.rule_id, r.ts): json.loads(r.market_snapshot) for r in df.collect()}
+    lived, stored = seen(study.live_events(spark, config.data_root).where("kind = 'signal'")), seen(detect.snapshot(signals))
+    for key, want in stored.items():
+        got = lived[key]
+        assert set(got) == set(want) == {"market", "exchange_ts", "feature", "baseline", "evidence"} and got["evidence"]["source"] == want["evidence"]["source"]
+        for name in ("rolling_trade_count", "window_seconds", "total_bid_size", "previous_wall_side", "levels"):
+            assert got["evidence"].get(name) == want["evidence"].get(name)
     assert found == replayed and {r[2] for r in found} == {"large_aggressive_trade", "trade_rate_acceleration", "orderbook_imbalance", "wall_disappearance"}
 
 
@@ -148,6 +163,87 @@ def test_live_sequence_checks_epochs_and_cooldown(spark, tmp_path):
     assert spark.read.json(f"{config.data_root}/alerts").count() == 2
 
 
+def test_an_older_ruleset_is_an_error(spark, tmp_path):
+    config = _config(tmp_path)
+    df = spark.createDataFrame([('{"generated_at": "2025"}',)], "payload string").selectExpr("payload", "date'2025-01-01' as date", "'ALL' as market")
+    study.store.append(df, config.data_root, "active_rule_sets")
+    with pytest.raises(study.Blocked, match="older format"):
+        study.ruleset(spark, config)
+
+
+def test_an_alert_that_cannot_be_shown_is_recorded(spark, tmp_path):
+    config, shown = _config(tmp_path), []
+    _write(tmp_path / "frames", [_book(BASE, 50.0, 50.0), _book(BASE + 1, 10.0, 90.0), _book(BASE + 2, 10.0, 90.0, "KRW-B")])
+    _collect(spark, tmp_path, config, ["orderbook_imbalance:imbalance-0.4"])
+
+    def show(text):
+        if "KRW-A" in text:
+            raise OSError("no terminal")
+        shown.append(text)
+
+    live.print_alerts(spark, config.data_root, str(tmp_path / "state"), {}, {}, once=True, show=show).awaitTermination()
+    assert len(shown) == 1 and "validation record unavailable" in shown[0]
+    links = study.connections(spark, config).where("state = 'alert_error'").collect()
+    assert len(links) == 1 and study.live_events(spark, config.data_root).where("alert").count() == 2
+
+
+def test_feed_states_stalls_pauses_and_refresh(spark, tmp_path):
+    config = _config(tmp_path)
+    config.stall_timeout_seconds, config.flush_interval_seconds, config.daily_refresh_utc_hour = 3, 5, 1
+    now, waits, said = [BASE / 1000 + 23 * 3600], [], []
+    frame = json.dumps(_trade(BASE, 1.0)[1])
+
+    def receiver(steps):
+        """Each step: seconds that pass, and a frame, None (nothing comes) or an error."""
+        steps = iter(steps)
+
+        def receive(seconds):
+            passed, what = next(steps)
+            now[0] += passed
+            if what is None:
+                raise TimeoutError
+            if isinstance(what, Exception):
+                raise what
+            return what
+
+        return receive
+
+    plan = [OSError("refused"), OSError("refused"), [(1, frame), (1, frame), (1, OSError("reset"))], [(1, frame), (1, None), (3, None)], [(1, frame), (7200, frame)], [(1, frame), (1, OSError("end"))]]
+
+    def connect(markets):
+        step = plan.pop(0)
+        if isinstance(step, Exception):
+            raise step
+        return receiver(step)
+
+    f = feed.Feed(spark, config, str(tmp_path / "frames"), lambda: ["KRW-A"], connect, lambda: now[0], said.append)
+    f.stop.wait = lambda seconds: (waits.append(seconds), now.__setitem__(0, now[0] + seconds))
+    f.run(connections=6)
+    states = [(r.state, r.gap_ms) for r in spark.read.schema(f"{journal.EVENT}, date date").parquet(f"{config.data_root}/connection_events").orderBy("ts").collect()]
+    names = [s for s, _ in states]
+    assert waits == [1, 2, 1, 1, 1]  # doubling while refused, anew after a connection
+    assert Counter(names) == Counter(connecting=6, connect_failed=2, reconnect=5, connected=4, disconnected=2, stalled=1, universe_refresh_due=1, universe_changed=1)
+    assert dict(states)["reconnect"] == 1000 and ("connected", 3000) in states and ("connected", 1000) in states
+    rows = spark.read.schema(live.FRAMES).json(str(tmp_path / "frames")).collect()
+    assert len(rows) == f.taken == 6 and {r.epoch for r in rows} == {0, 1, 2, 3}
+    assert said[-1].endswith("frames=6; buffers flushed") and any("buffered=" in s for s in said)
+
+
+def test_feed_writes_what_it_holds_when_stopped_or_full(spark, tmp_path, monkeypatch):
+    config, taken = _config(tmp_path), []
+    monkeypatch.setattr(feed, "MOST_HELD", 3)
+    f = feed.Feed(spark, config, str(tmp_path / "frames"), lambda: ["KRW-A"], lambda markets: receive, say=lambda x: None)
+
+    def receive(seconds):
+        taken.append(spark.read.schema(live.FRAMES).json(str(tmp_path / "frames")).count() if len(taken) == 4 else 0)
+        if len(taken) == 5:
+            f.stop.set()
+        return "{}"
+
+    f.run()
+    assert taken[-1] == 3 and spark.read.schema(live.FRAMES).json(str(tmp_path / "frames")).count() == 5
+
+
 def test_universe_refresh():
     at = lambda day, hour: datetime(2025, 1, day, hour, tzinfo=UTC)
     assert journal.refresh_due(at(1, 5), at(2, 3), 3) and not journal.refresh_due(at(1, 5), at(2, 2), 3) and not journal.refresh_due(at(1, 5), at(1, 23), 3)

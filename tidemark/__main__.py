@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+import signal
 import sys
+import threading
+import time
 
 from pyspark.sql import SparkSession
 
 from tidemark import config as settings
 from tidemark.plans import render, study
-from tidemark.streaming import live
+from tidemark.streaming import feed, live
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -24,6 +28,7 @@ def _parser() -> argparse.ArgumentParser:
     collect.add_argument("--files-per-batch", type=int, default=100)
     collect.add_argument("--once", action="store_true", help="take what is there and end")
     collect.add_argument("--alerts", action="store_true")
+    collect.add_argument("--feed", metavar="MODULE:CLASS", help="also run connections: an object with universe() and connect(markets), see tidemark.streaming.feed")
     commands.add_parser("analyze", help="find, select and validate rules")
     for name in ("report", "coverage", "paper"):
         commands.add_parser(name).add_argument("--csv", action="store_true")
@@ -32,20 +37,54 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _collect(spark: SparkSession, config: settings.Config, args) -> None:
-    rules: list[str] = []
+    rules, audit = {}, {}
     if args.alerts:
         try:
-            rules = list(study.qualified(study.ruleset(spark, config)))
+            audit = study.ruleset(spark, config)
+            rules = study.qualified(audit)
         except study.Blocked as why:
-            print(f"alerts blocked: {why}", file=sys.stderr)
+            print(f"alerts blocked: {why}; collection continues", file=sys.stderr)
+    connections = worker = None
+    if args.feed:
+        module, _, name = args.feed.partition(":")
+        source = getattr(importlib.import_module(module), name)()
+        connections = feed.Feed(spark, config, args.frames, source.universe, source.connect)
+        worker = threading.Thread(target=connections.run, args=(1 if args.once else None,))
+        worker.start()
+        if args.once:
+            worker.join()
     frames = spark.readStream.schema(live.FRAMES).option("maxFilesPerTrigger", args.files_per_batch).json(args.frames)
-    running = live.collect(frames, config.data_root, args.checkpoint, config, rules, args.once)
+    running = live.collect(frames, config.data_root, args.checkpoint, config, list(rules), args.once)
     if args.once:
         for q in running:
             q.awaitTermination()
     if rules:
         running.append(live.send_alerts(spark, config.data_root, args.checkpoint, args.once))
+        running.append(live.print_alerts(spark, config.data_root, args.checkpoint, rules, audit, args.once))
+    _until_stopped(running, connections, worker)
+
+
+def _until_stopped(running: list, connections: feed.Feed | None, worker: threading.Thread | None) -> None:
+    """Wait for the queries' end or for SIGINT or SIGTERM; then what the feed holds is written, and what
+    has arrived goes through the queries before they stop. Progress is told every ten seconds."""
+    asked = threading.Event()
+    if threading.current_thread() is threading.main_thread():
+        for s in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(s, lambda *_: asked.set())
+    told = time.time()
+    while any(q.isActive for q in running) and not asked.wait(0.2):
+        if time.time() - told >= feed.PROGRESS_SECONDS:
+            told = time.time()
+            rows = {q.name: q.lastProgress["numInputRows"] for q in running if q.lastProgress}
+            print("collect: rows of the last batch: " + ", ".join(f"{k}={n}" for k, n in rows.items()), file=sys.stderr)
+    if connections:
+        connections.stop.set()
+        worker.join()
     for q in running:
+        if asked.is_set():
+            if q.isActive:
+                q.processAllAvailable()
+            q.stop()
         q.awaitTermination()
 
 

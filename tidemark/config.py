@@ -76,8 +76,10 @@ class Config:
         return self
 
     def fingerprint(self) -> str:
-        """Changes with any setting: a ruleset is good only for the settings it was found with."""
-        return f"{fnv1a64(json.dumps(asdict(self), sort_keys=True)):016x}"
+        """Changes with any setting but those of alerts: a ruleset is good only for the settings it was
+        found with."""
+        found = {k: v for k, v in asdict(self).items() if k != "alert"}
+        return f"fnv1a64:{fnv1a64(json.dumps(found, sort_keys=True)):016x}"
 
 
 def _fill(kind: type, given: dict):

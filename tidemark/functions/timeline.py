@@ -7,11 +7,23 @@ copied into it, and what must pass over whole blocks is carried by a table of on
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
+
+from tidemark.functions.batches import groups
 
 DAY = 86_400
 MICROS = 1_000_000
+#: The time until which a key is busy that is free.
+FREE = -(2**63)
 
 
 def micros(ntz: str) -> Column:
@@ -27,6 +39,100 @@ def block_of(ts: str, seconds: int) -> Column:
     return F.floor(F.col(ts) / (seconds * MICROS))
 
 
+#: Rows of one key that a block may hold.
+BLOCK_ROWS = 200_000
+
+
+def fitting_block(df: DataFrame, keys: list[str], least: int = 1, ts: str = "ts") -> int:
+    """Seconds of a block of which no key's holds many more than BLOCK_ROWS rows: ten days, or as much
+    less as the busiest hour of any key asks for, but at least ``least``. One row reaches the driver."""
+    hours = df.groupBy(*keys, F.floor(F.col(ts) / (3600 * MICROS)).alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    most = hours.agg(F.max("_n")).first()[0] or 1
+    return max(least, 60, min(10 * DAY, 3600 * BLOCK_ROWS // most))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], aggregate, value: Column, name: str, seconds: int, ts: str = "ts", before: bool = False) -> DataFrame:
+    """``aggregate`` (F.sum or F.max) of ``value`` over the rows up to this one, within ``keys`` in the
+    given order, over all blocks; with ``before`` without this row. ``ts`` leads the order.
+
+    A block's own total is one row, and only these are passed on from block to block."""
+    df = df.withColumn("block", block_of(ts, seconds)).withColumn("_v", value)
+    inside = Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    totals = df.groupBy(*keys, "block").agg(aggregate("_v").alias("_total"))
+    blocks_before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_carry", aggregate("_total").over(blocks_before)).drop("_total")
+    out = df.withColumn("_own", aggregate("_v").over(inside)).join(totals, [*keys, "block"])
+    both = F.greatest("_own", "_carry") if aggregate is F.max else F.coalesce(F.col("_own") + F.col("_carry"), "_own", "_carry")
+    return out.withColumn(name, both).drop("_v", "_own", "_carry", "block")
+
+
+def _exits(ts: np.ndarray, takes: np.ndarray, until: np.ndarray) -> list[int]:
+    """For each row of a block, in order: when its key is free again after the block if this is the first
+    row that finds it free. ``takes`` tells which rows then keep the key busy."""
+    after, ends, taking = np.searchsorted(ts, until).tolist(), until.tolist(), takes.tolist()
+    out = [FREE] * (len(ts) + 1)
+    for k in range(len(ts) - 1, -1, -1):
+        out[k] = out[k + 1] if not taking[k] else out[after[k]] if after[k] < len(ts) else ends[k]
+    return out[:-1]
+
+
+def one_at_a_time(df: DataFrame, keys: list[str], order: list[str], until: Column, name: str, seconds: int) -> DataFrame:
+    """``name``: whether the row finds its key free. A row that does and has ``until`` (micros, not
+    before its own time) keeps the key busy for rows before that time; ``ts`` leads the order.
+
+    Each block is folded once for every state it may begin with: a step function of the time until
+    which the key is busy, with few steps. These alone are passed on from block to block, and then
+    each block is folded with its own state. A key that never pauses is as many tasks as it has
+    blocks, and the work is linear in its rows."""
+    df = df.withColumns({"_block": block_of("ts", seconds), "_takes": until.isNotNull(), "_until": F.coalesce(until, F.lit(0)).cast("bigint")})
+    place = [*keys, "_block"]
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in groups(batches, place):
+            ts = rows.column("ts").to_numpy()
+            exits = _exits(ts, rows.column("_takes").to_numpy(zero_copy_only=False), rows.column("_until").to_numpy())
+            times, firsts = np.unique(ts, return_index=True)
+            exits = np.array(exits, np.int64)[firsts]
+            last = np.append(exits[1:] != exits[:-1], True)
+            yield pa.RecordBatch.from_pylist([dict(zip(place, key)) | {"upto": times[last].tolist(), "exit": exits[last].tolist()}], schema=steps_schema)
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in groups(batches, keys):
+            state, out = FREE, []
+            for block, upto, exits in zip(*(rows.column(c).to_pylist() for c in ("_block", "upto", "exit"))):
+                out.append(dict(zip(keys, key)) | {"_block": block, "_state": state})
+                k = bisect_left(upto, state)
+                state = exits[k] if k < len(upto) else state
+            yield pa.RecordBatch.from_pylist(out, schema=carry_schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, busy = None, FREE
+        for batch in batches:
+            out = []
+            keyed = zip(*(batch.column(c).to_pylist() for c in [*place, "ts", "_takes", "_until", "_state"]))
+            for *key, ts, takes, until, state in keyed:
+                if key != now:
+                    now, busy = key, state
+                out.append(ts >= busy)
+                if takes and out[-1]:
+                    busy = until
+            kept = batch.drop_columns(["_block", "_takes", "_until", "_state"])
+            yield kept.append_column(name, pa.array(out, pa.bool_()))
+
+    key_fields = [df.schema[k] for k in place]
+    array = ArrayType(LongType())
+    steps_type = StructType([*key_fields, StructField("upto", array), StructField("exit", array)])
+    carry_type = StructType([*key_fields, StructField("_state", LongType())])
+    steps_schema, carry_schema = to_arrow_schema(steps_type), to_arrow_schema(carry_type)
+    lean = df.select(*place, "ts", "_takes", "_until", *(c for c in order if c != "ts"))
+    per_block = lean.repartition(*place).sortWithinPartitions(*place, *order).mapInArrow(steps, steps_type)
+    states = per_block.repartition(*keys).sortWithinPartitions(*place).mapInArrow(carry, carry_type)
+    same = [df[c].eqNullSafe(F.col(f"_s.{c}")) for c in place]
+    known = df.join(states.alias("_s"), reduce(lambda a, b: a & b, same)).select(*(df[c] for c in df.columns), "_state")
+    kind = StructType([f for f in df.schema.fields if f.name not in ("_block", "_takes", "_until")] + [StructField(name, BooleanType())])
+    return known.repartition(*place).sortWithinPartitions(*place, *order).mapInArrow(fold, kind)
+
+
 def in_blocks(df: DataFrame, seconds: int, before: int = 0, ts: str = "ts") -> DataFrame:
     """Each row in its own block (``own``), and as context in the next one if it lies within
     ``before`` seconds of it; ``before`` may not exceed the block."""

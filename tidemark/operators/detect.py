@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeline import DAY, MICROS, edges, in_blocks, previous
+from tidemark.functions.timeline import MICROS, edges, fitting_block, in_blocks, previous, running
 
 ORDER = ["ts", "seq"]
 SIGNAL = ["market", "ts", "seq", "signal_type", "rule_id", "direction", "feature_value", "baseline"]
@@ -16,68 +18,92 @@ WALL_LEFT = 0.2
 
 
 def number(x: float) -> str:
-    """3.0 -> 3, 0.25 -> 0.25: numbers in rule names have no needless zeros."""
-    return f"{x:g}"
+    """3.0 -> 3, 0.25 -> 0.25: the shortest digits that give the same number, without needless zeros."""
+    return format(Decimal(repr(float(x))).normalize(), "f")
 
 
-def prior_window(trades: DataFrame, seconds: int, block: int = 10 * DAY) -> DataFrame:
+def prior_window(trades: DataFrame, seconds: int, block: int | None = None) -> DataFrame:
     """Trades with ``n`` and ``total`` (notional) of the trades before in the same market, not older
     than ``seconds``; trades of the same time and lower seq count as before.
 
     Each trade enters a running sum at its time and leaves it right after time + seconds, so a row
-    costs the same however many trades the window holds."""
-    rows = in_blocks(trades, max(block, seconds), seconds)
-    enter = rows.withColumns({"at": F.col("ts"), "sign": F.lit(1)})
-    leave = rows.withColumns({"at": F.col("ts") + seconds * MICROS + 1, "sign": F.lit(-1)})
-    running = Window.partitionBy("market", "block").orderBy("at", "sign", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    both = enter.unionByName(leave)
-    both = both.withColumn("n", F.coalesce(F.sum("sign").over(running), F.lit(0)))
-    both = both.withColumn("total", F.coalesce(F.sum(F.col("notional") * F.col("sign")).over(running), F.lit(0)).cast("decimal(38,2)"))
+    costs the same however many trades the window holds. Blocks follow the busiest market's rate."""
+    block = max(block or fitting_block(trades, ["market"], seconds), seconds)
+    rows = in_blocks(trades, block, seconds)
+    moves = F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("ts") + seconds * MICROS + 1).alias("at"), F.lit(-1).alias("sign")))
+    both = rows.select("*", F.explode(moves).alias("_move")).withColumns({"at": F.col("_move.at"), "sign": F.col("_move.sign")}).drop("_move")
+    running_sum = Window.partitionBy("market", "block").orderBy("at", "sign", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("n", F.coalesce(F.sum("sign").over(running_sum), F.lit(0)))
+    both = both.withColumn("total", F.coalesce(F.sum(F.col("notional") * F.col("sign")).over(running_sum), F.lit(0)).cast("decimal(38,2)"))
     return both.where("sign = 1 and own").select(*trades.columns, "n", "total", (F.col("total").cast("double") / F.greatest("n", F.lit(1))).alias("baseline"))
 
 
 def _rules(df: DataFrame, kind: str, values: list[float]) -> DataFrame:
     """One row per rule; rules of the same name are one."""
     rules = {f"{kind}-{number(v)}": float(v) for v in values}
-    return df.withColumn("rule", F.explode(F.array(*(F.struct(F.lit(k).alias("id"), F.lit(v).alias("at")) for k, v in rules.items())))).withColumn("rule_id", F.col("rule.id"))
+    listed = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(v).alias("at")) for k, v in rules.items()))
+    return df.withColumn("rule", F.explode(listed.cast("array<struct<id:string,at:double>>"))).withColumn("rule_id", F.col("rule.id"))
 
 
-def _signals(df: DataFrame, kind: str, direction, feature, baseline, counted: bool = False) -> DataFrame:
-    named = df.withColumns({"signal_type": F.lit(kind), "direction": direction, "feature_value": feature.cast("double"), "baseline": baseline.cast("double")})
-    return named.select(*SIGNAL, F.col("n").alias("prior_n")) if counted else named.select(*SIGNAL)
+def _signals(df: DataFrame, kind: str, direction, feature, baseline, evidence: Column) -> DataFrame:
+    """``evidence``: what the rule saw, as JSON."""
+    return df.withColumns({"signal_type": F.lit(kind), "direction": direction, "feature_value": feature.cast("double"), "baseline": baseline.cast("double"), "evidence": F.to_json(evidence)}).select(*SIGNAL, "evidence")
 
 
-def large_trades(trades: DataFrame, multiples: list[float], seconds: int, block: int = 10 * DAY, counted: bool = False) -> DataFrame:
-    """Trade signals; with ``counted`` also ``prior_n``, the trades in the window before."""
-    df = _rules(prior_window(trades, seconds, block), "large", multiples)
-    active = (F.col("n") >= LEAST) & (F.col("notional").cast("double") > F.col("baseline") * F.col("rule.at"))
-    return _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "large_aggressive_trade", F.col("side"), F.col("notional"), F.col("baseline"), counted)
+def _trigger() -> Column:
+    return F.struct("market", "ts", "seq", "price", "volume", "side").alias("trigger")
 
 
-def trade_rate(trades: DataFrame, multiples: list[float], seconds: int, block: int = 10 * DAY, counted: bool = False) -> DataFrame:
-    """Trade signals; with ``counted`` also ``prior_n``, the trades in the window before."""
-    df = _rules(prior_window(trades, seconds, block), "rate", multiples)
+def trade_signals(trades: DataFrame, large: list[float], rates: list[float], seconds: int, block: int | None = None) -> list[DataFrame]:
+    """Signals of large trades and of the trade rate, with their evidence, over one prior window."""
+    block = max(block or fitting_block(trades, ["market"], seconds), seconds)
+    window = prior_window(trades, seconds, block)
+    df = _rules(window, "large", large)
+    active = (F.col("n") >= LEAST) & (F.col("notional").cast("double") > F.col("baseline") * F.col("rule.at"))
+    seen = F.struct(F.lit("trade").alias("source"), _trigger(), F.col("n").alias("rolling_trade_count"), F.col("total").cast("double").alias("rolling_notional_sum"), F.col("baseline").alias("rolling_notional_mean"))
+    big = _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "large_aggressive_trade", F.col("side"), F.col("notional"), F.col("baseline"), seen)
+    df = _rules(window, "rate", rates)
     rate, base = F.col("n") / F.lit(float(seconds)), F.lit(LEAST / seconds)
     active = (F.col("n") >= LEAST) & (rate > base * F.col("rule.at"))
-    return _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "trade_rate_acceleration", F.col("side"), rate, base, counted)
+    seen = F.struct(F.lit("trade").alias("source"), _trigger(), F.col("n").alias("rolling_trade_count"), F.lit(seconds).alias("window_seconds"), rate.alias("rolling_rate_per_second"), base.alias("baseline_rate_per_second"))
+    return [big, _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "trade_rate_acceleration", F.col("side"), rate, base, seen)]
+
+
+def large_trades(trades: DataFrame, multiples: list[float], seconds: int, block: int | None = None) -> DataFrame:
+    return trade_signals(trades, multiples, [], seconds, block)[0]
+
+
+def trade_rate(trades: DataFrame, multiples: list[float], seconds: int, block: int | None = None) -> DataFrame:
+    return trade_signals(trades, [], multiples, seconds, block)[1]
+
 
+def _book(*more: Column) -> Column:
+    """Evidence of a book rule: the totals, the levels where the books have them, and ``more``."""
+    return F.struct(F.lit("orderbook").alias("source"), F.col("bid").alias("total_bid_size"), F.col("ask").alias("total_ask_size"), *more)
 
-def imbalance(books: DataFrame, thresholds: list[float], block: int = 10 * DAY) -> DataFrame:
+
+def _levels(books: DataFrame) -> list[Column]:
+    return [F.col("levels")] if "levels" in books.columns else []
+
+
+def imbalance(books: DataFrame, thresholds: list[float], block: int | None = None) -> DataFrame:
+    block = block or fitting_block(books, ["market"])
     df = _rules(books, "imbalance", thresholds)
     im = F.when(F.col("ask") + F.col("bid") > 0, F.try_divide(F.col("bid") - F.col("ask"), F.col("bid") + F.col("ask")))
     df = df.withColumn("im", im)
     active = F.coalesce(F.abs("im") >= F.col("rule.at"), F.lit(False))
-    return _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "orderbook_imbalance", F.when(F.col("im") > 0, "buy").otherwise("sell"), F.col("im"), F.lit(0.0))
+    return _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "orderbook_imbalance", F.when(F.col("im") > 0, "buy").otherwise("sell"), F.col("im"), F.lit(0.0), _book(*_levels(books), F.col("im").alias("imbalance")))
 
 
-def wall_drop(books: DataFrame, floor: float, block: int = 10 * DAY) -> DataFrame:
+def wall_drop(books: DataFrame, floor: float, block: int | None = None) -> DataFrame:
     """A book whose largest level is below a fifth of the book before's, if that was at least ``floor``.
     Books without levels give nothing and leave nothing to compare with."""
     wall = F.greatest("ask_wall", "bid_wall")
     df = books.withColumn("wall", wall).withColumn("wall_side", F.when(F.col("ask_wall") > F.col("bid_wall"), "sell").otherwise("buy"))
-    df = previous(df, ["market"], ORDER, F.struct("wall", "wall_side"), "before", block)
+    df = previous(df, ["market"], ORDER, F.struct("wall", "wall_side"), "before", block or fitting_block(books, ["market"]))
     gone = df.where((F.col("before.wall") >= floor) & (F.col("wall") < F.col("before.wall") * WALL_LEFT)).withColumn("rule_id", F.lit("wall-drop"))
-    return _signals(gone, "wall_disappearance", F.col("before.wall_side"), F.col("wall"), F.col("before.wall"))
+    walls = [F.col("before.wall").alias("previous_wall_krw"), F.col("before.wall_side").alias("previous_wall_side"), F.col("wall").alias("current_largest_wall_krw"), F.col("wall_side").alias("current_largest_wall_side")]
+    return _signals(gone, "wall_disappearance", F.col("before.wall_side"), F.col("wall"), F.col("before.wall"), _book(*_levels(books), *walls))
 
 
 def merged(trade_signals: list[DataFrame], book_signals: list[DataFrame]) -> DataFrame:
@@ -89,11 +115,33 @@ def merged(trade_signals: list[DataFrame], book_signals: list[DataFrame]) -> Dat
     return out
 
 
-def sequence_check(trades: DataFrame, arrival: list[str]) -> DataFrame:
+def snapshot(signals: DataFrame) -> DataFrame:
+    """``signals`` with ``market_snapshot``: market, time, feature, baseline and evidence as JSON."""
+    head = F.to_json(F.struct("market", F.col("ts").alias("exchange_ts"), F.col("feature_value").alias("feature"), "baseline"))
+    return signals.withColumn("market_snapshot", F.concat(F.rtrim(head, F.lit("}")), F.lit(',"evidence":'), "evidence", F.lit("}")))
+
+
+def rationale(seconds: int, floor: float) -> Column:
+    """Why a signal fired, from its own figures and its evidence. The wording is fixed: stored signals
+    and alerts are searched by it."""
+    f, b, kind = F.col("feature_value"), F.col("baseline"), F.col("signal_type")
+    at = F.regexp_extract("rule_id", "-([0-9.]+)$", 1).try_cast("double")
+    times, n = F.bround(F.try_divide(f, b), 1), F.get_json_object("evidence", "$.rolling_trade_count").cast("bigint")
+    return (
+        F.when(kind == "large_aggressive_trade", F.format_string("aggressive notional %.0f is %.1fx rolling mean (threshold %.1fx over %d trades)", F.bround(f), times, at, n))
+        .when(kind == "trade_rate_acceleration", F.format_string("%d trades in %ds window = %.1fx the 5-trade baseline (threshold %.1fx)", n, F.lit(seconds), times, at))
+        .when(kind == "orderbook_imbalance", F.format_string("bid/ask size imbalance %.3f (threshold %.2f, %s-heavy)", F.bround(f, 3), at, F.when(f > 0, "bid").otherwise("ask")))
+        .when(kind == "wall_disappearance", F.format_string("%.0f KRW %s wall fell to %.0f (%.0f%% drop, qualifying floor %.0f KRW)", F.bround(b), F.initcap("direction"), F.bround(f), F.bround((1 - F.try_divide(f, b)) * 100), F.lit(float(floor))))
+    )
+
+
+def sequence_check(trades: DataFrame, arrival: list[str], block: int | None = None) -> DataFrame:
     """``integrity``: ok, duplicate or out_of_order against the highest id before in the market's
-    connection epoch; a null id is ok and gaps upward are fine. ``arrival`` orders the epoch."""
-    keys = ["market", "epoch"]
-    before = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max("sequential_id").over(before)
+    connection epoch; a null id is ok and gaps upward are fine. ``arrival`` orders the epoch, its
+    first column is a time in microseconds."""
+    keys, at = ["market", "epoch"], arrival[0]
+    block = block or fitting_block(trades, keys, ts=at)
+    df = running(trades, keys, arrival, F.max, F.col("sequential_id"), "_top", block, at, before=True)
+    top = F.col("_top")
     state = F.when(F.col("sequential_id") == top, "integrity_duplicate").when(F.col("sequential_id") < top, "integrity_out_of_order").otherwise("ok")
-    return trades.withColumn("integrity", state)
+    return df.withColumn("integrity", state).drop("_top")

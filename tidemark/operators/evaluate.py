@@ -9,8 +9,8 @@ from tidemark.functions.timeline import MICROS, utc_date
 from tidemark.operators.outcomes import outcomes
 from tidemark.sources.store import shared_table
 
-#: Fixed values of the draws: a multiplicative congruence, the same in every SQL engine.
-MULTIPLIER, MODULUS = 48_271, 2_147_483_647
+#: Draws of one resample that are added up in one row.
+DRAWS = 10_000
 #: Validation hit rate over tuning hit rate that the gate asks for; two-sided 95 percent in one tail.
 RETENTION, TAIL = 0.80, 0.025
 
@@ -22,10 +22,10 @@ def fnv1a64(text: str) -> int:
     return h
 
 
-def draw(number: Column, seed: int, size: Column) -> Column:
-    """A reproducible index from 0 to size - 1."""
-    mixed = (number % MODULUS) * MULTIPLIER + seed % MODULUS
-    return ((mixed % MODULUS) * MULTIPLIER % MODULUS) % size
+def draw(size: Column, *parts: Column) -> Column:
+    """A reproducible index from 0 to size - 1: 60 bits of the md5 of the parts, so that draws whose parts
+    differ anywhere are independent, and any SQL engine gives the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint") % size
 
 
 def rule_key() -> Column:
@@ -39,14 +39,25 @@ def control_pool(trades: DataFrame, horizon: int) -> DataFrame:
     return full.groupBy("market", utc_date().alias("date")).agg(F.count(F.lit(1)).alias("pool_n"))
 
 
-def control_pairs(done: DataFrame, trades: DataFrame, horizon: int, max_lag: int, target_pct: float, seed: int, label: str) -> DataFrame:
+def control_pairs(done: DataFrame, trades: DataFrame, horizon: int, max_lag: int, target_pct: float, seed: int, tuning_end: str, step: int = 3600) -> DataFrame:
     """Each complete outcome with that of one trade drawn from its market's and day's pool, taken in
-    the signal's direction: hit and control per (market, ts, seq, rule)."""
-    rank = Window.partitionBy("market", "date").orderBy("ts", "seq")
-    numbered = trades.withColumn("date", utc_date()).withColumn("nth", F.row_number().over(rank) - 1).select("market", "date", "nth", F.col("ts").alias("control_ts"))
+    the signal's direction: hit and control per (market, ts, seq, rule). Draws differ by split (train up
+    to ``tuning_end``, validation after it) and by rule.
+
+    A day's trades are numbered within steps of ``step`` seconds, and a drawn number is looked up in the
+    counts of steps first, so no market's day is one task."""
+    day = trades.withColumn("date", utc_date()).withColumn("step", F.floor(F.col("ts") / (step * MICROS)))
+    counts = shared_table(day.groupBy("market", "date", "step").agg(F.count(F.lit(1)).alias("in_step")), "steps")
+    before = Window.partitionBy("market", "date").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("first", F.coalesce(F.sum("in_step").over(before), F.lit(0)))
+    rank = Window.partitionBy("market", "date", "step").orderBy("ts", "seq")
+    numbered = day.withColumn("place", F.row_number().over(rank) - 1).select("market", "date", "step", "place", F.col("ts").alias("control_ts"))
     signals = done.where("complete").withColumn("date", utc_date()).join(control_pool(trades, horizon), ["market", "date"])
-    signals = signals.withColumn("nth", draw(F.col("seq"), (seed ^ fnv1a64(label)) % MODULUS, F.col("pool_n")))
-    signals = shared_table(signals.join(numbered, ["market", "date", "nth"]).withColumnRenamed("ts", "signal_ts").withColumnRenamed("control_ts", "ts"), "controls")
+    split = F.when(F.col("date") <= F.lit(tuning_end).cast("date"), "train").otherwise("validation")
+    signals = signals.withColumn("nth", draw(F.col("pool_n"), F.lit(seed), split, rule_key(), F.col("market"), F.col("ts"), F.col("seq")))
+    within = (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("first") + F.col("in_step"))
+    signals = signals.join(counts, ["market", "date"]).where(within).withColumn("place", F.col("nth") - F.col("first"))
+    signals = shared_table(signals.join(numbered, ["market", "date", "step", "place"]).withColumnRenamed("ts", "signal_ts").withColumnRenamed("control_ts", "ts"), "controls")
     columns = ["market", "ts", "seq", "signal_type", "rule_id", "direction", "signal_ts", "date", "reached_target"]
     control = outcomes(signals.select(*columns).withColumnRenamed("reached_target", "hit"), trades, ["ts", "seq", "signal_type", "rule_id"], horizon, max_lag, target_pct)
     return control.select("market", F.col("signal_ts").alias("ts"), "seq", "signal_type", "rule_id", "date", "hit", F.coalesce("reached_target", F.lit(False)).alias("control"))
@@ -69,18 +80,25 @@ def select_rules(summary: DataFrame) -> DataFrame:
     return summary.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
 
-def bootstrap(pairs: DataFrame, iterations: int, seed: int, tail: Column, keys: list[str]) -> DataFrame:
-    """(keys, ci_low, ci_high) of mean(hit) - mean(control) over resampled pairs: the exact order
-    statistics floor((B - 1) a) and floor((B - 1) (1 - a)). ``pairs`` has idx (0 to n - 1 per key)
-    and n; each draw is one row, so resampling spreads over the cluster."""
-    base = pairs.select(*keys, "idx", (F.col("hit").cast("int") - F.col("control").cast("int")).alias("d"))
-    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    draws = draws.withColumn("idx", draw(F.col("b") * F.col("n") + F.col("j"), seed % MODULUS, F.col("n")))
-    stats = draws.join(base, [*keys, "idx"]).groupBy(*keys, "b").agg((F.sum("d") / F.count(F.lit(1))).alias("stat"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("stat", "b")) - 1
-    low, high = F.floor((iterations - 1) * tail), F.floor((iterations - 1) * (1 - tail))
-    return stats.withColumn("k", place).groupBy(*keys).agg(F.max(F.when(F.col("k") == low, F.col("stat"))).alias("ci_low"), F.max(F.when(F.col("k") == high, F.col("stat"))).alias("ci_high"))
+def bootstrap(counts: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(rule_key, ci_low, ci_high) of mean(hit) - mean(control) over resampled pairs: the exact order
+    statistics floor((B - 1) a) and floor((B - 1) (1 - a)) of B resamples.
+
+    ``counts`` has per rule n pairs, plus (hit, control not), minus (control hit, signal not) and tail.
+    A resample depends only on how many of its n draws fall on each kind, so a draw is an index that is
+    compared with the counts; no pair is joined, and draws are added up where they are made."""
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / DRAWS))
+    rows = counts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("chunk", F.explode(chunks))
+    rows = rows.repartition("rule_key", "b", "chunk")
+    last = F.least((F.col("chunk") + 1) * DRAWS, F.col("n")) - 1
+    draws = rows.withColumn("j", F.explode(F.sequence(F.col("chunk") * DRAWS, last)))
+    at = draw(F.col("n"), F.lit(seed), F.lit("bootstrap"), F.col("rule_key"), F.col("b"), F.col("j"))
+    draws = draws.select("rule_key", "b", "n", "tail", "plus", "minus", at.alias("at"))
+    kind = F.when(F.col("at") < F.col("plus"), 1).when(F.col("at") < F.col("plus") + F.col("minus"), -1).otherwise(0)
+    stats = draws.groupBy("rule_key", "b").agg((F.sum(kind) / F.first("n")).alias("stat"), F.first("tail").alias("tail"))
+    place = F.row_number().over(Window.partitionBy("rule_key").orderBy("stat", "b")) - 1  # one row per resample
+    low, high = F.floor((iterations - 1) * F.col("tail")), F.floor((iterations - 1) * (1 - F.col("tail")))
+    return stats.withColumn("k", place).groupBy("rule_key").agg(F.max(F.when(F.col("k") == low, F.col("stat"))).alias("ci_low"), F.max(F.when(F.col("k") == high, F.col("stat"))).alias("ci_high"))
 
 
 def gate(selected: DataFrame, validation: DataFrame, iterations: int, seed: int, least: int, corrected: bool = True) -> DataFrame:
@@ -88,13 +106,11 @@ def gate(selected: DataFrame, validation: DataFrame, iterations: int, seed: int,
     bound above 0 and at least 80 percent of the tuning hit rate kept. With ``corrected`` the tail is
     divided by the number of selected rules that have validation pairs."""
     pairs = validation.withColumn("rule_key", rule_key()).join(F.broadcast(selected.select("rule_key")), "rule_key")  # a rule per signal type
-    pairs = pairs.withColumn("idx", F.row_number().over(Window.partitionBy("rule_key").orderBy("market", "ts", "seq")).cast("bigint") - 1)
-    pairs = shared_table(pairs, "validation")
-    stats = pairs.groupBy("rule_key").agg(F.count(F.lit(1)).alias("val_n"), F.avg(F.col("hit").cast("int")).alias("val_rate"), F.avg(F.col("control").cast("int")).alias("val_control"))
-    stats = stats.withColumn("family", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # one row per signal type
+    hit, control = F.col("hit").cast("int"), F.col("control").cast("int")
+    stats = pairs.groupBy("rule_key").agg(F.count(F.lit(1)).alias("val_n"), F.avg(hit).alias("val_rate"), F.avg(control).alias("val_control"), F.count(F.when(hit > control, 1)).alias("plus"), F.count(F.when(hit < control, 1)).alias("minus"))
+    stats = shared_table(stats.withColumn("family", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))), "validation")  # one row per signal type
     tail = TAIL / F.col("family") if corrected else F.lit(TAIL)
-    tails = stats.select("rule_key", tail.alias("tail"))
-    ci = bootstrap(pairs.join(F.broadcast(tails), "rule_key"), iterations, seed, F.col("tail"), ["rule_key", "tail"]).drop("tail")
+    ci = bootstrap(stats.select("rule_key", F.col("val_n").alias("n"), "plus", "minus", tail.alias("tail")), iterations, seed)
     out = selected.select("signal_type", "rule_key", "hit_rate").join(stats, "rule_key", "left").join(ci, "rule_key", "left")
     out = out.na.fill(0, ["val_n", "val_rate", "val_control", "ci_low", "ci_high"])
     retention = F.when(F.col("hit_rate") > 0, F.col("val_rate") / F.col("hit_rate")).otherwise(F.lit(0.0))

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.timeline import DAY, MICROS, previous, utc_date
 
 
+#: A stored connection event.
+EVENT = "market string, ts bigint, state string, detail string, gap_ms bigint"
+
+
 def connections(arrivals: DataFrame, stall_seconds: int, block: int = DAY) -> DataFrame:
     """(ts, epoch, state, gap_ms) of ``arrivals`` (ts of receipt, epoch = number of the connection):
     ``connected`` at an epoch's first arrival with the gap since the epoch before (null for the

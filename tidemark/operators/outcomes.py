@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeline import DAY, MICROS, block_of
+from tidemark.functions.timeline import MICROS, block_of, fitting_block
 
 
-def first_at_or_after(probes: DataFrame, trades: DataFrame, at: str, name: str, block: int = 10 * DAY) -> DataFrame:
+def first_at_or_after(probes: DataFrame, trades: DataFrame, at: str, name: str, block: int | None = None) -> DataFrame:
     """``probes`` with the struct ``name`` (ts, seq, price) of the market's first trade at or after
     ``at``, however late; null if there is none.
 
     Probes and trades of a block are sorted backwards together and the last trade seen is taken; a
     block without a later trade takes the first one of the next block that has any."""
+    block = block or fitting_block(trades, ["market"])
     columns = probes.columns
     trade = F.struct("ts", "seq", "price")
     both = probes.select("market", F.col(at).alias("_at"), F.struct(*columns).alias("_row"), F.lit(None).cast("struct<ts:bigint,seq:bigint,price:double>").alias("_trade"), F.lit(0).alias("_kind"))
@@ -38,10 +39,11 @@ def price_range(probes: DataFrame, trades: DataFrame, key: list[str], start: str
     return probes.join(found, ["market", *key], "left")
 
 
-def outcomes(signals: DataFrame, trades: DataFrame, key: list[str], horizon: int, max_lag: int, target_pct: float, block: int = 10 * DAY) -> DataFrame:
+def outcomes(signals: DataFrame, trades: DataFrame, key: list[str], horizon: int, max_lag: int, target_pct: float, block: int | None = None) -> DataFrame:
     """Signals with entry_price (first trade within ``max_lag`` seconds), horizon_price (first trade
     ``horizon`` seconds later or after), complete, and reached_target: whether any trade from entry
     to horizon moves ``target_pct`` percent the signal's way; null, not false, when incomplete."""
+    block = block or fitting_block(trades, ["market"])
     df = signals.withColumn("_end", F.col("ts") + horizon * MICROS)
     df = first_at_or_after(df, trades, "ts", "entry", block)
     df = df.withColumn("entry", F.when(F.col("entry.ts") <= F.col("ts") + max_lag * MICROS, F.col("entry")))

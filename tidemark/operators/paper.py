@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeline import MICROS
+from tidemark.functions.timeline import MICROS, fitting_block, one_at_a_time, running
 
 
-def cooldown(signals: DataFrame, keys: list[str], seconds: int, order: list[str]) -> DataFrame:
+def cooldown(signals: DataFrame, keys: list[str], seconds: int, order: list[str], block: int | None = None) -> DataFrame:
     """``emitted``: not within ``seconds`` of the last emitted signal of its key; a suppressed one
-    does not extend the pause, and 0 seconds suppress nothing.
-
-    A signal at least ``seconds`` after the one before it is emitted whatever came earlier, so the
-    fold runs within stretches between such gaps, not over a whole key."""
+    does not extend the pause, and 0 seconds suppress nothing."""
     if seconds <= 0:
         return signals.withColumn("emitted", F.lit(True))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    fresh = F.coalesce((F.col("ts") - F.lag("ts").over(w) >= seconds * MICROS).cast("int"), F.lit(1))
-    df = signals.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    row = F.struct(*order, F.struct(*signals.columns).alias("row"))
-    folded = df.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    step = f"""aggregate(rows, struct(cast(null as bigint) as last, cast(array() as array<boolean>) as out),
-        (a, x) -> if(x.ts >= a.last + {seconds * MICROS} or a.last is null, struct(x.ts as last, array_append(a.out, true) as out), struct(a.last as last, array_append(a.out, false) as out)), a -> a.out)"""
-    return folded.select(F.explode(F.arrays_zip("rows", F.expr(step).alias("emitted"))).alias("z")).select("z.rows.row.*", "z.emitted")
+    return one_at_a_time(signals, keys, order, F.col("ts") + seconds * MICROS, "emitted", block or fitting_block(signals, keys))
 
 
 def net_pct(direction: Column, entry: Column, exit_: Column, round_trip: float) -> Column:
@@ -31,25 +21,20 @@ def net_pct(direction: Column, entry: Column, exit_: Column, round_trip: float)
     return F.when(direction == "buy", up).otherwise(down) - round_trip
 
 
-def paper_trades(done: DataFrame, start_ts: int, end_ts: int, round_trip: float) -> DataFrame:
+def paper_trades(done: DataFrame, start_ts: int, end_ts: int, round_trip: float, universe: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """Signals of the window in order, each ``filled``, ``skipped`` (its market's position is open)
-    or ``incomplete`` (no entry or exit; it holds no position). A position ends at its exit trade.
-
-    The fold runs within stretches: a signal at or after every earlier possible exit starts anew."""
-    df = done.where(F.col("ts").between(start_ts, end_ts - 1)).withColumn("_key", F.struct("ts", "signal_type", "rule_id", "seq"))
-    w = Window.partitionBy("market").orderBy("_key")
-    open_until = F.max(F.when(F.col("complete"), F.col("exit_ts"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("_fresh", F.coalesce((F.col("ts") >= open_until).cast("int"), F.lit(1)))
-    df = df.withColumn("_stretch", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    columns = ["ts", "signal_type", "rule_id", "seq", "direction", "entry_price", "horizon_price", "complete", "exit_ts"]
-    folded = df.groupBy("market", "_stretch").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
-    step = """aggregate(rows, struct(cast(-9223372036854775807 as bigint) as busy, cast(array() as array<string>) as out),
-        (a, x) -> case when x.ts < a.busy then struct(a.busy as busy, array_append(a.out, 'skipped') as out)
-                       when not x.complete then struct(a.busy as busy, array_append(a.out, 'incomplete') as out)
-                       else struct(x.exit_ts as busy, array_append(a.out, 'filled') as out) end, a -> a.out)"""
-    out = folded.select("market", F.explode(F.arrays_zip("rows", F.expr(step).alias("state"))).alias("z")).select("market", "z.rows.*", "z.state")
+    or ``incomplete`` (no entry or exit, or a market that ``universe`` does not hold; it holds no
+    position). A position ends at its exit trade."""
+    columns = ["market", "ts", "signal_type", "rule_id", "seq", "direction", "entry_price", "horizon_price", "complete", "exit_ts"]
+    df = done.where(F.col("ts").between(start_ts, end_ts - 1)).select(columns)
+    if universe is not None:
+        known = universe.select("market", F.lit(True).alias("_in")).distinct()
+        df = df.join(known, "market", "left").withColumn("complete", F.col("complete") & F.coalesce("_in", F.lit(False))).select(columns)
+    order = ["ts", "signal_type", "rule_id", "seq"]
+    out = one_at_a_time(df, ["market"], order, F.when(F.col("complete"), F.col("exit_ts")), "_free", block or fitting_block(df, ["market"]))
+    state = F.when(~F.col("_free"), "skipped").when(F.col("complete"), "filled").otherwise("incomplete")
     net = net_pct(F.col("direction"), F.col("entry_price"), F.col("horizon_price"), round_trip)
-    return out.withColumn("net_pct", F.when(F.col("state") == "filled", net))
+    return out.withColumn("state", state).drop("_free").withColumn("net_pct", F.when(F.col("state") == "filled", net))
 
 
 def tally(trades: DataFrame, *keys: str) -> DataFrame:
@@ -79,20 +64,21 @@ def by_market(trades: DataFrame, held: DataFrame) -> DataFrame:
     return joined.withColumn("excess_pct", F.round(F.col("return_pct") - F.col("hold_pct"), 6))
 
 
-def drawdown(trades: DataFrame, held: DataFrame) -> DataFrame:
+def drawdown(trades: DataFrame, held: DataFrame, block: int | None = None) -> DataFrame:
     """The equally weighted account's largest fall from a peak, in percent (0 or less).
 
     Sleeves start at 1 and change at closes, in order of exit; a close changes the account by its
-    sleeve's change over the number of markets."""
-    own = Window.partitionBy("market").orderBy("exit_ts", "ts", "signal_type", "rule_id")
+    sleeve's change over the number of markets. The account's one timeline is in blocks too."""
     closes = trades.where("state = 'filled'").join(held.select("market"), "market", "left_semi")
-    growth = F.exp(F.sum(F.log(1 + F.col("net_pct") / 100)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    closes = closes.withColumn("sleeve", growth).withColumn("delta", F.col("sleeve") - F.lag("sleeve", 1, 1.0).over(own))
+    block = block or fitting_block(closes, [], ts="exit_ts")
+    order = ["exit_ts", "market", "ts", "signal_type", "rule_id"]
+    own = F.log(1 + F.col("net_pct") / 100)
+    closes = running(closes, ["market"], [c for c in order if c != "market"], F.sum, own, "_growth", block, "exit_ts")
+    closes = closes.withColumn("_delta", F.exp("_growth") - F.exp(F.col("_growth") - own))
     markets = max(1, held.count())
-    # Closed positions of a study, not trades: the account has one timeline.
-    line = Window.partitionBy(F.lit(0)).orderBy("exit_ts", "market", "ts", "signal_type", "rule_id").rowsBetween(Window.unboundedPreceding, 0)
-    value = closes.withColumn("value", 1 + F.sum(F.col("delta") / markets).over(line))
-    fall = value.withColumn("peak", F.greatest(F.lit(1.0), F.max("value").over(line))).agg(F.min((F.col("value") - F.col("peak")) / F.col("peak") * 100).alias("fall"))
+    closes = running(closes, [], order, F.sum, F.col("_delta") / markets, "_change", block, "exit_ts").withColumn("value", 1 + F.col("_change"))
+    closes = running(closes, [], order, F.max, F.col("value"), "_peak", block, "exit_ts").withColumn("peak", F.greatest(F.lit(1.0), "_peak"))
+    fall = closes.agg(F.min((F.col("value") - F.col("peak")) / F.col("peak") * 100).alias("fall"))
     return fall.select(F.round(F.least(F.lit(0.0), F.coalesce("fall", F.lit(0.0))), 6).alias("max_drawdown_pct"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,18 +77,17 @@ def _dates(sql: str) -> str:
     return f"(SELECT DISTINCT CAST(make_timestamp(ts) AS DATE) AS date FROM ({sql}))"
 
 
-def _draw(number: str, seed: int, size: str) -> str:
-    return f"((((({number}) % {evaluate.MODULUS}) * {evaluate.MULTIPLIER} + {seed % evaluate.MODULUS}) % {evaluate.MODULUS}) * {evaluate.MULTIPLIER} % {evaluate.MODULUS}) % ({size})"
+def _draw(size: str, *parts: str) -> str:
+    return f"(CAST('0x' || md5(concat_ws('|', {', '.join(parts)}))[1:15] AS BIGINT) % ({size}))"
 
 
-_CONTROL_SEED = (SEED ^ evaluate.fnv1a64("control")) % evaluate.MODULUS
 _O = f"{_S},\n{_outcome('o', 'sig')}"
 _POOL = f"""lt AS (SELECT market, max(ts) AS last_ts FROM t GROUP BY 1),
 pool AS (SELECT market, CAST(make_timestamp(ts) AS DATE) AS date, count(*) AS pool_n FROM t JOIN lt USING (market) WHERE ts <= last_ts - {HORIZON * MICROS} GROUP BY 1, 2)"""
 _PAIRS = f"""{_O},
 {_POOL},
 nt AS (SELECT market, CAST(make_timestamp(ts) AS DATE) AS date, ts AS control_ts, row_number() OVER (PARTITION BY market, CAST(make_timestamp(ts) AS DATE) ORDER BY ts, seq) - 1 AS nth FROM t),
-drawn AS (SELECT o.market, o.ts, o.seq, o.signal_type, o.rule_id, o.direction, o.reached_target AS hit, pool.date, {_draw('o.seq', _CONTROL_SEED, 'pool_n')} AS nth
+drawn AS (SELECT o.market, o.ts, o.seq, o.signal_type, o.rule_id, o.direction, o.reached_target AS hit, pool.date, {_draw('pool_n', str(SEED), f"CASE WHEN pool.date <= DATE '{TUNING_END}' THEN 'train' ELSE 'validation' END", "signal_type || ':' || rule_id", 'o.market', 'o.ts', 'o.seq')} AS nth
   FROM o JOIN pool ON o.market = pool.market AND CAST(make_timestamp(o.ts) AS DATE) = pool.date WHERE complete),
 cs AS (SELECT drawn.*, control_ts FROM drawn JOIN nt USING (market, date, nth)),
 {_outcome('c', 'cs', 'control_ts').replace('ft AS MATERIALIZED (SELECT market, ts, min_by(price, seq) AS price FROM t GROUP BY 1, 2),', '')},
@@ -99,9 +99,9 @@ cand AS (SELECT signal_type, k.rule_key, coalesce(n, 0) AS n, coalesce(hits, 0)
 candl AS (SELECT *, hit_rate - control_rate AS lift FROM cand),
 sel AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY signal_type ORDER BY lift DESC, n DESC, rule_key) AS place FROM candl) WHERE place = 1)"""
 _GATE = f"""{_CAND},
-vp AS (SELECT p.*, row_number() OVER (PARTITION BY rule_key ORDER BY market, ts, seq) - 1 AS idx, CAST(hit AS INT) - CAST(control AS INT) AS d FROM pairs p JOIN (SELECT rule_key FROM sel) USING (rule_key) WHERE date >= DATE '{VALIDATION_START}'),
+vp AS MATERIALIZED (SELECT p.*, row_number() OVER (PARTITION BY rule_key ORDER BY CAST(hit AS INT) - CAST(control AS INT) = 0, CAST(hit AS INT) - CAST(control AS INT) DESC) - 1 AS idx, CAST(hit AS INT) - CAST(control AS INT) AS d FROM pairs p JOIN (SELECT rule_key FROM sel) USING (rule_key) WHERE date >= DATE '{VALIDATION_START}'),
 st AS (SELECT *, count(*) OVER () AS family FROM (SELECT rule_key, count(*) AS val_n, avg(CAST(hit AS INT)) AS val_rate, avg(CAST(control AS INT)) AS val_control FROM vp GROUP BY 1)),
-dr AS (SELECT rule_key, b, {_draw('b * val_n + j', SEED, 'val_n')} AS idx FROM (SELECT rule_key, val_n, b, unnest(range(val_n)) AS j FROM (SELECT rule_key, val_n, unnest(range({ITERATIONS})) AS b FROM st))),
+dr AS (SELECT rule_key, b, {_draw('val_n', str(SEED), "'bootstrap'", 'rule_key', 'b', 'j')} AS idx FROM (SELECT rule_key, val_n, b, unnest(range(val_n)) AS j FROM (SELECT rule_key, val_n, unnest(range({ITERATIONS})) AS b FROM st))),
 bs AS (SELECT rule_key, b, sum(d) / CAST(count(*) AS DOUBLE) AS stat FROM dr JOIN vp USING (rule_key, idx) GROUP BY 1, 2),
 bo AS (SELECT *, row_number() OVER (PARTITION BY rule_key ORDER BY stat, b) - 1 AS k FROM bs),
 ci AS (SELECT rule_key, max(stat) FILTER (WHERE k = floor({ITERATIONS - 1} * (0.025::DOUBLE / family))) AS ci_low, max(stat) FILTER (WHERE k = floor({ITERATIONS - 1} * (1 - 0.025::DOUBLE / family))) AS ci_high FROM bo JOIN st USING (rule_key) GROUP BY 1),
@@ -139,8 +139,8 @@ def _query(sql: str, recursive: bool = False, date: str = ""):
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    t = market.trades(spark, sf)
-    return shared_table(detect.large_trades(t, MULTIPLES, WINDOW).unionByName(detect.trade_rate(t, RATES, WINDOW)), "signals")
+    large, rate = detect.trade_signals(market.trades(spark, sf), MULTIPLES, RATES, WINDOW)
+    return shared_table(large.unionByName(rate).select(detect.SIGNAL), "signals")
 
 
 def _done(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +148,7 @@ def _done(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return shared_table(evaluate.control_pairs(_done(spark, sf), market.trades(spark, sf), HORIZON, LAG, TARGET, SEED, "control"), "pairs")
+    return shared_table(evaluate.control_pairs(_done(spark, sf), market.trades(spark, sf), HORIZON, LAG, TARGET, SEED, TUNING_END), "pairs")
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,28 +240,43 @@ def prior_window_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"{_T},\n{_PW},\n{_LARGE} SELECT * FROM large")
 def signals_large(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.large_trades(market.trades(spark, sf), MULTIPLES, WINDOW)
+    return detect.large_trades(market.trades(spark, sf), MULTIPLES, WINDOW).select(detect.SIGNAL)
 
 
 @_query(f"{_T},\n{_PW},\n{_RATE} SELECT * FROM rate")
 def signals_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.trade_rate(market.trades(spark, sf), RATES, WINDOW)
+    return detect.trade_rate(market.trades(spark, sf), RATES, WINDOW).select(detect.SIGNAL)
 
 
 @_query(f"{_B},\n{_IMB} SELECT * FROM imb")
 def signals_imbalance(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.imbalance(market.books(spark, sf), THRESHOLDS)
+    return detect.imbalance(market.books(spark, sf), THRESHOLDS).select(detect.SIGNAL)
 
 
 @_query(f"{_B},\n{_WALL} SELECT * FROM wall")
 def signals_wall(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.wall_drop(market.books(spark, sf), WALL)
+    return detect.wall_drop(market.books(spark, sf), WALL).select(detect.SIGNAL)
 
 
 @_query(f"{_S},\n{_B},\n{_IMB},\n{_WALL} SELECT *, 0 AS is_trade, 0 AS rule_no FROM imb UNION ALL SELECT *, 0, 1 FROM wall UNION ALL SELECT *, 1, 0 FROM large UNION ALL SELECT *, 1, 1 FROM rate")
 def signals_merged(spark: SparkSession, sf: str) -> DataFrame:
     t, b = market.trades(spark, sf), market.books(spark, sf)
-    return detect.merged([detect.large_trades(t, MULTIPLES, WINDOW), detect.trade_rate(t, RATES, WINDOW)], [detect.imbalance(b, THRESHOLDS), detect.wall_drop(b, WALL)])
+    return detect.merged(detect.trade_signals(t, MULTIPLES, RATES, WINDOW), [detect.imbalance(b, THRESHOLDS), detect.wall_drop(b, WALL)]).drop("evidence")
+
+
+@_query(f"""{_S},\n{_B},\n{_IMB},\n{_WALL} SELECT market, ts, seq, rule_id, 'trade' AS source, price AS trigger_price, n AS trade_count, CASE WHEN signal_type LIKE 'large%' THEN CAST(total AS DOUBLE) END AS notional_sum, NULL::DOUBLE AS bid_size, NULL::DOUBLE AS previous_wall, feature_value AS feature
+ FROM sig JOIN pb USING (market, ts, seq) UNION ALL SELECT market, ts, seq, rule_id, 'orderbook', NULL, NULL, NULL, bid, NULL, feature_value FROM imb JOIN b USING (market, ts, seq)
+ UNION ALL SELECT market, ts, seq, rule_id, 'orderbook', NULL, NULL, NULL, bid, wall.baseline, feature_value FROM wall JOIN b USING (market, ts, seq)""".replace("sig JOIN pb USING (market, ts, seq)", "sig JOIN (SELECT market, ts, seq, price, n, total FROM pb) USING (market, ts, seq)"))
+def signal_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """What each signal saw, read back from its market snapshot."""
+    t, b = market.trades(spark, sf), market.books(spark, sf)
+    parts = [*detect.trade_signals(t, MULTIPLES, RATES, WINDOW), detect.imbalance(b, THRESHOLDS), detect.wall_drop(b, WALL)]
+    both = detect.snapshot(reduce(DataFrame.unionByName, parts))
+    at = lambda path, kind="double": F.get_json_object("market_snapshot", f"$.{path}").cast(kind)
+    return both.select(
+        "market", "ts", "seq", "rule_id", at("evidence.source", "string").alias("source"), at("evidence.trigger.price").alias("trigger_price"), at("evidence.rolling_trade_count", "bigint").alias("trade_count"),
+        at("evidence.rolling_notional_sum").alias("notional_sum"), at("evidence.total_bid_size").alias("bid_size"), at("evidence.previous_wall_krw").alias("previous_wall"), at("feature").alias("feature"),
+    )
 
 
 @_query(f"""{_T}, s AS (SELECT *, ts // {DAY * MICROS} AS epoch, CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 7 = 0 THEN seq - 40 WHEN seq % 5 = 0 THEN seq - 5 ELSE seq END AS sequential_id FROM t),

@@ -36,27 +36,10 @@ def yes(flag: bool) -> str:
     return "yes" if flag else "no"
 
 
-def rationale(s) -> str:
-    """Why a signal fired, from its own figures (market, signal_type, rule_id, feature_value, baseline, ...).
-    The wording is fixed: stored alerts are searched by it."""
-    kind, f, b = s["signal_type"], s["feature_value"], s["baseline"]
-    at = float(s["rule_id"].rpartition("-")[2]) if kind != "wall_disappearance" else 0.0
-    times = f / b if b else float("inf")
-    if kind == "large_aggressive_trade":
-        return f"aggressive notional {f:.0f} is {times:.1f}x rolling mean (threshold {at:.1f}x over {s['prior_n']} trades)"
-    if kind == "trade_rate_acceleration":
-        return f"{s['prior_n']} trades in {s['window']}s window = {times:.1f}x the 5-trade baseline (threshold {at:.1f}x)"
-    if kind == "orderbook_imbalance":
-        return f"bid/ask size imbalance {f:.3f} (threshold {at:.2f}, {'bid' if f > 0 else 'ask'}-heavy)"
-    if kind == "wall_disappearance":
-        return f"{b:.0f} KRW {s['direction'].title()} wall fell to {f:.0f} ({(1 - f / b) * 100:.0f}% drop, qualifying floor {s['floor']:.0f} KRW)"
-    raise ValueError(f"unknown signal type {kind}")
-
-
 def alert(s, record: dict | None, window: dict | None = None) -> str:
     """The block printed for one signal, with its rule's validation record."""
     at = datetime.fromtimestamp(s["ts"] / 1e6, UTC).isoformat()
-    out = f"ALERT {at}  {s['market']}  {s['direction'].upper()}  {s['signal_type']}\n  why:   {rationale(s)}\n  rule:  {s['signal_type']}:{s['rule_id']}\n"
+    out = f"ALERT {at}  {s['market']}  {s['direction'].upper()}  {s['signal_type']}\n  why:   {s['rationale']}\n  rule:  {s['signal_type']}:{s['rule_id']}\n"
     if not record:
         return out + "  track: validation record unavailable\n"
     r, w = record, window or record

@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from datetime import UTC, date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,35 +52,31 @@ def books(spark: SparkSession, root: str) -> DataFrame:
 
 def connections(spark: SparkSession, config: Config) -> DataFrame:
     """Stored connection events, and those that the records' arrivals and connections show."""
-    stored = store.read(spark, config.data_root, "connection_events", StructType.fromDDL("market string, ts bigint, state string, gap_ms bigint"))
+    stored = store.read(spark, config.data_root, "connection_events", StructType.fromDDL(journal.EVENT))
     arrivals = [market.arrivals_of(r(spark, config.data_root)) for r in (_trade_records, _book_records)]
     seen = journal.connections(arrivals[0].unionByName(arrivals[1]), config.stall_timeout_seconds)
     return stored.select("market", "ts", "state", "gap_ms").unionByName(seen.select(F.lit("ALL").alias("market"), "ts", "state", "gap_ms"))
 
 
 def live_events(spark: SparkSession, root: str) -> DataFrame:
-    from tidemark.streaming.live import FOUND
+    from tidemark.streaming.live import STORED
 
-    return store.read(spark, root, "live_events", StructType.fromDDL(FOUND))
+    return store.read(spark, root, "live_events", StructType.fromDDL(STORED))
 
 
 def signals(t: DataFrame, b: DataFrame, config: Config) -> DataFrame:
     """All signals of the whole archive: a filter on dates below the detectors would change them."""
     window, c = config.trade_rate_window_seconds, config.candidate
     parts = [
-        detect.large_trades(t, c.large_trade_multiples, window, counted=True),
-        detect.trade_rate(t, c.trade_rate_multiples, window, counted=True),
+        *detect.trade_signals(t, c.large_trade_multiples, c.trade_rate_multiples, window),
         detect.imbalance(b, c.imbalance_thresholds),
         detect.wall_drop(b, config.wall_min_krw),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return store.shared_table(out, "signals")
+    return store.shared_table(reduce(DataFrame.unionByName, parts).withColumn("rationale", detect.rationale(window, config.wall_min_krw)), "signals")
 
 
 def _outcomes(s: DataFrame, t: DataFrame, config: Config) -> DataFrame:
-    v = config.validation
+    v, s = config.validation, s.select(detect.SIGNAL)
     return store.shared_table(outcomes.outcomes(s, t, KEY, v.horizon_minutes * 60, v.entry_max_lag_seconds, v.hit_threshold_pct), "outcomes")
 
 
@@ -114,7 +111,7 @@ def analyze(spark: SparkSession, config: Config) -> dict:
     window = _window(present, config)
     found = signals(t, b, config)
     done = _outcomes(found, t, config)
-    pairs = evaluate.control_pairs(done, t, v.horizon_minutes * 60, v.entry_max_lag_seconds, v.hit_threshold_pct, v.bootstrap_seed, "control")
+    pairs = evaluate.control_pairs(done, t, v.horizon_minutes * 60, v.entry_max_lag_seconds, v.hit_threshold_pct, v.bootstrap_seed, window["tuning_end"])
     pairs = store.shared_table(pairs.where(F.col("date") >= F.lit(window["tuning_start"]).cast("date")), "pairs")
     tried = store.shared_table(evaluate.candidates(found, pairs, window["tuning_end"]), "candidates")
     selected = store.shared_table(evaluate.select_rules(tried), "selected")
@@ -124,9 +121,9 @@ def analyze(spark: SparkSession, config: Config) -> dict:
     audit = {
         "generated_at": datetime.now(UTC).isoformat(), "config_fingerprint": config.fingerprint(), **window, "min_validation_signals": v.min_validation_signals,
         "family_wise_correction": v.family_wise_correction, "family_size": family, "effective_tail_alpha": evaluate.TAIL / max(family, 1) if v.family_wise_correction else evaluate.TAIL,
-        "candidates": _rows(tried, "signal_type", "rule_key"), "results": results, "signal_count": found.count(),
+        "candidates": _rows(tried, "signal_type", "rule_key"), "results": results, "rules": [r["rule_key"] for r in results if r["passed"]], "signal_count": found.count(),
     }
-    store.replace(_day(found), root, "signals")
+    store.replace(_day(detect.snapshot(found)), root, "signals")
     store.replace(_day(done), root, "signal_outcomes")
     for name, records in (("evaluation_results", results), ("active_rule_sets", [audit])):
         end = date.fromisoformat(window["validation_end"])
@@ -142,6 +139,8 @@ def ruleset(spark: SparkSession, config: Config) -> dict:
     if last is None:
         raise Blocked("no ruleset: run analyze first")
     audit = json.loads(last.payload)
+    if not {"config_fingerprint", "results", "rules", "validation_end"} <= set(audit):
+        raise Blocked("ruleset is from an older format; run analyze")
     if audit["config_fingerprint"] != config.fingerprint():
         raise Blocked("the ruleset was made with other settings: run analyze again")
     # Folder names tell the dates, so no record is read for this.
@@ -152,7 +151,12 @@ def ruleset(spark: SparkSession, config: Config) -> dict:
 
 
 def qualified(audit: dict) -> dict[str, dict]:
-    return {r["rule_key"]: r for r in audit["results"] if r["passed"]}
+    """The rules of a ruleset with their validation results; one without a passed result is an error."""
+    passed = {r["rule_key"]: r for r in audit["results"] if r["passed"]}
+    for rule in audit["rules"]:
+        if rule not in passed:
+            raise Blocked(f"qualified rule {rule} has no passed validation result")
+    return {rule: passed[rule] for rule in audit["rules"]}
 
 
 def _of_rules(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,8 +178,8 @@ def paper_study(spark: SparkSession, config: Config) -> dict | None:
     t, b = store.shared_table(trades(spark, root), "trades"), books(spark, root)
     start, end = _stamp(audit["validation_start"]), _stamp(audit["validation_end"]) + DAY * MICROS
     done = _outcomes(_of_rules(signals(t, b, config), list(rules)), t, config)
-    filled = store.shared_table(paper.paper_trades(done, start, end, config.round_trip_pct), "paper")
     held = store.shared_table(paper.hold(t, start, end, config.round_trip_pct), "held")
+    filled = store.shared_table(paper.paper_trades(done, start, end, config.round_trip_pct, held), "paper")
     per_rule = {r["rule_key"]: r for r in _rows(paper.tally(filled.withColumn("rule_key", evaluate.rule_key()), "rule_key"), "rule_key")}
     none = {"trades": 0, "skipped": 0, "incomplete": 0, "wins": 0, "mean_net_pct": 0.0, "return_pct": 0.0}
     total = paper.summary(filled, held).first().asDict() | paper.drawdown(filled, held).first().asDict()
@@ -203,9 +207,9 @@ def alerts(spark: SparkSession, config: Config) -> Iterator[dict]:
     found = _of_rules(signals(trades(spark, root), books(spark, root), config), list(rules))
     sent = paper.cooldown(found, ["market", "rule_id"], config.alert.cooldown_seconds, ["ts", "seq"]).where("emitted")
     for row in sent.orderBy("ts", "market", "signal_type", "rule_id", "seq").toLocalIterator():
-        s = row.asDict() | {"window": config.trade_rate_window_seconds, "floor": config.wall_min_krw}
+        s = row.asDict()
         key = f"{row.signal_type}:{row.rule_id}"
-        yield {"emitted_at": datetime.now(UTC).isoformat(), "rule_key": key, "rationale": render.rationale(s), "signal": s, "validation": rules[key], "window": {k: audit[k] for k in ("tuning_start", "tuning_end", "validation_start", "validation_end")}}
+        yield {"emitted_at": datetime.now(UTC).isoformat(), "rule_key": key, "rationale": row.rationale, "signal": s, "validation": rules[key], "window": {k: audit[k] for k in ("tuning_start", "tuning_end", "validation_start", "validation_end")}}
 
 
 def collected(spark: SparkSession, config: Config, csv: bool) -> tuple[str, str]:

@@ -54,10 +54,10 @@ BOOK = f"market string, ts_ms bigint, receive_ns bigint, ask double, bid double,
 
 
 def _numbered(records: DataFrame, order: list[str]) -> DataFrame:
-    """``ts`` and ``seq``, unique in a market and rising with ``order`` among rows of one time; only
-    such rows are sorted together, never a whole market."""
+    """``ts`` and ``seq``, unique in a market as long as no millisecond of it holds a million records, and
+    rising with ``order`` among rows of one time; only such rows are sorted together, never a market."""
     place = F.row_number().over(Window.partitionBy("market", "ts_ms").orderBy(*order))
-    return records.withColumns({"ts": F.col("ts_ms") * 1000, "seq": F.col("ts_ms") * 4096 + place})
+    return records.withColumns({"ts": F.col("ts_ms") * 1000, "seq": F.col("ts_ms") * 2**20 + place})
 
 
 def trades_of(records: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def arrivals_of(records: DataFrame) -> DataFrame:
 def books_of(records: DataFrame) -> DataFrame:
     """Books of stored records, in the order time, receipt, total sizes, levels."""
     rows = books_from_levels(_numbered(records, ["receive_ns", "ask", "bid", "levels"]))
-    return rows.select("market", "ts", "seq", "ask", "bid", "ask_wall", "bid_wall")
+    return rows.select("market", "ts", "seq", "ask", "bid", "ask_wall", "bid_wall", "levels")
 
 
 def books_from_levels(records: DataFrame) -> DataFrame:

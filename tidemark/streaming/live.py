@@ -8,7 +8,9 @@ nothing is dropped as late: a late row goes to the folder of its own date.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +19,17 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.config import Config
-from tidemark.operators.detect import LEAST, WALL_LEFT, number
-from tidemark.sources import market, wire
+from tidemark.operators.detect import LEAST, WALL_LEFT, number, rationale, snapshot
+from tidemark.operators.journal import EVENT
+from tidemark.plans import render
+from tidemark.sources import market, store, wire
 
 #: A frame with its arrival in nanoseconds and the number of its connection.
 FRAMES = "frame string, receive_ns bigint, epoch bigint"
 #: What the detector finds: signals (``alert`` when it is to be sent), and integrity_* rows.
-FOUND = "market string, ts bigint, receive_ns bigint, kind string, signal_type string, rule_id string, direction string, feature_value double, baseline double, prior_n bigint, detail string, alert boolean"
+FOUND = "market string, ts bigint, receive_ns bigint, kind string, signal_type string, rule_id string, direction string, feature_value double, baseline double, evidence string, detail string, alert boolean"
+#: ... as they are stored.
+STORED = f"{FOUND}, rationale string, market_snapshot string, date date"
 _STATE = "epoch bigint, last_id string, times array<bigint>, notionals array<double>, active array<string>, wall double, wall_side string, alert_keys array<string>, alert_times array<bigint>"
 
 
@@ -56,7 +62,7 @@ class Detector:
         (self.active.add if active else self.active.discard)(rule)
         return active and not was
 
-    def _row(self, r, kind: str, signal_type=None, rule=None, direction=None, feature=None, baseline=None, n=None, detail=None) -> dict:
+    def _row(self, r, kind: str, signal_type=None, rule=None, direction=None, feature=None, baseline=None, evidence=None, detail=None) -> dict:
         alert = False
         if kind == "signal":
             key, pause = f"{signal_type}:{rule}", self.config.alert.cooldown_seconds * 1_000_000
@@ -64,7 +70,7 @@ class Detector:
             if alert:
                 self.alerted[key] = r.ts
         return {"market": r.market, "ts": r.ts, "receive_ns": r.receive_ns, "kind": kind, "signal_type": signal_type, "rule_id": rule, "direction": direction,
-                "feature_value": feature, "baseline": baseline, "prior_n": n, "detail": detail, "alert": alert}
+                "feature_value": feature, "baseline": baseline, "evidence": evidence and json.dumps(evidence), "detail": detail, "alert": alert}
 
     def take(self, r) -> list[dict]:
         if r.epoch != self.epoch:
@@ -85,13 +91,14 @@ class Detector:
             del self.times[:gone], self.notionals[:gone]
         n = len(self.times)
         mean = self.total / max(n, 1)
+        seen = {"source": "trade", "trigger": {"market": r.market, "ts": r.ts, "price": r.price, "volume": r.volume, "side": r.side}, "rolling_trade_count": n}
         for m in self.config.candidate.large_trade_multiples:
             if self._fires(rule := f"large-{number(m)}", n >= LEAST and notional > mean * m):
-                out.append(self._row(r, "signal", "large_aggressive_trade", rule, r.side, notional, mean, n))
+                out.append(self._row(r, "signal", "large_aggressive_trade", rule, r.side, notional, mean, seen | {"rolling_notional_sum": self.total, "rolling_notional_mean": mean}))
         rate, base = n / window, LEAST / window
         for m in self.config.candidate.trade_rate_multiples:
             if self._fires(rule := f"rate-{number(m)}", n >= LEAST and rate > base * m):
-                out.append(self._row(r, "signal", "trade_rate_acceleration", rule, r.side, rate, base, n))
+                out.append(self._row(r, "signal", "trade_rate_acceleration", rule, r.side, rate, base, seen | {"window_seconds": window, "rolling_rate_per_second": rate, "baseline_rate_per_second": base}))
         self.times.append(r.ts)
         self.notionals.append(notional)
         self.total += notional
@@ -99,20 +106,21 @@ class Detector:
 
     def _book(self, r) -> list[dict]:
         out, total = [], r.ask + r.bid
+        seen = {"source": "orderbook", "total_bid_size": r.bid, "total_ask_size": r.ask, "levels": json.loads(r.levels or "[]")}
         if total > 0:
             lean = (r.bid - r.ask) / total
             for t in self.config.candidate.imbalance_thresholds:
                 if self._fires(rule := f"imbalance-{number(t)}", abs(lean) >= t):
-                    out.append(self._row(r, "signal", "orderbook_imbalance", rule, "buy" if lean > 0 else "sell", lean, 0.0))
+                    out.append(self._row(r, "signal", "orderbook_imbalance", rule, "buy" if lean > 0 else "sell", lean, 0.0, seen | {"imbalance": lean}))
         else:
             self.active -= {f"imbalance-{number(t)}" for t in self.config.candidate.imbalance_thresholds}
         if pd.isna(r.ask_wall):
             self.wall = self.wall_side = None
             return out
-        wall = max(r.ask_wall, r.bid_wall)
+        wall, side = max(r.ask_wall, r.bid_wall), "sell" if r.ask_wall > r.bid_wall else "buy"
         if self.wall is not None and self.wall >= self.config.wall_min_krw and wall < self.wall * WALL_LEFT:
-            out.append(self._row(r, "signal", "wall_disappearance", "wall-drop", self.wall_side, wall, self.wall))
-        self.wall, self.wall_side = wall, "sell" if r.ask_wall > r.bid_wall else "buy"
+            out.append(self._row(r, "signal", "wall_disappearance", "wall-drop", self.wall_side, wall, self.wall, seen | {"previous_wall_krw": self.wall, "previous_wall_side": self.wall_side, "current_largest_wall_krw": wall, "current_largest_wall_side": side}))
+        self.wall, self.wall_side = wall, side
         return out
 
 
@@ -127,7 +135,7 @@ def detect_live(records: DataFrame, config: Config, qualified: list[str]) -> Dat
         found = [x for r in rows.astype({"sequential_id": object}).itertuples(index=False) for x in detector.take(r)]
         state.update(detector.state())
         if found:
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"prior_n": "Int64"})
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return records.groupBy("market").applyInPandasWithState(run, FOUND, _STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -141,7 +149,7 @@ def records_of(normalized: DataFrame) -> DataFrame:
         is_trade.alias("is_trade"), F.col("f.code").alias("market"), (F.col("f.timestamp") * 1000).alias("ts"), "receive_ns", "epoch",
         F.col("f.sequential_id").cast("string").alias("sequential_id"), F.col("f.trade_price").alias("price"), F.col("f.trade_volume").alias("volume"),
         F.when(F.col("f.ask_bid") == "BID", "buy").otherwise("sell").alias("side"),
-        F.col("f.total_ask_size").alias("ask"), F.col("f.total_bid_size").alias("bid"), "ask_wall", "bid_wall",
+        F.col("f.total_ask_size").alias("ask"), F.col("f.total_bid_size").alias("bid"), "ask_wall", "bid_wall", F.to_json("levels").alias("levels"),
     )
 
 
@@ -167,13 +175,36 @@ def collect(frames: DataFrame, root: str, checkpoint: str, config: Config, quali
         sinks.append(_sink(rows.select(F.to_json(F.struct(*rows.columns)).alias("payload"), day.alias("date"), "market"), root, name, checkpoint, **trigger))
     bad = normalized.where("error is not null").select("frame", "error", "receive_ns", F.to_date(F.timestamp_micros((F.col("receive_ns") / 1000).cast("bigint"))).alias("date"))
     sinks.append(_sink(bad, root, "dead_letters", checkpoint, by=("date",), **trigger))
-    found = detect_live(records_of(normalized), config, qualified).withColumn("date", F.to_date(F.timestamp_micros("ts")))
+    found = detect_live(records_of(normalized), config, qualified)
+    found = snapshot(found.withColumn("rationale", rationale(config.trade_rate_window_seconds, config.wall_min_krw))).withColumn("date", F.to_date(F.timestamp_micros("ts")))
     return [*sinks, _sink(found, root, "live_events", checkpoint, **trigger)]
 
 
 def send_alerts(spark: SparkSession, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Follow ``live_events`` and append each alert once as JSON lines under its date."""
-    events = spark.readStream.schema(f"{FOUND}, date date").parquet(f"{root}/live_events")
+    events = spark.readStream.schema(STORED).parquet(f"{root}/live_events")
     alerts = events.where("alert").select("*", F.concat_ws(":", "signal_type", "rule_id").alias("rule_key"), F.current_timestamp().alias("emitted_at"))
     trigger = {"availableNow": True} if once else {"processingTime": "10 seconds"}
     return _sink(alerts, root, "alerts", checkpoint, kind="json", by=("date",), **trigger)
+
+
+def print_alerts(spark: SparkSession, root: str, checkpoint: str, results: dict[str, dict], window: dict, once: bool = False, show: Callable[[str], None] = print) -> StreamingQuery:
+    """Follow ``live_events`` and show each alert with its rule's validation record. An alert that cannot be
+    shown is an ``alert_error`` in the connection events; its signal is stored all the same."""
+    events = spark.readStream.schema(STORED).parquet(f"{root}/live_events")
+
+    def run(batch: DataFrame, _: int) -> None:
+        for row in batch.where("alert").orderBy("ts", "market").toLocalIterator():
+            try:
+                show(render.alert(row.asDict(), results.get(f"{row.signal_type}:{row.rule_id}"), window))
+            except Exception as why:  # noqa: BLE001 - whatever the terminal or pipe raises
+                store.append(connection_events(spark, [("alert_error", f"{row.signal_type}:{row.rule_id}: {why}", None)]), root, "connection_events")
+
+    trigger = {"availableNow": True} if once else {"processingTime": "10 seconds"}
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/shown_alerts").trigger(**trigger).queryName("shown_alerts").start()
+
+
+def connection_events(spark: SparkSession, events: list[tuple], now: float | None = None) -> DataFrame:
+    """Rows of ``connection_events`` for (state, detail, gap_ms, ...) at ``now`` or the time each ends with."""
+    rows = [("ALL", int((e[3] if len(e) > 3 else now or time.time()) * 1_000_000), *e[:3]) for e in events]
+    return spark.createDataFrame(rows, EVENT).withColumn("date", F.to_date(F.timestamp_micros("ts")))
