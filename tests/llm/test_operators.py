@@ -471,3 +471,86 @@ def test_main_text_by_importance_inside_and_outside_of_main(spark):
     for k in range(6):
         assert got[k] == f"Title {k}\nText {k}\nGem {k}\nLede {k}"
         assert got[10 + k] == f"Lede {k}\nMain {k}"
+
+
+def test_style_tree_equals_brute_force_entropies(spark):
+    import math
+
+    rng, rows = random.Random(9), []
+    for k in range(60):
+        menu = "".join(f"<li>{x}</li>" for x in rng.sample("abcdef", rng.randint(2, 4)))
+        paragraphs = "".join(f"<p>text {rng.randrange(10**6)}</p>" for _ in range(rng.randint(1, 5)))
+        box = rng.choice(["<div class=box><h2>Same</h2><p>always</p></div>", "<div class=box><p>at times</p></div>", ""])
+        page = f"<body><ul>{menu}</ul><div class=story><h1>Story {k // 2}</h1>{paragraphs}{box}<p>Read on</p></div><div>tail {rng.randrange(3)}<p>x</p></div></body>"
+        rows.append((k, f"https://{'ab'[k % 7 == 0]}.org/{k}", page))
+    rows += [(90, rows[0][1], rows[0][2]), (None, *rows[3][1:])]  # copies count once
+    own, shown, styles, articles, chains = {}, defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), defaultdict(set), {}
+    for _, url, page in rows:
+        site, (found, elements) = html_text.host(url), html_text.parsed(page)
+        article = max((b.text for b in found), key=lambda x: (len(x), x))
+        used = set()
+        for b in found:
+            shown[site, elements[b.path].path][b.text].add(article)
+            k, depth = b.path, 0
+            while k >= 0:
+                used.add(k)
+                k = elements[k].above
+        for k in used:
+            key, chain, up = (site, elements[k].path), [], k
+            while up >= 0:
+                chain.append((site, elements[up].path))
+                up = elements[up].above
+            chains[key] = chain
+            articles[key].add(article)
+            children = tuple(c for c in (elements[c].path for c in elements[k].children if c in used))
+            if children:
+                styles[key][children].add(article)
+    for key, pages in articles.items():
+        m = len(pages)
+        total = weight = 0.0
+        for seen in shown[key].values():
+            p = 1 / len(seen)
+            entropy = -sum(p * math.log(p, m) for _ in seen) if m > 1 else 0.0
+            total, weight = total + len(seen) * (1 - entropy), weight + len(seen)
+        if styles[key]:
+            n = sum(map(len, styles[key].values()))
+            entropy = -sum(len(x) / n * math.log(len(x) / n, m) for x in styles[key].values()) if m > 1 else 1.0
+            total, weight = total + n * entropy, weight + n
+        own[key] = ((total / weight * m + html_text.PRIOR_PAGES) / (m + html_text.PRIOR_PAGES), weight)
+    up, down = defaultdict(float), defaultdict(float)
+    for key, (value, weight) in own.items():
+        for levels, above in enumerate(chains[key]):
+            share = weight * html_text.DISCOUNT**levels
+            up[above], down[above] = up[above] + share * value, down[above] + share
+    composite = {key: up[key] / down[key] for key in own}
+    greatest = {key: max(composite[k] for k in own if key in chains[k]) for key in own}
+    source = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "xxhash64(url, html) as digest").repartition(5)
+    got = {(r.host, r.path): (r.composite, r.greatest) for r in html_text.style_tree(html_text.style_nodes(source)).collect()}
+    assert set(got) == set(own) and all(abs(got[k][0] - composite[k]) < 1e-9 and abs(got[k][1] - greatest[k]) < 1e-9 for k in own)
+    texts = {r.page_id: r.text for r in html_text.main_text(source.drop("digest")).collect()}
+    removed = 0
+    for page_id, url, page in rows:
+        found, elements = html_text.parsed(page)
+        kept = [b.text for b in found if greatest[html_text.host(url), elements[b.path].path] >= html_text.IMPORTANCE]
+        removed += len(found) - len(kept)
+        assert texts[page_id] == "\n".join(kept)
+    assert removed > 60 and texts[None] == texts[3] and texts[90] == texts[0]
+
+
+def test_main_text_of_odd_markup(spark):
+    pages = {
+        "<html><head><title>T</title><body><p>hello</p>": "hello",  # the end tag of head may be left out
+        "<html><head><title>T</title><p>hello</p>": "hello",
+        '<div class="content no-sidebar"><p>a</p></div><div id="search-results">b</div><h1 class="post-header">c</h1>': None,
+        "<article><header><h1>Title</h1></header><p>text</p><footer>me</footer></article>": "Title\ntext",
+        "<div>" * 20_000 + "deep" + "</div>" * 20_000 + "<p>after": "deep\nafter",
+        "<p>" + "long " * 200_000 + "</p>": " ".join(["long"] * 200_000),
+    }
+    rows = [(k, f"https://{k}.org/", page) for k, page in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k, want in enumerate(pages.values()):
+        if want is not None:
+            assert got[k] == want
+    found = html_text.blocks(list(pages)[2])
+    assert [b.text for b in found] == ["a", "b", "c"] and not any(b.named_noise for b in found)
+

@@ -1,4 +1,10 @@
-"""Main text of web pages (operator 7): a site style tree of each host and entropy-based importance."""
+"""Main text of web pages (operator 7): a site style tree of each host and entropy-based importance.
+
+An element node of the tree is a path of elements with their classes. Its presentation nodes are the
+sequences of children that pages show there, its content nodes the texts. Both have an importance by
+entropy over the host's pages, an element's composite importance is the discounted mean over its branch,
+and a branch all of whose elements are unimportant is removed, wherever it lies.
+"""
 
 from __future__ import annotations
 
@@ -14,10 +20,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, table
 
-#: A branch below this importance is removed; hosts with fewer distinct pages tell nothing.
-IMPORTANCE, LEAST_PAGES = 0.5, 4
+#: An element below this composite importance is unimportant.
+IMPORTANCE = 0.5
 #: A branch that markup leaves in doubt is kept from this importance on.
 IMPORTANT = 0.9
+#: Pages that full importance counts as before any is seen: few pages of a host prove little.
+PRIOR_PAGES = 4
+#: Weight of an element's descendants against itself, per level; descendants this many levels down and
+#: more, of a weight below 0.002, are left out.
+DISCOUNT, LEVELS = 0.9, 64
 #: What markup says ahead of the tree: no main text; main text unless unimportant; none unless important.
 NOISE, KEEP, DOUBT = 0, 1, 2
 #: Up to so many pages with branches that the tree decides are broadcast to the pages, more are joined by shuffle.
@@ -37,6 +48,7 @@ NOISE_NAMES = set(
     "comment comments commentlist disqus reply replies pagination pager copyright legal hidden".split()
 )
 MAIN_TAGS = {"article", "main"}
+CLOSES_HEAD = set("body p div article main section header nav footer aside h1 h2 h3 h4 h5 h6 ul ol dl table form figure blockquote pre hr img a span center".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -45,9 +57,18 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*
 _NAME = re.compile(r"[A-Za-z]+")
 
 
+@dataclass
+class Element:
+    """An element node of a page: ``number`` is the page's own, ``above`` its parent's."""
+
+    path: int
+    above: int
+    children: list[int]
+
+
 @dataclass
 class Block:
-    path: str
+    path: int  # number of the element node
     text: str
     named_noise: bool
     in_main: bool
@@ -55,11 +76,15 @@ class Block:
     below_noise: bool  # in a main element below a wrapper with a noise name
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order, each with the path of its branch in the style tree."""
+def parsed(page: str) -> tuple[list[Block], list[Element]]:
+    """Text blocks of a page in order, and its element nodes: siblings of one label are one node, whose
+    children are those of all of them in order."""
     out: list[Block] = []
-    # tag, path, noise by name, noise by tag or role, main, silent, doubt, below noise
-    stack: list[tuple[str, str, bool, bool, bool, bool, bool, bool]] = [("", "", False, False, False, False, False, False)]
+    elements = [Element(_hash(""), -1, [])]
+    number: dict[tuple[int, str], int] = {}
+    # tag, element, noise by name, noise by tag or role, main, silent, doubt, below noise
+    stack: list[tuple[str, int, bool, bool, bool, bool, bool, bool]] = [("", 0, False, False, False, False, False, False)]
+    open_tags: dict[str, int] = {}
     text: list[str] = []
 
     def flush() -> None:
@@ -67,14 +92,21 @@ def blocks(page: str) -> list[Block]:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                _, path, named, noise, main, _, doubt, below = stack[-1]
-                out.append(Block(path, line, named or noise, main, doubt, below))
+                _, element, named, noise, main, _, doubt, below = stack[-1]
+                out.append(Block(element, line, named or noise, main, doubt, below))
+
+    def cut(k: int) -> None:
+        for tag, *_ in stack[k:]:
+            open_tags[tag] -= 1
+        del stack[k:]
 
     def close(names: set[str], until: set[str] = frozenset()) -> None:
+        if not any(open_tags.get(name) for name in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
                 flush()
-                del stack[k:]
+                cut(k)
                 return
             if stack[k][0] in until:
                 return
@@ -91,10 +123,12 @@ def blocks(page: str) -> list[Block]:
         if not tag or tag == "br":
             text.append(" " if tag else "")
             continue
+        if tag in CLOSES_HEAD and not m[1] and open_tags.get("head"):
+            close({"head"})
         if tag in INLINE:
             continue
         if m[1]:
-            if tag == "p" and not any(s[0] == "p" for s in stack):
+            if tag == "p" and not open_tags.get("p"):
                 flush()
             close({tag})
             continue
@@ -107,27 +141,38 @@ def blocks(page: str) -> list[Block]:
             close({"p"}, {"article", "section", "div", "td", "th", "li", "body"})
         if tag in SAME_CLOSES:
             close(SAME_CLOSES[tag], {"ul", "ol", "dl", "table", "menu", "select"})
-        names, noise, label = set(), tag in NOISE_TAGS, tag
+        _, above, named, was_noise, was_main, silent, doubt, below = stack[-1]
+        # an article's own header holds its title
+        names, noise, label = set(), tag in NOISE_TAGS and not (tag == "header" and was_main), tag
         for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
             name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
             if name in ("class", "id"):
                 names.update(value.split())
                 label += ("." if name == "class" else "#") + " ".join(sorted(value.split()))
             noise |= name == "role" and value in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-        _, path, named, was_noise, was_main, silent, doubt, below = stack[-1]
         main = was_main or tag in MAIN_TAGS
         if tag not in ("html", "body", *MAIN_TAGS):
             named |= bool(names & NOISE_NAMES)
             doubt |= any(part in NOISE_NAMES for name in names for part in _NAME.findall(name))
         elif main and not was_main:
             named, doubt, below = False, False, named or doubt
-        stack.append((tag, f"{path}/{label}", named, was_noise or noise, main, silent or tag in SILENT, doubt, below))
+        own = number.get((above, label))
+        if own is None:
+            own = number[above, label] = len(elements)
+            elements.append(Element(_hash(str(elements[above].path), label), above, []))
+        elements[above].children.append(own)
+        stack.append((tag, own, named, was_noise or noise, main, silent or tag in SILENT, doubt, below))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         if tag in RAW:
             close_at = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close_at.end() if close_at else end
-            stack.pop()
+            cut(len(stack) - 1)
     flush()
-    return out
+    return out, elements
+
+
+def blocks(page: str) -> list[Block]:
+    return parsed(page)[0]
 
 
 def priors(found: list[Block]) -> list[int]:
@@ -150,72 +195,123 @@ def _hash(*parts: str) -> int:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """All text nodes of the pages: page_id, host, path, content, page digest, and what markup says."""
+    """Every page's nodes of its host's tree: a content node per text and a presentation node per element,
+    with what markup says of a content. ``article`` names the page's longest text: pages that share it are
+    copies of one article and tell the template once. ``above`` lists the element and those above it,
+    nearest first; a task gives it once for each path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[str, int]] = set()
         for batch in batches:
             rows: list[tuple] = []
-            for page_id, url, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                found = blocks(raw or "")
-                site, digest = host(url), _hash(*(b.text for b in found))
-                rows += [(page_id, site, _hash(b.path), _hash(b.text), digest, prior) for b, prior in zip(found, priors(found))]
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "host", "path", "content", "digest", "prior"])
-
-    return pages.mapInArrow(run, "page_id bigint, host string, path bigint, content bigint, digest bigint, prior int")
-
-
-def decided(nodes: DataFrame, threshold: float = IMPORTANCE, important: float = IMPORTANT, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, path, content, prior) where the merged tree decides against the prior: KEEP below the
-    threshold, DOUBT that is important.
-
-    A content found on c of the m distinct pages that have its branch is spread evenly over them, with
-    entropy log_m c, and has importance 1 - log_m c; the branch's own importance is the mean of its
-    contents', weighted by pages. The two are averaged: an advert that changes among a few texts is
-    as much a part of the template as a menu that never does."""
-    has = lambda prior: F.max(F.col("prior") == prior)
-    per_page = nodes.groupBy("host", "path", "content", "digest").agg(has(KEEP).alias("keep"), has(DOUBT).alias("doubt"))
-    counts = per_page.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("c"), F.max("keep").alias("keep"), F.max("doubt").alias("doubt"))
-    pages = nodes.select("host", "path", "digest").distinct().groupBy("host", "path").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least_pages)
-    own = counts.join(pages, ["host", "path"]).withColumn("own", 1 - F.log("c") / F.log("m"))
-    branch = own.groupBy("host", "path").agg((F.sum(F.col("own") * F.col("c")) / F.sum("c")).alias("branch"))
-    score = (F.col("own") + F.col("branch")) / 2
-    against = F.when(F.col("keep") & (score < threshold), KEEP).when(F.col("doubt") & (score >= important), DOUBT)
-    return own.join(branch, ["host", "path"]).select("host", "path", "content", against.alias("prior")).where("prior is not null")
+            for url, raw, digest in zip(*(c.to_pylist() for c in batch.columns)):
+                found, elements = parsed(raw or "")
+                site, holding = host(url), {b.path for b in found}
+                article = _hash(max((b.text for b in found), key=lambda x: (len(x), x), default=""))
+                used = set()
+                for b in found:
+                    k = b.path
+                    while k not in used and k >= 0:
+                        used.add(k)
+                        k = elements[k].above
+                rows += [(site, elements[b.path].path, _hash(b.text), digest, article, prior, None) for b, prior in dict(zip(((b.path, b.text) for b in found), zip(found, priors(found)))).values()]
+                for k in sorted(used):
+                    path, above = elements[k].path, None
+                    if (site, path) not in told:
+                        if len(told) >= 1_000_000:
+                            told.clear()
+                        told.add((site, path))
+                        above, up = [], k
+                        while up >= 0 and len(above) < LEVELS:
+                            above.append(elements[up].path)
+                            up = elements[up].above
+                    shown = [c for c in elements[k].children if c in used]
+                    style = _hash(*(str(elements[c].path) for c in shown)) if shown else None if k in holding else 0
+                    rows.append((site, path, style, digest, article, None, above))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "node", "digest", "article", "prior", "above"])
+
+    return pages.select("url", "html", "digest").mapInArrow(run, "host string, path bigint, node bigint, digest bigint, article bigint, prior int, above array<bigint>")
+
+
+def importances(nodes: DataFrame) -> DataFrame:
+    """(host, path, above, pages, weight, importance) of each element by itself.
+
+    A content on c of the m distinct pages that have its element is spread evenly over them: entropy
+    log_m c, importance 1 - log_m c; an element's is the mean over its contents, weighted by pages. Of
+    presentations, the entropy to base m of their shares of pages. Pages are distinct articles. PRIOR_PAGES pages of full importance
+    are added. Sums are taken before any join, so a path that all pages share is no single task."""
+    content = F.col("prior").isNotNull()
+    counts = nodes.select("host", "path", "node", content.alias("content"), "article").distinct().groupBy("host", "path", "node", "content").agg(F.count(F.lit(1)).alias("c"))
+    spread = F.col("c") * F.log("c")
+    some = F.col("node").isNotNull() & ~F.col("content")
+    sums = counts.groupBy("host", "path").agg(
+        F.sum(F.when(~F.col("content"), F.col("c"))).alias("pages"),
+        F.sum(F.when(F.col("content"), F.col("c"))).alias("shown"), F.sum(F.when(F.col("content"), spread)).alias("content_spread"),
+        F.sum(F.when(some, F.col("c"))).alias("styled"), F.sum(F.when(some, spread)).alias("style_spread"),
+    )
+    log_m = F.greatest(F.log("pages"), F.lit(1e-9))
+    content_part = F.coalesce(F.col("shown") - F.when(F.col("pages") > 1, F.col("content_spread") / log_m).otherwise(0.0), F.lit(0.0))
+    style_part = F.coalesce(F.when(F.col("pages") > 1, (F.col("styled") * F.log("styled") - F.col("style_spread")) / log_m).otherwise(F.col("styled")), F.lit(0.0))
+    weight = F.coalesce("shown", F.lit(0)) + F.coalesce("styled", F.lit(0))
+    raw = (content_part + style_part) / weight
+    paths = nodes.where("above is not null").groupBy("host", "path").agg(F.first("above").alias("above"))
+    out = sums.withColumns({"weight": weight, "importance": (raw * F.col("pages") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)})
+    return out.where("weight > 0").select("host", "path", "pages", "weight", "importance").join(paths, ["host", "path"])
+
+
+def style_tree(nodes: DataFrame) -> DataFrame:
+    """(host, path, pages, composite, greatest): the composite importance of each element, a mean over its
+    branch weighted by pages and DISCOUNT for each level, and the greatest in the branch."""
+    own = materialize(importances(nodes), "importance")
+    down = own.select("host", "path", "weight", "importance", F.posexplode("above").alias("levels", "element"))
+    share = F.col("weight") * F.pow(F.lit(DISCOUNT), F.col("levels"))
+    composite = down.groupBy("host", F.col("element").alias("path")).agg((F.sum(share * F.col("importance")) / F.sum(share)).alias("composite"))
+    whole = materialize(own.select("host", "path", "above", "pages").join(composite, ["host", "path"]), "composite")
+    best = whole.select("host", F.explode("above").alias("path"), "composite").groupBy("host", "path").agg(F.max("composite").alias("greatest"))
+    return whole.drop("above").join(best, ["host", "path"])
+
+
+def decided(tree: DataFrame, threshold: float = IMPORTANCE, important: float = IMPORTANT) -> DataFrame:
+    """(host, path, prior) where the tree decides against the prior: KEEP in a branch whose elements are
+    all below the threshold, DOUBT that is important."""
+    against = F.when(F.col("greatest") < threshold, KEEP).when(F.col("composite") >= important, DOUBT)
+    return tree.select("host", "path", against.alias("prior")).where("prior is not null")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page's whole html.
 
     Blocks are runs of text between block-level tags; character references are decoded, white space
-    becomes one space, and blocks are joined by line breaks in page order. All blocks are in the host's
-    style tree. Markup that names a role (nav, footer, class "ad", ...) is a prior that importance does
-    not outweigh, since adverts and comments differ from page to page. Other blocks, those of a main
-    element included, stay unless unimportant; on a page with a main element, those outside it, and
-    those with a noise name as a part of a class ("ad-slot"), stay only if important.
-
-    Null and empty html gives an empty text. A null url belongs to the host ''. Repeated rows give a
-    row each and count once in the tree; rows with a null page_id are read without the tree; an empty
-    table gives no rows; other columns are not read."""
+    becomes one space, and blocks are joined by line breaks in page order. All elements with text are
+    in the host's style tree, and any unimportant branch is removed, in a main element too. Markup that
+    names a role (nav, footer, class "ad", ...) is a prior that importance does not outweigh, since
+    adverts and comments differ from page to page. On a page with a main element, blocks outside it,
+    and those with a noise name as a part of a class ("ad-slot"), stay only if important.
+
+    Null and empty html gives an empty text. A null url belongs to the host ''. Pages with equal html and
+    url have equal texts and count once in the tree, those with a null page_id too; every row gives a
+    row; an empty table gives no rows; pages of any length or depth are read whole; other columns
+    are not read, so they cannot clash."""
     source = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
+    source = source.withColumn("digest", F.xxhash64("url", "html"))
     nodes = materialize(style_nodes(source), "style-nodes")
-    against = materialize(decided(nodes), "decided")
+    against = decided(style_tree(nodes))
+    turns = nodes.where("prior is not null").select("host", "path", "prior", "digest").distinct().join(against, ["host", "path", "prior"], "left_semi")
     # A page's own list of branches is no longer than the page. Spark splits a skewed host.
-    turns = nodes.where("page_id is not null").join(against, ["host", "path", "content", "prior"], "left_semi")
-    turns = materialize(turns.groupBy("page_id").agg(F.collect_set(F.struct("path", "content", "prior")).alias("against")), "branches")
-    few = turns.count() <= PAGES_BROADCAST
-    joined = source.join(F.broadcast(turns) if few else turns, "page_id", "left").select("page_id", "url", "html", "against")
+    turns = materialize(turns.groupBy("digest").agg(F.collect_set(F.struct("path", "prior")).alias("against")), "branches")
+    few = len(turns.select(F.lit(1)).take(PAGES_BROADCAST + 1)) <= PAGES_BROADCAST
+    joined = source.join(F.broadcast(turns) if few else turns, "digest", "left").select("page_id", "url", "html", "against")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for raw, against in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = blocks(raw or "")
-                turned = {(d["path"], d["content"], d["prior"]) for d in against or ()}
-                keys = zip(found, priors(found))
-                found = [b for b, prior in keys if prior != NOISE and (prior == KEEP) != (bool(turned) and (_hash(b.path), _hash(b.text), prior) in turned)]
-                texts.append("\n".join(b.text for b in found))
+                found, elements = parsed(raw or "")
+                turned = {(d["path"], d["prior"]) for d in against or ()}
+                kept = [b for b, prior in zip(found, priors(found)) if prior != NOISE and (prior == KEEP) != ((elements[b.path].path, prior) in turned)]
+                texts.append("\n".join(b.text for b in kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
