@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import broadcast_if_small, materialize, table
 
-#: Scores, each larger for worse texts.
+#: Scores, each larger for worse texts, in the order in which they are tested.
 SCORES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
@@ -34,27 +34,31 @@ _MEASURES = [
         "n_words": "cast(size(words) as bigint)",
         "word_chars": rf"cast(char_length(regexp_replace(text, '{_SPACE}+', '')) as bigint)",
         "n_symbols": "cast(char_length(regexp_replace(text, '[^#*$%&|<>]+', '')) as bigint)",
-        "n_capitals": "cast(char_length(regexp_replace(text, '[^A-Z]+', '')) as bigint)",
+        "n_capitals": "cast(char_length(regexp_replace(text, '[^\\p{Lu}]+', '')) as bigint)",
         "n_lines": "cast(size(lines) as bigint)",
         "n_dup_lines": "cast(size(lines) - size(array_distinct(lines)) as bigint)",
         "windows": "if(size(words) < 3, cast(array() as array<bigint>), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))",
     },
     {
-        # places of windows found twice or more: equal neighbours once (window, place) are sorted
+        # places of windows found twice or more: equal neighbours once (hash, place) are sorted, where
+        # equal hashes are told apart by their words
         "places": """if(size(array_distinct(windows)) = size(windows), cast(array() as array<int>),
             array_sort(flatten(transform(array(sort_array(transform(windows, (h, i) -> struct(h as h, i as i)))), s ->
-              transform(filter(s, (x, k) -> (k > 0 and s[k - 1].h = x.h) or (k + 1 < size(s) and s[k + 1].h = x.h)), x -> x.i)))))""",
+              transform(filter(s, (x, k) -> (k > 0 and s[k - 1].h = x.h and slice(words, s[k - 1].i + 1, 3) = slice(words, x.i + 1, 3))
+                or (k + 1 < size(s) and s[k + 1].h = x.h and slice(words, s[k + 1].i + 1, 3) = slice(words, x.i + 1, 3))), x -> x.i)))))""",
     },
     {
         # words covered by those windows, each once
         "n_repeat_words": "cast(aggregate(places, struct(0 as n, -9 as last), (a, p) -> struct(a.n + least(3, p - a.last) as n, p as last), a -> a.n) as bigint)",
     },
 ]
+#: The base rules.
+BASE = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every whole text. Windows are compared by 64-bit hash."""
+    """doc_id, stratum and the counts of every whole text."""
     df = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[stratum_col].cast("string"), F.lit("")).alias("stratum"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     for step in _MEASURES:
         df = df.select("*", *(F.expr(e).alias(name) for name, e in step.items()))
@@ -71,43 +75,46 @@ def binomial_cdf(k: str, n: str, p: float) -> str:
         a -> a.total)))"""
 
 
+def _step(scores: dict[str, str]) -> str:
+    """SQL for the first step of the sequence of tests at which a row would be rejected: the rules in
+    order, the cutoffs of each from the most lenient on; the number of all steps if at none."""
+    cells = [f"size(filter(array({', '.join(map(str, GRID))}), c -> {e} >= c))" for e in scores.values()]
+    return "least(" + ", ".join(f"if({c} = 0, {len(GRID) * len(scores)}, {len(GRID) * (k + 1)} - {c})" for k, c in enumerate(cells)) + ")"
+
+
 def certified_cutoffs(measures: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", risk: float = RISK, delta: float = DELTA, cost: float = COST) -> DataFrame:
     """(stratum, rule, cutoff): the certified cutoffs that are worth it; none where evidence is short.
 
-    Per stratum and rule the cutoffs are tested from the most lenient on; a cutoff is certified if,
-    were a share ``risk`` / rules of good documents above it, so few of the labelled good ones would
-    be with a probability of at most ``delta`` / (strata * rules). This is the exact one-sided
-    binomial bound; the division corrects for strata and rules, and testing in a fixed order, up to
-    the first failure, for cutoffs. Of the certified, the one that rejects the most bad documents less
-    ``cost`` times the good ones is taken, the most lenient of equals, and only if that is above 0."""
-    p = risk / len(SCORES)
+    Of every stratum one sequence, fixed before any label is seen, is tested: the first rule's cutoffs
+    from the most lenient to the strictest, then with that rule at its strictest the second rule's,
+    and so on. A step is certified if, were a share ``risk`` of the good documents that pass the base
+    rules rejected by all its rules together, so few of the labelled ones would be with a probability of
+    at most ``delta`` / strata: the exact one-sided binomial bound. The sequence ends at its first
+    failure, so only strata need a correction (Bonferroni's), and all rules share the whole risk; with four
+    strata 107 good labels are enough. Of the certified steps the one that rejects the most bad documents
+    less ``cost`` times the good ones is taken, the most lenient of equals, if that is above 0."""
     known = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("good")).where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
-    scored = measures.where("n_words > 0").join(known, "doc_id").select(
-        "stratum", (F.col("good") > 0).cast("bigint").alias("good"), F.posexplode(F.array(*(F.expr(f"({e})") for e in SCORES.values()))).alias("rule_no", "score")
-    )
-    # cell: how many cutoffs of the grid the score reaches; counts per cell are all that the tests need
-    cell = F.size(F.filter(F.array(*map(F.lit, GRID)), lambda c: F.col("score") >= c))
-    cells = scored.groupBy("stratum", "rule_no", cell.alias("cell")).agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
-    grid = cells.select("stratum", "rule_no").distinct().select("stratum", "rule_no", F.explode(F.sequence(F.lit(0), F.lit(len(GRID)))).alias("cell"))
-    every = Window.partitionBy("stratum", "rule_no")
-    down = every.orderBy(F.desc("cell"))
-    tests = grid.join(cells, ["stratum", "rule_no", "cell"], "left").na.fill(0, ["g", "b"])
-    tests = tests.select("*", F.sum("g").over(down).alias("k"), F.sum("b").over(down).alias("bad"), F.sum("g").over(every).alias("n")).where("cell > 0")
-    # A stratum can be certified only if none rejected would be evidence enough; the others are no hypotheses.
-    strata = materialize(cells.groupBy("stratum").agg((F.sum("g") / len(SCORES)).alias("n_good")), "strata")
-    family = len(SCORES) * max(1, strata.where(F.col("n_good") >= 1).count())
-    level = delta / family
-    tests = tests.withColumn("ok", F.expr(binomial_cdf("k", "n", p)) <= level)
-    certified = tests.withColumn("so_far", F.min("ok").over(down)).where("so_far")
+    scored = measures.where(~F.expr(BASE)).join(known, "doc_id").select("stratum", (F.col("good") > 0).cast("bigint").alias("good"), F.expr(_step(SCORES)).alias("step"))
+    # counts per step are all that the tests need
+    counts = materialize(scored.groupBy("stratum", "step").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b")), "steps")
+    steps = counts.groupBy("stratum").agg(F.sum("g").alias("n")).where("n > 0").select("stratum", "n", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) * len(SCORES) - 1))).alias("step"))
+    strata = max(1, counts.where("g > 0").select("stratum").distinct().count())  # a stratum without good labels is no hypothesis
+    so_far = Window.partitionBy("stratum").orderBy("step")
+    tests = steps.join(counts, ["stratum", "step"], "left").na.fill(0, ["g", "b"])
+    tests = tests.select("stratum", "step", "n", F.sum("g").over(so_far).alias("k"), F.sum("b").over(so_far).alias("bad"))
+    tests = tests.withColumn("ok", F.expr(binomial_cdf("k", "n", risk)) <= delta / strata)
+    certified = tests.withColumn("certified", F.min("ok").over(so_far)).where("certified")
     worth = certified.withColumn("gain", F.col("bad") - cost * F.col("k")).where("gain > 0")
-    best = worth.groupBy("stratum", "rule_no").agg(F.max(F.struct("gain", "cell")).alias("best"))
-    return best.select("stratum", F.element_at(F.array(*map(F.lit, SCORES)), F.col("rule_no") + 1).alias("rule"), F.element_at(F.array(*map(F.lit, GRID)), F.col("best.cell")).alias("cutoff"))
+    best = worth.groupBy("stratum").agg(F.max(F.struct("gain", (-F.col("step")).alias("step"))).alias("best")).select("stratum", (-F.col("best.step")).alias("step"))
+    rules = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), (F.lit(len(GRID) - 1) - F.col("step") + k * len(GRID)).alias("cell")) for k, name in enumerate(SCORES))))
+    cutoff = F.element_at(F.array(*map(F.lit, GRID)), F.greatest(F.col("r.cell"), F.lit(0)) + 1)
+    return best.select("stratum", "step", rules.alias("r")).where(F.col("r.cell") < len(GRID)).select("stratum", "r.rule", cutoff.alias("cutoff"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept and the rule that rejected it, if any.
 
-    A null or empty text has no words, so it fails the base rule; a null stratum is the stratum ''.
+    Texts of any length are read whole. A null or empty text has no words, so it fails the base rule; a null stratum is the stratum ''.
     Labels of unknown, null or repeated ids do no harm: of several labels the worst counts. Repeated
     rows are judged each; an empty table gives an empty result; without labels the base rule alone
     decides. Only doc_id, text and the stratum are read."""
@@ -117,7 +124,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     per_stratum = broadcast_if_small(materialize(per_stratum, "cutoffs"))
     judged = measures.join(per_stratum, "stratum", "left")
     reason = F.coalesce(*(F.expr(f"if({e} >= cut_{r}, '{r}', null)") for r, e in SCORES.items()))
-    base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    base = F.expr(BASE)
     return judged.select("doc_id", *METRICS, base.alias("base_failed"), (~base & reason.isNull()).alias("kept"), F.when(base, "base").otherwise(reason).alias("rejected_by"))
 
 
@@ -125,8 +132,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_DUCK_CDF = f"""CASE WHEN k >= n * {RISK / len(SCORES)!r} THEN 1 ELSE (
-  SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(SCORES)!r}) + (n - i) * ln(1 - {RISK / len(SCORES)!r}))) FROM range(0, CAST(k AS BIGINT) + 1) r(i)) END"""
+_N_STEPS = len(GRID) * len(SCORES)
+_DUCK_CDF = f"""CASE WHEN k >= n * {RISK!r} THEN 1 ELSE (
+  SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}) + (n - i) * ln(1 - {RISK!r}))) FROM range(0, CAST(k AS BIGINT) + 1) r(i)) END"""
+_DUCK_STEP = "least(" + ", ".join(f"CASE WHEN {e} >= {GRID[0]} THEN {len(GRID) * (k + 1)} - len(list_filter({GRID}, lambda c: {e} >= c)) ELSE {_N_STEPS} END" for k, e in enumerate(SCORES.values())) + ")"
 OP3_SQL = rf"""
 WITH base AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
@@ -135,18 +144,17 @@ win AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FR
 rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times FROM win),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) o(j) WHERE times > 1 GROUP BY doc_id),
 m AS (SELECT w.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS BIGINT) AS n_capitals,
   CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN cov USING (doc_id)),
 known AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-s AS (SELECT stratum, good, r.rule, r.score FROM (SELECT *, unnest([{", ".join(f"{{'rule': '{r}', 'score': {e}}}" for r, e in SCORES.items())}]) AS r FROM m JOIN known USING (doc_id) WHERE n_words > 0)),
-fam AS (SELECT {len(SCORES)} * greatest(1, count(*)) AS family FROM (SELECT stratum FROM s WHERE good > 0 GROUP BY stratum)),
-grid AS (SELECT unnest([{", ".join(map(repr, GRID))}]) AS cutoff),
-t AS (SELECT stratum, rule, cutoff, count(*) FILTER (WHERE good > 0) AS n, count(*) FILTER (WHERE good > 0 AND score >= cutoff) AS k, count(*) FILTER (WHERE good <= 0 AND score >= cutoff) AS bad FROM s, grid GROUP BY ALL),
-c AS (SELECT *, bool_and(({_DUCK_CDF}) <= {DELTA} / (SELECT family FROM fam)) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS ok FROM t),
-best AS (SELECT stratum, rule, arg_max(cutoff, (bad - {COST} * k, cutoff)) AS cutoff FROM c WHERE ok AND bad - {COST} * k > 0 GROUP BY ALL),
-cuts AS (SELECT stratum, {", ".join(f"max(cutoff) FILTER (WHERE rule = '{r}') AS cut_{r}" for r in SCORES)} FROM best GROUP BY stratum),
-j AS (SELECT doc_id, {", ".join(METRICS)}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+s AS (SELECT stratum, good, {_DUCK_STEP} AS step FROM m JOIN known USING (doc_id) WHERE NOT {BASE}),
+fam AS (SELECT greatest(1, count(*)) AS family FROM (SELECT stratum FROM s WHERE good > 0 GROUP BY stratum)),
+t AS (SELECT stratum, g.step, count(*) FILTER (WHERE good > 0) AS n, count(*) FILTER (WHERE good > 0 AND s.step <= g.step) AS k, count(*) FILTER (WHERE good <= 0 AND s.step <= g.step) AS bad FROM s, range({_N_STEPS}) g(step) GROUP BY ALL),
+c AS (SELECT *, bool_and(n > 0 AND ({_DUCK_CDF}) <= {DELTA} / (SELECT family FROM fam)) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM t),
+best AS (SELECT stratum, arg_max(step, (bad - {COST} * k, -step)) AS step FROM c WHERE ok AND bad - {COST} * k > 0 GROUP BY ALL),
+cuts AS (SELECT stratum, {", ".join(f"CASE WHEN step >= {k * len(GRID)} THEN list_extract({GRID}, greatest({len(GRID) * (k + 1) - 1} - step, 0) + 1) END AS cut_{r}" for k, r in enumerate(SCORES))} FROM best),
+j AS (SELECT doc_id, {", ".join(METRICS)}, {BASE} AS base_failed,
   coalesce({", ".join(f"CASE WHEN {e} >= cut_{r} THEN '{r}' END" for r, e in SCORES.items())}) AS reason FROM m LEFT JOIN cuts USING (stratum))
 SELECT doc_id, {", ".join(METRICS)}, base_failed, NOT base_failed AND reason IS NULL AS kept, CASE WHEN base_failed THEN 'base' ELSE reason END AS rejected_by FROM j
 """
