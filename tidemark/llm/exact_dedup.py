@@ -2,19 +2,22 @@
 
 Rows enter as a stream of fingerprints. A streaming aggregation without a watermark keeps, for every
 digest ever seen, its count and the row to keep (identifier and content locator) in RocksDB state
-that never expires. Rows that hit a digest of another row are compared with it byte by byte.
+that never expires. Rows that hit a digest of another row are found by their locators and compared
+with it byte by byte.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, scratch, table
 
 #: Digests of more than this share of all rows are joined by broadcast: there are at most as many as its inverse.
 HOT_SHARE = 0.001
-#: Up to so many digests with copies are broadcast to find the texts to compare; more are joined by shuffle.
+#: Up to so many locators of copies are broadcast to find the texts to compare; more are joined by shuffle.
 HITS_BROADCAST = 1_000_000
 #: State on the executors' disks, with changes alone in each checkpoint, and without the space that
 #: RocksDB sets aside ahead in every partition's logs.
@@ -31,30 +34,32 @@ def normalized(text: Column) -> Column:
 
 def keep_state(stream: DataFrame) -> DataFrame:
     """The keyed state of a stream of fingerprints: digest -> count and the row that stays, which is
-    the longest original, then the smallest doc_id (a null one last), with its locator."""
+    the longest original, then the smallest doc_id (a null one last), with its locator. Rows that
+    repeat the one that stays differ in their locators, so one row is kept and no group is ordered."""
     best = F.max(F.struct(F.col("n"), F.bitwise_not("doc_id").alias("rank"), F.col("locator")))
     return stream.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
 
 
-def run_stream(landing: str, schema, spark: SparkSession, files_per_batch: int | None = None) -> DataFrame:
-    """Feed the fingerprint files that lie in ``landing`` through the state, and return its last
-    values. The state lives in RocksDB, with its checkpoint in the shared folder; each micro-batch
-    writes the digests it changed under its own number, so a repeated batch overwrites itself."""
-    updates = scratch(spark, "updates")
+def run_stream(landing: str, schema, spark: SparkSession, files_per_batch: int | None = None, state_dir: str | None = None) -> DataFrame:
+    """Feed the fingerprint files below ``landing`` that the state has not seen through it, and return its
+    last values. The state lives in RocksDB, with its checkpoint in the shared folder or ``state_dir``;
+    each micro-batch writes the digests it changed under its own number, so a repeated batch overwrites
+    itself."""
+    updates, checkpoint = (f"{state_dir}/updates", f"{state_dir}/state") if state_dir else (scratch(spark, "updates"), scratch(spark, "state"))
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
     try:
-        reader = spark.readStream.schema(schema)
+        reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
         reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
         state = keep_state(reader.parquet(landing))
         write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{updates}/batch={n}")
-        query = state.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "state")).foreachBatch(write).trigger(availableNow=True).start()
+        query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if not query.lastProgress:  # no file at all
+    if not query.lastProgress and not state_dir:  # no file at all
         return state_of_nothing(spark, schema)
     found = spark.read.parquet(updates)
     return found.groupBy("digest").agg(F.max_by(F.struct("group_size", "best"), "batch").alias("s")).select("digest", "s.*")
@@ -64,58 +69,63 @@ def state_of_nothing(spark: SparkSession, schema) -> DataFrame:
     return keep_state(spark.createDataFrame([], schema))
 
 
-def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator.
+def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None, state_dir: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, keep_file.
 
     Texts are equal when identical without the characters [\\x20\\x09-\\x0D]; null and blank texts are
     all equal to the empty one. Of equal texts the one with the most code points stays, then the one
     with the smallest doc_id, a null id last. Of rows that repeat with the same id and text just one
-    is kept. Without rows the result is empty. Only the two columns are read."""
+    is kept. Without rows the result is empty. Only the two columns are read, texts as a whole.
+
+    With ``state_dir`` (a folder all executors share) a later call goes on from this one's state: its
+    rows are judged with all rows ever fed, and only its own are read."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    landing = scratch(spark, "fingerprints")
+    landing = f"{state_dir}/fingerprints" if state_dir else scratch(spark, "fingerprints")
+    call = f"{landing}/{uuid.uuid4().hex}"
     source.select(
         "doc_id",
         F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("digest"),
         F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n"),
-        F.struct(F.input_file_name().alias("file"), F.col("doc_id").alias("doc_id")).alias("locator"),
-    ).write.parquet(landing)
-    prints = spark.read.parquet(landing)
-    state = materialize(run_stream(landing, prints.schema, spark, files_per_batch), "keepers")
+        F.struct(F.input_file_name().alias("file"), F.lit(call).alias("call"), F.monotonically_increasing_id().alias("place")).alias("locator"),
+    ).write.parquet(call)
+    prints = spark.read.parquet(call)
+    state = materialize(run_stream(landing, prints.schema, spark, files_per_batch, state_dir), "keepers")
     rows = state.agg(F.sum("group_size")).first()[0] or 0
     # At most 1 / HOT_SHARE digests can hold more than that share of the rows each.
     hot = F.broadcast(state.where(F.col("group_size") > HOT_SHARE * rows))
     cold = state.where(F.col("group_size") <= HOT_SHARE * rows)
     members = prints.join(hot, "digest").unionByName(prints.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
-    wrong = colliding(source, state)
+    members = materialize(members, "members")
+    wrong = colliding(source, members)
     if len(wrong.take(1)):
         raise ValueError("texts of one SHA-256 digest differ: " + str(wrong.first()))
     return _described(members)
 
 
-def colliding(source: DataFrame, state: DataFrame) -> DataFrame:
+def colliding(source: DataFrame, members: DataFrame) -> DataFrame:
     """Digests of which a copy's bytes differ from those of another; none, as a rule.
 
-    Only texts that hit another row's digest are compared: the least and the greatest of each digest,
-    first within every task, so of a group of copies each task sends two texts at most."""
-    hits = state.where("group_size > 1").select("digest")
-    small = hits.count() <= HITS_BROADCAST
-    keyed = source.select(normalized(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    copies = keyed.join(F.broadcast(hits) if small else hits, "digest", "left_semi")
-    return copies.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).where("least <> most").select("digest")
+    Only rows that hit another row's digest are read for this, found by file and id, and hashed again;
+    of each digest the least and the greatest text are compared, first within every task, so of a group
+    of copies each task sends two texts at most."""
+    hits = materialize(members.where("group_size > 1").select(F.col("locator.file").alias("file"), F.col("doc_id").alias("id"), "digest").distinct(), "hits")
+    small = len(hits.select(F.lit(1)).take(HITS_BROADCAST + 1)) <= HITS_BROADCAST
+    places = hits.select("file", "id").distinct()
+    placed = source.withColumn("file", F.input_file_name())
+    same = (placed.file == places.file) & placed.doc_id.eqNullSafe(places.id)
+    copies = placed.join(F.broadcast(places) if small else places, same, "left_semi").select(normalized(F.col("text")).alias("norm"))
+    copies = copies.withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    ends = copies.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    return ends.where("least <> most").select("digest")
 
 
 def _described(members: DataFrame) -> DataFrame:
-    keep_id = F.bitwise_not("best.rank")
-    own = (F.col("doc_id").eqNullSafe(keep_id)) & (F.col("n") == F.col("best.n"))
-    # Rows that repeat the one that stays are told apart by number.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.desc("n")))
-    members = members.withColumn("own", own).withColumn("nth", nth)
     return members.select(
         "doc_id",
-        keep_id.alias("keep_id"),
+        F.bitwise_not("best.rank").alias("keep_id"),
         F.col("group_size").cast("bigint").alias("group_size"),
-        (F.col("own") & (F.col("nth") == 1)).alias("kept"),
+        (F.col("locator") == F.col("best.locator")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         F.col("best.locator.file").alias("keep_file"),
     )
