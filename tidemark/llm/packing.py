@@ -74,10 +74,11 @@ def best_fit(fills: list[int], size: int) -> list[list[int]]:
 
 def pack(items: DataFrame, size: int = 2048, slack: int = 4, items_per_task: int = 20_000) -> DataFrame:
     """Place the pieces of ``items`` (fill, members): every partition packs its own by best fit and
-    emits bins with at most ``slack`` ids free; the others go, as items, into the next round, which
-    deals them over fewer partitions, down to one. Rounds also end when a round no longer joins at
-    least a fiftieth of its items: nothing is left that fits together. A task sees about
-    ``items_per_task`` items in every round, whatever the input."""
+    emits bins with at most ``slack`` ids free. Of the others, those whose room is less than the least
+    fill of any open bin can take nothing more and are emitted too; the rest go, as items, into the next
+    round, which deals them anew over fewer partitions, down to the root of one. A task sees about
+    ``items_per_task`` items in every round, whatever the input; only if more than that are left and a
+    round joins none of them do rounds end before the root."""
     spark = items.sparkSession
     done: list[DataFrame] = []
     level, count = 0, items.count()
@@ -100,14 +101,18 @@ def pack(items: DataFrame, size: int = 2048, slack: int = 4, items_per_task: int
                     ["closed", "fill", "sequence_id", "members"],
                 )
 
-        # Dealt by a hash of the pieces, so that a lost task's rerun sees the same items.
-        bins = materialize(items.select("fill", "members").repartition(parts, F.xxhash64("members")).mapInArrow(run, BINS), f"bins{level}")
-        left = bins.where("not closed").count()
-        if parts == 1 or left > 0.98 * count:
+        # Dealt by a hash of each row's content and place in its written table, so that a lost task's rerun
+        # sees the same items and equal rows do not meet in one task.
+        dealt = items.select("fill", "members").withColumn("deal", F.xxhash64(F.lit(level), "members", F.monotonically_increasing_id()))
+        bins = materialize(dealt.repartition(parts, "deal").select("fill", "members").mapInArrow(run, BINS), f"bins{level}")
+        least = bins.where("not closed").agg(F.min("fill")).first()[0]
+        open_ = f"not closed and {size} - fill >= {least or 0}"
+        left = bins.where(open_).count()
+        if parts == 1 or left == count:
             done.append(bins)
             break
-        done.append(bins.where("closed"))
-        items, count, level = bins.where("not closed"), left, level + 1
+        done.append(bins.where(f"not ({open_})"))
+        items, count, level = bins.where(open_), left, level + 1
     out = done[0] if done else spark.createDataFrame([], BINS)
     for more in done[1:]:
         out = out.unionByName(more)
