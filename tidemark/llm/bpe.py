@@ -11,8 +11,9 @@ import json
 import re
 
 import numpy as np
+import public_tokenizers
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 _NONE = np.int32(2**31 - 1)
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 #: The pre-tokenizer's pattern for texts of characters up to U+024F; others go to the library's own.

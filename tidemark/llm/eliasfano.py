@@ -16,7 +16,9 @@ def encode(values: np.ndarray) -> bytes:
     values = np.asarray(values, np.uint64)
     n, top = len(values), int(values[-1]) if len(values) else 0
     low = max(0, (top // n).bit_length() - 1) if n else 0
-    bits = (values[:, None] >> np.arange(low, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+    bits = np.empty((n, low), np.uint8)
+    for k in range(low):
+        bits[:, k] = values >> np.uint64(k) & np.uint64(1)
     upper = np.zeros((top >> low) + n + 1 if n else 0, np.uint8)
     places = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
     upper[places] = 1
@@ -56,6 +58,22 @@ class EliasFano:
         bits = np.unpackbits(self._low[first // 8 : (first + self.low + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low]
         return (place - i) << self.low | int(bits.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64)))
 
+    def stretch(self, i: int, j: int) -> np.ndarray:
+        """Numbers i to j - 1, from the stretch of bits that holds them: the select of a whole block."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.empty(0, np.int64)
+        sample, after = i // SAMPLE, -(-j // SAMPLE)
+        first = int(self._samples[sample])
+        end = int(self._samples[after]) if after < len(self._samples) else 8 * len(self._upper)
+        ones = np.flatnonzero(np.unpackbits(self._upper[first // 8 : -(-end // 8)], bitorder="little")) + 8 * (first // 8)
+        ones = ones[ones >= first][i - sample * SAMPLE : j - sample * SAMPLE]
+        at = i * self.low
+        bits = np.unpackbits(self._low[at // 8 : -(-(j * self.low) // 8)], bitorder="little")[at % 8 : at % 8 + (j - i) * self.low]
+        lows = bits.reshape(j - i, self.low).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
+        return (ones - np.arange(i, j)) << self.low | lows
+
     def all(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self._upper, bitorder="little"))[: self.n]
         lows = np.unpackbits(self._low, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)

@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import slices
 from tidemark.llm.common import table
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+DEFAULT_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: What marks the start of a word in the vocabulary.
 WORD_START = "▁"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

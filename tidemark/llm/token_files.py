@@ -27,10 +27,24 @@ _MAGIC = b"TMKTOK01"
 MANIFEST = "shard int, path string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
 
+#: Documents whose boundaries are looked up at once.
+BLOCK_DOCS = 4 * eliasfano.SAMPLE
+#: Bytes of text that a shard file holds, about.
+SHARD_BYTES = 256 << 20
+
+
+def arrow_uri(path: str) -> str:
+    """``path`` as Arrow's file systems name it; Hadoop's names for the same stores differ."""
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in ("s3a", "s3n"):
+        return f"s3://{rest}"
+    return "/dbfs/" + path.removeprefix("dbfs:").lstrip("/") if path.startswith("dbfs:") else path
+
+
 def write_shard(path: str, docs: Iterator[tuple[list[int | None], list[bytes]]], width: int, end_id: int | None) -> tuple[int, int, int]:
     """Write one shard from (doc_ids, ids as 32-bit bytes) slices in ascending doc_id order, nulls
     first. The file appears under its name when whole, so a task that runs again does no harm."""
-    fs, place = pafs.FileSystem.from_uri(path)
+    fs, place = pafs.FileSystem.from_uri(arrow_uri(path))
     fs.create_dir(place.rpartition("/")[0], recursive=True)
     doc_ids, lengths, nulls = [], [], 0
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
@@ -54,7 +68,7 @@ class ShardReader:
     """Random and sequential access to a shard file."""
 
     def __init__(self, path: str):
-        fs, place = pafs.FileSystem.from_uri(path)
+        fs, place = pafs.FileSystem.from_uri(arrow_uri(path))
         size = fs.get_file_info(place).size
         self._file = fs.open_input_file(place)
         magic, base, self.nulls, ends, names, self.n_tokens, self.width = _TAIL.unpack(self._file.read_at(_TAIL.size, size - _TAIL.size))
@@ -73,21 +87,26 @@ class ShardReader:
     def ids(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self._file.read_at((end - start) * self.width, start * self.width), f"<u{self.width}")
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self._names.all() + self._base).tolist()
+    def _doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Ids of documents i to j - 1; those without an id come first."""
+        named = self._names.stretch(max(0, i - self.nulls), max(0, j - self.nulls)) + self._base
+        return [None] * (j - i - len(named)) + named.tolist()
 
     def documents(self, tokens: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, start in the shard, ids) of all documents, read about ``tokens`` ids at a time."""
-        ends = self.ends.all()
-        names, k = self.doc_ids(), 0
-        while k < len(ends):
-            start = int(ends[k - 1]) if k else 0
-            last = max(k + 1, int(np.searchsorted(ends, start + tokens, "right")))
-            block, at = self.ids(start, int(ends[last - 1])), start
-            for j in range(k, last):
-                yield names[j], at, block[at - start : int(ends[j]) - start]
-                at = int(ends[j])
-            k = last
+        """(doc_id, start in the shard, ids) of all documents, read about ``tokens`` ids at a time. Their
+        boundaries come from selects of BLOCK_DOCS documents each; no table of all is made."""
+        at = 0
+        for i in range(0, len(self), BLOCK_DOCS):
+            j = min(i + BLOCK_DOCS, len(self))
+            ends, names, k = self.ends.stretch(i, j), self._doc_ids(i, j), 0
+            while k < j - i:
+                start = at
+                last = max(k + 1, int(np.searchsorted(ends, start + tokens, "right")))
+                block = self.ids(start, int(ends[last - 1]))
+                for n in range(k, last):
+                    yield names[n], at, block[at - start : int(ends[n]) - start]
+                    at = int(ends[n])
+                k = last
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKENIZER, end_id: int | None = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,13 +115,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKENIZE
 
     Null texts are empty, null doc_ids come first, repeated rows are written as often as they occur,
     an empty table gives no documents, and other columns are not read. The texts are dealt by ranges
-    of doc_id, so no source or copy can crowd one shard."""
+    of doc_id and a hash of the text, so neither a source nor rows without an id crowd one shard; only
+    rows that repeat both stay together. Shards are as many as the bytes of the texts ask for."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    if not shards:
+        n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(-(-n_bytes // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = (
-        docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-        .repartitionByRange(shards, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        source.withColumn("hash", F.xxhash64("text"))
+        .repartitionByRange(shards, "doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash", "text")
         .select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     )
 
