@@ -70,8 +70,28 @@ def test_exact_dedup(docs, empty, rows):
 
 
 def test_exact_dedup_compares_bytes(spark, docs):
-    state = spark.createDataFrame([(bytearray(hashlib.sha256(b"noid").digest()), 2)], "digest binary, group_size bigint")
-    assert exact_dedup.colliding(docs.select("doc_id", "text"), state).count() == 0
+    digest = bytearray(hashlib.sha256(b"noid").digest())
+    members = spark.createDataFrame([(("",), None, digest, 2), (("",), 3, digest, 2), (("",), 8, digest, 2)], "locator struct<file string>, doc_id bigint, digest binary, group_size bigint")
+    assert exact_dedup.colliding(docs.select("doc_id", "text"), members).count() == 0
+
+
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    kind, at = "doc_id bigint, text string", f"file://{tmp_path}/state"
+    first = exact_dedup.find_copies(spark.createDataFrame([(1, "a b"), (2, "x"), (None, "q")], kind), state_dir=at).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in first} == {(1, 1, 1, True), (2, 2, 1, True), (None, None, 1, True)}
+    second = exact_dedup.find_copies(spark.createDataFrame([(3, "ab"), (4, "x  "), (None, "q"), (None, "q")], kind), state_dir=at).collect()
+    # the first call's row of "a b" is longer, the second's "x  " is; of the null ids one stays
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in second) == Counter([(3, 1, 2), (4, 4, 2), (None, None, 3), (None, None, 3)])
+    assert not next(r for r in second if r.doc_id == 3).kept and next(r for r in second if r.doc_id == 4).kept
+    assert sum(r.kept for r in second if r.doc_id is None) <= 1
+    again = exact_dedup.find_copies(spark.createDataFrame([], kind), state_dir=at).collect()
+    assert again == []
+
+
+def test_exact_dedup_of_many_copies_without_ids(spark):
+    df = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "'same text' as text", "id as kept").repartition(7)
+    got = exact_dedup.find_copies(df).groupBy("keep_id", "group_size", "kept").count().collect()
+    assert {(r.keep_id, r.group_size, r.kept, r["count"]) for r in got} == {(None, 3000, True, 1), (None, 3000, False, 2999)}
 
 
 def test_packing(docs, empty, rows, library):
@@ -373,6 +393,21 @@ def test_elias_fano(n, top):
         ef.select(n)
 
 
+def test_elias_fano_stretches():
+    rng = np.random.default_rng(2)
+    values = np.cumsum(rng.integers(0, 900, 2600) * (rng.random(2600) < 0.9))
+    e = eliasfano.EliasFano(eliasfano.encode(values))
+    for i, j in [(0, 0), (0, 1), (0, 2600), (511, 513), (512, 1024), (1000, 2047), (2599, 2600), (2600, 2600), *(sorted(rng.integers(0, 2601, 2)) for _ in range(60))]:
+        assert e.stretch(i, j).tolist() == values[i:j].tolist()
+    with pytest.raises(IndexError):
+        e.stretch(0, 2601)
+
+
+def test_token_files_name_the_stores_as_arrow_does():
+    names = {"s3a://b/x": "s3://b/x", "s3n://b/x": "s3://b/x", "dbfs:/a/b": "/dbfs/a/b", "hdfs://n/x": "hdfs://n/x", "file:///tmp/x": "file:///tmp/x", "gs://b/x": "gs://b/x"}
+    assert {k: token_files.arrow_uri(k) for k in names} == names
+
+
 def test_token_files(spark, docs, empty, rows, library):
     manifest = token_files.write_tokens(docs, scratch(spark, "t"), shards=3)
     got = token_files.read_tokens(manifest).collect()
