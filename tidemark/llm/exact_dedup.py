@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, scratch, table
+from tidemark.llm.common import discard, materialize, scratch, table
 
 #: Digests of more than this share of all rows are joined by broadcast: there are at most as many as its inverse.
 HOT_SHARE = 0.001
@@ -100,6 +100,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wrong = colliding(source, members)
     if len(wrong.take(1)):
         raise ValueError("texts of one SHA-256 digest differ: " + str(wrong.first()))
+    discard(state)
     return _described(members)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,4 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         ends = down.selectExpr("a as node", "1 as up", "0 as low").unionByName(down.selectExpr("b as node", "0 as up", "1 as low"))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or up = 1 and low = 1").isEmpty():
             return down.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(down.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        before = down
         down = materialize(_small_star(_large_star(down).where("a <> b").distinct()).where("a <> b").distinct(), "stars")
+        discard(before)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import discard, materialize, table
 
 #: An element below this composite importance is unimportant.
 IMPORTANCE = 0.5
@@ -297,10 +297,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     source = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     source = source.withColumn("digest", F.xxhash64("url", "html"))
     nodes = materialize(style_nodes(source), "style-nodes")
-    against = decided(style_tree(nodes))
+    tree = materialize(style_tree(nodes), "tree")
+    against = decided(tree)
     turns = nodes.where("prior is not null").select("host", "path", "prior", "digest").distinct().join(against, ["host", "path", "prior"], "left_semi")
     # A page's own list of branches is no longer than the page. Spark splits a skewed host.
     turns = materialize(turns.groupBy("digest").agg(F.collect_set(F.struct("path", "prior")).alias("against")), "branches")
+    discard(nodes, tree)
     few = len(turns.select(F.lit(1)).take(PAGES_BROADCAST + 1)) <= PAGES_BROADCAST
     joined = source.join(F.broadcast(turns) if few else turns, "digest", "left").select("page_id", "url", "html", "against")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.batches import groups
 from tidemark.llm.bpe import slices
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import discard, materialize, table
 from tidemark.llm.graph import components
 from tidemark.llm.shingles import mix, shingles
 
@@ -248,7 +248,9 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     joined = materialize(components(links.select("a", "b")), "joined")
     moved = classes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     fresh = joined.join(classes, "node", "left_anti").select("node", "component")
-    return moved.unionByName(fresh)
+    merged = materialize(moved.unionByName(fresh), "classes")
+    discard(joined, classes)
+    return merged
 
 
 def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
@@ -274,9 +276,10 @@ def draw(now: DataFrame, rnd: int, similarity: float) -> DataFrame:
     return _pairs(one, "node", "pivot")
 
 
-def untried(now: DataFrame, tried: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+def untried(now: DataFrame, tried: DataFrame, similarity: float, nearest: bool, done: list[DataFrame]) -> DataFrame:
     """Every pair (pivot, node) of two components that share a bucket, can be alike and is not in ``tried``;
-    with ``nearest`` only the most alike of each node outside its buckets' largest components.
+    with ``nearest`` only the most alike of each node outside its buckets' largest components. A
+    table made on the way is added to ``done``.
 
     Members outside a bucket's largest component meet all its members, so a bucket that one component
     fills is linear work. Both sides are dealt in blocks of about BLOCK members, and each pair of
@@ -287,6 +290,7 @@ def untried(now: DataFrame, tried: DataFrame, similarity: float, nearest: bool)
     parts = lambda n, name: F.ceil(n / BLOCK).cast("int").alias(name)
     sides = held.select("bucket", F.col("most.component").alias("main"), parts(F.col("all") - F.col("most.m"), "lefts"), parts(F.col("all"), "rights"))
     now = materialize(now.join(sides, "bucket").withColumn("minor", F.col("component") != F.col("main")), "mixed")
+    done.append(now)
     dealt = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     columns = ["bucket", "i", "j", "side", "node", "component", "minor", "weight", "sketch", "bands"]
@@ -349,16 +353,20 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     texts = texts.where("doc_id is not null")
     classes = spark.createDataFrame([], "node bigint, component bigint")
     tried = spark.createDataFrame([], "pivot bigint, node bigint")
+    done: list[DataFrame] = []
     for rnd in range(ROUNDS + 2):
         now = rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = draw(now, rnd, similarity).join(tried, ["pivot", "node"], "left_anti") if rnd < ROUNDS else untried(now, tried, similarity, rnd == ROUNDS)
+        pairs = draw(now, rnd, similarity).join(tried, ["pivot", "node"], "left_anti") if rnd < ROUNDS else untried(now, tried, similarity, rnd == ROUNDS, done)
         pairs = materialize(pairs, "pairs")
+        done.append(pairs)
         if pairs.isEmpty():
             continue
         tried = tried.unionByName(pairs)
         found = materialize(similar(texts, pairs, weights, similarity), "links")
+        done.append(found)
         if not found.isEmpty():
-            classes = materialize(_merged(classes, found), "classes")
+            classes = _merged(classes, found)
+    discard(rows, *done)
     by_digest = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
     # Copies of one text are not joined with each other but with their node, and Spark splits a skewed side.
     return marks.join(by_digest, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("class_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, materialize, table
+from tidemark.llm.common import broadcast_if_small, discard, materialize, table
 
 #: Rows that one window orders, about.
 WINDOW_ROWS = 50_000
@@ -32,7 +32,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str =
         F.crc32(text).alias("text_crc32"),
         key.alias("key"),
     )
-    rows = materialize(rows, "keyed")
+    rows = keyed = materialize(rows, "keyed")
     count = rows.count()
     digits = next(d for d in range(1, 16) if count <= WINDOW_ROWS * 16**d)
     rank_slots = 16**digits
@@ -45,6 +45,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str =
     fraction = (F.col("before") + F.col("r") - F.lit(0.5)) / F.col("n")
     ranked = ranked.withColumn("fraction", fraction).withColumn("slot_no", F.floor(F.col("fraction") * rank_slots))
     ranked = materialize(ranked.select("doc_id", "stratum", "size", "text_crc32", "key", "fraction", "slot_no"), "ranked")
+    discard(keyed)
     # One row for some 3,000 rows or more of the table.
     slots = ranked.groupBy("slot_no").agg(F.count(F.lit(1)).alias("rows"))
     slots = slots.select("slot_no", (F.sum("rows").over(Window.orderBy("slot_no")) - F.col("rows")).alias("before"), F.sum("rows").over(Window.orderBy("slot_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
