@@ -18,6 +18,14 @@ CANDIDATE_HEAD = ["Signal type", "Rule", "Train n", "Train hit", "Matched random
 RULE_HEAD = ["Rule", "Trades", "Skipped (overlap)", "Incomplete", "Win rate", "Net P&L", "Mean / trade"]
 MARKET_HEAD = ["Market", "Trades", "Net P&L", "Hold P&L"]
 COVERAGE_HEAD = ["UTC date", "Trades", "Orderbooks", "Live signals", "Markets", "Disconnected", "Stalled", "Total gap ms", "Longest gap ms"]
+#: Fixed wording: lines of alerts, verdicts and reports, which scripts and readers search for.
+NO_RECORD = "  track: validation record unavailable\n"
+NO_RULES = "GATE: FAIL — no selected rules\n"
+TOO_FEW, NOT_POSITIVE, NOT_KEPT = "insufficient validation sample ({n}/{least})", "CI lower bound is non-positive", "retention below 80% ({kept})"
+TIE, WINS = "VERDICT: TIE at 0.000pp over {window}", "VERDICT: {who} WINS by {by:.3f}pp over {window}"
+NO_TRADE = "\nNo qualified signal produced a paper trade in this window.\n"
+NO_FOOTPRINT = "Not enough collected data to project a footprint; {days} complete UTC dates required before analyze can run.\n"
+FOOTPRINT = "Footprint: {gb:.1f} GB in {files:,} files over {span} of collection → {all_gb:.1f} GB and {all_files:,} files projected for {days} dates.\n"
 COVERAGE_FIELDS = ["date", "trades", "books", "signals", "markets", "disconnected", "stalled", "gap_ms", "max_gap_ms"]
 
 
@@ -41,7 +49,7 @@ def alert(s, record: dict | None, window: dict | None = None) -> str:
     at = datetime.fromtimestamp(s["ts"] / 1e6, UTC).isoformat()
     out = f"ALERT {at}  {s['market']}  {s['direction'].upper()}  {s['signal_type']}\n  why:   {s['rationale']}\n  rule:  {s['signal_type']}:{s['rule_id']}\n"
     if not record:
-        return out + "  track: validation record unavailable\n"
+        return out + NO_RECORD
     r, w = record, window or record
     lift = r["val_rate"] - r["val_control"]
     return out + (
@@ -79,14 +87,14 @@ def gate_verdict(audit: dict) -> str:
     if passed:
         return f"GATE: PASS — {', '.join(passed)}\n"
     if not audit["results"]:
-        return "GATE: FAIL — no selected rules\n"
+        return NO_RULES
     least = audit["min_validation_signals"]
 
     def reasons(r: dict) -> str:
         tests = {
-            f"insufficient validation sample ({r['val_n']}/{least})": r["val_n"] < least,
-            "CI lower bound is non-positive": r["ci_low"] <= 0,
-            f"retention below 80% ({pct(r['retention'])})": r["retention"] < RETENTION,
+            TOO_FEW.format(n=r["val_n"], least=least): r["val_n"] < least,
+            NOT_POSITIVE: r["ci_low"] <= 0,
+            NOT_KEPT.format(kept=pct(r["retention"])): r["retention"] < RETENTION,
         }
         return f"{r['rule_key']}: " + ", ".join(text for text, failed in tests.items() if failed)
 
@@ -114,8 +122,8 @@ def evaluation_markdown(audit: dict) -> str:
 def paper_verdict(study: dict) -> str:
     excess, window = study["total"]["excess_pct"], f"{study['start']}–{study['end']}"
     if not excess:
-        return f"VERDICT: TIE at 0.000pp over {window}"
-    return f"VERDICT: {'STRATEGY' if excess > 0 else 'HOLD'} WINS by {abs(excess):.3f}pp over {window}"
+        return TIE.format(window=window)
+    return WINS.format(who="STRATEGY" if excess > 0 else "HOLD", by=abs(excess), window=window)
 
 
 def _wins(row: dict) -> float:
@@ -139,14 +147,13 @@ def paper_markdown(study: dict) -> str:
     signed = lambda x: f"{x:+.3f}%"
     rules = [[r["rule_key"], r["trades"], r["skipped"], r["incomplete"], pct(_wins(r)), signed(r["return_pct"]), signed(r["mean_net_pct"])] for r in study["rules"]]
     per_market = [[m["market"], m["trades"], signed(m["return_pct"]), signed(m["hold_pct"])] for m in study["markets"]]
-    none = "" if total["trades"] else "\nNo qualified signal produced a paper trade in this window.\n"
+    none = "" if total["trades"] else NO_TRADE
     return (
         f"# Paper study\n\nWindow: {study['start']}–{study['end']} (validation only) · {markets} · horizon {study['horizon_minutes']}m · fees {study['fee_bps']:g}bps, slippage {study['slippage_bps']:g}bps\n\n"
         f"{table(RULE_HEAD, 'lrrrrrr', rules)}\n{table(MARKET_HEAD, 'lrrr', per_market)}{none}"
         f"\nStrategy: {signed(total['strategy_pct'])} net, max drawdown {total['max_drawdown_pct']:.3f}%, {total['trades']} trades, {total['skipped']} skipped for overlap, {total['incomplete']} incomplete.\n"
         f"Hold:     {signed(total['hold_pct'])} (equal weight over the same {markets}, one round trip).\n\n"
-        "Markets that left the daily universe are missing from later dates. Hold profits from that, so beating it\n"
-        f"says more than the difference shows, and losing to it says less.\n\n{paper_verdict(study)}\n"
+        f"{paper_verdict(study)}\n"
     )
 
 
@@ -167,6 +174,6 @@ def span(seconds: int) -> str:
 def footprint(n_bytes: int, files: int, observed: int, days: int) -> str:
     """What ``days`` of the same rate will take, in decimal GB; scaled by seconds observed, not dates."""
     if observed <= 0:
-        return f"Not enough collected data to project a footprint; {days} complete UTC dates required before analyze can run.\n"
+        return NO_FOOTPRINT.format(days=days)
     scale = days * 86_400 / observed
-    return f"Footprint: {n_bytes / 1e9:.1f} GB in {files:,} files over {span(observed)} of collection → {n_bytes * scale / 1e9:.1f} GB and {int(files * scale + 0.5):,} files projected for {days} dates.\n"
+    return FOOTPRINT.format(gb=n_bytes / 1e9, files=files, span=span(observed), all_gb=n_bytes * scale / 1e9, all_files=int(files * scale + 0.5), days=days)
