@@ -227,6 +227,8 @@ def test_feed_states_stalls_pauses_and_refresh(spark, tmp_path):
     assert dict(states)["reconnect"] == 1000 and ("connected", 3000) in states and ("connected", 1000) in states
     rows = spark.read.schema(live.FRAMES).json(str(tmp_path / "frames")).collect()
     assert len(rows) == f.taken == 6 and {r.epoch for r in rows} == {0, 1, 2, 3}
+    universes = spark.read.parquet(f"{config.data_root}/universes").orderBy("refreshed_at").collect()
+    assert [(r.markets, str(r.date)) for r in universes] == [(["KRW-A"], "2025-01-01"), (["KRW-A"], "2025-01-02")]
     assert said[-1].endswith("frames=6; buffers flushed") and any("buffered=" in s for s in said)
 
 

@@ -14,19 +14,40 @@ from pyspark.sql.types import StructType
 _LOCAL: dict[str, str] = {}
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder in spark.checkpoint.dir and read back: what follows does not
-    compute it again, nor does a lost executor. A local session without that setting gets a folder."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one of a local session."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        root = "file://" + _LOCAL.setdefault(app, _LOCAL.get(app) or tempfile.mkdtemp(prefix="spark-tidemark-"))
-    path = f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-tidemark-")
+    return f"file://{_LOCAL[app]}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: it cuts the lineage, what follows does not
+    compute it again, and a lost executor costs no recomputation of what stands above."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete shared tables that nothing reads any more: what came of them is written."""
+    for df in tables:
+        if path := getattr(df, "scratch_path", None):
+            fs, place = _fs(df.sparkSession, path)
+            fs.delete(place, True)
 
 
 def _fs(spark: SparkSession, path: str):

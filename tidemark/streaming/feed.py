@@ -14,6 +14,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.operators.journal import refresh_due
@@ -40,6 +41,12 @@ class Feed:
         self.started = self.flushed = self.told = clock()
         self.day = datetime.fromtimestamp(self.started, UTC)
         self.markets = universe()
+        self._store_universe()
+
+    def _store_universe(self) -> None:
+        """The markets followed from now on, in ``universes``."""
+        rows = self.spark.createDataFrame([(int(self.clock() * 1_000_000), self.markets, "ALL")], "refreshed_at bigint, markets array<string>, market string")
+        store.append(rows.withColumn("date", F.to_date(F.timestamp_micros("refreshed_at"))), self.config.data_root, "universes")
 
     def record(self, state: str, detail: str, gap: float | None = None) -> None:
         event = (state, detail, None if gap is None else round(gap * 1000), self.clock())
@@ -55,6 +62,7 @@ class Feed:
 
     def _refresh(self) -> None:
         self.markets, self.day = self.universe(), datetime.fromtimestamp(self.clock(), UTC)
+        self._store_universe()
         self.record("universe_changed", "universe refreshed; rolling state reset")
 
     def _follow(self, receive: Receive) -> tuple[str, str] | None:
