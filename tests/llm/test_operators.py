@@ -589,3 +589,16 @@ def test_main_text_of_odd_markup(spark):
     found = html_text.blocks(list(pages)[2])
     assert [b.text for b in found] == ["a", "b", "c"] and not any(b.named_noise for b in found)
 
+
+
+def test_chat_of_nothing_and_of_long_turns(spark):
+    kind = "conv_id bigint, turn bigint, role string, text string, perspective string, block int"
+    assert chat.rotate(spark.createDataFrame([], kind)).collect() == []
+    got = chat.rotate(spark.createDataFrame([(1, 0, "a", "x" * 300_000, "p", 1), (1, 1, "b", "y", "q", 2)], kind)).collect()
+    assert len(got) == 4 and max(r.seg_end - r.seg_start for r in got) > 300_000 and {r.perspective for r in got} == {"a", "b"}
+
+
+def test_shards_of_rows_without_ids(spark):
+    df = spark.range(2000).selectExpr("cast(null as bigint) as doc_id", "repeat('long ', cast(id % 3 * 20000 as int)) as text", "cast(null as string) as source", "id as key", "id as slot")
+    got = sharding.interleave(df).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert len(got) == 16 and all(r["max(slot)"] == 124 and r["count(1)"] == 125 for r in got)

@@ -33,3 +33,20 @@ def test_stages_keep_rows_not_ids(spark, tmp_path):
     assert Counter(map(tuple, second.collect())) == Counter(best.values())
     packed = corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in packed} == Counter(r[0] for r in best.values())
+
+
+def test_stages_on_odd_columns_and_empty_tables(spark, tmp_path):
+    kind = "doc_id bigint, text string, lang string, _row string, _digest int, kept string, `keep_id` double, _id string, best array<int>"
+    rows = [(k, t, None, "r", None, "no", None, "i", [k]) for k, t in enumerate([None, "", words("a"), words("a"), words("b", 9000), words("c") + " tail"])] + [(None, words("d"), "en", None, 1, None, 0.5, None, None)]
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, kind)
+    judged = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert judged.schema == docs.schema and Counter(map(str, judged.collect())) == Counter(str(r) for r in docs.collect() if r.text)
+    first = corpus_pipeline.exact_dedup(spark, docs, str(tmp_path))
+    assert first.columns == docs.columns and {(r.doc_id, r._row, r.best and r.best[0]) for r in first.collect()} == {(0, "r", 0), (2, "r", 2), (4, "r", 4), (5, "r", 5), (None, None, None)}
+    second = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert second.columns == docs.columns and {(r.doc_id, r._digest, r._id) for r in second.collect()} == {(0, None, "i"), (1, None, "i"), (2, None, "i"), (4, None, "i"), (5, None, "i"), (None, 1, None)}
+    nothing = spark.createDataFrame([], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing, str(tmp_path))
+        assert out.collect() == [] and (name == "packing" or out.columns == nothing.columns)

@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import discard, scratch, shared_root
+from tidemark.sources.store import shared_table as materialize
+
+__all__ = ["broadcast_if_small", "discard", "materialize", "scratch", "shared_root", "table"]
+
 #: Small tables of up to this many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 10_000
-_LOCAL: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of a local session."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-tidemark-")
-    return f"file://{_LOCAL[app]}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: it cuts the lineage, and a lost
-    executor costs no recomputation of what stands above."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more: what came of them is written."""
-    for df in tables:
-        if path := getattr(df, "scratch_path", None):
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
