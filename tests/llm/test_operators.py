@@ -602,3 +602,15 @@ def test_shards_of_rows_without_ids(spark):
     df = spark.range(2000).selectExpr("cast(null as bigint) as doc_id", "repeat('long ', cast(id % 3 * 20000 as int)) as text", "cast(null as string) as source", "id as key", "id as slot")
     got = sharding.interleave(df).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
     assert len(got) == 16 and all(r["max(slot)"] == 124 and r["count(1)"] == 125 for r in got)
+
+
+def test_chat_of_turns_without_numbers(spark):
+    rng = random.Random(6)
+    rows = [(1, rng.choice([None, None, 3, 70]), rng.choice(["a", "b", "system", None]), rng.choice([None, "", "x", "xy", "xyz", "<|", "zebra", "é"]) if k % 3 else prose(rng, 3)) for k in range(300)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)).collect()
+    for who in ("a", "b", "unknown"):
+        own = sorted((r for r in got if r.perspective == who), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(300)) and own[0].seg_start == 0
+        assert all(a.seg_end == b.seg_start for a, b in zip(own, own[1:]))
+        order = [(r.turn is not None, r.turn or 0, r.role.encode(), r.segment.encode()) for r in own]
+        assert order == sorted(order)

@@ -28,7 +28,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     null role is the speaker "unknown", a null text an empty turn, a null conversation one of its
     own. A conversation of system turns alone has no perspective and gives no rows. Places are summed
     per block of turns and over blocks, so a conversation with a large part of all rows is not summed
-    in one window; it is joined with its speakers by a join that Spark splits when skewed."""
+    in one window, nor are its turns without numbers unless they say the same; it is joined with its speakers by a join that Spark splits when skewed."""
     own = turns.select(
         turns[conv].alias("conv_id"),
         turns[turn].cast("bigint").alias("turn"),
@@ -41,8 +41,13 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     head = F.when(trained, "<|assistant|>\n").when(F.col("role") == system_role, "<|system|>\n").otherwise(F.concat(F.lit("<|user:"), _clean(F.col("role")), F.lit("|>\n")))
     seen = seen.withColumn("head", head).withColumn("segment", F.concat("head", "said", F.lit("<|end|>\n")))
     key = ["conv_id", "perspective"]
-    # Null turns are first in order: they have a block of their own before block 0.
-    seen = seen.withColumn("n", F.char_length("segment").cast("bigint")).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
+    # Null turns are first in order: their blocks come before block 0 and are cut further, in the same
+    # order, by role and the first characters said.
+    no_turn = F.col("turn").isNull()
+    part = lambda c: F.when(no_turn, c).otherwise("")
+    said = F.substring(F.concat("said", F.lit("<|end|>")), 1, 3)
+    block = F.struct(F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).alias("b"), part(F.col("role")).alias("role"), part(said).alias("said"))
+    seen = seen.withColumn("n", F.char_length("segment").cast("bigint")).withColumn("block", block)
     inside = Window.partitionBy(*key, "block").orderBy("turn", "role", "segment").rowsBetween(Window.unboundedPreceding, -1)
     rank = Window.partitionBy(*key, "block").orderBy("turn", "role", "segment")
     blocks = seen.groupBy(*key, "block").agg(F.sum("n").alias("bn"), F.count(F.lit(1)).alias("rows"))
