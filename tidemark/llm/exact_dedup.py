@@ -19,12 +19,15 @@ from tidemark.llm.common import discard, materialize, scratch, table
 HOT_SHARE = 0.001
 #: Up to so many locators of copies are broadcast to find the texts to compare; more are joined by shuffle.
 HITS_BROADCAST = 1_000_000
-#: State on the executors' disks, with changes alone in each checkpoint, and without the space that
-#: RocksDB sets aside ahead in every partition's logs.
+#: State on the executors' disks, with changes alone in each checkpoint, without the space that RocksDB
+#: sets aside ahead in every partition's logs, and with memory bounded for all partitions of an executor.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 
 
@@ -110,12 +113,11 @@ def colliding(source: DataFrame, members: DataFrame) -> DataFrame:
     Only rows that hit another row's digest are read for this, found by file and id, and hashed again;
     of each digest the least and the greatest text are compared, first within every task, so of a group
     of copies each task sends two texts at most."""
-    hits = materialize(members.where("group_size > 1").select(F.col("locator.file").alias("file"), F.col("doc_id").alias("id"), "digest").distinct(), "hits")
+    place = F.xxhash64("file", F.coalesce("doc_id", F.lit(-1))).alias("place")  # a few rows too many do no harm
+    hits = materialize(members.where("group_size > 1").select(F.col("locator.file").alias("file"), "doc_id").select(place).distinct(), "hits")
     small = len(hits.select(F.lit(1)).take(HITS_BROADCAST + 1)) <= HITS_BROADCAST
-    places = hits.select("file", "id").distinct()
-    placed = source.withColumn("file", F.input_file_name())
-    same = (placed.file == places.file) & placed.doc_id.eqNullSafe(places.id)
-    copies = placed.join(F.broadcast(places) if small else places, same, "left_semi").select(normalized(F.col("text")).alias("norm"))
+    placed = source.withColumn("file", F.input_file_name()).select("text", place)
+    copies = placed.join(F.broadcast(hits) if small else hits, "place", "left_semi").select(normalized(F.col("text")).alias("norm"))
     copies = copies.withColumn("digest", F.unhex(F.sha2("norm", 256)))
     ends = copies.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     return ends.where("least <> most").select("digest")
