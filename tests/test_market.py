@@ -61,7 +61,7 @@ def test_prior_window_and_edges(trades, rows, block):
 @pytest.mark.parametrize("block", [50, 10**6])
 def test_outcomes(trades, rows, block):
     signals = trades.where("seq % 5 = 0").select("market", "ts", "seq", F.lit("x").alias("signal_type"), F.lit("r").alias("rule_id"), F.col("side").alias("direction"))
-    got = {r.seq: r for r in outcomes.outcomes(signals, trades, ["ts", "seq", "signal_type", "rule_id"], 60, 2, 10.0, block).collect()}
+    got = {r.seq: r for r in outcomes.outcomes(signals, trades, 60, 2, 10.0, block).collect()}
     for r in (r for r in rows if r[2] % 5 == 0):
         own = [x for x in rows if x[0] == r[0]]
         entry = next(x for x in own if x[1] >= r[1])
@@ -139,7 +139,7 @@ def test_controls_differ_by_rule_and_split(spark):
     df = spark.createDataFrame(trades, TRADE)
     signals = [("A", d * day + k * 60 * MICROS, d * 1000 + k, "s", rule, "buy") for d in range(2) for k in range(0, 500, 5) for rule in ("r1", "r2")]
     signals = spark.createDataFrame(signals, "market string, ts bigint, seq bigint, signal_type string, rule_id string, direction string")
-    done = outcomes.outcomes(signals, df, ["ts", "seq", "signal_type", "rule_id"], 120, 60, 10.0)
+    done = outcomes.outcomes(signals, df, 120, 60, 10.0)
     at = lambda step: {tuple(r)[:5]: r.control for r in evaluate.control_pairs(done, df, 120, 60, 10.0, 7, "1970-01-01", step).select("market", "ts", "seq", "signal_type", "rule_id", "control").collect()}
     pairs = at(3600)
     assert len(pairs) == 400 and pairs == at(600) == at(10**6)
@@ -250,3 +250,49 @@ def test_wire(spark):
     assert sorted(str(r.error) for r in out.collect()) == ["None", "missing timestamp, trade_price, trade_volume, ask_bid", "unknown type", "unknown type"]
     with pytest.raises(Exception, match="required"):
         wire.unpack(spark.createDataFrame([('{"a":1}',)], "payload string"), "a int, b int", ["b"]).collect()
+
+
+@pytest.mark.parametrize(("leaf", "block"), [(2, 7), (3, 60), (64, 10**6)])
+def test_look_up_in_blocks_and_levels(spark, trades, rows, leaf, block, monkeypatch):
+    """First trades and ranges of any length against a scan, over several levels and blocks without trades."""
+    monkeypatch.setattr(outcomes, "LEAF", leaf)
+    rng, last = random.Random(4), rows[-1][1]
+    probes = [(rng.choice("ABC"), rng.choice([None, rng.randint(-5, last // MICROS + 90) * MICROS, rng.choice(rows)[1]]), rng.choice(rows)[1], k, None) for k in range(120)]
+    probes += [probes[5], probes[5], ("A", 0, 0, 900, -0.5), ("A", rows[3][1], rows[3][1] - 1, 901, None)]
+    df = spark.createDataFrame(probes, "market string, a bigint, b bigint, id int, low double").repartition(3)
+    got = outcomes.look_up(df, trades, {"x": "a", "y": "b"}, {"r": ("a", "b"), "s": ("b", "a")}, block).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(probes, key=str)
+    spans = 0
+    for r in got:
+        own = [x for x in rows if x[0] == r.market]
+        for name, at in (("x", r.a), ("y", r.b)):
+            want = next(((x[1], x[2], x[3]) for x in own if at is not None and x[1] >= at), None)
+            assert (r[name] and tuple(r[name])) == want
+        for name, start, end in (("r", r.a, r.b), ("s", r.b, r.a)):
+            inside = [x[3] for x in own if None not in (start, end) and start <= x[1] <= end]
+            spans = max(spans, len(inside))
+            assert (r[name] and tuple(r[name])) == ((min(inside), max(inside)) if inside else None)
+    assert spans > leaf
+
+
+def test_ranges_of_a_busy_market_are_linear_work(spark):
+    """100 trades a second and ranges of 360,000: a probe asks for a few nodes, not for its range's trades."""
+    trades = spark.range(1_000_000).selectExpr("'A' as market", "id * 10000L as ts", "id as seq", "cast(pmod(xxhash64(id), 100003) as double) as price")
+    probes = spark.range(300).selectExpr("'A' as market", "id * 21000000L + 3 as a", "id * 21000000L + 3600000003L as b", "id")
+    got = {r.id: tuple(r.r) for r in outcomes.look_up(probes, trades, {"x": "a"}, {"r": ("a", "b")}).where("id % 60 = 0").collect()}
+    prices = [r.price for r in trades.orderBy("seq").select("price").collect()]
+    for k, found in got.items():
+        first, last = k * 2100 + 1, min(k * 2100 + 360_000, 999_999)
+        assert found == (min(prices[first : last + 1]), max(prices[first : last + 1]))
+    levels = outcomes.levels_above(1_000_000 // outcomes.LEAF)
+    place = lambda n: F.struct(F.floor(F.lit(n) / 64).alias("node"), F.lit(n % 64).alias("place"))
+    asked = spark.range(1).select(F.array_compact(F.array(*outcomes._cover("r", place(5), place(999_000), levels))).alias("r")).first().r
+    assert len(asked) <= 2 * (levels + 1)
+
+
+def test_outcomes_shuffle_trades_once(spark, tmp_path):
+    spark.range(1000).selectExpr("'A' as market", "id * 1000000L as ts", "id as seq", "1D as price").write.parquet(str(tmp_path / "t"))
+    trades = spark.read.parquet(str(tmp_path / "t"))
+    marks = spark.range(9).selectExpr("'A' as market", "id as at", "0 as which", "false as after", "named_struct('id', id) as row")
+    plan = outcomes._merged(marks, trades, 60)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1

@@ -59,7 +59,7 @@ def control_pairs(done: DataFrame, trades: DataFrame, horizon: int, max_lag: int
     signals = signals.join(counts, ["market", "date"]).where(within).withColumn("place", F.col("nth") - F.col("first"))
     signals = shared_table(signals.join(numbered, ["market", "date", "step", "place"]).withColumnRenamed("ts", "signal_ts").withColumnRenamed("control_ts", "ts"), "controls")
     columns = ["market", "ts", "seq", "signal_type", "rule_id", "direction", "signal_ts", "date", "reached_target"]
-    control = outcomes(signals.select(*columns).withColumnRenamed("reached_target", "hit"), trades, ["ts", "seq", "signal_type", "rule_id"], horizon, max_lag, target_pct)
+    control = outcomes(signals.select(*columns).withColumnRenamed("reached_target", "hit"), trades, horizon, max_lag, target_pct)
     return control.select("market", F.col("signal_ts").alias("ts"), "seq", "signal_type", "rule_id", "date", "hit", F.coalesce("reached_target", F.lit(False)).alias("control"))
 
 

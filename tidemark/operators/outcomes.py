@@ -1,56 +1,157 @@
-"""As-of and range joins of signals with later trades, and their outcomes."""
+"""As-of and range joins of signals with later trades, and their outcomes.
+
+Trades of a market are put in leaves of LEAF consecutive ones, and leaves in a tree of LEAF children each
+that holds their least and greatest prices. All times that a signal asks about are merged with the trades in
+one sort, which tells how many trades are ahead of each. The rest is looking up: a trade by its place, and a
+range by the few nodes that cover it, however many trades lie in between.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeline import MICROS, block_of, fitting_block
+from tidemark.sources.store import discard, shared_table
 
+#: Trades of a leaf and children of a node: what one request reads at most.
+LEAF = 64
+_TRADE = "struct<place:int,ts:bigint,seq:bigint,price:double>"
 
-def first_at_or_after(probes: DataFrame, trades: DataFrame, at: str, name: str, block: int | None = None) -> DataFrame:
-    """``probes`` with the struct ``name`` (ts, seq, price) of the market's first trade at or after
-    ``at``, however late; null if there is none.
 
-    Probes and trades of a block are sorted backwards together and the last trade seen is taken; a
-    block without a later trade takes the first one of the next block that has any."""
+def _merged(marks: DataFrame, trades: DataFrame, block: int) -> DataFrame:
+    """One row per leaf of trades, and one per LEAF marks, of each (market, block), from one sort of both.
+
+    ``marks`` has market, at, which, after (whether trades of the time itself count as ahead) and row. A
+    block's groups of either kind have at most LEAF members, so no row grows with a busy time."""
+    kind = F.when(F.col("after"), 2).otherwise(0)
+    both = marks.select("market", "at", kind.alias("kind"), F.struct("which", "row").alias("mark"))
+    own = trades.select("market", F.col("ts").alias("at"), F.lit(1).alias("kind"), "seq", "price")
+    both = both.unionByName(own, allowMissingColumns=True).withColumn("block", block_of("at", block))
+    before = Window.partitionBy("market", "block").orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    is_trade = F.col("kind") == 1
+    ahead = F.coalesce(F.sum(is_trade.cast("int")).over(before), F.lit(0)).cast("int")
+    marked = F.coalesce(F.sum((~is_trade).cast("int")).over(before), F.lit(0)).cast("int")
+    both = both.withColumns({"ahead": ahead, "marked": marked})
+    group = F.floor(F.when(is_trade, F.col("ahead")).otherwise(F.col("marked")) / LEAF).cast("int")
+    trade = F.when(is_trade, F.struct((F.col("ahead") % LEAF).alias("place"), F.col("at").alias("ts"), "seq", "price"))
+    return both.groupBy("market", "block", is_trade.alias("leaf"), group.alias("nth")).agg(
+        F.sort_array(F.collect_list(trade)).alias("trades"),
+        F.collect_list(F.when(~is_trade, F.struct("ahead", (F.col("kind") == 2).alias("after"), "mark"))).alias("marks"),
+        F.min("price").alias("low"), F.max("price").alias("high"),
+    )
+
+
+def _levels(leaves: DataFrame) -> DataFrame:
+    """(market, level, node, trades, lows, highs): the leaves at level 0, and above them nodes of LEAF children
+    until one node of a market is left."""
+    prices = F.transform("trades", lambda t: t["price"])
+    out = leaves.select("market", F.lit(0).alias("level"), "node", "trades", prices.alias("lows"), prices.alias("highs"))
+    below, most = leaves.select("market", "node", "low", "high"), leaves.agg(F.max("node")).first()[0] or 0
+    for level in range(1, levels_above(most) + 1):
+        child = F.struct("node", "low", "high")
+        nodes = below.groupBy("market", F.floor(F.col("node") / LEAF).alias("node")).agg(F.sort_array(F.collect_list(child)).alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+        held = nodes.select("market", F.lit(level).alias("level"), "node", F.lit(None).cast(f"array<{_TRADE}>").alias("trades"), F.transform("c", lambda x: x["low"]).alias("lows"), F.transform("c", lambda x: x["high"]).alias("highs"))
+        out, below = out.unionByName(held), nodes.select("market", "node", "low", "high")
+    return out
+
+
+def levels_above(most: int) -> int:
+    """Levels above the leaves of a market whose last leaf is number ``most``."""
+    level = 1
+    while most >= LEAF**level:
+        level += 1
+    return level
+
+
+def _request(name: str, level: int, node: Column, first: Column, last: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), F.lit(level).alias("level"), node.cast("bigint").alias("node"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+
+
+def _cover(name: str, start: Column, end: Column, levels: int) -> list[Column]:
+    """Requests for the nodes that cover the places from ``start`` to ``end`` (structs node, place), two a
+    level at most; null where there is nothing to ask."""
+    out, level = [], 0
+    a, i, b, j = start["node"], start["place"], end["node"], end["place"]
+    some = (a < b) | ((a == b) & (i <= j))
+    while True:
+        one = a == b
+        out.append(F.when(some, F.when(one, _request(name, level, a, i, j)).otherwise(_request(name, level, a, i, F.lit(LEAF - 1)))))
+        out.append(F.when(some & ~one, _request(name, level, b, F.lit(0), j)))
+        if level == levels:
+            return out
+        # the children in between, by their parents
+        some = some & (a + 1 <= b - 1)
+        first, last, level = a + 1, b - 1, level + 1
+        a, i, b, j = F.floor(first / LEAF), F.pmod(first, F.lit(LEAF)), F.floor(last / LEAF), F.pmod(last, F.lit(LEAF))
+
+
+def look_up(probes: DataFrame, trades: DataFrame, first: dict[str, str], ranges: dict[str, tuple[str, str]], block: int | None = None) -> DataFrame:
+    """``probes`` with, for each name of ``first``, the market's first trade at or after the time in that
+    column, as a struct (ts, seq, price), however late, and for each name of ``ranges`` the struct (low,
+    high) of prices from one column's time to another's, both included; null if there is none.
+
+    Trades are read, shuffled and sorted once for all of them. Every probe then asks for one leaf per trade and two
+    nodes a level per range, so the work is linear in probes and trades whatever a range holds. Rows that repeat stay."""
     block = block or fitting_block(trades, ["market"])
     columns = probes.columns
-    trade = F.struct("ts", "seq", "price")
-    both = probes.select("market", F.col(at).alias("_at"), F.struct(*columns).alias("_row"), F.lit(None).cast("struct<ts:bigint,seq:bigint,price:double>").alias("_trade"), F.lit(0).alias("_kind"))
-    both = both.unionByName(trades.select("market", F.col("ts").alias("_at"), trade.alias("_trade"), F.lit(1).alias("_kind")), allowMissingColumns=True)
-    both = both.withColumn("_block", block_of("_at", block))
-    firsts = both.groupBy("market", "_block").agg(F.min("_trade").alias("_first"))
-    later = Window.partitionBy("market").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.withColumn("_next", F.last("_first", ignorenulls=True).over(later)).drop("_first")
-    back = Window.partitionBy("market", "_block").orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_trade.seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_seen", F.last("_trade", ignorenulls=True).over(back)).where("_kind = 0")
-    return found.join(firsts, ["market", "_block"]).select("_row.*", F.coalesce("_seen", "_next").alias(name))
-
-
-def price_range(probes: DataFrame, trades: DataFrame, key: list[str], start: str, end: str, seconds: int) -> DataFrame:
-    """``probes`` with the least and the greatest price of their market's trades in [start, end].
-    Both are joined on short steps of time, so no probe meets trades far from its range."""
-    step = max(1, seconds // 8) * MICROS
-    steps = probes.where(F.col(start) <= F.col(end)).select("market", *key, start, end, F.explode(F.sequence(F.floor(F.col(start) / step), F.floor(F.col(end) / step))).alias("_step"))
-    priced = trades.select("market", F.col("ts").alias("_t"), "price", F.floor(F.col("ts") / step).alias("_step"))
-    hits = steps.join(priced, ["market", "_step"]).where(F.col("_t").between(F.col(start), F.col(end)))
-    found = hits.groupBy("market", *key).agg(F.min("price").alias("low"), F.max("price").alias("high"))
-    return probes.join(found, ["market", *key], "left")
-
-
-def outcomes(signals: DataFrame, trades: DataFrame, key: list[str], horizon: int, max_lag: int, target_pct: float, block: int | None = None) -> DataFrame:
+    marks = sorted({(c, False) for c in first.values()} | {(a, False) for a, _ in ranges.values()} | {(b, True) for _, b in ranges.values()})
+    named = [F.struct(F.lit(k).alias("which"), F.col(c).alias("at"), F.lit(after).alias("after")) for k, (c, after) in enumerate(marks)]
+    asked = probes.select("market", F.struct(*columns).alias("row"), F.explode(F.array(*named)).alias("m")).select("market", "row", "m.*")
+    merged = shared_table(_merged(asked.where("at is not null"), trades, block), "merged")
+    # leaves are numbered through a market by counts of its blocks
+    sizes = merged.groupBy("market", "block").agg(F.count(F.when(F.col("leaf"), 1)).alias("leaves"), F.coalesce(F.sum(F.when(F.col("leaf"), F.size("trades"))), F.lit(0)).alias("size"))
+    earlier = Window.partitionBy("market").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = shared_table(sizes.withColumn("offset", F.coalesce(F.sum("leaves").over(earlier), F.lit(0))), "block-sizes")
+    numbered = merged.join(sizes, ["market", "block"])
+    leaves = numbered.where("leaf").select("market", (F.col("offset") + F.col("nth")).alias("node"), "trades", "low", "high")
+    nodes, levels = _levels(leaves), levels_above(sizes.agg(F.max(F.col("offset") + F.col("leaves") - 1)).first()[0] or 0)
+    place = lambda n: F.struct((F.col("offset") + F.floor(n / LEAF)).alias("node"), F.pmod(n, F.lit(LEAF)).cast("int").alias("place"))
+    edge = lambda node, at: F.struct(node.alias("node"), F.lit(at).alias("place"))
+    # the trade right after a mark, or for marks after their time the last one ahead of it; both may be in another block
+    following = F.when(F.col("m.ahead") < F.col("size"), place(F.col("m.ahead"))).otherwise(edge(F.col("offset") + F.col("leaves"), 0))
+    preceding = F.when(F.col("m.ahead") > 0, place(F.col("m.ahead") - 1)).otherwise(edge(F.col("offset") - 1, LEAF - 1))
+    spots = numbered.where("not leaf").select("market", "offset", "leaves", "size", F.explode("marks").alias("m"))
+    spots = spots.select("market", F.col("m.mark.row").alias("row"), F.col("m.mark.which").alias("which"), F.when(F.col("m.after"), preceding).otherwise(following).alias("spot"))
+    found = spots.groupBy("market", "row").agg(*(F.max(F.when(F.col("which") == k, F.col("spot"))).alias(f"spot{k}") for k in range(len(marks))))
+    at = {m: F.col(f"spot{k}") for k, m in enumerate(marks)}
+    requests = [_request(name, 0, at[c, False]["node"], at[c, False]["place"], at[c, False]["place"]) for name, c in first.items()]
+    for name, (a, b) in ranges.items():
+        requests += _cover(name, at[a, False], at[b, True], levels)
+    asked = found.select("market", "row", F.explode(F.array_compact(F.array(*requests))).alias("r")).select("market", "row", "r.*")
+    part = lambda values: F.slice(values, F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    hits = asked.join(nodes, ["market", "level", "node"])
+    trade = F.when(F.size("trades") > F.col("first"), F.element_at("trades", F.col("first") + 1))
+    values = [F.max(F.when(F.col("name") == n, F.struct(trade["ts"].alias("ts"), trade["seq"].alias("seq"), trade["price"].alias("price")))).alias(f"f_{n}") for n in first]
+    for n in ranges:
+        mine = F.col("name") == n
+        values += [F.min(F.when(mine, F.array_min(part("lows")))).alias(f"l_{n}"), F.max(F.when(mine, F.array_max(part("highs")))).alias(f"h_{n}")]
+    # every probe is there once for itself, with or without answers
+    alone = probes.select("market", F.struct(*columns).alias("row"), F.lit(True).alias("probe"))
+    answers = hits.unionByName(alone, allowMissingColumns=True).groupBy("market", "row").agg(F.count("probe").cast("int").alias("times"), *values)
+    out = [F.when(F.col(f"f_{n}.ts").isNotNull(), F.col(f"f_{n}")).alias(n) for n in first]
+    out += [F.when(F.col(f"l_{n}").isNotNull(), F.struct(F.col(f"l_{n}").alias("low"), F.col(f"h_{n}").alias("high"))).alias(n) for n in ranges]
+    result = shared_table(answers.withColumn("row", F.explode(F.array_repeat("row", F.col("times")))).select("row.*", *out), "looked-up")
+    discard(merged, sizes)
+    return result
+
+
+def first_at_or_after(probes: DataFrame, trades: DataFrame, at: str, name: str, block: int | None = None) -> DataFrame:
+    """``probes`` with the struct ``name`` (ts, seq, price) of the market's first trade at or after
+    ``at``, however late; null if there is none."""
+    return look_up(probes, trades, {name: at}, {}, block)
+
+
+def outcomes(signals: DataFrame, trades: DataFrame, horizon: int, max_lag: int, target_pct: float, block: int | None = None) -> DataFrame:
     """Signals with entry_price (first trade within ``max_lag`` seconds), horizon_price (first trade
     ``horizon`` seconds later or after), complete, and reached_target: whether any trade from entry
     to horizon moves ``target_pct`` percent the signal's way; null, not false, when incomplete."""
-    block = block or fitting_block(trades, ["market"])
     df = signals.withColumn("_end", F.col("ts") + horizon * MICROS)
-    df = first_at_or_after(df, trades, "ts", "entry", block)
-    df = df.withColumn("entry", F.when(F.col("entry.ts") <= F.col("ts") + max_lag * MICROS, F.col("entry")))
-    df = first_at_or_after(df, trades, "_end", "exit", block).withColumn("_start", F.col("entry.ts"))
-    df = price_range(df, trades, key, "_start", "_end", horizon)
-    entry, complete = F.col("entry.price"), F.col("entry").isNotNull() & F.col("exit").isNotNull()
-    up = (F.try_divide(F.col("high"), entry) - 1) * 100 >= target_pct
-    down = (F.try_divide(entry, F.col("low")) - 1) * 100 >= target_pct
+    df = look_up(df, trades, {"_entry": "ts", "_exit": "_end"}, {"_range": ("ts", "_end")}, block)
+    # no trade lies between the signal and its entry, so their ranges are one
+    entry = F.when(F.col("_entry.ts") <= F.col("ts") + max_lag * MICROS, F.col("_entry.price"))
+    complete = entry.isNotNull() & F.col("_exit").isNotNull()
+    up = (F.try_divide(F.col("_range.high"), entry) - 1) * 100 >= target_pct
+    down = (F.try_divide(entry, F.col("_range.low")) - 1) * 100 >= target_pct
     hit = F.coalesce(F.when(F.col("direction") == "buy", up).otherwise(down), F.lit(False))
-    return df.select(*signals.columns, entry.alias("entry_price"), F.col("exit.price").alias("horizon_price"), complete.alias("complete"), F.when(complete, hit).alias("reached_target"), F.col("exit.ts").alias("exit_ts"))
+    return df.select(*signals.columns, entry.alias("entry_price"), F.col("_exit.price").alias("horizon_price"), complete.alias("complete"), F.when(complete, hit).alias("reached_target"), F.col("_exit.ts").alias("exit_ts"))

@@ -20,7 +20,6 @@ TUNING_END, VALIDATION_START = "2024-01-16", "2024-01-17"
 START = 1_705_449_600 * MICROS  # 2024-01-17
 END = START + 14 * DAY * MICROS
 ROUND_TRIP, SEED, ITERATIONS, COOLDOWN = 0.16, 42, 200, 4 * 3600
-KEY = ["ts", "seq", "signal_type", "rule_id"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,7 +61,7 @@ _S = f"{_T},\n{_PW},\n{_LARGE},\n{_RATE},\nsig AS (SELECT * FROM large UNION ALL
 
 
 def _outcome(name: str, source: str, at: str = "ts") -> str:
-    """Outcome columns of ``source`` rows (market, direction, KEY) at the time ``at``."""
+    """Outcome columns of ``source`` rows (market, direction) at the time ``at``."""
     return f"""{name}_x AS (SELECT *, {at} AS at0, {at} + {HORIZON * MICROS} AS at1, row_number() OVER () AS rid FROM {source}),
 ft AS MATERIALIZED (SELECT market, ts, min_by(price, seq) AS price FROM t GROUP BY 1, 2),
 {name}_e AS (SELECT x.*, f.ts AS e_ts, CASE WHEN f.ts <= at0 + {LAG * MICROS} THEN f.price END AS entry_price FROM {name}_x x ASOF LEFT JOIN ft f ON x.market = f.market AND f.ts >= x.at0),
@@ -144,7 +143,7 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _done(spark: SparkSession, sf: str) -> DataFrame:
-    return shared_table(outcomes.outcomes(_signals(spark, sf), market.trades(spark, sf), KEY, HORIZON, LAG, TARGET), "outcomes")
+    return outcomes.outcomes(_signals(spark, sf), market.trades(spark, sf), HORIZON, LAG, TARGET)
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:

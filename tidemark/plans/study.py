@@ -19,7 +19,6 @@ from tidemark.operators import coverage, detect, evaluate, journal, outcomes, pa
 from tidemark.plans import render
 from tidemark.sources import market, store, wire
 
-KEY = ["ts", "seq", "signal_type", "rule_id"]
 PAYLOAD = StructType([StructField("payload", StringType())])
 #: Fields that a stored record must have.
 NEEDED = ["market", "ts_ms", "receive_ns"]
@@ -77,7 +76,7 @@ def signals(t: DataFrame, b: DataFrame, config: Config) -> DataFrame:
 
 def _outcomes(s: DataFrame, t: DataFrame, config: Config) -> DataFrame:
     v, s = config.validation, s.select(detect.SIGNAL)
-    return store.shared_table(outcomes.outcomes(s, t, KEY, v.horizon_minutes * 60, v.entry_max_lag_seconds, v.hit_threshold_pct), "outcomes")
+    return outcomes.outcomes(s, t, v.horizon_minutes * 60, v.entry_max_lag_seconds, v.hit_threshold_pct)
 
 
 def _rows(df: DataFrame, *order: str) -> list[dict]:
