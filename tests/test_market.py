@@ -1,5 +1,6 @@
 """Detectors, joins, folds and storage against sequential versions on tie-heavy rows."""
 
+import math
 import random
 from datetime import date
 
@@ -122,10 +123,9 @@ def test_bootstrap_bounds_and_reproducibility(spark):
     assert wide.ci_low <= narrow.ci_low < 0.15 < narrow.ci_high <= wide.ci_high and at(0.025) == narrow
 
 
-@pytest.mark.parametrize("n", [50, 200, 1000, 10_000])
-def test_resampled_means_spread_as_independent_draws(spark, n, monkeypatch):
-    monkeypatch.setattr(evaluate, "DRAWS", 700)  # a resample in several parts
-    plus, minus, iterations = n * 3 // 10, n // 5, 10_000 if n == 200 else 1000
+@pytest.mark.parametrize("n", [50, 1000, 10**6])
+def test_resampled_means_spread_as_independent_draws(spark, n):
+    plus, minus, iterations = n * 3 // 10, n // 5, 10_000
     counts = spark.createDataFrame([("r", n, plus, minus, 0.16)], "rule_key string, n bigint, plus bigint, minus bigint, tail double")
     ci = evaluate.bootstrap(counts, iterations, 7).first()
     mean, sd = (plus - minus) / n, ((plus + minus) / n - ((plus - minus) / n) ** 2) ** 0.5 / n**0.5
@@ -133,6 +133,24 @@ def test_resampled_means_spread_as_independent_draws(spark, n, monkeypatch):
     assert abs((ci.ci_high - ci.ci_low) / (2 * 0.9945) - sd) < 0.1 * sd + 0.5 / n and abs((ci.ci_low + ci.ci_high) / 2 - mean) < 0.15 * sd + 0.5 / n
 
 
+@pytest.mark.parametrize(("n", "plus", "minus"), [(1, 1, 0), (1, 0, 0), (2, 1, 1), (7, 3, 0), (7, 0, 7), (30, 10, 5), (300, 1, 2), (300, 150, 150)])
+def test_cumulative_table_equals_the_sum_over_all_draws(n, plus, minus):
+    rest, want = n - plus - minus, {}
+    for x in range(n + 1):
+        for y in range(n - x + 1):
+            share = math.comb(n, x) * math.comb(n - x, y) * plus**x * minus**y * rest ** (n - x - y)
+            want[x - y] = want.get(x - y, 0) + share
+    low, got = evaluate.cumulative(n, plus, minus)
+    for d in range(-n, n + 1):
+        exact = sum(v for k, v in want.items() if k <= d) / n**n
+        assert abs((0 if d < low else got[min(d - low, len(got) - 1)]) - exact) < 1e-12
+
+
+def test_cumulative_table_is_short_for_many_pairs():
+    low, got = evaluate.cumulative(10**8, 10**7, 10**7)
+    assert len(got) < 200_000 and got[-1] == 1 and abs(got[-low] - 0.5) < 1e-3
+
+
 def test_controls_differ_by_rule_and_split(spark):
     day = 86_400 * MICROS
     trades = [("A", d * day + k * 60 * MICROS, d * 1000 + k, float(k % 7 + 1), 1.0, "buy", None) for d in range(2) for k in range(600)]

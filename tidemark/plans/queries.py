@@ -19,7 +19,7 @@ MULTIPLES, RATES, THRESHOLDS, WALL = [2.0, 3.0], [1.5, 2.0], [0.4, 0.8], 50_000.
 TUNING_END, VALIDATION_START = "2024-01-16", "2024-01-17"
 START = 1_705_449_600 * MICROS  # 2024-01-17
 END = START + 14 * DAY * MICROS
-ROUND_TRIP, SEED, ITERATIONS, COOLDOWN = 0.16, 42, 200, 4 * 3600
+ROUND_TRIP, SEED, ITERATIONS, COOLDOWN = 0.16, 42, 10_000, 4 * 3600
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,10 +98,14 @@ cand AS (SELECT signal_type, k.rule_key, coalesce(n, 0) AS n, coalesce(hits, 0)
 candl AS (SELECT *, hit_rate - control_rate AS lift FROM cand),
 sel AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY signal_type ORDER BY lift DESC, n DESC, rule_key) AS place FROM candl) WHERE place = 1)"""
 _GATE = f"""{_CAND},
-vp AS MATERIALIZED (SELECT p.*, row_number() OVER (PARTITION BY rule_key ORDER BY CAST(hit AS INT) - CAST(control AS INT) = 0, CAST(hit AS INT) - CAST(control AS INT) DESC) - 1 AS idx, CAST(hit AS INT) - CAST(control AS INT) AS d FROM pairs p JOIN (SELECT rule_key FROM sel) USING (rule_key) WHERE date >= DATE '{VALIDATION_START}'),
-st AS (SELECT *, count(*) OVER () AS family FROM (SELECT rule_key, count(*) AS val_n, avg(CAST(hit AS INT)) AS val_rate, avg(CAST(control AS INT)) AS val_control FROM vp GROUP BY 1)),
-dr AS (SELECT rule_key, b, {_draw('val_n', str(SEED), "'bootstrap'", 'rule_key', 'b', 'j')} AS idx FROM (SELECT rule_key, val_n, b, unnest(range(val_n)) AS j FROM (SELECT rule_key, val_n, unnest(range({ITERATIONS})) AS b FROM st))),
-bs AS (SELECT rule_key, b, sum(d) / CAST(count(*) AS DOUBLE) AS stat FROM dr JOIN vp USING (rule_key, idx) GROUP BY 1, 2),
+vp AS MATERIALIZED (SELECT p.*, CAST(hit AS INT) - CAST(control AS INT) AS d FROM pairs p JOIN (SELECT rule_key FROM sel) USING (rule_key) WHERE date >= DATE '{VALIDATION_START}'),
+st AS MATERIALIZED (SELECT *, count(*) OVER () AS family FROM (SELECT rule_key, count(*) AS val_n, avg(CAST(hit AS INT)) AS val_rate, avg(CAST(control AS INT)) AS val_control, count(*) FILTER (WHERE d = 1) AS plus, count(*) FILTER (WHERE d = -1) AS minus FROM vp GROUP BY 1)),
+tri AS (SELECT *, val_n - plus - minus AS rest, val_n - x - y AS z FROM (SELECT *, unnest(range(val_n - x + 1)) AS y FROM (SELECT rule_key, val_n, plus, minus, unnest(range(val_n + 1)) AS x FROM st))),
+pm AS (SELECT rule_key, x - y AS d, sum(exp(lgamma(val_n + 1) - lgamma(x + 1) - lgamma(y + 1) - lgamma(z + 1) + CASE WHEN x = 0 THEN 0 ELSE x * ln(plus / val_n) END + CASE WHEN y = 0 THEN 0 ELSE y * ln(minus / val_n) END + CASE WHEN z = 0 THEN 0 ELSE z * ln(rest / val_n) END)) AS mass
+  FROM tri WHERE (x = 0 OR plus > 0) AND (y = 0 OR minus > 0) AND (z = 0 OR rest > 0) GROUP BY 1, 2),
+cd AS (SELECT rule_key, v, min(d) AS d FROM (SELECT rule_key, d, sum(mass) OVER (PARTITION BY rule_key ORDER BY d) / sum(mass) OVER (PARTITION BY rule_key) AS v FROM pm) GROUP BY 1, 2),
+dr AS (SELECT rule_key, val_n, b, ({_draw('1152921504606846976', str(SEED), "'bootstrap'", 'rule_key', 'b')} + 0.5::DOUBLE) / 1152921504606846976::DOUBLE AS u FROM (SELECT rule_key, val_n, unnest(range({ITERATIONS})) AS b FROM st)),
+bs AS (SELECT dr.rule_key, b, cd.d / CAST(val_n AS DOUBLE) AS stat FROM dr ASOF JOIN cd ON dr.rule_key = cd.rule_key AND dr.u <= cd.v),
 bo AS (SELECT *, row_number() OVER (PARTITION BY rule_key ORDER BY stat, b) - 1 AS k FROM bs),
 ci AS (SELECT rule_key, max(stat) FILTER (WHERE k = floor({ITERATIONS - 1} * (0.025::DOUBLE / family))) AS ci_low, max(stat) FILTER (WHERE k = floor({ITERATIONS - 1} * (1 - 0.025::DOUBLE / family))) AS ci_high FROM bo JOIN st USING (rule_key) GROUP BY 1),
 gt AS (SELECT signal_type, sel.rule_key, coalesce(val_n, 0) AS val_n, coalesce(val_rate, 0) AS val_rate, coalesce(val_control, 0) AS val_control,
