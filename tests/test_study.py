@@ -106,13 +106,64 @@ def test_from_frames_to_reports(spark, tmp_path):
         study.ruleset(spark, config)
 
 
-def test_no_qualified_rule_blocks_paper(spark, tmp_path):
+def test_candidates_are_those_of_the_window(spark, tmp_path):
+    """A day before the window with a rule that fires only there: it is no candidate, its signals stay stored."""
+    config = _config(tmp_path)
+    config.candidate.large_trade_multiples = [50.0]
+    early = BASE - 86_400_000
+    _write(tmp_path / "frames", [_trade(early + k * 1000, 100.0) for k in range(6)] + [_trade(early + 7000, 100.0, volume=1000.0)] + _archive())
+    _collect(spark, tmp_path, config)
+    audit = study.analyze(spark, config)
+    assert audit["tuning_start"] == "2025-01-01" and [r["rule_key"] for r in audit["candidates"] if "large" in r["rule_key"]] == []
+    stored = study.store.read(spark, config.data_root, "signals", study.StructType.fromDDL("ts bigint, rule_id string"))
+    assert stored.where("rule_id = 'large-50'").count() == 1
+
+
+def test_signals_and_alerts_in_the_order_of_events(spark, tmp_path):
+    """At one time books come before trades, then receipt, whatever the market, then rules as configured."""
+    config = _config(tmp_path)
+    config.candidate = settings.Candidate([0.8, 0.4], [3.0, 2.0], [2.0])
+    warm = [x for m in "BA" for k in range(6) for x in (_trade(BASE + k, 10.0, f"KRW-{m}"), _book(BASE + k, 50.0, 50.0, f"KRW-{m}"))]
+    at = BASE + 1000
+    _write(tmp_path / "frames", warm + [_trade(at, 100.0, "KRW-B"), _book(at, 1.0, 99.0, "KRW-B"), _trade(at, 100.0, "KRW-A"), _book(at, 1.0, 99.0, "KRW-A")])
+    _collect(spark, tmp_path, config)
+    found = study.signals(study.trades(spark, config.data_root), study.books(spark, config.data_root), config)
+    got = [(r.market[-1], r.rule_id) for r in found.where(f"ts = {at * 1000}").orderBy(*detect.EVENT_ORDER).collect()]
+    assert got == [(m, f"imbalance-{t}") for m in "BA" for t in ("0.8", "0.4")] + [(m, f"large-{k}") for m in "BA" for k in (3, 2)]
+
+
+@pytest.mark.parametrize(("rationale", "evidence", "why"), [(" ", "{}", "rationale must not be empty"), (None, "{}", "rationale"), ("x", None, "evidence must not be null")])
+def test_a_signal_says_why(spark, rationale, evidence, why):
+    df = spark.createDataFrame([(rationale, evidence)], "rationale string, evidence string")
+    with pytest.raises(Exception, match=why):
+        detect.checked(df).collect()
+
+
+def test_a_feed_that_fails_ends_collection(spark, tmp_path):
+    config, calls = _config(tmp_path), []
+
+    def universe():
+        calls.append(1)
+        if len(calls) > 1:
+            raise OSError("universe unreachable")
+        return ["KRW-A"]
+
+    f = feed.Feed(spark, config, str(tmp_path / "frames"), universe, lambda markets: None, say=lambda x: None)
+    f._refresh_due = lambda: True
+    f.watched()
+    assert str(f.failed) == "universe unreachable"
+    with pytest.raises(OSError, match="universe unreachable"):
+        cli._until_stopped([], f, type("Done", (), {"join": lambda self: None})())
+
+
+def test_no_qualified_rule_blocks_paper(spark, tmp_path, capsys):
     config = _config(tmp_path, min_validation_signals=100)
     _write(tmp_path / "frames", _archive())
     _collect(spark, tmp_path, config)
     study.analyze(spark, config)
     assert "insufficient validation sample (6/100)" in _say(spark, config, "report")
     assert _say(spark, config, "paper") == "paper blocked: no validation-qualified rules\n" and _say(spark, config, "alert") == ""
+    assert "alerts blocked: no validation-qualified rules" in capsys.readouterr().err
 
 
 def test_live_detection_equals_replay_when_nothing_is_filtered(spark, tmp_path):

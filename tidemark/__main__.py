@@ -49,10 +49,12 @@ def _collect(spark: SparkSession, config: settings.Config, args) -> None:
         module, _, name = args.feed.partition(":")
         source = getattr(importlib.import_module(module), name)()
         connections = feed.Feed(spark, config, args.frames, source.universe, source.connect)
-        worker = threading.Thread(target=connections.run, args=(1 if args.once else None,))
+        worker = threading.Thread(target=connections.watched, args=(1 if args.once else None,))
         worker.start()
         if args.once:
             worker.join()
+            if connections.failed:
+                raise connections.failed
     frames = spark.readStream.schema(live.FRAMES).option("maxFilesPerTrigger", args.files_per_batch).json(args.frames)
     running = live.collect(frames, config.data_root, args.checkpoint, config, list(rules), args.once)
     if args.once:
@@ -65,14 +67,15 @@ def _collect(spark: SparkSession, config: settings.Config, args) -> None:
 
 
 def _until_stopped(running: list, connections: feed.Feed | None, worker: threading.Thread | None) -> None:
-    """Wait for the queries' end or for SIGINT or SIGTERM; then what the feed holds is written, and what
-    has arrived goes through the queries before they stop. Progress is told every ten seconds."""
+    """Wait for the queries' end, for SIGINT or SIGTERM, or for a feed that fails; then what the feed holds is written,
+    and what has arrived goes through the queries before they stop. A failed feed is an error in the
+    end. Progress is told every ten seconds."""
     asked = threading.Event()
     if threading.current_thread() is threading.main_thread():
         for s in (signal.SIGINT, signal.SIGTERM):
             signal.signal(s, lambda *_: asked.set())
     told = time.time()
-    while any(q.isActive for q in running) and not asked.wait(0.2):
+    while any(q.isActive for q in running) and not asked.wait(0.2) and not (connections and connections.failed):
         if time.time() - told >= feed.PROGRESS_SECONDS:
             told = time.time()
             rows = {q.name: q.lastProgress["numInputRows"] for q in running if q.lastProgress}
@@ -81,11 +84,13 @@ def _until_stopped(running: list, connections: feed.Feed | None, worker: threadi
         connections.stop.set()
         worker.join()
     for q in running:
-        if asked.is_set():
+        if asked.is_set() or connections and connections.failed:
             if q.isActive:
                 q.processAllAvailable()
             q.stop()
         q.awaitTermination()
+    if connections and connections.failed:
+        raise connections.failed
 
 
 def run(args, config: settings.Config, spark: SparkSession) -> int:

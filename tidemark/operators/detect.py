@@ -115,6 +115,25 @@ def merged(trade_signals: list[DataFrame], book_signals: list[DataFrame]) -> Dat
     return out
 
 
+def in_event_order(signals: DataFrame, rules: list[str]) -> DataFrame:
+    """``signals`` with is_trade and rule_no: what found them goes by time, books before trades, seq, and the
+    rules (``rules``, keys in the order in which they are tried)."""
+    keys = F.array(*map(F.lit, rules))
+    kind = F.col("signal_type").isin("large_aggressive_trade", "trade_rate_acceleration").cast("int")
+    return signals.withColumns({"is_trade": kind, "rule_no": F.array_position(keys, F.concat_ws(":", "signal_type", "rule_id")).cast("int") - 1})
+
+
+#: The order of events that ``in_event_order`` prepares.
+EVENT_ORDER = ["ts", "is_trade", "seq", "rule_no"]
+
+
+def checked(signals: DataFrame) -> DataFrame:
+    """``signals``, of which one without a rationale or without evidence is an error when it is read."""
+    blank = F.coalesce(F.trim("rationale") == "", F.lit(True))
+    evidence = F.coalesce(F.col("evidence"), F.raise_error(F.lit("signal evidence must not be null")).cast("string"))
+    return signals.withColumns({"rationale": F.when(blank, F.raise_error(F.lit("signal rationale must not be empty")).cast("string")).otherwise(F.col("rationale")), "evidence": evidence})
+
+
 def snapshot(signals: DataFrame) -> DataFrame:
     """``signals`` with ``market_snapshot``: market, time, feature, baseline and evidence as JSON."""
     head = F.to_json(F.struct("market", F.col("ts").alias("exchange_ts"), F.col("feature_value").alias("feature"), "baseline"))

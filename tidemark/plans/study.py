@@ -64,14 +64,23 @@ def live_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def signals(t: DataFrame, b: DataFrame, config: Config) -> DataFrame:
-    """All signals of the whole archive: a filter on dates below the detectors would change them."""
+    """All signals of the whole archive, with their places in the order of events: a filter on dates below the
+    detectors would change them."""
     window, c = config.trade_rate_window_seconds, config.candidate
     parts = [
         *detect.trade_signals(t, c.large_trade_multiples, c.trade_rate_multiples, window),
         detect.imbalance(b, c.imbalance_thresholds),
         detect.wall_drop(b, config.wall_min_krw),
     ]
-    return store.shared_table(reduce(DataFrame.unionByName, parts).withColumn("rationale", detect.rationale(window, config.wall_min_krw)), "signals")
+    found = detect.in_event_order(reduce(DataFrame.unionByName, parts), rule_order(config))
+    return store.shared_table(detect.checked(found.withColumn("rationale", detect.rationale(window, config.wall_min_krw))), "signals")
+
+
+def rule_order(config: Config) -> list[str]:
+    """Keys of all rules, those of trades and those of books each in the order in which a record is tried."""
+    c, n = config.candidate, detect.number
+    trade = [f"large_aggressive_trade:large-{n(m)}" for m in c.large_trade_multiples] + [f"trade_rate_acceleration:rate-{n(m)}" for m in c.trade_rate_multiples]
+    return [*trade, *(f"orderbook_imbalance:imbalance-{n(t)}" for t in c.imbalance_thresholds), "wall_disappearance:wall-drop"]
 
 
 def _outcomes(s: DataFrame, t: DataFrame, config: Config) -> DataFrame:
@@ -110,9 +119,11 @@ def analyze(spark: SparkSession, config: Config) -> dict:
     window = _window(present, config)
     found = signals(t, b, config)
     done = _outcomes(found, t, config)
-    pairs = evaluate.control_pairs(done, t, v.horizon_minutes * 60, v.entry_max_lag_seconds, v.hit_threshold_pct, v.bootstrap_seed, window["tuning_end"])
-    pairs = store.shared_table(pairs.where(F.col("date") >= F.lit(window["tuning_start"]).cast("date")), "pairs")
-    tried = store.shared_table(evaluate.candidates(found, pairs, window["tuning_end"]), "candidates")
+    inside = F.col("ts").between(_stamp(window["tuning_start"]), _stamp(window["validation_end"]) + DAY * MICROS - 1)
+    pairs = evaluate.control_pairs(done.where(inside), t, v.horizon_minutes * 60, v.entry_max_lag_seconds, v.hit_threshold_pct, v.bootstrap_seed, window["tuning_end"])
+    pairs = store.shared_table(pairs, "pairs")
+    # a rule that never fired in the window is no candidate
+    tried = store.shared_table(evaluate.candidates(found.where(inside), pairs, window["tuning_end"]), "candidates")
     selected = store.shared_table(evaluate.select_rules(tried), "selected")
     late = pairs.where(F.col("date") >= F.lit(window["validation_start"]).cast("date"))
     results = _rows(evaluate.gate(selected, late, v.bootstrap_iterations, v.bootstrap_seed, v.min_validation_signals, v.family_wise_correction), "signal_type")
@@ -199,13 +210,16 @@ def _clear(spark: SparkSession, root: str, *datasets: str) -> None:
 
 
 def alerts(spark: SparkSession, config: Config) -> Iterator[dict]:
-    """The alerts that the archive would have given, in event order, one at a time."""
+    """The alerts that the archive would have given, in the order of events, one at a time; Blocked
+    without any qualified rule."""
     config.check()
     root, audit = config.data_root, ruleset(spark, config)
     rules = qualified(audit)
+    if not rules:
+        raise Blocked("no validation-qualified rules")
     found = _of_rules(signals(trades(spark, root), books(spark, root), config), list(rules))
     sent = paper.cooldown(found, ["market", "rule_id"], config.alert.cooldown_seconds, ["ts", "seq"]).where("emitted")
-    for row in sent.orderBy("ts", "market", "signal_type", "rule_id", "seq").toLocalIterator():
+    for row in sent.orderBy(*detect.EVENT_ORDER).toLocalIterator():
         s = row.asDict()
         key = f"{row.signal_type}:{row.rule_id}"
         yield {"emitted_at": datetime.now(UTC).isoformat(), "rule_key": key, "rationale": row.rationale, "signal": s, "validation": rules[key], "window": {k: audit[k] for k in ("tuning_start", "tuning_end", "validation_start", "validation_end")}}

@@ -54,16 +54,16 @@ BOOK = f"market string, ts_ms bigint, receive_ns bigint, ask double, bid double,
 
 
 def _numbered(records: DataFrame, order: list[str]) -> DataFrame:
-    """``ts`` and ``seq``, unique in a market as long as no millisecond of it holds a million records, and
-    rising with ``order`` among rows of one time; only such rows are sorted together, never a market."""
-    place = F.row_number().over(Window.partitionBy("market", "ts_ms").orderBy(*order))
+    """``ts`` and ``seq``, unique as long as no millisecond holds a million records, and rising with
+    ``order`` among rows of one time, whatever their market; only such rows are sorted together."""
+    place = F.row_number().over(Window.partitionBy("ts_ms").orderBy(*order))
     return records.withColumns({"ts": F.col("ts_ms") * 1000, "seq": F.col("ts_ms") * 2**20 + place})
 
 
 def trades_of(records: DataFrame) -> DataFrame:
-    """Trades of stored records, in the order time, receipt, sequence id (none first), price, volume,
-    side. Notional is kept to a hundredth, so that sums are exact in any order."""
-    rows = _numbered(records, ["receive_ns", "sequential_id", "price", "volume", "side"])
+    """Trades of stored records, in the order time, receipt, market, sequence id (none first), price,
+    volume, side. Notional is kept to a hundredth, so that sums are exact in any order."""
+    rows = _numbered(records, ["receive_ns", "market", "sequential_id", "price", "volume", "side"])
     return rows.select("market", "ts", "seq", "price", "volume", "side", (F.col("price") * F.col("volume")).cast("decimal(18,2)").alias("notional"))
 
 
@@ -73,8 +73,8 @@ def arrivals_of(records: DataFrame) -> DataFrame:
 
 
 def books_of(records: DataFrame) -> DataFrame:
-    """Books of stored records, in the order time, receipt, total sizes, levels."""
-    rows = books_from_levels(_numbered(records, ["receive_ns", "ask", "bid", "levels"]))
+    """Books of stored records, in the order time, receipt, market, total sizes, levels."""
+    rows = books_from_levels(_numbered(records, ["receive_ns", "market", "ask", "bid", "levels"]))
     return rows.select("market", "ts", "seq", "ask", "bid", "ask_wall", "bid_wall", "levels")
 
 

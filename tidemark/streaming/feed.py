@@ -38,6 +38,7 @@ class Feed:
         self.held: list[tuple] = []
         self.epoch, self.taken, self.pause = -1, 0, 1
         self.lost_at: float | None = None
+        self.failed: Exception | None = None
         self.started = self.flushed = self.told = clock()
         self.day = datetime.fromtimestamp(self.started, UTC)
         self.markets = universe()
@@ -88,6 +89,14 @@ class Feed:
                 self.say(f"collect: elapsed={self.told - self.started:.0f}s markets={len(self.markets)} frames={self.taken} buffered={len(self.held)}")
         return None
 
+    def watched(self, connections: int | None = None) -> None:
+        """``run`` for a thread of its own: what ends it, such as a universe that cannot be fetched or a folder that
+        cannot be written, is kept in ``failed`` for who waits."""
+        try:
+            self.run(connections)
+        except Exception as why:  # noqa: BLE001 - handed over to the waiting thread
+            self.failed = why
+
     def run(self, connections: int | None = None) -> None:
         """Connect again and again, at most ``connections`` times; pauses double up to a minute and start
         anew after a connection."""
