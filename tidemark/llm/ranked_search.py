@@ -22,21 +22,29 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialize, table
 
-#: What separates terms.
-SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of terms: letters, digits and all beyond ASCII; the rest separates.
+_IN_TERM = np.zeros(256, bool)
+_IN_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: A to Z lower-cased, nothing else.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 TOP = 10
 #: The sample that the tree is fitted on: documents, and the terms of it that are kept (the most frequent).
-SAMPLE, SAMPLE_TERMS = 4096, 1 << 16
+SAMPLE, SAMPLE_TERMS = 2048, 1 << 16
 #: Levels of the tree, and rounds of swaps of one bisection.
 LEVELS, SWAPS = 6, 10
-#: Documents and bytes of terms that a task bisects at once, and documents of a shard.
-CHUNK, CHUNK_BYTES, SHARD = 2048, 48 << 20, 256
+#: Documents and bytes of texts that a task bisects at once, and documents of a shard.
+CHUNK, CHUNK_BYTES, SHARD = 1024, 4 << 20, 256
+#: Each leaf is dealt into one part for so many documents of the whole table.
+SALT = 1 << 15
 #: Shards that a query's first round visits, and how much more each further round does.
 FIRST, MORE = 8, 8
+#: Shards named in a broadcast, at most.
+WANTED = 1_000_000
 #: Terms of queries that are answered together.
 QUERY_TERMS = 500_000
 #: Bytes of texts that are cut into terms at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
@@ -50,14 +58,28 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, pa.Array]
         first = last
 
 
+def _spots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts' bytes: the bytes, which are in a term, where terms begin, and where each text does."""
+    filled = pc.fill_null(texts.cast(pa.string()), "")
+    raw = filled.buffers()
+    ends = np.frombuffer(raw[1], np.int32)[filled.offset : filled.offset + len(filled) + 1].astype(np.int64)
+    data = np.frombuffer(raw[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    offsets, inside = ends - ends[0], _IN_TERM[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    begins[first] = inside[first]
+    return data, inside, np.flatnonzero(begins), offsets
+
+
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(text, code) of every term in order, and the terms that the codes stand for."""
-    parts = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), SEPARATOR)
-    flat = parts.flatten()
-    real = pc.greater(pc.binary_length(flat), 0)
-    text = pc.list_parent_indices(parts).filter(real).to_numpy(zero_copy_only=False)
-    coded = flat.filter(real).dictionary_encode()
-    return text, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    data, inside, begins, offsets = _spots(texts)
+    kept = _LOWER[data[inside]]
+    ends = np.append(np.cumsum(inside, dtype=np.int32)[begins] - 1, len(kept)).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(kept)])
+    coded = terms.dictionary_encode()
+    return np.searchsorted(offsets, begins, "right") - 1, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
 def counted(text: np.ndarray, code: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,10 +94,8 @@ def lengths(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in slices(batch.column(0)):
-                parts = pc.split_pattern_regex(pc.fill_null(part, ""), SEPARATOR)
-                empty = pc.equal(pc.binary_length(parts.flatten()), 0)
-                gone = np.bincount(pc.list_parent_indices(parts).filter(empty).to_numpy(zero_copy_only=False), minlength=len(part))
-                yield pa.RecordBatch.from_arrays([pa.array(pc.list_value_length(parts).to_numpy(zero_copy_only=False) - gone, pa.int64())], ["n"])
+                _, _, begins, offsets = _spots(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(np.searchsorted(begins, offsets)), pa.int64())], ["n"])
 
     return docs.select("text").mapInArrow(run, "n bigint")
 
@@ -126,10 +146,11 @@ def reordered(starts: np.ndarray, terms: np.ndarray, n_terms: int, size: int) ->
 @dataclass
 class Tree:
     """For each node of LEVELS bisections (1 is the root, 2k and 2k + 1 are below k) what a term tells for
-    going left; more than 0 in all goes left."""
+    going left, and the sum above which a text does: the sample's median, so that leaves are about equal."""
 
     terms: pa.Array
     lean: np.ndarray
+    cut: np.ndarray
 
     def leaf(self, text: np.ndarray, code: np.ndarray, dictionary: pa.Array, n: int) -> np.ndarray:
         """The leaf of each of ``n`` texts with the distinct terms (text, code)."""
@@ -138,7 +159,7 @@ class Tree:
         node = np.ones(n, np.int64)
         for _ in range(LEVELS):
             sums = np.bincount(text, weights=self.lean[node[text], known], minlength=n)
-            node = node * 2 + (sums <= 0)
+            node = node * 2 + (sums <= self.cut[node])
         return node - (1 << LEVELS)
 
 
@@ -153,7 +174,7 @@ def fit(texts: pa.Array) -> Tree:
     place[kept] = np.arange(len(kept))
     text, code = text[place[code] >= 0], place[code[place[code] >= 0]]
     starts = np.searchsorted(text, np.arange(len(texts) + 1))
-    lean = np.zeros((1 << LEVELS, len(kept)), np.float32)
+    lean, cut = np.zeros((1 << LEVELS, len(kept)), np.float32), np.zeros(1 << LEVELS)
     nodes = {1: np.arange(len(texts))}
     for k in range(1, 1 << LEVELS):
         docs = nodes.pop(k, np.arange(0))
@@ -162,8 +183,10 @@ def fit(texts: pa.Array) -> Tree:
         left, right = bisect(starts, code, docs, len(kept))
         share = [(np.bincount(np.concatenate([code[starts[d] : starts[d + 1]] for d in half] or [code[:0]]), minlength=len(kept)) + 0.5) / (len(half) + 1) for half in (left, right)]
         lean[k] = np.log2(share[0] / share[1])
-        nodes[2 * k], nodes[2 * k + 1] = left, right
-    return Tree(dictionary.take(pa.array(kept)), lean)
+        sums = np.array([lean[k][code[starts[d] : starts[d + 1]]].sum(dtype=np.float64) for d in docs])
+        cut[k] = np.median(sums)
+        nodes[2 * k], nodes[2 * k + 1] = docs[sums > cut[k]], docs[sums <= cut[k]]
+    return Tree(dictionary.take(pa.array(kept)), lean, cut)
 
 
 def _fitted(docs: DataFrame, rows: int) -> Tree:
@@ -174,22 +197,22 @@ def _fitted(docs: DataFrame, rows: int) -> Tree:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = fit(pa.concat_arrays([pa.array([], pa.string()), *(b.column(0).cast(pa.string()) for b in batches)]))
-        yield pa.RecordBatch.from_arrays([pa.array([tree.terms.to_pylist()], pa.list_(pa.string())), pa.array([tree.lean.tobytes()], pa.binary())], ["terms", "lean"])
+        yield pa.RecordBatch.from_arrays([pa.array([tree.terms.to_pylist()], pa.list_(pa.string())), pa.array([tree.lean.tobytes()], pa.binary()), pa.array([tree.cut.tolist()], pa.list_(pa.float64()))], ["terms", "lean", "cut"])
 
-    row = drawn.repartition(1).mapInArrow(run, "terms array<string>, lean binary").first()
-    return Tree(pa.array(row.terms, pa.string()), np.frombuffer(row.lean, np.float32).reshape(1 << LEVELS, -1))
+    row = drawn.repartition(1).mapInArrow(run, "terms array<string>, lean binary, cut array<double>").first()
+    return Tree(pa.array(row.terms, pa.string()), np.frombuffer(row.lean, np.float32).reshape(1 << LEVELS, -1), np.array(row.cut))
 
 
-def _shards(ids: list, sizes: list, terms: pa.Array, starts: np.ndarray, tf: np.ndarray, rows: int, total: int) -> Iterator[dict]:
+def _shards(ids: list, texts: pa.Array, rows: int, total: int) -> Iterator[dict]:
     """The shards of one chunk of documents, in the order of its bisection."""
-    coded = terms.dictionary_encode()
-    code, n_terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
-    shared = np.bincount(code, minlength=n_terms) > 1
-    doc = np.repeat(np.arange(len(ids)), np.diff(starts))
-    edge = shared[code]
+    text, code, dictionary = terms_of(texts)
+    sizes, n_terms = np.bincount(text, minlength=len(ids)), len(dictionary)
+    doc, code, tf = counted(text, code, n_terms)
+    starts = np.searchsorted(doc, np.arange(len(ids) + 1))
+    edge = np.bincount(code, minlength=n_terms)[code] > 1  # a term of one document draws it nowhere
     edge_starts = np.searchsorted(doc[edge], np.arange(len(ids) + 1))
-    rank = pc.rank(coded.dictionary, sort_keys="ascending").to_numpy(zero_copy_only=False).astype(np.int64) - 1  # terms sorted
-    m = 100 - 90 + 90 * np.array(sizes, np.int64) * rows // total
+    rank = pc.rank(dictionary, sort_keys="ascending").to_numpy(zero_copy_only=False).astype(np.int64) - 1  # terms sorted
+    m = 100 - 90 + 90 * sizes.astype(np.int64) * rows // total
     impact = 1_000_000_000 * tf // (1000 * tf + 8 * m[doc])
     for docs in reordered(edge_starts, code[edge], n_terms, SHARD):
         docs = np.array(sorted(docs.tolist(), key=lambda d: (ids[d] is None, ids[d] or 0, d)))  # ties of scores go by id
@@ -199,8 +222,8 @@ def _shards(ids: list, sizes: list, terms: pa.Array, starts: np.ndarray, tf: np.
         own = code[at][order]
         firsts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         yield {
-            "doc_ids": [ids[d] for d in docs], "terms": coded.dictionary.take(pa.array(own[firsts])).to_pylist(), "ends": np.append(firsts[1:], len(own)).astype(np.int32).tobytes(),
-            "docs": local[order].astype(np.int32).tobytes(), "impacts": impact[at][order].astype(np.int32).tobytes(), "tops": np.maximum.reduceat(impact[at][order], firsts).tobytes(),
+            "doc_ids": [ids[d] for d in docs], "terms": dictionary.take(pa.array(own[firsts])).to_pylist(), "ends": np.append(firsts[1:], len(own)).astype(np.int32).tobytes(),
+            "docs": local[order].astype(np.uint16).tobytes(), "impacts": impact[at][order].astype(np.int32).tobytes(), "tops": np.maximum.reduceat(impact[at][order], firsts).tobytes(),
         }
 
 
@@ -212,40 +235,35 @@ def build_index(docs: DataFrame, rows: int, total: int) -> DataFrame:
     """One row per shard: its documents by id, its terms in order with the ends of their postings, and each
     posting's document and impact, for ``rows`` documents with terms and ``total`` terms in all.
 
-    Every document goes to its leaf and a salt, so a leaf that most documents go to is many
-    tasks; a task takes CHUNK documents at a time, so its memory does not depend on a leaf's size."""
+    Every document goes to its leaf and a salt, so a leaf that many documents go to, such as copies of one text, is
+    many tasks; a task takes CHUNK documents at a time, so its memory does not depend on a leaf's size."""
     spark = docs.sparkSession
     tree = spark.sparkContext.broadcast(_fitted(docs, rows))  # 64 nodes by SAMPLE_TERMS terms at most: 16 MB
-    salts = max(1, rows // (CHUNK << LEVELS))
+    salts = max(1, rows // SALT)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in slices(batch.column(1)):
                 text, code, dictionary = terms_of(part)
-                sizes = np.bincount(text, minlength=len(part))
-                text, code, times = counted(text, code, len(dictionary))
-                ends = np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32)
-                terms, tf = pa.ListArray.from_arrays(pa.array(ends), dictionary.take(pa.array(code))), pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32)))
+                some = np.bincount(text, minlength=len(part)) > 0
+                text, code, _ = counted(text, code, len(dictionary))
                 leaf = tree.value.leaf(text, code, dictionary, len(part))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(leaf, pa.int32()), pa.array(sizes, pa.int64()), terms, tf], ["doc_id", "leaf", "n", "terms", "tf"])
-                yield out.filter(pa.array(sizes > 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), part, pa.array(leaf, pa.int32())], ["doc_id", "text", "leaf"]).filter(pa.array(some))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, leaf, room, n, made = [], None, CHUNK_BYTES, 0, TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, room, n, made
-            rows_of = pa.Table.from_batches(held).combine_chunks()
-            terms, tf = (rows_of.column(c).combine_chunks() for c in ("terms", "tf"))
-            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            for s in _shards(rows_of.column("doc_id").to_pylist(), rows_of.column("n").to_pylist(), terms.flatten(), starts, tf.flatten().to_numpy(zero_copy_only=False).astype(np.int64), rows, total):
+            chunk = pa.Table.from_batches(held).combine_chunks()
+            for s in _shards(chunk.column("doc_id").to_pylist(), chunk.column("text").combine_chunks(), rows, total):
                 yield pa.RecordBatch.from_pylist([s | {"shard": made}], schema=_SHARD_SCHEMA)
                 made += 1
             held, room, n = [], CHUNK_BYTES, 0
 
         for batch in batches:
             leaves = batch.column("leaf").to_numpy()
-            weights = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64) * 16)
+            weights = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
             first = 0
             while first < batch.num_rows:
                 if held and leaves[first] != leaf:
@@ -261,9 +279,10 @@ def build_index(docs: DataFrame, rows: int, total: int) -> DataFrame:
         if held:
             yield from flush()
 
-    routed = docs.mapInArrow(route, "doc_id bigint, leaf int, n bigint, terms array<string>, tf array<int>")
+    # the texts themselves go to their leaves: they are shorter than their terms
+    routed = docs.mapInArrow(route, "doc_id bigint, text string, leaf int")
     dealt = routed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).repartition("leaf", "salt").sortWithinPartitions("leaf")
-    index = materialize(dealt.select("doc_id", "leaf", "n", "terms", "tf").mapInArrow(shard, _SHARD_KIND), "index")
+    index = materialize(dealt.select("doc_id", "text", "leaf").mapInArrow(shard, _SHARD_KIND), "index")
     tree.unpersist()
     return index
 
@@ -341,7 +360,7 @@ def visit(index: DataFrame, queries, low: np.ndarray, high: np.ndarray, least: n
                 place = np.full(len(lo), -1)
                 place[now] = np.arange(len(now))
                 entry = np.flatnonzero((place[q.query] >= 0) & (at[q.term] >= 0))
-                ends, docs, impacts = (_numbers(batch.column(c)[k], np.int32).astype(np.int64) for c in ("ends", "docs", "impacts"))
+                ends, docs, impacts = (_numbers(batch.column(c)[k], t).astype(np.int64) for c, t in (("ends", np.int32), ("docs", np.uint16), ("impacts", np.int32)))
                 begins, where = np.concatenate([[0], ends[:-1]]), at[q.term[entry]]
                 sizes = ends[where] - begins[where]
                 posting = np.repeat(begins[where] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -377,14 +396,16 @@ def _answer(index: DataFrame, queries, n: int) -> DataFrame:
         for r in cuts:
             low[r.query] = r.low
         lows = spark.createDataFrame([(r.query, r.low) for r in cuts], "query int, low bigint")
-        wanted = open_.join(F.broadcast(lows), "query").where("bound >= low").select("shard").distinct()
-        seen = visit(index.join(wanted, "shard", "left_semi"), queries, low, high, least)
+        wanted = materialize(open_.join(F.broadcast(lows), "query").where("bound >= low").select("shard").distinct(), "wanted")
+        # without the broadcast every shard's row is looked at, which changes nothing but the time
+        some = len(wanted.select(F.lit(1)).take(WANTED + 1)) <= WANTED
+        seen = visit(index.join(F.broadcast(wanted), "shard", "left_semi") if some else index, queries, low, high, least)
         best = materialize(best.select("query", "doc_id", "score").unionByName(seen).withColumn("rank", ranked).where(F.col("rank") <= TOP), "best")
-        done.append(best)
+        done += [wanted, best]
         for r in best.where(F.col("rank") == TOP).collect():
             least[r.query] = max(least[r.query], r.score)
         high, count = low, count * MORE
-    discard(bounds, *done[:-1])
+    discard(bounds, *(x for x in done if x is not best))
     return best.select("query", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
