@@ -210,6 +210,34 @@ def test_drawdown_in_blocks(spark):
         assert abs(paper.drawdown(trades, held, block).first()[0] - fall) < 1e-5
 
 
+@pytest.mark.parametrize("block", [1, 10, 10**6])
+def test_drawdown_of_an_account_that_falls_below_nothing(spark, block):
+    """Sleeves that lose more than all turn sign; a fall to below 0 is measured from the highest peak before it."""
+    for seed in range(4):
+        rng, sleeves, value, peak, fall = random.Random(seed), {"A": 1.0, "B": 1.0}, 1.0, 1.0, 0.0
+        rows = [(rng.choice("AB"), k, "s", "r", k, "filled", (k + rng.randint(0, 5)) * MICROS, rng.choice([-250.0, -130.0, -100.0, -20.0, 60.0, 150.0])) for k in range(30)]
+        for r in sorted(rows, key=lambda r: (r[6], r[0], r[1])):
+            value += sleeves[r[0]] * r[7] / 100 / 2
+            sleeves[r[0]] *= 1 + r[7] / 100
+            peak = max(peak, value)
+            fall = min(fall, (value - peak) / peak * 100)
+        trades = spark.createDataFrame(rows, "market string, ts bigint, signal_type string, rule_id string, seq bigint, state string, exit_ts bigint, net_pct double")
+        got = paper.drawdown(trades, spark.createDataFrame([("A",), ("B",)], "market string"), block).first()[0]
+        assert fall < -100 and got == pytest.approx(fall, abs=1e-6)
+
+
+def test_tallies_come_from_one_scan(spark, tmp_path):
+    rows = [("A", "s", "r1", "filled", 10.0), ("A", "s", "r2", "filled", -5.0), ("B", "s", "r1", "skipped", None), ("X", "s", "r1", "incomplete", None)]
+    spark.createDataFrame(rows, "market string, signal_type string, rule_id string, state string, net_pct double").write.parquet(str(tmp_path / "p"))
+    tallied = paper.tallies(spark.read.parquet(str(tmp_path / "p")))
+    assert tallied._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("FileScan") == 1
+    assert {r.rule_key: (r.trades, r.skipped, r.incomplete, r.wins, r.mean_net_pct) for r in paper.by_rule(tallied).collect()} == {"s:r1": (1, 1, 1, 1, 10.0), "s:r2": (1, 0, 0, 0, -5.0)}
+    held = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("C", 3.0)], "market string, hold_pct double")
+    assert {r.market: (r.trades, r.return_pct, r.excess_pct) for r in paper.by_market(tallied, held).collect()} == {"A": (2, 4.5, 3.5), "B": (0, 0.0, -2.0), "C": (0, 0.0, -3.0)}
+    assert paper.summary(tallied, held).first().asDict() == {"markets": 3, "strategy_pct": 1.5, "hold_pct": 2.0, "excess_pct": -0.5, "trades": 2, "skipped": 1, "incomplete": 1, "wins": 1, "verdict": "HOLD"}
+    assert paper.summary(paper.tallies(spark.read.parquet(str(tmp_path / "p")).limit(0)), held.limit(0)).first().trades == 0
+
+
 def test_a_market_outside_the_universe_takes_no_position(spark):
     rows = [("A", 0, "s", "r", 0, "buy", 10.0, 11.0, True, 5), ("X", 0, "s", "r", 1, "buy", 10.0, 11.0, True, 5), ("X", 2, "s", "r", 2, "buy", 10.0, 11.0, True, 7)]
     df = spark.createDataFrame(rows, "market string, ts bigint, signal_type string, rule_id string, seq bigint, direction string, entry_price double, horizon_price double, complete boolean, exit_ts bigint")
@@ -255,11 +283,41 @@ def test_store(spark, tmp_path, trades):
     assert store.read(spark, root, "trades", schema, date(2025, 1, 2)).count() == 0
     store.replace(store.read(spark, root, "trades", schema).where("seq < 10"), root, "trades")
     assert store.read(spark, root, "trades", schema).count() == 10
-    (tmp_path / "trades" / "date=bad").mkdir()
+    current = (tmp_path / "trades" / store.POINTER).read_text()
+    (tmp_path / "trades" / current / "date=bad").mkdir()
     with pytest.raises(ValueError, match="date=bad"):
         store.dataset_dates(spark, root, "trades")
 
 
+@pytest.mark.parametrize("point", ["append", "_point", "_fs"])
+def test_replacing_is_all_or_nothing(spark, tmp_path, monkeypatch, point):
+    """A failure while the version is written, before the rename, or while old ones are deleted."""
+    root = str(tmp_path)
+    rows = lambda n: spark.range(n).selectExpr("id", "date'2025-01-01' as date", "'A' as market")
+    ids = lambda: store.read(spark, root, "d", spark.range(1).schema).count()
+    store.replace(rows(3), root, "d")
+    store.replace(rows(5), root, "d")
+    assert ids() == 5 and len([p for p in (tmp_path / "d").iterdir() if p.name.startswith("version=")]) == 1
+    kept, calls = getattr(store, point), []
+
+    def fails(*args, **more):
+        calls.append(args)
+        if point == "_fs" and len(calls) == 1:  # the pointer's own
+            return kept(*args, **more)
+        if point == "append":
+            kept(*args, **more)  # all of it is written
+        raise OSError("killed")
+
+    monkeypatch.setattr(store, point, fails)
+    with pytest.raises(OSError, match="killed"):
+        store.replace(rows(7), root, "d")
+    monkeypatch.setattr(store, point, kept)
+    assert ids() == (7 if point == "_fs" else 5)
+    store.replace(store.read(spark, root, "d", spark.range(1).schema).where("id > 0"), root, "d")
+    assert ids() == (6 if point == "_fs" else 4) and store.dataset_dates(spark, root, "d") == [date(2025, 1, 1)]
+    assert len([p for p in (tmp_path / "d").iterdir() if p.name.startswith("version=")]) == 1
+
+
 def test_wire(spark):
     frames = ['{"type":"trade","code":"K","timestamp":1,"trade_price":2.0,"trade_volume":1.0,"ask_bid":"?","sequential_id":18446744073709551615}', '{"type":"trade","code":"K"}', '{"type":"x"}', "no json"]
     out = wire.normalize(spark.createDataFrame([(f,) for f in frames], "frame string"))

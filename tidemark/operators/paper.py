@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeline import MICROS, fitting_block, one_at_a_time, running
+from tidemark.functions.timeline import MICROS, block_of, fitting_block, one_at_a_time
+from tidemark.sources.store import shared_table
 
 
 def cooldown(signals: DataFrame, keys: list[str], seconds: int, order: list[str], block: int | None = None) -> DataFrame:
@@ -37,10 +38,15 @@ def paper_trades(done: DataFrame, start_ts: int, end_ts: int, round_trip: float,
     return out.withColumn("state", state).drop("_free").withColumn("net_pct", F.when(F.col("state") == "filled", net))
 
 
-def tally(trades: DataFrame, *keys: str) -> DataFrame:
-    """Counts, wins, mean and compounded net result per key."""
+def tallies(trades: DataFrame) -> DataFrame:
+    """Counts, wins, mean and compounded net result per rule (``section`` rule, rule_key), per market (market)
+    and of all (total), from one pass over ``trades`` by grouping sets."""
     filled = F.col("state") == "filled"
-    return trades.groupBy(*keys).agg(
+    keyed = trades.select(F.concat_ws(":", "signal_type", "rule_id").alias("rule_key"), "market", "state", "net_pct")
+    sets = keyed.groupingSets([[F.col("rule_key")], [F.col("market")], []], F.col("rule_key"), F.col("market"))
+    level = F.grouping_id()
+    return sets.agg(
+        F.when(level == 1, "rule").when(level == 2, "market").otherwise("total").alias("section"),
         F.count(F.when(filled, 1)).alias("trades"),
         F.count(F.when(F.col("state") == "skipped", 1)).alias("skipped"),
         F.count(F.when(F.col("state") == "incomplete", 1)).alias("incomplete"),
@@ -50,6 +56,10 @@ def tally(trades: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def by_rule(tallied: DataFrame) -> DataFrame:
+    return tallied.where("section = 'rule'").drop("section", "market")
+
+
 def hold(trades: DataFrame, start_ts: int, end_ts: int, round_trip: float) -> DataFrame:
     """Buy-and-hold per market of the window: first and last price in trade order."""
     key = F.struct("ts", "seq")
@@ -57,9 +67,9 @@ def hold(trades: DataFrame, start_ts: int, end_ts: int, round_trip: float) -> Da
     return ends.withColumn("hold_pct", F.round((F.try_divide(F.col("last_price"), F.col("first_price")) - 1) * 100 - round_trip, 6))
 
 
-def by_market(trades: DataFrame, held: DataFrame) -> DataFrame:
+def by_market(tallied: DataFrame, held: DataFrame) -> DataFrame:
     """Every market of the window's universe; one without trades returned nothing."""
-    done = tally(trades, "market")
+    done = tallied.where("section = 'market'").drop("section", "rule_key")
     joined = held.join(done, "market", "left").na.fill(0)
     return joined.withColumn("excess_pct", F.round(F.col("return_pct") - F.col("hold_pct"), 6))
 
@@ -68,30 +78,53 @@ def drawdown(trades: DataFrame, held: DataFrame, block: int | None = None) -> Da
     """The equally weighted account's largest fall from a peak, in percent (0 or less).
 
     Sleeves start at 1 and change at closes, in order of exit; a close changes the account by its
-    sleeve's change over the number of markets. The account's one timeline is in blocks too."""
-    closes = trades.where("state = 'filled'").join(held.select("market"), "market", "left_semi")
+    sleeve's change over the number of markets. A block is told by each market's growth in it, which multiplies
+    over blocks; that gives every block its sleeves and account to begin with, so closes are walked
+    once. A block then leaves its peak, its own largest fall and its low, and these merge: its low falls from
+    the peaks before it. A value below 0, which a higher peak makes a smaller fall, is kept with its own peak."""
+    closes = trades.where("state = 'filled'").join(held.select("market"), "market", "left_semi").select("exit_ts", "market", "ts", "signal_type", "rule_id", (1 + F.col("net_pct") / 100).alias("factor"))
     block = block or fitting_block(closes, [], ts="exit_ts")
-    order = ["exit_ts", "market", "ts", "signal_type", "rule_id"]
-    own = F.log(1 + F.col("net_pct") / 100)
-    closes = running(closes, ["market"], [c for c in order if c != "market"], F.sum, own, "_growth", block, "exit_ts")
-    closes = closes.withColumn("_delta", F.exp("_growth") - F.exp(F.col("_growth") - own))
-    markets = max(1, held.count())
-    closes = running(closes, [], order, F.sum, F.col("_delta") / markets, "_change", block, "exit_ts").withColumn("value", 1 + F.col("_change"))
-    closes = running(closes, [], order, F.max, F.col("value"), "_peak", block, "exit_ts").withColumn("peak", F.greatest(F.lit(1.0), "_peak"))
-    fall = closes.agg(F.min((F.col("value") - F.col("peak")) / F.col("peak") * 100).alias("fall"))
-    return fall.select(F.round(F.least(F.lit(0.0), F.coalesce("fall", F.lit(0.0))), 6).alias("max_drawdown_pct"))
-
-
-def summary(trades: DataFrame, held: DataFrame) -> DataFrame:
+    markets = held.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("markets"))
+    closes = closes.withColumn("block", block_of("exit_ts", block))
+    earlier = Window.partitionBy("market").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    grown = closes.groupBy("market", "block").agg(F.product("factor").alias("growth")).crossJoin(F.broadcast(markets))  # one row
+    grown = shared_table(grown.withColumn("sleeve", F.coalesce(F.product("growth").over(earlier), F.lit(1.0))), "growth")
+    change = F.sum(F.col("sleeve") * (F.col("growth") - 1) / F.col("markets"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    starts = grown.groupBy("block").agg(change.alias("change")).withColumn("start", 1 + F.coalesce(F.sum("change").over(before), F.lit(0.0))).drop("change")
+    rows = closes.join(grown.drop("growth").join(starts, "block"), ["market", "block"])
+    own = ["exit_ts", "ts", "signal_type", "rule_id"]
+    up_to = Window.partitionBy("market", "block").orderBy(*own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_after", F.col("sleeve") * F.product("factor").over(up_to))
+    was = F.coalesce(F.lag("_after").over(Window.partitionBy("market", "block").orderBy(*own)), F.col("sleeve"))
+    rows = rows.withColumn("_delta", (F.col("_after") - was) / F.col("markets"))
+    account = Window.partitionBy("block").orderBy("exit_ts", "market", "ts", "signal_type", "rule_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("value", F.col("start") + F.sum("_delta").over(account)).withColumn("peak", F.greatest(F.lit(1.0), F.max("value").over(account)))
+    positive = F.when(F.col("value") >= 0, F.col("value"))
+    parts = rows.groupBy("block", F.when(F.col("value") < 0, F.col("peak")).alias("with_peak")).agg(F.max("peak").alias("peak"), F.min(positive / F.col("peak") - 1).alias("fall"), F.min(positive).alias("low"), F.min(F.when(F.col("value") < 0, F.col("value"))).alias("below"))
+    return merged_fall(parts)
+
+
+def merged_fall(parts: DataFrame) -> DataFrame:
+    """The one row of ``drawdown`` from blocks' summaries."""
+    peaks = parts.groupBy("block").agg(F.max("peak").alias("p")).withColumn("peak_before", F.coalesce(F.max("p").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))).drop("p")
+    all_ = parts.join(peaks, "block")
+    fall = F.least("fall", F.col("low") / F.col("peak_before") - 1, F.col("below") / F.greatest("peak_before", "with_peak") - 1)
+    return all_.agg(F.round(F.least(F.lit(0.0), F.coalesce(F.min(fall) * 100, F.lit(0.0))), 6).alias("max_drawdown_pct"))
+
+
+def summary(tallied: DataFrame, held: DataFrame) -> DataFrame:
     """The study's one row: counts over all, equally weighted strategy and hold, excess, verdict."""
-    markets = by_market(trades, held)
-    total = markets.agg(
-        F.count(F.lit(1)).alias("markets"),
-        F.coalesce(F.round(F.avg("return_pct"), 6), F.lit(0.0)).alias("strategy_pct"),
-        F.coalesce(F.round(F.avg("hold_pct"), 6), F.lit(0.0)).alias("hold_pct"),
-        F.coalesce(F.round(F.avg("excess_pct"), 6), F.lit(0.0)).alias("excess_pct"),
-    )
+    both = tallied.where("section <> 'rule'").join(held.select("market", "hold_pct", F.lit(True).alias("_held")), "market", "full")
+    both = both.withColumn("return_pct", F.coalesce("return_pct", F.lit(0.0)))
+    of_held = lambda c: F.coalesce(F.round(F.avg(F.when(F.col("_held"), c)), 6), F.lit(0.0))
     names = ["trades", "skipped", "incomplete", "wins"]
-    counts = tally(trades, "market").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    total = both.agg(
+        F.count("_held").alias("markets"),
+        of_held(F.col("return_pct")).alias("strategy_pct"),
+        of_held(F.col("hold_pct")).alias("hold_pct"),
+        of_held(F.round(F.col("return_pct") - F.col("hold_pct"), 6)).alias("excess_pct"),
+        *(F.coalesce(F.sum(F.when(F.col("section") == "total", F.col(c))), F.lit(0)).alias(c) for c in names),
+    )
     verdict = F.when(F.round("excess_pct", 3) > 0, "STRATEGY").when(F.round("excess_pct", 3) < 0, "HOLD").otherwise("TIE")
-    return total.select("*", *(F.lit(counts[c]).cast("bigint").alias(c) for c in names), verdict.alias("verdict"))
+    return total.withColumn("verdict", verdict)

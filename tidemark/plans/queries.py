@@ -351,12 +351,12 @@ def paper_trades(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"{_PAPER},\n{_HOLD} SELECT * FROM bx", recursive=True)
 def paper_by_market(spark: SparkSession, sf: str) -> DataFrame:
-    return paper.by_market(_paper(spark, sf), _held(spark, sf))
+    return paper.by_market(paper.tallies(_paper(spark, sf)), _held(spark, sf))
 
 
 @_query(f"{_PAPER} SELECT * EXCLUDE (return_pct) FROM (SELECT signal_type || ':' || rule_id AS rule_key, {_TALLY} FROM pt GROUP BY 1)", recursive=True)
 def paper_by_rule(spark: SparkSession, sf: str) -> DataFrame:
-    return paper.tally(_paper(spark, sf).withColumn("rule_key", evaluate.rule_key()), "rule_key").drop("return_pct")
+    return paper.by_rule(paper.tallies(_paper(spark, sf))).drop("return_pct")
 
 
 @_query(f"{_PAPER},\n{_HOLD} SELECT * FROM hd", recursive=True)
@@ -377,7 +377,7 @@ def equity_drawdown(spark: SparkSession, sf: str) -> DataFrame:
 cc AS (SELECT count(*) FILTER (WHERE state = 'filled') AS trades, count(*) FILTER (WHERE state = 'skipped') AS skipped, count(*) FILTER (WHERE state = 'incomplete') AS incomplete, count(*) FILTER (WHERE net_pct > 0) AS wins FROM pt)
 SELECT *, CASE WHEN round(excess_pct, 3) > 0 THEN 'STRATEGY' WHEN round(excess_pct, 3) < 0 THEN 'HOLD' ELSE 'TIE' END AS verdict FROM tt, cc""", recursive=True)
 def paper_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return paper.summary(_paper(spark, sf), _held(spark, sf))
+    return paper.summary(paper.tallies(_paper(spark, sf)), _held(spark, sf))
 
 
 @_query("SELECT event_id, event_type AS market, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, epoch_us(ts) // 1000 AS ts_ms FROM events")

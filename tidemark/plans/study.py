@@ -190,12 +190,13 @@ def paper_study(spark: SparkSession, config: Config) -> dict | None:
     done = _outcomes(_of_rules(signals(t, b, config), list(rules)), t, config)
     held = store.shared_table(paper.hold(t, start, end, config.round_trip_pct), "held")
     filled = store.shared_table(paper.paper_trades(done, start, end, config.round_trip_pct, held), "paper")
-    per_rule = {r["rule_key"]: r for r in _rows(paper.tally(filled.withColumn("rule_key", evaluate.rule_key()), "rule_key"), "rule_key")}
+    tallied = store.shared_table(paper.tallies(filled), "tallies")
+    per_rule = {r["rule_key"]: r for r in _rows(paper.by_rule(tallied), "rule_key")}
     none = {"trades": 0, "skipped": 0, "incomplete": 0, "wins": 0, "mean_net_pct": 0.0, "return_pct": 0.0}
-    total = paper.summary(filled, held).first().asDict() | paper.drawdown(filled, held).first().asDict()
+    total = paper.summary(tallied, held).first().asDict() | paper.drawdown(filled, held).first().asDict()
     study = {
         "start": audit["validation_start"], "end": audit["validation_end"], "horizon_minutes": config.validation.horizon_minutes, "fee_bps": config.paper.fee_bps, "slippage_bps": config.paper.slippage_bps,
-        "rules": [per_rule.get(k, none | {"rule_key": k}) for k in sorted(rules)], "markets": _rows(paper.by_market(filled, held), "market"), "total": total,
+        "rules": [per_rule.get(k, none | {"rule_key": k}) for k in sorted(rules)], "markets": _rows(paper.by_market(tallied, held), "market"), "total": total,
     }
     store.replace(_day(filled.where("state = 'filled'")), root, "paper_trades")
     stored = spark.createDataFrame([(json.dumps(study), date.fromisoformat(study["end"]), "ALL")], "payload string, date date, market string")
