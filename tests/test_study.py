@@ -2,7 +2,9 @@
 
 import io
 import json
+import os
 import random
+import time
 from collections import Counter
 from contextlib import redirect_stdout
 from datetime import UTC, datetime
@@ -13,7 +15,7 @@ from tidemark import __main__ as cli
 from tidemark import config as settings
 from tidemark.operators import detect, journal
 from tidemark.plans import render, study
-from tidemark.streaming import feed, live
+from tidemark.streaming import feed, live, progress
 
 BASE = int(datetime(2025, 1, 1, tzinfo=UTC).timestamp()) * 1000
 
@@ -208,11 +210,11 @@ def test_live_sequence_checks_epochs_and_cooldown(spark, tmp_path):
     assert study.trades(spark, config.data_root).count() == 6  # raw records stay
     links = study.connections(spark, config).orderBy("ts", "state").select("state", "gap_ms").collect()
     assert [tuple(r) for r in links if r.state != "stalled"] == [("connected", None), ("disconnected", None), ("connected", 1)] and sum(r.state == "stalled" for r in links) == 1
-    alerts = events.where("kind = 'signal'").orderBy("ts").select("alert").collect()
-    assert [r.alert for r in alerts] == [True, False, False, True, False]
-    live.send_alerts(spark, config.data_root, str(tmp_path / "state"), once=True).awaitTermination()
-    live.send_alerts(spark, config.data_root, str(tmp_path / "state"), once=True).awaitTermination()  # nothing is sent again
-    assert spark.read.json(f"{config.data_root}/alerts").count() == 2
+    assert events.where("kind = 'signal' and alert").count() == 5
+    for _ in range(2):  # nothing is sent again
+        live.send_alerts(spark, config.data_root, str(tmp_path / "state"), config, {}, {}, once=True, show=lambda x: None).awaitTermination()
+    sent = spark.read.schema(live.SENT).json(f"{config.data_root}/alerts").orderBy("ts").collect()
+    assert [(r.ts // 1000 - BASE - 20) // 60_000 for r in sent] == [0, 15]
 
 
 def test_an_older_ruleset_is_an_error(spark, tmp_path):
@@ -225,7 +227,7 @@ def test_an_older_ruleset_is_an_error(spark, tmp_path):
 
 def test_an_alert_that_cannot_be_shown_is_recorded(spark, tmp_path):
     config, shown = _config(tmp_path), []
-    _write(tmp_path / "frames", [_book(BASE, 50.0, 50.0), _book(BASE + 1, 10.0, 90.0), _book(BASE + 2, 10.0, 90.0, "KRW-B")])
+    _write(tmp_path / "frames", [_book(BASE, 50.0, 50.0), _book(BASE + 1, 10.0, 90.0, "KRW-A"), _book(BASE + 2, 10.0, 90.0, "KRW-B")])
     _collect(spark, tmp_path, config, ["orderbook_imbalance:imbalance-0.4"])
 
     def show(text):
@@ -233,12 +235,116 @@ def test_an_alert_that_cannot_be_shown_is_recorded(spark, tmp_path):
             raise OSError("no terminal")
         shown.append(text)
 
-    live.print_alerts(spark, config.data_root, str(tmp_path / "state"), {}, {}, once=True, show=show).awaitTermination()
-    assert len(shown) == 1 and "validation record unavailable" in shown[0]
+    live.send_alerts(spark, config.data_root, str(tmp_path / "state"), config, {}, {}, once=True, show=show).awaitTermination()
+    assert shown == []
     links = study.connections(spark, config).where("state = 'alert_error'").collect()
     assert len(links) == 1 and study.live_events(spark, config.data_root).where("alert").count() == 2
 
 
+def test_alerts_that_cannot_be_written_pause_nothing(spark, tmp_path, monkeypatch):
+    """The cooldown counts what is written: after a failure the next signal of the rule is due; a batch that is
+    repeated is neither doubled nor paused by itself."""
+    config, shown = _config(tmp_path), []
+    rows = lambda minutes: spark.createDataFrame([("KRW-A", (BASE + m * 60_000) * 1000, m, "signal", "orderbook_imbalance", "imbalance-0.4", "buy", 0.5, 0.0, "{}", None, True, "why", "{}") for m in minutes], live.STORED.removesuffix(", date date"))
+    send = lambda: live.send_alerts(spark, config.data_root, str(tmp_path / "state"), config, {}, {}, once=True, show=shown.append).awaitTermination()
+    put = lambda minutes: rows(minutes).withColumn("date", study.utc_date()).coalesce(1).write.mode("append").partitionBy("date").parquet(f"{config.data_root}/live_events")
+    put([0])
+    with monkeypatch.context() as m:
+        m.setattr(live, "due_alerts", lambda *args: (_ for _ in ()).throw(OSError("disk full")))
+        send()
+    assert shown == [] and [r.detail for r in spark.read.parquet(f"{config.data_root}/connection_events").collect()] == ["disk full"]
+    put([1, 2, 17])
+    send()
+    assert len(shown) == 2 and "validation record unavailable" in shown[0]
+    sent = spark.read.schema(live.SENT + ", batch bigint").json(f"{config.data_root}/alerts")
+    assert sorted((r.receive_ns, r.batch) for r in sent.collect()) == [(1, 1), (17, 1)]
+    again = live.due_alerts(rows([1, 2, 17]), live._alerts_before(spark, config.data_root, 1), 900)  # the same batch once more
+    assert sorted(r.receive_ns for r in again.collect()) == [1, 17]
+    assert live.due_alerts(rows([18, 31, 32]), live._alerts_before(spark, config.data_root, 2), 900).count() == 1
+
+
+def test_progress_is_what_batches_observe(spark, tmp_path):
+    config, said, now = _config(tmp_path), [], [0.0]
+    _write(tmp_path / "frames", [_trade(BASE + k, 1.0, f"KRW-{'AB'[k % 2]}") for k in range(7)] + [_book(BASE, 1.0, 2.0, "KRW-C")])
+    counted = progress.Progress(said.append, lambda: now.append(now[-1] + 6) or now[-1])
+    spark.streams.addListener(counted)
+    try:
+        _collect(spark, tmp_path, config)
+        for _ in range(100):  # listeners are told a little later
+            if counted.records == {"trades": 7, "orderbooks": 1} and counted.state_rows:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counted)
+    assert counted.records == {"trades": 7, "orderbooks": 1} and counted.markets == {"KRW-A", "KRW-B", "KRW-C"} and counted.errors == 0
+    assert "markets=3 orderbooks=1 trades=7 state=" in counted.line() and said
+
+
+def test_windows_go_on_in_parts_between_batches(spark, tmp_path, monkeypatch):
+    """Many small batches, parts of three trades, quiet times and a new connection against one sequential pass."""
+    monkeypatch.setattr(live, "PART", 3)
+    config, rng, ms = _config(tmp_path), random.Random(9), BASE
+    config.trade_rate_window_seconds = 30
+    config.candidate = settings.Candidate([0.4], [1.5, 2.0], [1.2, 2.0])
+    frames, epochs = [], []
+    for k in range(300):
+        ms += rng.choice([0, 200, 1000, 4000, 70_000 if k % 50 == 0 else 0])
+        frames.append(_trade(ms, float(rng.randint(1, 90)), rng.choice(["KRW-A", "KRW-B"])))
+        epochs.append(k // 200)
+    (tmp_path / "frames").mkdir()
+    rows = [{"frame": json.dumps(f), "receive_ns": m * 1_000_000 + i, "epoch": epochs[i]} for i, (m, f) in enumerate(frames)]
+    for n in range(6):
+        path = tmp_path / "frames" / f"{n}.json"
+        path.write_text("\n".join(map(json.dumps, rows[n * 50 : n * 50 + 50])) + "\n")
+        os.utime(path, (n + 1, n + 1))
+    _collect(spark, tmp_path, config)
+    got = sorted((r.receive_ns, r.rule_id, r.feature_value, round(r.baseline, 6)) for r in study.live_events(spark, config.data_root).where("kind = 'signal'").collect())
+    want, seen, armed = [], {}, set()
+    for r, (m, f) in zip(rows, frames):
+        key = (f["code"], r["epoch"])
+        past = seen[key] = [x for x in seen.get(key, []) if x[0] >= m - 30_000]
+        n, mean = len(past), sum(x[1] for x in past) / max(len(past), 1)
+        for rule, value, base, on in [(f"large-{x}", f["trade_price"], mean, n >= 5 and f["trade_price"] > mean * float(x)) for x in ("1.5", "2")] + [(f"rate-{x}", n / 30, 5 / 30, n >= 5 and n / 30 > 5 / 30 * float(x)) for x in ("1.2", "2")]:
+            if on and (*key, rule) not in armed:
+                want.append((r["receive_ns"], rule, value, round(base, 6)))
+            (armed.add if on else armed.discard)((*key, rule))
+        past.append((m, f["trade_price"]))
+    assert got == sorted(want) and len(want) > 20
+
+
+def test_queries_stop_when_what_arrived_is_through(spark, tmp_path):
+    config = _config(tmp_path)
+    config.flush_interval_seconds = 1
+    _write(tmp_path / "frames", [_trade(BASE + k, 1.0) for k in range(20)] + [_book(BASE, 50.0, 50.0), _book(BASE + 1, 10.0, 90.0)])
+    frames = spark.readStream.schema(live.FRAMES).option("maxFilesPerTrigger", 1).json(str(tmp_path / "frames"))
+    running = live.collect(frames, config.data_root, str(tmp_path / "state"), config, [])
+    for q in running:
+        live.finish(q)
+    assert not any(q.isActive for q in running)
+    assert study.trades(spark, config.data_root).count() == 20 and study.live_events(spark, config.data_root).where("signal_type = 'orderbook_imbalance'").count() == 1
+
+
+def test_a_market_without_frames_is_stalled_while_others_send(spark, tmp_path):
+    config, folder = _config(tmp_path), tmp_path / "frames"
+    config.stall_timeout_seconds = 4
+    _write(folder, [_trade(BASE, 1.0, "KRW-A"), _trade(BASE, 1.0, "KRW-B")])
+    frames = spark.readStream.schema(live.FRAMES).json(str(folder))
+    with live.settings(spark, live._STATE_STORE):
+        found = live.detect_live(live.records_of(live.wire.normalize(frames)), config, [])
+        query = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    stalled, end = [], time.time() + 90
+    try:
+        while time.time() < end and not stalled:
+            aside = tmp_path / "aside.json"  # B goes on
+            aside.write_text(json.dumps({"frame": json.dumps(_trade(BASE + 1, 1.0, "KRW-B")[1]), "receive_ns": time.time_ns(), "epoch": 0}) + "\n")
+            aside.rename(folder / f"{time.time_ns()}.json")
+            time.sleep(0.5)
+            stalled = [r.market for r in spark.read.schema(live.FOUND).parquet(str(tmp_path / "out")).where("kind = 'stalled'").collect()] if list((tmp_path / "out").glob("*.parquet")) else []
+    finally:
+        query.stop()
+    assert stalled == ["KRW-A"]
+
+
 def test_feed_states_stalls_pauses_and_refresh(spark, tmp_path):
     config = _config(tmp_path)
     config.stall_timeout_seconds, config.flush_interval_seconds, config.daily_refresh_utc_hour = 3, 5, 1

@@ -8,13 +8,12 @@ import json
 import signal
 import sys
 import threading
-import time
 
 from pyspark.sql import SparkSession
 
 from tidemark import config as settings
 from tidemark.plans import render, study
-from tidemark.streaming import feed, live
+from tidemark.streaming import feed, live, progress
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -56,38 +55,34 @@ def _collect(spark: SparkSession, config: settings.Config, args) -> None:
             if connections.failed:
                 raise connections.failed
     frames = spark.readStream.schema(live.FRAMES).option("maxFilesPerTrigger", args.files_per_batch).json(args.frames)
+    told = progress.Progress()
+    spark.streams.addListener(told)
     running = live.collect(frames, config.data_root, args.checkpoint, config, list(rules), args.once)
     if args.once:
         for q in running:
             q.awaitTermination()
     if rules:
-        running.append(live.send_alerts(spark, config.data_root, args.checkpoint, args.once))
-        running.append(live.print_alerts(spark, config.data_root, args.checkpoint, rules, audit, args.once))
+        running.append(live.send_alerts(spark, config.data_root, args.checkpoint, config, rules, audit, args.once))
     _until_stopped(running, connections, worker)
+    spark.streams.removeListener(told)
+    print(told.line(), file=sys.stderr)
 
 
 def _until_stopped(running: list, connections: feed.Feed | None, worker: threading.Thread | None) -> None:
     """Wait for the queries' end, for SIGINT or SIGTERM, or for a feed that fails; then what the feed holds is written,
-    and what has arrived goes through the queries before they stop. A failed feed is an error in the
-    end. Progress is told every ten seconds."""
+    and what has arrived goes through the queries before they stop. A failed feed is an error in the end."""
     asked = threading.Event()
     if threading.current_thread() is threading.main_thread():
         for s in (signal.SIGINT, signal.SIGTERM):
             signal.signal(s, lambda *_: asked.set())
-    told = time.time()
     while any(q.isActive for q in running) and not asked.wait(0.2) and not (connections and connections.failed):
-        if time.time() - told >= feed.PROGRESS_SECONDS:
-            told = time.time()
-            rows = {q.name: q.lastProgress["numInputRows"] for q in running if q.lastProgress}
-            print("collect: rows of the last batch: " + ", ".join(f"{k}={n}" for k, n in rows.items()), file=sys.stderr)
+        pass
     if connections:
         connections.stop.set()
         worker.join()
     for q in running:
         if asked.is_set() or connections and connections.failed:
-            if q.isActive:
-                q.processAllAvailable()
-            q.stop()
+            live.finish(q)
         q.awaitTermination()
     if connections and connections.failed:
         raise connections.failed

@@ -1,6 +1,8 @@
 """Live collection: raw records, live signals with their alerts, and sequence checks, from a stream of frames.
 
 Every sink is a streaming file sink, so a restart from its checkpoint neither loses nor repeats rows.
+Live state is keyed by market in RocksDB: a batch reads and writes a market's few values, appends its
+trades to the window as one part, and takes off the parts that have left it.
 Live detection differs from a replay on purpose: it follows arrival, drops records whose sequence id
 does not rise, and starts anew with each connection (``epoch``). Raw records are always kept, and
 nothing is dropped as late: a late row goes to the folder of its own date.
@@ -11,50 +13,116 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.config import Config
 from tidemark.operators.detect import LEAST, WALL_LEFT, number, rationale, snapshot
 from tidemark.operators.journal import EVENT
+from tidemark.operators.paper import cooldown
 from tidemark.plans import render
 from tidemark.sources import market, store, wire
 
 #: A frame with its arrival in nanoseconds and the number of its connection.
 FRAMES = "frame string, receive_ns bigint, epoch bigint"
-#: What the detector finds: signals (``alert`` when it is to be sent), and integrity_* rows.
+#: What the detector finds: signals (``alert`` when their rule is qualified), integrity_* rows, and ``stalled`` markets.
 FOUND = "market string, ts bigint, receive_ns bigint, kind string, signal_type string, rule_id string, direction string, feature_value double, baseline double, evidence string, detail string, alert boolean"
 #: ... as they are stored.
 STORED = f"{FOUND}, rationale string, market_snapshot string, date date"
-_STATE = "epoch bigint, last_id string, times array<bigint>, notionals array<double>, active array<string>, wall double, wall_side string, alert_keys array<string>, alert_times array<bigint>"
+#: Alerts as they are sent.
+SENT = f"{STORED}, rule_key string, emitted_at timestamp"
+_VALUES = "epoch bigint, last_id string, total double, n bigint, first bigint, done bigint, next bigint, active array<string>, wall double, wall_side string"
+#: Trades of one part of a window.
+PART = 4096
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings while a query is started: it keeps a copy of them, the session's own are put back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Rolling:
+    """The trades of one market's window with their count and sum. Stored parts are read one at a time and from
+    the oldest on, when something of them leaves; what a batch adds is stored as parts of its own."""
+
+    def __init__(self, parts, total: float, n: int, first: int, done: int, next_: int) -> None:
+        self.parts, self.total, self.n = parts, total, n
+        self.first, self.done, self.next = first, done, next_
+        self.part: tuple[list, list] | None = None
+        self.fresh: tuple[list, list] = ([], [])
+        self.gone = 0  # of the fresh ones
+
+    def clear(self) -> None:
+        for k in range(self.first, self.next):
+            self.parts.removeKey((k,))
+        self.total, self.n, self.first, self.done = 0.0, 0, self.next, 0
+        self.part, self.fresh, self.gone = None, ([], []), 0
+
+    def expire(self, bound: int) -> None:
+        """Take off what is older than ``bound``."""
+        while self.n:
+            stored = self.first < self.next
+            if stored and self.part is None:
+                times, notionals = self.parts.getValue((self.first,))
+                self.part = list(times), list(notionals)
+            times, notionals = self.part if stored else self.fresh
+            at = self.done if stored else self.gone
+            if times[at] >= bound:
+                return
+            self.total, self.n = self.total - notionals[at], self.n - 1
+            if not stored:
+                self.gone += 1
+            elif at + 1 == len(times):
+                self.parts.removeKey((self.first,))
+                self.first, self.done, self.part = self.first + 1, 0, None
+            else:
+                self.done += 1
+        self.total = 0.0
+
+    def add(self, ts: int, notional: float) -> None:
+        self.fresh[0].append(ts)
+        self.fresh[1].append(notional)
+        self.total, self.n = self.total + notional, self.n + 1
+
+    def store(self) -> None:
+        times, notionals = self.fresh[0][self.gone :], self.fresh[1][self.gone :]
+        for k in range(0, len(times), PART):
+            self.parts.updateValue((self.next,), (times[k : k + PART], notionals[k : k + PART]))
+            self.next += 1
 
 
 class Detector:
     """One market's state, a record at a time."""
 
-    def __init__(self, config: Config, qualified: list[str], state: tuple | None) -> None:
+    def __init__(self, config: Config, qualified: list[str], values: tuple | None, parts) -> None:
         self.config, self.qualified = config, qualified
-        self.start(None)
-        self.alerted: dict[str, int] = {}
-        if state:
-            self.epoch, last, times, notionals, active, self.wall, self.wall_side, keys, sent = state
-            self.last_id = None if last is None else int(last)
-            self.times, self.notionals, self.active = list(times), list(notionals), set(active)
-            self.alerted = dict(zip(keys, sent, strict=True))
-            self.total = sum(self.notionals)
+        if values is None:
+            values = (None, None, 0.0, 0, 0, 0, 0, [], None, None)
+        self.epoch, last, total, n, first, done, next_, active, self.wall, self.wall_side = values
+        self.last_id, self.active = None if last is None else int(last), set(active)
+        self.window = Rolling(parts, total, n, first, done, next_)
 
     def start(self, epoch: int | None) -> None:
-        """A new connection: nothing before it counts, except what alerts were sent."""
-        self.epoch, self.last_id, self.wall, self.wall_side = epoch, None, None, None
-        self.times, self.notionals, self.total, self.active = [], [], 0.0, set()
+        """A new connection: nothing before it counts."""
+        self.epoch, self.last_id, self.wall, self.wall_side, self.active = epoch, None, None, None, set()
+        self.window.clear()
 
-    def state(self) -> tuple:
-        last = None if self.last_id is None else str(self.last_id)
-        return (self.epoch, last, self.times, self.notionals, sorted(self.active), self.wall, self.wall_side, list(self.alerted), list(self.alerted.values()))
+    def values(self) -> tuple:
+        w = self.window
+        w.store()
+        return (self.epoch, None if self.last_id is None else str(self.last_id), float(w.total), w.n, w.first, w.done, w.next, sorted(self.active), self.wall, self.wall_side)
 
     def _fires(self, rule: str, active: bool) -> bool:
         """Whether ``rule`` turned active; an inactive record re-arms it."""
@@ -63,12 +131,7 @@ class Detector:
         return active and not was
 
     def _row(self, r, kind: str, signal_type=None, rule=None, direction=None, feature=None, baseline=None, evidence=None, detail=None) -> dict:
-        alert = False
-        if kind == "signal":
-            key, pause = f"{signal_type}:{rule}", self.config.alert.cooldown_seconds * 1_000_000
-            alert = key in self.qualified and (key not in self.alerted or r.ts >= self.alerted[key] + pause)
-            if alert:
-                self.alerted[key] = r.ts
+        alert = kind == "signal" and f"{signal_type}:{rule}" in self.qualified
         return {"market": r.market, "ts": r.ts, "receive_ns": r.receive_ns, "kind": kind, "signal_type": signal_type, "rule_id": rule, "direction": direction,
                 "feature_value": feature, "baseline": baseline, "evidence": evidence and json.dumps(evidence), "detail": detail, "alert": alert}
 
@@ -85,23 +148,18 @@ class Detector:
                 return [self._row(r, kind, detail=f"{found} after {self.last_id}")]
             self.last_id = found
         window, notional, out = self.config.trade_rate_window_seconds, r.price * r.volume, []
-        gone = next((i for i, t in enumerate(self.times) if t >= r.ts - window * 1_000_000), len(self.times))
-        if gone:
-            self.total -= sum(self.notionals[:gone])
-            del self.times[:gone], self.notionals[:gone]
-        n = len(self.times)
-        mean = self.total / max(n, 1)
+        self.window.expire(r.ts - window * 1_000_000)
+        n, total = self.window.n, self.window.total
+        mean = total / max(n, 1)
         seen = {"source": "trade", "trigger": {"market": r.market, "ts": r.ts, "price": r.price, "volume": r.volume, "side": r.side}, "rolling_trade_count": n}
         for m in self.config.candidate.large_trade_multiples:
             if self._fires(rule := f"large-{number(m)}", n >= LEAST and notional > mean * m):
-                out.append(self._row(r, "signal", "large_aggressive_trade", rule, r.side, notional, mean, seen | {"rolling_notional_sum": self.total, "rolling_notional_mean": mean}))
+                out.append(self._row(r, "signal", "large_aggressive_trade", rule, r.side, notional, mean, seen | {"rolling_notional_sum": total, "rolling_notional_mean": mean}))
         rate, base = n / window, LEAST / window
         for m in self.config.candidate.trade_rate_multiples:
             if self._fires(rule := f"rate-{number(m)}", n >= LEAST and rate > base * m):
                 out.append(self._row(r, "signal", "trade_rate_acceleration", rule, r.side, rate, base, seen | {"window_seconds": window, "rolling_rate_per_second": rate, "baseline_rate_per_second": base}))
-        self.times.append(r.ts)
-        self.notionals.append(notional)
-        self.total += notional
+        self.window.add(r.ts, notional)
         return out
 
     def _book(self, r) -> list[dict]:
@@ -124,20 +182,50 @@ class Detector:
         return out
 
 
-def detect_live(records: DataFrame, config: Config, qualified: list[str]) -> DataFrame:
-    """``records`` (is_trade, market, ts, receive_ns, epoch and the fields of trades or books) as a
-    stream to FOUND rows. State per market: one window of trades and a few values per rule. A batch's
-    rows of a market are sorted by arrival in its task, so batches are to be limited at the source."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        detector = Detector(config, qualified, state.get if state.exists else None)
-        rows = pd.concat(list(parts), ignore_index=True).sort_values("receive_ns", kind="stable")
-        found = [x for r in rows.astype({"sequential_id": object}).itertuples(index=False) for x in detector.take(r)]
-        state.update(detector.state())
+class LiveDetector(StatefulProcessor):
+    """A market's values and window parts as keyed state, and a timer that tells when nothing has come for too long."""
+
+    def __init__(self, config: Config, qualified: list[str]) -> None:
+        self.config, self.qualified = config, qualified
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.values = handle.getValueState("values", _VALUES)
+        self.parts = handle.getMapState("parts", "part bigint", "times array<bigint>, notionals array<double>")
+
+    def _quiet_until(self, now: int | None) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(now + self.config.stall_timeout_seconds * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        detector = Detector(self.config, self.qualified, self.values.get() if self.values.exists() else None, self.parts)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("receive_ns", kind="stable")
+        found = [x for r in batch.astype({"sequential_id": object}).itertuples(index=False) for x in detector.take(r)]
+        self.values.update(detector.values())
+        self._quiet_until(timerValues.getCurrentProcessingTimeInMs())
         if found:
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
+            yield pd.DataFrame(found, columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        row = dict.fromkeys(_COLUMNS) | {"market": key[0], "ts": at * 1000, "receive_ns": at * 1_000_000, "kind": "stalled", "detail": "no frame within stall timeout", "alert": False}
+        yield pd.DataFrame([row], columns=_COLUMNS).astype({"feature_value": float, "baseline": float})
+
+    def close(self) -> None:
+        pass
+
+
+_COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
+_STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-    return records.groupBy("market").applyInPandasWithState(run, FOUND, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+def detect_live(records: DataFrame, config: Config, qualified: list[str]) -> DataFrame:
+    """``records`` (is_trade, market, ts, receive_ns, epoch and the fields of trades or books) as a
+    stream to FOUND rows. State per market: a few values, and its window's trades in parts. A batch's
+    rows of a market are sorted by arrival in its task, so batches are to be limited at the source. A market of which
+    nothing comes for the stall timeout gives one ``stalled`` row, whatever the others send."""
+    return records.groupBy("market").transformWithStateInPandas(LiveDetector(config, qualified), FOUND, "append", "ProcessingTime")
 
 
 def records_of(normalized: DataFrame) -> DataFrame:
@@ -153,18 +241,20 @@ def records_of(normalized: DataFrame) -> DataFrame:
     )
 
 
-def _sink(df: DataFrame, root: str, dataset: str, checkpoint: str, kind: str = "parquet", by: tuple[str, ...] = ("date", "market"), **trigger) -> StreamingQuery:
+def _sink(df: DataFrame, root: str, dataset: str, checkpoint: str, kind: str = "parquet", by: tuple[str, ...] = ("date", "market"), more: dict[str, str] | None = None, **trigger) -> StreamingQuery:
     placed = df.repartition(*by) if len(by) > 1 else df
-    return (
+    writer = (
         placed.writeStream.format(kind).option("path", f"{root}/{dataset}").option("checkpointLocation", f"{checkpoint}/{dataset}")
-        .option("compression", "zstd" if kind == "parquet" else "none").partitionBy(*by).trigger(**trigger).queryName(dataset).outputMode("append").start()
+        .option("compression", "zstd" if kind == "parquet" else "none").partitionBy(*by).trigger(**trigger).queryName(dataset).outputMode("append")
     )
+    with settings(df.sparkSession, more or {}):
+        return writer.start()
 
 
 def collect(frames: DataFrame, root: str, checkpoint: str, config: Config, qualified: list[str], once: bool = False) -> list[StreamingQuery]:
     """Start collection from a stream of FRAMES rows: ``trades`` and ``orderbooks`` as JSON payloads,
     ``dead_letters``, and ``live_events``. ``once`` takes what is there and ends; otherwise files are
-    written every flush interval."""
+    written every flush interval. Each batch of records is counted where it is made (see ``progress``)."""
     config.check()
     trigger = {"availableNow": True} if once else {"processingTime": f"{config.flush_interval_seconds} seconds"}
     normalized = wire.normalize(frames)
@@ -172,36 +262,72 @@ def collect(frames: DataFrame, root: str, checkpoint: str, config: Config, quali
     sinks = []
     for name, part in (("trades", wire.trades), ("orderbooks", wire.orderbooks)):
         rows = part(normalized, "receive_ns", "epoch")
+        rows = rows.observe(f"taken_{name}", F.count(F.lit(1)).alias("records"), F.collect_set("market").alias("markets"))
         sinks.append(_sink(rows.select(F.to_json(F.struct(*rows.columns)).alias("payload"), day.alias("date"), "market"), root, name, checkpoint, **trigger))
     bad = normalized.where("error is not null").select("frame", "error", "receive_ns", F.to_date(F.timestamp_micros((F.col("receive_ns") / 1000).cast("bigint"))).alias("date"))
     sinks.append(_sink(bad, root, "dead_letters", checkpoint, by=("date",), **trigger))
     found = detect_live(records_of(normalized), config, qualified)
     found = snapshot(found.withColumn("rationale", rationale(config.trade_rate_window_seconds, config.wall_min_krw))).withColumn("date", F.to_date(F.timestamp_micros("ts")))
-    return [*sinks, _sink(found, root, "live_events", checkpoint, **trigger)]
-
-
-def send_alerts(spark: SparkSession, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Follow ``live_events`` and append each alert once as JSON lines under its date."""
-    events = spark.readStream.schema(STORED).parquet(f"{root}/live_events")
-    alerts = events.where("alert").select("*", F.concat_ws(":", "signal_type", "rule_id").alias("rule_key"), F.current_timestamp().alias("emitted_at"))
-    trigger = {"availableNow": True} if once else {"processingTime": "10 seconds"}
-    return _sink(alerts, root, "alerts", checkpoint, kind="json", by=("date",), **trigger)
-
-
-def print_alerts(spark: SparkSession, root: str, checkpoint: str, results: dict[str, dict], window: dict, once: bool = False, show: Callable[[str], None] = print) -> StreamingQuery:
-    """Follow ``live_events`` and show each alert with its rule's validation record. An alert that cannot be
-    shown is an ``alert_error`` in the connection events; its signal is stored all the same."""
+    # taking what is there ends with the last record, without waiting for timers
+    more = _STATE_STORE | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if once else {})
+    return [*sinks, _sink(found, root, "live_events", checkpoint, more=more, **trigger)]
+
+
+def finish(query: StreamingQuery) -> None:
+    """Stop a query once what has arrived is through. Timers give the live detector batches without end, so it is through
+    when a later batch had nothing to read."""
+    if query.isActive and query.name == "live_events":
+        seen = query.lastProgress["batchId"] if query.lastProgress else -1
+        while query.isActive:
+            now = query.lastProgress
+            if now and now["batchId"] > seen and not now["numInputRows"]:
+                break
+            time.sleep(0.1)
+    elif query.isActive:
+        query.processAllAvailable()
+    query.stop()
+
+
+def _alerts_before(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """(market, rule_key, last): when an alert was last sent, by batches before this one."""
+    path = f"{root}/alerts"
+    fs, place = store._fs(spark, path)
+    if not fs.exists(place):
+        return spark.createDataFrame([], "market string, rule_key string, last bigint")
+    sent = spark.read.schema(f"{SENT}, batch bigint").json(path).where(F.col("batch") < batch)
+    return sent.groupBy("market", "rule_key").agg(F.max("ts").alias("last"))
+
+
+def due_alerts(found: DataFrame, before: DataFrame, seconds: int) -> DataFrame:
+    """Those of ``found`` (signals of qualified rules) that no alert of their market and rule, sent before or among
+    them, is within ``seconds`` of."""
+    keyed = found.withColumn("rule_key", F.concat_ws(":", "signal_type", "rule_id"))
+    later = keyed.join(before, ["market", "rule_key"], "left").where(F.col("last").isNull() | (F.col("ts") >= F.col("last") + seconds * 1_000_000)).drop("last")
+    return cooldown(later, ["market", "rule_key"], seconds, ["ts", "receive_ns"]).where("emitted").drop("emitted")
+
+
+def send_alerts(spark: SparkSession, root: str, checkpoint: str, config: Config, results: dict[str, dict], window: dict, once: bool = False, show: Callable[[str], None] = print) -> StreamingQuery:
+    """Follow ``live_events``: write each batch's alerts that are due as JSON lines under alerts/batch=N, and then show them
+    with their rules' validation records.
+
+    What has been written is what the cooldown counts: a batch that is not written sends nothing and pauses
+    nothing, and one that is repeated overwrites itself. Alerts that cannot be written or shown
+    are an ``alert_error`` in the connection events; their signals are stored all the same."""
     events = spark.readStream.schema(STORED).parquet(f"{root}/live_events")
 
-    def run(batch: DataFrame, _: int) -> None:
-        for row in batch.where("alert").orderBy("ts", "market").toLocalIterator():
-            try:
-                show(render.alert(row.asDict(), results.get(f"{row.signal_type}:{row.rule_id}"), window))
-            except Exception as why:  # noqa: BLE001 - whatever the terminal or pipe raises
-                store.append(connection_events(spark, [("alert_error", f"{row.signal_type}:{row.rule_id}: {why}", None)]), root, "connection_events")
+    def run(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        try:
+            due = due_alerts(batch.where("alert"), _alerts_before(session, root, number), config.alert.cooldown_seconds)
+            path = f"{root}/alerts/batch={number}"
+            due.withColumn("emitted_at", F.current_timestamp()).write.mode("overwrite").json(path)
+            for row in session.read.schema(SENT).json(path).orderBy("ts", "market").toLocalIterator():
+                show(render.alert(row.asDict(), results.get(row.rule_key), window))
+        except Exception as why:  # noqa: BLE001 - whatever the store, the terminal or the pipe raises
+            store.append(connection_events(session, [("alert_error", str(why)[:1000], None)]), root, "connection_events")
 
     trigger = {"availableNow": True} if once else {"processingTime": "10 seconds"}
-    return events.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/shown_alerts").trigger(**trigger).queryName("shown_alerts").start()
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/alerts").trigger(**trigger).queryName("alerts").start()
 
 
 def connection_events(spark: SparkSession, events: list[tuple], now: float | None = None) -> DataFrame:
