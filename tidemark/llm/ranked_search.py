@@ -34,7 +34,9 @@ SAMPLE, SAMPLE_TERMS = 2048, 1 << 16
 #: Levels of the tree, and rounds of swaps of one bisection.
 LEVELS, SWAPS = 6, 10
 #: Documents and bytes of texts that a task bisects at once, and documents of a shard.
-CHUNK, CHUNK_BYTES, SHARD = 1024, 4 << 20, 256
+CHUNK, CHUNK_BYTES, SHARD = 1024, 4 << 20, 128
+#: Bytes of a row group of the index, whose rows are large: a reader holds a whole one.
+ROW_GROUP = str(4 << 20)
 #: Each leaf is dealt into one part for so many documents of the whole table.
 SALT = 1 << 15
 #: Shards that a query's first round visits, and how much more each further round does.
@@ -221,19 +223,21 @@ def _shards(ids: list, texts: pa.Array, rows: int, total: int) -> Iterator[dict]
         order = np.lexsort((local, rank[code[at]]))
         own = code[at][order]
         firsts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        held = dictionary.take(pa.array(own[firsts])).buffers()  # a fresh array: its buffers start at its first term
+        offsets = np.frombuffer(held[1], np.int32)[: len(firsts) + 1]
         yield {
-            "doc_ids": [ids[d] for d in docs], "terms": dictionary.take(pa.array(own[firsts])).to_pylist(), "ends": np.append(firsts[1:], len(own)).astype(np.int32).tobytes(),
-            "docs": local[order].astype(np.uint16).tobytes(), "impacts": impact[at][order].astype(np.int32).tobytes(), "tops": np.maximum.reduceat(impact[at][order], firsts).tobytes(),
+            "doc_ids": [ids[d] for d in docs], "terms": held[2].to_pybytes()[: offsets[-1]], "cuts": offsets.tobytes(), "ends": np.append(firsts[1:], len(own)).astype(np.int32).tobytes(),
+            "docs": local[order].astype(np.uint16).tobytes(), "impacts": impact[at][order].astype(np.int32).tobytes(), "tops": np.maximum.reduceat(impact[at][order], firsts).astype(np.int32).tobytes(),
         }
 
 
-_SHARD_KIND = "shard bigint, doc_ids array<bigint>, terms array<string>, ends binary, docs binary, impacts binary, tops binary"
-_SHARD_SCHEMA = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), *((c, pa.binary()) for c in ("ends", "docs", "impacts", "tops"))])
+_SHARD_KIND = "shard bigint, doc_ids array<bigint>, terms binary, cuts binary, ends binary, docs binary, impacts binary, tops binary"
+_SHARD_SCHEMA = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("terms", "cuts", "ends", "docs", "impacts", "tops"))])
 
 
 def build_index(docs: DataFrame, rows: int, total: int) -> DataFrame:
-    """One row per shard: its documents by id, its terms in order with the ends of their postings, and each
-    posting's document and impact, for ``rows`` documents with terms and ``total`` terms in all.
+    """One row per shard: its documents by id, its terms in order (their bytes and where they are cut) with the ends of
+    their postings and their greatest impacts, and each posting's document and impact, for ``rows`` documents with terms and ``total`` terms in all.
 
     Every document goes to its leaf and a salt, so a leaf that many documents go to, such as copies of one text, is
     many tasks; a task takes CHUNK documents at a time, so its memory does not depend on a leaf's size."""
@@ -282,7 +286,7 @@ def build_index(docs: DataFrame, rows: int, total: int) -> DataFrame:
     # the texts themselves go to their leaves: they are shorter than their terms
     routed = docs.mapInArrow(route, "doc_id bigint, text string, leaf int")
     dealt = routed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).repartition("leaf", "salt").sortWithinPartitions("leaf")
-    index = materialize(dealt.select("doc_id", "text", "leaf").mapInArrow(shard, _SHARD_KIND), "index")
+    index = materialize(dealt.select("doc_id", "text", "leaf").mapInArrow(shard, _SHARD_KIND), "index", **{"parquet.block.size": ROW_GROUP})
     tree.unpersist()
     return index
 
@@ -309,7 +313,13 @@ class Queries:
 
 
 def _numbers(raw: pa.Scalar, kind: type) -> np.ndarray:
-    return np.frombuffer(raw.as_py(), kind)
+    return np.frombuffer(raw.as_buffer(), kind)
+
+
+def _terms(batch: pa.RecordBatch, k: int) -> pa.Array:
+    """The terms of a batch's shard ``k``."""
+    cuts = batch.column("cuts")[k].as_buffer()
+    return pa.Array.from_buffers(pa.string(), cuts.size // 4 - 1, [None, cuts, batch.column("terms")[k].as_buffer()])
 
 
 def document_frequencies(index: DataFrame, queries) -> dict[str, int]:
@@ -320,12 +330,12 @@ def document_frequencies(index: DataFrame, queries) -> dict[str, int]:
         df = np.zeros(len(q.words), np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                at, ends = q.found(batch.column("terms")[k].values), _numbers(batch.column("ends")[k], np.int32).astype(np.int64)
+                at, ends = q.found(_terms(batch, k)), _numbers(batch.column("ends")[k], np.int32).astype(np.int64)
                 df += np.where(at >= 0, np.diff(ends, prepend=0)[at], 0)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some])], ["word", "df"])
 
-    found = index.select("terms", "ends").mapInArrow(run, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
+    found = index.select("terms", "cuts", "ends").mapInArrow(run, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
     return {r.word: r.df for r in found.collect()}  # words of a block of queries
 
 
@@ -336,11 +346,11 @@ def shard_bounds(index: DataFrame, queries) -> DataFrame:
         q = queries.value
         for batch in batches:
             for k in range(batch.num_rows):
-                bound = q.bounds(q.found(batch.column("terms")[k].values), _numbers(batch.column("tops")[k], np.int64))
+                bound = q.bounds(q.found(_terms(batch, k)), _numbers(batch.column("tops")[k], np.int32).astype(np.int64))
                 some = np.flatnonzero(bound)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), batch.column("shard")[k].as_py()), pa.int64()), pa.array(bound[some])], ["query", "shard", "bound"])
 
-    return index.select("shard", "terms", "tops").mapInArrow(run, "query int, shard bigint, bound bigint")
+    return index.select("shard", "terms", "cuts", "tops").mapInArrow(run, "query int, shard bigint, bound bigint")
 
 
 def visit(index: DataFrame, queries, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> DataFrame:
@@ -352,7 +362,7 @@ def visit(index: DataFrame, queries, low: np.ndarray, high: np.ndarray, least: n
         q, (lo, hi, floor) = queries.value, state.value
         for batch in batches:
             for k in range(batch.num_rows):
-                at, tops = q.found(batch.column("terms")[k].values), _numbers(batch.column("tops")[k], np.int64)
+                at, tops = q.found(_terms(batch, k)), _numbers(batch.column("tops")[k], np.int32).astype(np.int64)
                 bound = q.bounds(at, tops)
                 now = np.flatnonzero((bound > 0) & (bound >= lo) & (bound < hi))
                 if not len(now):
