@@ -4,6 +4,7 @@ import io
 import json
 import os
 import random
+import threading
 import time
 from collections import Counter
 from contextlib import redirect_stdout
@@ -15,7 +16,8 @@ from tidemark import __main__ as cli
 from tidemark import config as settings
 from tidemark.operators import detect, journal
 from tidemark.plans import render, study
-from tidemark.streaming import feed, live, progress
+from tidemark.sources import frames
+from tidemark.streaming import feed, gateway, live, progress
 
 BASE = int(datetime(2025, 1, 1, tzinfo=UTC).timestamp()) * 1000
 
@@ -150,7 +152,7 @@ def test_a_feed_that_fails_ends_collection(spark, tmp_path):
             raise OSError("universe unreachable")
         return ["KRW-A"]
 
-    f = feed.Feed(spark, config, str(tmp_path / "frames"), universe, lambda markets: None, say=lambda x: None)
+    f = feed.Feed(spark, config, gateway.FrameLog(), universe, lambda markets: None, say=lambda x: None)
     f._refresh_due = lambda: True
     f.watched()
     assert str(f.failed) == "universe unreachable"
@@ -374,7 +376,8 @@ def test_feed_states_stalls_pauses_and_refresh(spark, tmp_path):
             raise step
         return receiver(step)
 
-    f = feed.Feed(spark, config, str(tmp_path / "frames"), lambda: ["KRW-A"], connect, lambda: now[0], said.append)
+    log = gateway.FrameLog()
+    f = feed.Feed(spark, config, log, lambda: ["KRW-A"], connect, lambda: now[0], said.append)
     f.stop.wait = lambda seconds: (waits.append(seconds), now.__setitem__(0, now[0] + seconds))
     f.run(connections=6)
     states = [(r.state, r.gap_ms) for r in spark.read.schema(f"{journal.EVENT}, date date").parquet(f"{config.data_root}/connection_events").orderBy("ts").collect()]
@@ -382,26 +385,96 @@ def test_feed_states_stalls_pauses_and_refresh(spark, tmp_path):
     assert waits == [1, 2, 1, 1, 1]  # doubling while refused, anew after a connection
     assert Counter(names) == Counter(connecting=6, connect_failed=2, reconnect=5, connected=4, disconnected=2, stalled=1, universe_refresh_due=1, universe_changed=1)
     assert dict(states)["reconnect"] == 1000 and ("connected", 3000) in states and ("connected", 1000) in states
-    rows = spark.read.schema(live.FRAMES).json(str(tmp_path / "frames")).collect()
-    assert len(rows) == f.taken == 6 and {r.epoch for r in rows} == {0, 1, 2, 3}
+    rows = log.stretch("KRW-A", 0, 100)
+    assert len(rows) == f.taken == 6 and {r[2] for r in rows} == {0, 1, 2, 3}
     universes = spark.read.parquet(f"{config.data_root}/universes").orderBy("refreshed_at").collect()
     assert [(r.markets, str(r.date)) for r in universes] == [(["KRW-A"], "2025-01-01"), (["KRW-A"], "2025-01-02")]
-    assert said[-1].endswith("frames=6; buffers flushed") and any("buffered=" in s for s in said)
+    assert said[-1].endswith("frames=6 waiting=6") and any("waiting=" in s for s in said[:-1])
 
 
-def test_feed_writes_what_it_holds_when_stopped_or_full(spark, tmp_path, monkeypatch):
-    config, taken = _config(tmp_path), []
-    monkeypatch.setattr(feed, "MOST_HELD", 3)
-    f = feed.Feed(spark, config, str(tmp_path / "frames"), lambda: ["KRW-A"], lambda markets: receive, say=lambda x: None)
+def test_a_full_log_waits_for_commits(spark, tmp_path):
+    config, log, calls = _config(tmp_path), gateway.FrameLog(most=3), []
+    f = feed.Feed(spark, config, log, lambda: ["KRW-A"], lambda markets: receive, say=lambda x: None)
 
     def receive(seconds):
-        taken.append(spark.read.schema(live.FRAMES).json(str(tmp_path / "frames")).count() if len(taken) == 4 else 0)
-        if len(taken) == 5:
-            f.stop.set()
-        return "{}"
+        calls.append(log.waiting)
+        if len(calls) == 4:
+            threading.Timer(0.3, log.commit, [{"KRW-A": 2}]).start()
+        if len(calls) == 6:
+            threading.Timer(0.3, f.stop.set).start()
+        return json.dumps(_trade(BASE, float(len(calls)))[1])
 
     f.run()
-    assert taken[-1] == 3 and spark.read.schema(live.FRAMES).json(str(tmp_path / "frames")).count() == 5
+    assert calls == [0, 1, 2, 3, 2, 3] and f.taken == 5  # the sixth found no room before the stop
+    assert [json.loads(x[0])["trade_price"] for x in log.stretch("KRW-A", 2, 9)] == [3.0, 4.0, 5.0] and log.offsets() == {"KRW-A": [2, 5]}
+
+
+def test_frames_from_a_server_are_neither_lost_nor_repeated(spark, tmp_path):
+    """Batches of a few frames in several tasks, a restart between them, and one after a batch that was planned, not stored."""
+    log = gateway.FrameLog()
+    server = gateway.Gateway(log)
+    put = lambda first, n: [log.add(json.dumps(_trade(BASE + k, 1.0, f"KRW-{'AB'[k % 3 == 0]}", seq=k)[1]) if k % 10 else "no json", k, 0) for k in range(first, first + n)]
+    stored = lambda: sorted(r.receive_ns for r in spark.read.schema(live.FRAMES).json(str(tmp_path / "frames")).collect())
+    run = lambda **options: live.land(spark, server.url, str(tmp_path / "frames"), str(tmp_path / "state"), **options)
+    try:
+        put(0, 50)
+        run(once=True, framesPerTask=7).awaitTermination()
+        assert stored() == list(range(50))
+        put(50, 40)
+        run(once=True, framesPerTask=3).awaitTermination()
+        assert stored() == list(range(90))
+        # the last batch as if its files had been written and its commit had not
+        for name in ("1", ".1.crc"):
+            (tmp_path / "state" / "frames" / "commits" / name).unlink()
+        put(90, 30)
+        query = run(seconds=1, framesPerBatch=4, framesPerTask=3)
+        end = time.time() + 60
+        while stored() != list(range(120)) and time.time() < end:
+            time.sleep(0.3)
+        query.stop()
+        assert stored() == list(range(120))
+        assert log.waiting < 120 - 90 + 1  # what is stored has been committed, but for the last batch
+    finally:
+        server.close()
+
+
+def test_collect_with_a_feed_from_the_command_line(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "my_feed.py").write_text("""
+class Source:
+    def universe(self):
+        return ["KRW-A"]
+    def connect(self, markets):
+        frames = iter(FRAMES)
+        def receive(seconds):
+            for f in frames:
+                return f
+            raise OSError("end")
+        return receive
+FRAMES = %r
+""" % [json.dumps(_trade(BASE + k, 1.0, seq=k)[1]) for k in range(9)])
+    monkeypatch.syspath_prepend(str(tmp_path))
+    config = _config(tmp_path)
+    _say(spark, config, "collect", "--frames", str(tmp_path / "frames"), "--checkpoint", str(tmp_path / "state"), "--once", "--feed", "my_feed:Source")
+    assert study.trades(spark, config.data_root).count() == 9
+    states = [r.state for r in spark.read.parquet(f"{config.data_root}/connection_events").orderBy("ts").collect()]
+    assert states == ["connecting", "connected", "disconnected"] and "frames=9" in capsys.readouterr().err
+
+
+def test_a_server_that_lost_frames_is_an_error():
+    log = gateway.FrameLog()
+    server = gateway.Gateway(log)
+    try:
+        for k in range(5):
+            log.add('{"code":"A"}', k, 0)
+        reader = frames.FrameReader(server.url, 100, 2)
+        assert reader.latestOffset() == {"A": 5} and [(p.after, p.upto) for p in reader.partitions({}, {"A": 5})] == [(0, 2), (2, 4), (4, 5)]
+        assert [r[1] for r in reader.read(frames.Stretch("A", 1, 4))] == [1, 2, 3]
+        reader.commit({"A": 3})
+        assert log.offsets() == {"A": [3, 5]}
+        with pytest.raises(OSError, match="gave 0 frames"):
+            list(reader.read(frames.Stretch("A", 1, 4)))
+    finally:
+        server.close()
 
 
 def test_universe_refresh():

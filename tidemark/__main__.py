@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from tidemark import config as settings
 from tidemark.plans import render, study
-from tidemark.streaming import feed, live, progress
+from tidemark.streaming import feed, gateway, live, progress
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -27,6 +27,8 @@ def _parser() -> argparse.ArgumentParser:
     collect.add_argument("--files-per-batch", type=int, default=100)
     collect.add_argument("--once", action="store_true", help="take what is there and end")
     collect.add_argument("--alerts", action="store_true")
+    collect.add_argument("--server", metavar="URL", help="fetch frames from this frame server into the folder, see tidemark.sources.frames")
+    collect.add_argument("--listen", metavar="HOST:PORT", default="127.0.0.1:0", help="where executors fetch the frames of --feed; on a cluster this host's own address")
     collect.add_argument("--feed", metavar="MODULE:CLASS", help="also run connections: an object with universe() and connect(markets), see tidemark.streaming.feed")
     commands.add_parser("analyze", help="find, select and validate rules")
     for name in ("report", "coverage", "paper"):
@@ -43,17 +45,26 @@ def _collect(spark: SparkSession, config: settings.Config, args) -> None:
             rules = study.qualified(audit)
         except study.Blocked as why:
             print(f"alerts blocked: {why}; collection continues", file=sys.stderr)
-    connections = worker = None
+    connections = worker = server = landing = None
     if args.feed:
         module, _, name = args.feed.partition(":")
         source = getattr(importlib.import_module(module), name)()
-        connections = feed.Feed(spark, config, args.frames, source.universe, source.connect)
+        log = gateway.FrameLog()
+        server = gateway.Gateway(log, *args.listen.rsplit(":", 1)[:1], int(args.listen.rsplit(":", 1)[1]))
+        connections = feed.Feed(spark, config, log, source.universe, source.connect)
         worker = threading.Thread(target=connections.watched, args=(1 if args.once else None,))
         worker.start()
         if args.once:
             worker.join()
             if connections.failed:
                 raise connections.failed
+        landing = live.land(spark, server.url, args.frames, args.checkpoint, args.once)
+        if args.once:
+            landing.awaitTermination()
+    elif args.server:
+        landing = live.land(spark, args.server, args.frames, args.checkpoint, args.once)
+        if args.once:
+            landing.awaitTermination()
     frames = spark.readStream.schema(live.FRAMES).option("maxFilesPerTrigger", args.files_per_batch).json(args.frames)
     told = progress.Progress()
     spark.streams.addListener(told)
@@ -63,7 +74,9 @@ def _collect(spark: SparkSession, config: settings.Config, args) -> None:
             q.awaitTermination()
     if rules:
         running.append(live.send_alerts(spark, config.data_root, args.checkpoint, config, rules, audit, args.once))
-    _until_stopped(running, connections, worker)
+    _until_stopped([landing, *running] if landing else running, connections, worker)
+    if server:
+        server.close()
     spark.streams.removeListener(told)
     print(told.line(), file=sys.stderr)
 

@@ -2,7 +2,7 @@
 
 The socket is the caller's: ``connect(markets)`` returns ``receive(seconds)``, which returns the next
 frame, raises TimeoutError if none comes in that time, and anything else when the connection ends.
-Frames go in parts to a folder that ``collect`` follows, events to ``connection_events``.
+Frames go to a log that executors fetch them from (``gateway``), events to ``connection_events``.
 """
 
 from __future__ import annotations
@@ -19,27 +19,27 @@ from pyspark.sql import functions as F
 from tidemark.config import Config
 from tidemark.operators.journal import refresh_due
 from tidemark.sources import store
-from tidemark.streaming.live import FRAMES, connection_events
+from tidemark.streaming.gateway import FrameLog
+from tidemark.streaming.live import connection_events
 
 Receive = Callable[[float], str]
 
-#: Frames held before a part is written whatever the time, and the longest pause between connections.
-MOST_HELD, MOST_PAUSE = 50_000, 60
+#: The longest pause between connections.
+MOST_PAUSE = 60
 PROGRESS_SECONDS = 10
 
 
 class Feed:
-    """Runs connections one after another until ``stop`` is set; what is held then is written."""
+    """Runs connections one after another until ``stop`` is set; what has come stays in the log until it is stored."""
 
-    def __init__(self, spark: SparkSession, config: Config, frames: str, universe: Callable[[], list[str]], connect: Callable[[list[str]], Receive], clock: Callable[[], float] = time.time, say: Callable[[str], None] = lambda x: print(x, file=sys.stderr)) -> None:
-        self.spark, self.config, self.frames = spark, config, frames
+    def __init__(self, spark: SparkSession, config: Config, log: FrameLog, universe: Callable[[], list[str]], connect: Callable[[list[str]], Receive], clock: Callable[[], float] = time.time, say: Callable[[str], None] = lambda x: print(x, file=sys.stderr)) -> None:
+        self.spark, self.config, self.log = spark, config, log
         self.universe, self.connect, self.clock, self.say = universe, connect, clock, say
         self.stop = threading.Event()
-        self.held: list[tuple] = []
         self.epoch, self.taken, self.pause = -1, 0, 1
         self.lost_at: float | None = None
         self.failed: Exception | None = None
-        self.started = self.flushed = self.told = clock()
+        self.started = self.looked = self.told = clock()
         self.day = datetime.fromtimestamp(self.started, UTC)
         self.markets = universe()
         self._store_universe()
@@ -53,11 +53,6 @@ class Feed:
         event = (state, detail, None if gap is None else round(gap * 1000), self.clock())
         store.append(connection_events(self.spark, [event]), self.config.data_root, "connection_events")
 
-    def flush(self) -> None:
-        if self.held:
-            self.spark.createDataFrame(self.held, FRAMES).coalesce(1).write.mode("append").json(self.frames)
-        self.held, self.flushed = [], self.clock()
-
     def _refresh_due(self) -> bool:
         return refresh_due(self.day, datetime.fromtimestamp(self.clock(), UTC), self.config.daily_refresh_utc_hour)
 
@@ -73,20 +68,19 @@ class Feed:
             try:
                 frame = receive(min(1.0, self.config.stall_timeout_seconds))
                 last = self.clock()
-                self.held.append((frame, int(last * 1e9), self.epoch))
-                self.taken += 1
+                self.taken += self.log.add(frame, int(last * 1e9), self.epoch, self.stop)
             except TimeoutError:
                 if self.clock() - last >= self.config.stall_timeout_seconds:
                     return "stalled", "no frame within stall timeout"
             except Exception as why:  # noqa: BLE001 - the connection has ended, whatever the socket raises
                 return "disconnected", str(why)
-            if len(self.held) >= MOST_HELD or self.clock() - self.flushed >= self.config.flush_interval_seconds:
-                self.flush()
+            if self.clock() - self.looked >= self.config.flush_interval_seconds:
+                self.looked = self.clock()
                 if self._refresh_due():
                     return "universe_refresh_due", "daily universe refresh due; reconnecting"
             if self.clock() - self.told >= PROGRESS_SECONDS:
                 self.told = self.clock()
-                self.say(f"collect: elapsed={self.told - self.started:.0f}s markets={len(self.markets)} frames={self.taken} buffered={len(self.held)}")
+                self.say(f"collect: elapsed={self.told - self.started:.0f}s markets={len(self.markets)} frames={self.taken} waiting={self.log.waiting}")
         return None
 
     def watched(self, connections: int | None = None) -> None:
@@ -115,7 +109,6 @@ class Feed:
                 self.record("connected", "rolling and sequence state reset", None if self.lost_at is None else self.clock() - self.lost_at)
                 self.lost_at = None
                 ended = self._follow(receive)
-                self.flush()
                 if ended is None:
                     break
                 self.lost_at = self.clock()
@@ -126,5 +119,4 @@ class Feed:
             self.stop.wait(self.pause)
             self.record("reconnect", "backoff reconnect", self.clock() - began)
             self.pause = min(self.pause * 2, MOST_PAUSE)
-        self.flush()
-        self.say(f"collect: stopped after {self.clock() - self.started:.0f}s; frames={self.taken}; buffers flushed")
+        self.say(f"collect: connections ended after {self.clock() - self.started:.0f}s; frames={self.taken} waiting={self.log.waiting}")

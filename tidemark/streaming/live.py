@@ -26,9 +26,8 @@ from tidemark.operators.journal import EVENT
 from tidemark.operators.paper import cooldown
 from tidemark.plans import render
 from tidemark.sources import market, store, wire
+from tidemark.sources.frames import FRAMES, FrameSource
 
-#: A frame with its arrival in nanoseconds and the number of its connection.
-FRAMES = "frame string, receive_ns bigint, epoch bigint"
 #: What the detector finds: signals (``alert`` when their rule is qualified), integrity_* rows, and ``stalled`` markets.
 FOUND = "market string, ts bigint, receive_ns bigint, kind string, signal_type string, rule_id string, direction string, feature_value double, baseline double, evidence string, detail string, alert boolean"
 #: ... as they are stored.
@@ -251,6 +250,15 @@ def _sink(df: DataFrame, root: str, dataset: str, checkpoint: str, kind: str = "
         return writer.start()
 
 
+def land(spark: SparkSession, url: str, frames: str, checkpoint: str, once: bool = False, seconds: int = 5, **options: int) -> StreamingQuery:
+    """Fetch frames from the server at ``url`` and keep them as JSON files in the folder ``frames``, which any number
+    of queries follow; those that are stored are committed to the server."""
+    spark.dataSource.register(FrameSource)
+    found = spark.readStream.format(FrameSource.name()).option("url", url).options(**options).load()
+    trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
+    return found.writeStream.format("json").option("path", frames).option("checkpointLocation", f"{checkpoint}/frames").trigger(**trigger).queryName("frames").outputMode("append").start()
+
+
 def collect(frames: DataFrame, root: str, checkpoint: str, config: Config, qualified: list[str], once: bool = False) -> list[StreamingQuery]:
     """Start collection from a stream of FRAMES rows: ``trades`` and ``orderbooks`` as JSON payloads,
     ``dead_letters``, and ``live_events``. ``once`` takes what is there and ends; otherwise files are
