@@ -1,8 +1,12 @@
 """Detectors, joins, folds and storage against sequential versions on tie-heavy rows."""
 
+import json
 import math
 import random
+import threading
 from datetime import date
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timeline import MICROS, running
 from tidemark.operators import coverage, detect, evaluate, outcomes, paper
 from tidemark.plans import render
-from tidemark.sources import market, store, wire
+from tidemark.sources import market, store, universe, wire
 from tidemark.sources.market import books_from_levels
 
 TRADE = "market string, ts bigint, seq bigint, price double, volume double, side string, notional decimal(18,2)"
@@ -318,6 +322,38 @@ def test_replacing_is_all_or_nothing(spark, tmp_path, monkeypatch, point):
     assert len([p for p in (tmp_path / "d").iterdir() if p.name.startswith("version=")]) == 1
 
 
+def test_universe_is_fetched_in_chunks(spark):
+    """250 markets are three pages of at most 100 names, each asked for once; ranks go over all of them."""
+    asked = []
+
+    class Exchange(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = urlsplit(self.path)
+            names = parse_qs(at.query).get("markets", [""])[0].split(",")
+            if at.path == "/v1/market/all":
+                body = [{"market": f"KRW-{k}"} for k in range(250)] + [{"market": "BTC-1"}, {"other": 1}]
+            else:
+                asked.append(names)
+                body = [{"market": m, "acc_trade_price_24h": 7.0 if m in ("KRW-3", "KRW-201") else int(m[4:]) % 5} for m in names] + [{"market": "KRW-x"}]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Exchange)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        found = universe.tickers(spark, f"http://127.0.0.1:{server.server_address[1]}").collect()
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert sorted(map(len, asked)) == [50, 100, 100] and len(found) == 250
+    top = wire.universe(spark.createDataFrame(found), 3).collect()
+    assert [r.market for r in top] == ["KRW-3", "KRW-201", "KRW-4"]
+
+
 def test_wire(spark):
     frames = ['{"type":"trade","code":"K","timestamp":1,"trade_price":2.0,"trade_volume":1.0,"ask_bid":"?","sequential_id":18446744073709551615}', '{"type":"trade","code":"K"}', '{"type":"x"}', "no json"]
     out = wire.normalize(spark.createDataFrame([(f,) for f in frames], "frame string"))

@@ -42,13 +42,13 @@ def _merged(marks: DataFrame, trades: DataFrame, block: int) -> DataFrame:
     )
 
 
-def _levels(leaves: DataFrame) -> DataFrame:
+def _levels(leaves: DataFrame, levels: int) -> DataFrame:
     """(market, level, node, trades, lows, highs): the leaves at level 0, and above them nodes of LEAF children
     until one node of a market is left."""
     prices = F.transform("trades", lambda t: t["price"])
     out = leaves.select("market", F.lit(0).alias("level"), "node", "trades", prices.alias("lows"), prices.alias("highs"))
-    below, most = leaves.select("market", "node", "low", "high"), leaves.agg(F.max("node")).first()[0] or 0
-    for level in range(1, levels_above(most) + 1):
+    below = leaves.select("market", "node", "low", "high")
+    for level in range(1, levels + 1):
         child = F.struct("node", "low", "high")
         nodes = below.groupBy("market", F.floor(F.col("node") / LEAF).alias("node")).agg(F.sort_array(F.collect_list(child)).alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
         held = nodes.select("market", F.lit(level).alias("level"), "node", F.lit(None).cast(f"array<{_TRADE}>").alias("trades"), F.transform("c", lambda x: x["low"]).alias("lows"), F.transform("c", lambda x: x["high"]).alias("highs"))
@@ -105,7 +105,8 @@ def look_up(probes: DataFrame, trades: DataFrame, first: dict[str, str], ranges:
     sizes = shared_table(sizes.withColumn("offset", F.coalesce(F.sum("leaves").over(earlier), F.lit(0))), "block-sizes")
     numbered = merged.join(sizes, ["market", "block"])
     leaves = numbered.where("leaf").select("market", (F.col("offset") + F.col("nth")).alias("node"), "trades", "low", "high")
-    nodes, levels = _levels(leaves), levels_above(sizes.agg(F.max(F.col("offset") + F.col("leaves") - 1)).first()[0] or 0)
+    levels = levels_above(sizes.agg(F.max(F.col("offset") + F.col("leaves") - 1)).first()[0] or 0)
+    nodes = _levels(leaves, levels)
     place = lambda n: F.struct((F.col("offset") + F.floor(n / LEAF)).alias("node"), F.pmod(n, F.lit(LEAF)).cast("int").alias("place"))
     edge = lambda node, at: F.struct(node.alias("node"), F.lit(at).alias("place"))
     # the trade right after a mark, or for marks after their time the last one ahead of it; both may be in another block

@@ -146,6 +146,11 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
     return shared_table(large.unionByName(rate).select(detect.SIGNAL), "signals")
 
 
+def _books(spark: SparkSession, sf: str) -> DataFrame:
+    """Books joined once, for what reads them several times."""
+    return shared_table(market.books(spark, sf), "books")
+
+
 def _done(spark: SparkSession, sf: str) -> DataFrame:
     return outcomes.outcomes(_signals(spark, sf), market.trades(spark, sf), HORIZON, LAG, TARGET)
 
@@ -253,17 +258,17 @@ def signals_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"{_B},\n{_IMB} SELECT * FROM imb")
 def signals_imbalance(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.imbalance(market.books(spark, sf), THRESHOLDS).select(detect.SIGNAL)
+    return detect.imbalance(_books(spark, sf), THRESHOLDS).select(detect.SIGNAL)
 
 
 @_query(f"{_B},\n{_WALL} SELECT * FROM wall")
 def signals_wall(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.wall_drop(market.books(spark, sf), WALL).select(detect.SIGNAL)
+    return detect.wall_drop(_books(spark, sf), WALL).select(detect.SIGNAL)
 
 
 @_query(f"{_S},\n{_B},\n{_IMB},\n{_WALL} SELECT *, 0 AS is_trade, 0 AS rule_no FROM imb UNION ALL SELECT *, 0, 1 FROM wall UNION ALL SELECT *, 1, 0 FROM large UNION ALL SELECT *, 1, 1 FROM rate")
 def signals_merged(spark: SparkSession, sf: str) -> DataFrame:
-    t, b = market.trades(spark, sf), market.books(spark, sf)
+    t, b = market.trades(spark, sf), _books(spark, sf)
     return detect.merged(detect.trade_signals(t, MULTIPLES, RATES, WINDOW), [detect.imbalance(b, THRESHOLDS), detect.wall_drop(b, WALL)]).drop("evidence")
 
 
@@ -272,7 +277,7 @@ def signals_merged(spark: SparkSession, sf: str) -> DataFrame:
  UNION ALL SELECT market, ts, seq, rule_id, 'orderbook', NULL, NULL, NULL, bid, wall.baseline, feature_value FROM wall JOIN b USING (market, ts, seq)""".replace("sig JOIN pb USING (market, ts, seq)", "sig JOIN (SELECT market, ts, seq, price, n, total FROM pb) USING (market, ts, seq)"))
 def signal_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """What each signal saw, read back from its market snapshot."""
-    t, b = market.trades(spark, sf), market.books(spark, sf)
+    t, b = market.trades(spark, sf), _books(spark, sf)
     parts = [*detect.trade_signals(t, MULTIPLES, RATES, WINDOW), detect.imbalance(b, THRESHOLDS), detect.wall_drop(b, WALL)]
     both = detect.snapshot(reduce(DataFrame.unionByName, parts))
     at = lambda path, kind="double": F.get_json_object("market_snapshot", f"$.{path}").cast(kind)
