@@ -58,11 +58,11 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every whole text."""
+    """doc_id, stratum, digest and the counts of every whole text."""
     df = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[stratum_col].cast("string"), F.lit("")).alias("stratum"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     for step in _MEASURES:
         df = df.select("*", *(F.expr(e).alias(name) for name, e in step.items()))
-    return df.select("doc_id", "stratum", *METRICS, "n_lines", "n_capitals")
+    return df.select("doc_id", "stratum", F.unhex(F.sha2("text", 256)).alias("digest"), *METRICS, "n_lines", "n_capitals")
 
 
 def binomial_cdf(k: str, n: str, p: float) -> str:
@@ -91,10 +91,13 @@ def certified_cutoffs(measures: DataFrame, labels: DataFrame, id_col: str = "doc
     rules rejected by all its rules together, so few of the labelled ones would be with a probability of
     at most ``delta`` / strata: the exact one-sided binomial bound. The sequence ends at its first
     failure, so only strata need a correction (Bonferroni's), and all rules share the whole risk; with four
-    strata 107 good labels are enough. Of the certified steps the one that rejects the most bad documents
+    strata 107 good labels are enough. A label counts once, however often its id is there, and so do copies of one text in a
+    stratum, of whose labels the worst counts: repeated rows are no more evidence. Of the certified steps the one that rejects the most bad documents
     less ``cost`` times the good ones is taken, the most lenient of equals, if that is above 0."""
     known = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("good")).where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
-    scored = measures.where(~F.expr(BASE)).join(known, "doc_id").select("stratum", (F.col("good") > 0).cast("bigint").alias("good"), F.expr(_step(SCORES)).alias("step"))
+    scored = measures.where(~F.expr(BASE)).join(known, "doc_id").select("doc_id", "stratum", "digest", (F.col("good") > 0).cast("bigint").alias("good"), F.expr(_step(SCORES)).alias("step"))
+    labelled = scored.groupBy("doc_id").agg(F.min(F.struct("digest", "stratum", "step")).alias("one"), F.min("good").alias("good")).select("one.*", "good")
+    scored = labelled.groupBy("stratum", "digest").agg(F.min("good").alias("good"), F.min("step").alias("step"))
     # counts per step are all that the tests need
     counts = materialize(scored.groupBy("stratum", "step").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b")), "steps")
     steps = counts.groupBy("stratum").agg(F.sum("g").alias("n")).where("n > 0").select("stratum", "n", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) * len(SCORES) - 1))).alias("step"))
@@ -143,12 +146,14 @@ w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
 win AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times FROM win),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) o(j) WHERE times > 1 GROUP BY doc_id),
-m AS (SELECT w.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+m AS (SELECT w.doc_id, stratum, sha256(text) AS digest, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS BIGINT) AS n_capitals,
   CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN cov USING (doc_id)),
 known AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-s AS (SELECT stratum, good, {_DUCK_STEP} AS step FROM m JOIN known USING (doc_id) WHERE NOT {BASE}),
+sr AS (SELECT doc_id, stratum, digest, good, {_DUCK_STEP} AS step FROM m JOIN known USING (doc_id) WHERE NOT {BASE}),
+s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY digest, stratum, step) AS nth FROM sr) WHERE nth = 1),
+s AS (SELECT stratum, digest, min(CAST(good > 0 AS INT)) AS good, min(step) AS step FROM s1 GROUP BY 1, 2),
 fam AS (SELECT greatest(1, count(*)) AS family FROM (SELECT stratum FROM s WHERE good > 0 GROUP BY stratum)),
 t AS (SELECT stratum, g.step, count(*) FILTER (WHERE good > 0) AS n, count(*) FILTER (WHERE good > 0 AND s.step <= g.step) AS k, count(*) FILTER (WHERE good <= 0 AND s.step <= g.step) AS bad FROM s, range({_N_STEPS}) g(step) GROUP BY ALL),
 c AS (SELECT *, bool_and(n > 0 AND ({_DUCK_CDF}) <= {DELTA} / (SELECT family FROM fam)) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM t),
