@@ -142,7 +142,7 @@ def sketches(hashes: np.ndarray, tf: np.ndarray, starts: np.ndarray) -> np.ndarr
 
 def signatures(texts: DataFrame, weights) -> DataFrame:
     """doc_id, digest of the words (null without words), one hash per band, a sketch and the weight of
-    all shingles."""
+    all shingles, and ``mark``, a digest of these two: texts are one node if both digests are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = weights.value
@@ -172,7 +172,8 @@ def signatures(texts: DataFrame, weights) -> DataFrame:
                 digest = pa.array(found.digests.view(np.int64), mask=np.diff(found.starts) == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), digest, buckets, packed, pa.array(total)], ["doc_id", "digest", "bands", "sketch", "weight"])
 
-    return texts.mapInArrow(run, "doc_id bigint, digest bigint, bands array<bigint>, sketch binary, weight double")
+    marks = texts.mapInArrow(run, "doc_id bigint, digest bigint, bands array<bigint>, sketch binary, weight double")
+    return marks.withColumn("mark", F.xxhash64("sketch", "weight"))
 
 
 def _filled(x: np.ndarray) -> np.ndarray:
@@ -331,7 +332,8 @@ def untried(now: DataFrame, tried: DataFrame, similarity: float, nearest: bool,
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id of every row: the smallest doc_id of those it is linked with, step by step.
 
-    Texts of the same words are one node. Two nodes that share a bucket of some band are linked if the
+    Texts of the same words are one node (by two digests of 64 bits each, of the words and of the sketch and weight of
+    their shingles, so unlike texts would have to agree in both). Two nodes that share a bucket of some band are linked if the
     weighted Jaccard similarity of their whole texts is ``similarity`` or more; sketches and weights
     tell beforehand which pairs cannot be. In ROUNDS, each node is compared with one member drawn in
     its buckets, which joins most of a large bucket at linear cost, then with its most alike one; at last every
@@ -345,7 +347,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     weights = spark.sparkContext.broadcast(cell_weights(*document_frequencies(texts)))  # 4 MB whatever the input
     marks = materialize(signatures(texts, weights), "signatures")
-    nodes = marks.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("weight").alias("weight"))
+    nodes = marks.where("doc_id is not null and digest is not null").groupBy("digest", "mark").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("weight").alias("weight"))
     nodes = materialize(nodes, "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
@@ -367,9 +369,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
         if not found.isEmpty():
             classes = _merged(classes, found)
     discard(rows, *done)
-    by_digest = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
+    by_digest = nodes.select("digest", "mark", "node").join(classes, "node", "left").select("digest", "mark", F.coalesce("component", "node").alias("node"))
     # Copies of one text are not joined with each other but with their node, and Spark splits a skewed side.
-    return marks.join(by_digest, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("class_id"))
+    return marks.join(by_digest, ["digest", "mark"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("class_id"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
