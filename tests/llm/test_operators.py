@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, codec, eliasfano, exact_dedup, graph, html_text, near_dedup, packing, quality, sharding, shingles, token_counts, token_files
 from tidemark.llm.bpe import DEFAULT_TOKENIZER
@@ -72,7 +73,7 @@ def test_exact_dedup(docs, empty, rows):
 def test_exact_dedup_compares_bytes(spark, docs):
     digest = bytearray(hashlib.sha256(b"noid").digest())
     members = spark.createDataFrame([(("",), None, digest, 2), (("",), 3, digest, 2), (("",), 8, digest, 2)], "locator struct<file string>, doc_id bigint, digest binary, group_size bigint")
-    assert exact_dedup.colliding(docs.select("doc_id", "text"), members).count() == 0
+    assert exact_dedup.colliding(docs.select("doc_id", "text", F.input_file_name().alias("file")), members).count() == 0
 
 
 def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
@@ -190,6 +191,37 @@ def test_quality_cutoffs_reject_junk_and_keep_good(spark):
     assert all(got[d[0]].rejected_by == "symbols" for d in junk if not got[d[0]].base_failed)
 
 
+def test_texts_of_one_digest_are_told_apart_by_their_bytes(spark, tmp_path, monkeypatch):
+    """A digest of the first letter alone: in one call, and in three calls of one state."""
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.unhex(F.sha2(F.substring(norm, 1, 1), 256)))
+    kind = "doc_id bigint, text string"
+    calls = [[(1, "alpha"), (2, "beta"), (3, "al pha")], [(4, "any"), (5, "alpha "), (6, "any"), (7, "gamma")], [(8, "a n y "), (9, "alone"), (10, "beta")]]
+
+    def groups(found):
+        return {r.doc_id: (r.keep_id, r.group_size) for r in found.collect()}
+
+    first = groups(exact_dedup.find_copies(spark.createDataFrame(calls[0] + [(4, "any")], kind)))
+    assert first == {1: (3, 2), 3: (3, 2), 2: (2, 1), 4: (4, 1)}
+    at = str(tmp_path / "state")
+    got = [groups(exact_dedup.find_copies(spark.createDataFrame(c, kind), state_dir=at)) for c in calls]
+    assert got[0] == {1: (3, 2), 3: (3, 2), 2: (2, 1)}
+    assert got[1] == {4: (4, 2), 6: (4, 2), 5: (3, 3), 7: (7, 1)}
+    assert got[2] == {8: (8, 3), 9: (9, 1), 10: (2, 2)}
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_repeated_rows_are_no_more_evidence(spark, times):
+    """60 good and 30 bad labels certify nothing; the same rows, ids or texts three times certify nothing either."""
+    good = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(60)]
+    bad = [" ".join(f"#$%&w{k}x{j}" for j in range(60)) for k in range(30)]
+    rows = [(k, t, "en") for k, t in enumerate(good + bad)]
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(90)] + [(1000 + k, int(k < 60)) for k in range(90)] * (times > 1), "doc_id bigint, quality int")
+    copies = [(1000 + k, t, lang) for k, t, lang in rows] * (times > 1)  # other ids, with labels of their own
+    docs = spark.createDataFrame(rows * times + copies, "doc_id bigint, text string, lang string")
+    assert quality.certified_cutoffs(quality.measure(docs), labels).count() == 0
+    assert {r.kept for r in quality.judge(docs, labels).collect()} == {True}
+
+
 def test_quality_needs_evidence(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame([(k, prose(rng, 80) + ("%" * 500 if k < 30 else ""), "en") for k in range(100)], "doc_id bigint, text string, lang string")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialize, scratch, table
+from tidemark.sources.store import _fs
 
 #: Digests of more than this share of all rows are joined by broadcast: there are at most as many as its inverse.
 HOT_SHARE = 0.001
@@ -35,6 +36,38 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
+def digest_of(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
+def _keyed(source: DataFrame, apart: DataFrame | None) -> DataFrame:
+    """``source`` with norm and its key: the digest, and for texts that have the digest of another (``apart``: digest
+    and the text that keeps it) the digest with all bytes behind it."""
+    df = source.withColumn("norm", normalized(F.col("text"))).withColumn("digest", digest_of(F.col("norm")))
+    if apart is None:
+        return df
+    other = F.coalesce(F.col("norm") != F.col("stays"), F.lit(False))
+    key = F.when(other, F.concat("digest", F.encode("norm", "UTF-8"))).otherwise(F.col("digest"))
+    return df.join(apart, "digest", "left").withColumn("digest", key).drop("stays")
+
+
+def check_with_earlier(source: DataFrame, contents: str, call: str) -> DataFrame:
+    """(digest, stays): digests of which the call has a text that differs from another of it or of earlier calls, with
+    the text that keeps the digest. The text of every digest that is new is kept below ``contents`` for later
+    calls, so a hit in the state is a hit of bytes across calls too."""
+    spark = source.sparkSession
+    texts = _keyed(source, None).groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    kind = "digest binary, stays string"
+    fs, place = _fs(spark, contents)
+    known = spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(contents) if fs.exists(place) else spark.createDataFrame([], kind)
+    fresh = materialize(texts.join(known, "digest", "left"), "fresh")
+    stays = F.coalesce("stays", "least")
+    fresh.where("stays is null").select("digest", F.col("least").alias("stays")).write.parquet(f"{contents}/{call}")
+    apart = materialize(fresh.where((F.col("least") != stays) | (F.col("most") != stays)).select("digest", stays.alias("stays")), "apart")
+    discard(fresh)
+    return apart
+
+
 def keep_state(stream: DataFrame) -> DataFrame:
     """The keyed state of a stream of fingerprints: digest -> count and the row that stays, which is
     the longest original, then the smallest doc_id (a null one last), with its locator. Rows that
@@ -72,7 +105,7 @@ def state_of_nothing(spark: SparkSession, schema) -> DataFrame:
     return keep_state(spark.createDataFrame([], schema))
 
 
-def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None, state_dir: str | None = None) -> DataFrame:
+def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None, state_dir: str | None = None, apart: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, keep_file.
 
     Texts are equal when identical without the characters [\\x20\\x09-\\x0D]; null and blank texts are
@@ -81,16 +114,20 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is kept. Without rows the result is empty. Only the two columns are read, texts as a whole.
 
     With ``state_dir`` (a folder all executors share) a later call goes on from this one's state: its
-    rows are judged with all rows ever fed, and only its own are read."""
+    rows are judged with all rows ever fed, and only its own are read, with one stored text of each digest that they hit.
+    Different texts of one digest, in one call or in two, are told apart by their bytes."""
     spark = docs.sparkSession
-    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.input_file_name().alias("file"))
     landing = f"{state_dir}/fingerprints" if state_dir else scratch(spark, "fingerprints")
-    call = f"{landing}/{uuid.uuid4().hex}"
-    source.select(
+    number = uuid.uuid4().hex
+    call = f"{landing}/{number}"
+    if state_dir:
+        apart = check_with_earlier(source, f"{state_dir}/contents", number)
+    _keyed(source, apart).select(
         "doc_id",
-        F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("digest"),
+        "digest",
         F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n"),
-        F.struct(F.input_file_name().alias("file"), F.lit(call).alias("call"), F.monotonically_increasing_id().alias("place")).alias("locator"),
+        F.struct("file", F.lit(call).alias("call"), F.monotonically_increasing_id().alias("place")).alias("locator"),
     ).write.parquet(call)
     prints = spark.read.parquet(call)
     state = materialize(run_stream(landing, prints.schema, spark, files_per_batch, state_dir), "keepers")
@@ -100,15 +137,19 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cold = state.where(F.col("group_size") <= HOT_SHARE * rows)
     members = prints.join(hot, "digest").unionByName(prints.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
     members = materialize(members, "members")
-    wrong = colliding(source, members)
-    if len(wrong.take(1)):
-        raise ValueError("texts of one SHA-256 digest differ: " + str(wrong.first()))
     discard(state)
+    if apart is None:
+        wrong = materialize(colliding(source, members), "colliding")
+        if not wrong.isEmpty():
+            discard(members)
+            return find_copies(docs, id_col, text_col, files_per_batch, None, wrong)
+        discard(wrong)
     return _described(members)
 
 
 def colliding(source: DataFrame, members: DataFrame) -> DataFrame:
-    """Digests of which a copy's bytes differ from those of another; none, as a rule.
+    """(digest, stays): digests of which a copy's bytes differ from those of another, with the text that keeps
+    the digest; none, as a rule.
 
     Only rows that hit another row's digest are read for this, found by file and id, and hashed again;
     of each digest the least and the greatest text are compared, first within every task, so of a group
@@ -116,11 +157,11 @@ def colliding(source: DataFrame, members: DataFrame) -> DataFrame:
     place = F.xxhash64("file", F.coalesce("doc_id", F.lit(-1))).alias("place")  # a few rows too many do no harm
     hits = materialize(members.where("group_size > 1").select(F.col("locator.file").alias("file"), "doc_id").select(place).distinct(), "hits")
     small = len(hits.select(F.lit(1)).take(HITS_BROADCAST + 1)) <= HITS_BROADCAST
-    placed = source.withColumn("file", F.input_file_name()).select("text", place)
+    placed = source.select("text", place)
     copies = placed.join(F.broadcast(hits) if small else hits, "place", "left_semi").select(normalized(F.col("text")).alias("norm"))
-    copies = copies.withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    copies = copies.withColumn("digest", digest_of(F.col("norm")))
     ends = copies.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-    return ends.where("least <> most").select("digest")
+    return ends.where("least <> most").select("digest", F.col("least").alias("stays"))
 
 
 def _described(members: DataFrame) -> DataFrame:
@@ -129,7 +170,7 @@ def _described(members: DataFrame) -> DataFrame:
         F.bitwise_not("best.rank").alias("keep_id"),
         F.col("group_size").cast("bigint").alias("group_size"),
         (F.col("locator") == F.col("best.locator")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex(F.substring("digest", 1, 32))).alias("text_sha256"),
         F.col("best.locator.file").alias("keep_file"),
     )
 
