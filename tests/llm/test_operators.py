@@ -604,6 +604,19 @@ def test_style_tree_equals_brute_force_entropies(spark):
     assert removed > 60 and texts[None] == texts[3] and texts[90] == texts[0]
 
 
+def test_wrappers_above_and_headings_inside_of_main(spark):
+    pages = [
+        ('<form id="aspnetForm"><article><p>hello world</p></article></form>', "hello world"),
+        ('<div role="dialog"><main><p>all there is</p></main></div>', "all there is"),
+        ('<aside><article><p>teaser</p></article></aside><article><p>story</p></article>', "story"),
+        ('<article><div class="header"><h1>Title</h1></div><p>text</p><div class="comments">no</div></article>', "Title\ntext"),
+        ('<article><form><p>mail</p></form><p>text</p></article>', "text"),
+        ('<div class="header"><p>site</p></div><article><p>text</p></article>', "text"),
+    ]
+    df = spark.createDataFrame([(k, f"http://h{k}/", p) for k, (p, _) in enumerate(pages)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == {k: t for k, (_, t) in enumerate(pages)}
+
+
 def test_main_text_of_odd_markup(spark):
     pages = {
         "<html><head><title>T</title><body><p>hello</p>": "hello",  # the end tag of head may be left out

@@ -47,6 +47,7 @@ NOISE_NAMES = set(
     "sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login form search share sharing social related recommended "
     "comment comments commentlist disqus reply replies pagination pager copyright legal hidden".split()
 )
+HEADINGS = {"header", "masthead", "banner"}
 MAIN_TAGS = {"article", "main"}
 CLOSES_HEAD = set("body p div article main section header nav footer aside h1 h2 h3 h4 h5 h6 ul ol dl table form figure blockquote pre hr img a span center".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -73,7 +74,7 @@ class Block:
     named_noise: bool
     in_main: bool
     doubt: bool  # a part of a class or id is a noise name
-    below_noise: bool  # in a main element below a wrapper with a noise name
+    below_noise: bool  # in a main element below a wrapper with a noise name, tag or role
 
 
 def parsed(page: str) -> tuple[list[Block], list[Element]]:
@@ -152,10 +153,13 @@ def parsed(page: str) -> tuple[list[Block], list[Element]]:
             noise |= name == "role" and value in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
         main = was_main or tag in MAIN_TAGS
         if tag not in ("html", "body", *MAIN_TAGS):
+            if was_main:
+                names -= HEADINGS  # an article's own heading, like its header element
             named |= bool(names & NOISE_NAMES)
             doubt |= any(part in NOISE_NAMES for name in names for part in _NAME.findall(name))
         elif main and not was_main:
-            named, doubt, below = False, False, named or doubt
+            # a wrapper above a main element, such as a form around the whole page, leaves it in doubt alone
+            named, was_noise, doubt, below = False, False, False, named or doubt or was_noise
         own = number.get((above, label))
         if own is None:
             own = number[above, label] = len(elements)
@@ -176,8 +180,8 @@ def blocks(page: str) -> list[Block]:
 
 
 def priors(found: list[Block]) -> list[int]:
-    """What markup says of each block of a page. A main element below a wrapper with a noise name is
-    one only if the page has no other."""
+    """What markup says of each block of a page. A main element below a wrapper that is noise by name, tag
+    or role is one only if the page has no other."""
     mains = [b for b in found if b.in_main and not b.named_noise]
     other = any(not b.below_noise for b in mains)
     noise = lambda b: b.named_noise or b.below_noise and other
