@@ -50,3 +50,11 @@ def test_stages_on_odd_columns_and_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, nothing, str(tmp_path))
         assert out.collect() == [] and (name == "packing" or out.columns == nothing.columns)
+
+
+def test_of_rows_that_repeat_id_and_text_the_same_one_stays(spark, tmp_path):
+    kind = "doc_id bigint, text string, lang string, more map<string,int>"
+    rows = [(k % 2 or None, words("z") if k < 20 else words("y"), f"l{k:02}", {"k": k}) for k in range(40)]
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup):
+        got = [sorted((r.text[0], r.lang) for r in stage(spark, spark.createDataFrame(rows[::step], kind).repartition(n), str(tmp_path)).where("doc_id = 1").collect()) for step, n in ((1, 2), (-1, 5))]
+        assert got[0] == got[1] == [("y", "l39"), ("z", "l19")]
