@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialize, scratch, table
@@ -27,6 +27,11 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _others(docs: DataFrame) -> Column:
+    """All but id and text as JSON: of rows that repeat these two, the one where it is greatest stays, in every run."""
+    return F.to_json(F.struct(F.lit(1).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep; the labels calibrate the cutoffs.
 
@@ -43,12 +48,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space: the longest, then the
     one with the smallest id, a null id last. Null and blank texts are equal to each other. Of rows that
-    repeat its id, the longest stays. An empty table stays empty."""
+    repeat its id, the longest stays, and of those that repeat its text too, the same in every run. An empty table
+    stays empty."""
     kept = find_copies(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     digest = unused(docs, "_digest")
     rows = docs.withColumn(digest, F.sha2(normalized(F.col("text")), 256))
     own = (rows[digest] == kept["_sha"]) & rows.doc_id.eqNullSafe(kept["_id"])
-    best = F.max_by(F.struct(*docs.columns), F.struct(F.coalesce(F.char_length("text"), F.lit(0)), "text"))
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.coalesce(F.char_length("text"), F.lit(0)), "text", _others(docs)))
     return rows.join(kept, own, "left_semi").groupBy(digest).agg(best.alias("best")).select("best.*")
 
 
@@ -65,8 +71,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = materialize(rows.join(keys, same, "left").select(*(rows[c] for c in docs.columns), keys[row]), "rows")
     discard(keys)
     kept = near_classes(rows, id_col=row).where("doc_id = class_id").select(F.col("doc_id").alias(row))
-    named = rows.join(kept, row, "left_semi").dropDuplicates([row])
-    return named.unionByName(rows.where(F.col(row).isNull())).select(docs.columns)
+    named = rows.join(kept, row, "left_semi").groupBy(row).agg(F.max_by(F.struct(*docs.columns), _others(docs)).alias("best")).select("best.*")
+    return named.unionByName(rows.where(F.col(row).isNull()).select(docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
