@@ -1,9 +1,13 @@
 """Collection from frames to reports, on a small archive whose signals are planted."""
 
+import base64
+import hashlib
 import io
 import json
 import os
 import random
+import socket
+import struct
 import threading
 import time
 from collections import Counter
@@ -17,7 +21,7 @@ from tidemark import config as settings
 from tidemark.operators import detect, journal
 from tidemark.plans import render, study
 from tidemark.sources import frames
-from tidemark.streaming import feed, gateway, live, progress
+from tidemark.streaming import exchange, feed, gateway, live, progress
 
 BASE = int(datetime(2025, 1, 1, tzinfo=UTC).timestamp()) * 1000
 
@@ -460,6 +464,89 @@ FRAMES = %r
     assert states == ["connecting", "connected", "disconnected"] and "frames=9" in capsys.readouterr().err
 
 
+def _say_to(conn, kind, body, end=True):
+    size = bytes([len(body)]) if len(body) < 126 else bytes([126]) + struct.pack("!H", len(body)) if len(body) < 65536 else bytes([127]) + struct.pack("!Q", len(body))
+    conn.sendall(bytes([(128 if end else 0) | kind]) + size + body)
+
+
+def _heard(conn):
+    head = conn.recv(2)
+    size = head[1] & 127
+    size = struct.unpack("!H", conn.recv(2))[0] if size == 126 else size
+    mask, body = conn.recv(4), b""
+    while len(body) < size:
+        body += conn.recv(size - len(body))
+    return head[0] & 15, bytes(b ^ mask[k % 4] for k, b in enumerate(body))
+
+
+def _socket_server(script, accept=True):
+    """A WebSocket of one connection that runs ``script(conn)`` after the handshake."""
+    listening = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        conn, _ = listening.accept()
+        asked = b""
+        while b"\r\n\r\n" not in asked:
+            asked += conn.recv(4096)
+        key = next(x.split(b": ")[1] for x in asked.split(b"\r\n") if x.lower().startswith(b"sec-websocket-key"))
+        proof = base64.b64encode(hashlib.sha1(key + b"258EAFA5-E914-47DA-95CA-C5AB0DC85B11").digest())
+        conn.sendall(b"HTTP/1.1 101 Switching Protocols\r\nSec-WebSocket-Accept: " + (proof if accept else b"x") + b"\r\n\r\n")
+        script(conn)
+        conn.close()
+        listening.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    return f"ws://127.0.0.1:{listening.getsockname()[1]}/websocket/v1"
+
+
+def test_socket_messages_pings_fragments_and_ends():
+    heard, long = [], json.dumps(["x" * 70_000])
+
+    def script(conn):
+        heard.append(_heard(conn))
+        _say_to(conn, 1, b'{"a":1}')
+        _say_to(conn, 9, b"are you there")
+        heard.append(_heard(conn))
+        _say_to(conn, 2, "{\"b\":\"é".encode()[:7], end=False)
+        _say_to(conn, 9, b"")
+        heard.append(_heard(conn))
+        _say_to(conn, 0, "{\"b\":\"é".encode()[7:] + b'"}')
+        _say_to(conn, 1, long.encode())
+        time.sleep(0.5)
+        _say_to(conn, 8, struct.pack("!H", 1001))
+
+    opened = exchange.Socket(_socket_server(script))
+    opened.send(exchange.subscription(["KRW-A"] * 40).encode())
+    assert [opened.receive(5) for _ in range(3)] == ['{"a":1}', '{"b":"é"}', long]
+    with pytest.raises(TimeoutError):
+        opened.receive(0.05)
+    with pytest.raises(ConnectionError, match="closed by the exchange 1001"):
+        opened.receive(5)
+    assert [k for k, _ in heard] == [1, 10, 10] and heard[1][1] == b"are you there"
+    assert [x.get("type") for x in json.loads(heard[0][1])] == [None, "trade", "orderbook", None] and json.loads(heard[0][1])[1]["codes"] == ["KRW-A"] * 40
+    with pytest.raises(ConnectionError, match="ended"):
+        exchange.Socket(_socket_server(lambda conn: None)).receive(5)
+    with pytest.raises(ConnectionError, match="no WebSocket"):
+        exchange.Socket(_socket_server(lambda conn: None, accept=False))
+
+
+def test_collect_from_an_exchange(spark, tmp_path, monkeypatch):
+    """From the command line: the universe's largest markets, one connection, and what it sent in the archive."""
+    config, asked = _config(tmp_path), []
+    config.top_market_count = 2
+    tickers = spark.createDataFrame([("KRW-A", 1.0, 0), ("KRW-B", 3.0, 1), ("KRW-C", 2.0, 2)], "market string, volume double, ordinal bigint")
+    monkeypatch.setattr(exchange.universe, "tickers", lambda spark, url, prefix: tickers)
+
+    def script(conn):
+        asked.extend(json.loads(_heard(conn)[1])[1]["codes"])
+        for k in range(30):
+            _say_to(conn, 2, json.dumps(_trade(BASE + k, 1.0, f"KRW-{'BC'[k % 2]}", seq=k)[1]).encode())
+        _say_to(conn, 8, b"")
+
+    _say(spark, config, "collect", "--frames", str(tmp_path / "frames"), "--checkpoint", str(tmp_path / "state"), "--once", "--rest", "http://x", "--socket", _socket_server(script))
+    assert asked == ["KRW-B", "KRW-C"] and study.trades(spark, config.data_root).groupBy("market").count().orderBy("market").collect() == [("KRW-B", 15), ("KRW-C", 15)]
+
+
 def test_a_server_that_lost_frames_is_an_error():
     log = gateway.FrameLog()
     server = gateway.Gateway(log)

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from tidemark import config as settings
 from tidemark.plans import render, study
-from tidemark.streaming import feed, gateway, live, progress
+from tidemark.streaming import exchange, feed, gateway, live, progress
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -27,6 +27,8 @@ def _parser() -> argparse.ArgumentParser:
     collect.add_argument("--files-per-batch", type=int, default=100)
     collect.add_argument("--once", action="store_true", help="take what is there and end")
     collect.add_argument("--alerts", action="store_true")
+    collect.add_argument("--rest", metavar="URL", help="the exchange's pages of markets and tickers, with --socket")
+    collect.add_argument("--socket", metavar="URL", help="also follow the exchange's WebSocket, for the markets of the greatest traded value")
     collect.add_argument("--server", metavar="URL", help="fetch frames from this frame server into the folder, see tidemark.sources.frames")
     collect.add_argument("--listen", metavar="HOST:PORT", default="127.0.0.1:0", help="where executors fetch the frames of --feed; on a cluster this host's own address")
     collect.add_argument("--feed", metavar="MODULE:CLASS", help="also run connections: an object with universe() and connect(markets), see tidemark.streaming.feed")
@@ -46,9 +48,12 @@ def _collect(spark: SparkSession, config: settings.Config, args) -> None:
         except study.Blocked as why:
             print(f"alerts blocked: {why}; collection continues", file=sys.stderr)
     connections = worker = server = landing = None
-    if args.feed:
-        module, _, name = args.feed.partition(":")
-        source = getattr(importlib.import_module(module), name)()
+    if args.feed or args.socket:
+        if args.feed:
+            module, _, name = args.feed.partition(":")
+            source = getattr(importlib.import_module(module), name)()
+        else:
+            source = exchange.Exchange(spark, args.rest, args.socket, config.top_market_count)
         log = gateway.FrameLog()
         server = gateway.Gateway(log, *args.listen.rsplit(":", 1)[:1], int(args.listen.rsplit(":", 1)[1]))
         connections = feed.Feed(spark, config, log, source.universe, source.connect)
