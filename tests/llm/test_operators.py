@@ -188,8 +188,21 @@ def test_quality_cutoffs_reject_junk_and_keep_good(spark):
     labels = spark.createDataFrame([(d[0], 1) for d in good] + [(d[0], 0) for d in junk[:50]] + [(None, 1), (0, None), (99999, 0)], "doc_id bigint, quality int")
     got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
     assert all(got[d[0]].kept or got[d[0]].base_failed for d in good)
-    assert all(got[d[0]].rejected_by == "symbols" for d in junk if not got[d[0]].base_failed)
-
+    judged = [got[d[0]].rejected_by for d in junk if not got[d[0]].base_failed]
+    # the most lenient cutoff that rejects all labelled junk; a little of the other may lie below it
+    assert set(judged) <= {"symbols", None} and judged.count(None) <= 0.1 * len(judged)
+
+
+def test_several_rules_are_certified_together(spark):
+    """Junk of three kinds goes by three rules of one stratum, repeats that prose has too stay."""
+    rng = random.Random(12)
+    texts = [prose(rng, 120) for _ in range(900)] + [prose(rng, 90) + "\n" + "\n".join([prose(rng, 12)] * 2) for _ in range(100)]
+    junk = [" ".join(w + "##" for w in prose(rng, 80).split()) for _ in range(40)] + [prose(rng, 90).upper() for _ in range(40)] + [" ".join(x for w in prose(rng, 80).split() for x in (w, rng.choice("abcdefghijklmnopqrstuvwxyz"))) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts + junk)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k < 1000)) for k in range(1120)], "doc_id bigint, quality int")
+    got = Counter((r.doc_id >= 1000, r.rejected_by) for r in quality.judge(docs, labels).where("not base_failed").collect())
+    assert {rule for bad, rule in got if bad} >= {"symbols", "capitals", "singles"} and got[True, None] == 0
+    assert got[False, None] >= 990
 
 def test_texts_of_one_digest_are_told_apart_by_their_bytes(spark, tmp_path, monkeypatch):
     """A digest of the first letter alone: in one call, and in three calls of one state."""
