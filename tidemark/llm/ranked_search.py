@@ -49,6 +49,16 @@ QUERY_TERMS = 500_000
 SLICE = 2 << 20
 
 
+def released(run):
+    """``run`` for mapInArrow, which gives back what Arrow holds when its task is done: workers go on to other tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
     """The column of texts in runs of about ``size`` bytes (or one text), each with its first row."""
     total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -99,7 +109,7 @@ def lengths(docs: DataFrame) -> DataFrame:
                 _, _, begins, offsets = _spots(part)
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(np.searchsorted(begins, offsets)), pa.int64())], ["n"])
 
-    return docs.select("text").mapInArrow(run, "n bigint")
+    return docs.select("text").mapInArrow(released(run), "n bigint")
 
 
 def _cost(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int) -> np.ndarray:
@@ -201,7 +211,7 @@ def _fitted(docs: DataFrame, rows: int) -> Tree:
         tree = fit(pa.concat_arrays([pa.array([], pa.string()), *(b.column(0).cast(pa.string()) for b in batches)]))
         yield pa.RecordBatch.from_arrays([pa.array([tree.terms.to_pylist()], pa.list_(pa.string())), pa.array([tree.lean.tobytes()], pa.binary()), pa.array([tree.cut.tolist()], pa.list_(pa.float64()))], ["terms", "lean", "cut"])
 
-    row = drawn.repartition(1).mapInArrow(run, "terms array<string>, lean binary, cut array<double>").first()
+    row = drawn.repartition(1).mapInArrow(released(run), "terms array<string>, lean binary, cut array<double>").first()
     return Tree(pa.array(row.terms, pa.string()), np.frombuffer(row.lean, np.float32).reshape(1 << LEVELS, -1), np.array(row.cut))
 
 
@@ -284,9 +294,9 @@ def build_index(docs: DataFrame, rows: int, total: int) -> DataFrame:
             yield from flush()
 
     # the texts themselves go to their leaves: they are shorter than their terms
-    routed = docs.mapInArrow(route, "doc_id bigint, text string, leaf int")
+    routed = docs.mapInArrow(released(route), "doc_id bigint, text string, leaf int")
     dealt = routed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).repartition("leaf", "salt").sortWithinPartitions("leaf")
-    index = materialize(dealt.select("doc_id", "text", "leaf").mapInArrow(shard, _SHARD_KIND), "index", **{"parquet.block.size": ROW_GROUP})
+    index = materialize(dealt.select("doc_id", "text", "leaf").mapInArrow(released(shard), _SHARD_KIND), "index", **{"parquet.block.size": ROW_GROUP})
     tree.unpersist()
     return index
 
@@ -335,7 +345,7 @@ def document_frequencies(index: DataFrame, queries) -> dict[str, int]:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some])], ["word", "df"])
 
-    found = index.select("terms", "cuts", "ends").mapInArrow(run, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
+    found = index.select("terms", "cuts", "ends").mapInArrow(released(run), "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
     return {r.word: r.df for r in found.collect()}  # words of a block of queries
 
 
@@ -350,7 +360,7 @@ def shard_bounds(index: DataFrame, queries) -> DataFrame:
                 some = np.flatnonzero(bound)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), batch.column("shard")[k].as_py()), pa.int64()), pa.array(bound[some])], ["query", "shard", "bound"])
 
-    return index.select("shard", "terms", "cuts", "tops").mapInArrow(run, "query int, shard bigint, bound bigint")
+    return index.select("shard", "terms", "cuts", "tops").mapInArrow(released(run), "query int, shard bigint, bound bigint")
 
 
 def visit(index: DataFrame, queries, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> DataFrame:
@@ -385,7 +395,7 @@ def visit(index: DataFrame, queries, low: np.ndarray, high: np.ndarray, least: n
                 row, doc = row[nth < TOP], doc[nth < TOP]
                 yield pa.RecordBatch.from_arrays([pa.array(now[row], pa.int32()), ids.take(pa.array(doc)), pa.array(score[row, doc])], ["query", "doc_id", "score"])
 
-    return index.mapInArrow(run, "query int, doc_id bigint, score bigint")
+    return index.mapInArrow(released(run), "query int, doc_id bigint, score bigint")
 
 
 def _answer(index: DataFrame, queries, n: int) -> DataFrame:
@@ -438,7 +448,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), dictionary.take(pa.array(code))], ["item_id", "term"])
 
     asked = items.select(items[item_col].alias("item_id"), items[item_text_col].cast("string").alias("text"))
-    asked = materialize(asked.mapInArrow(run, f"{kind.split(',')[0]}, term string").distinct(), "query-terms")
+    asked = materialize(asked.mapInArrow(released(run), f"{kind.split(',')[0]}, term string").distinct(), "query-terms")
     n_terms = asked.count()
     if not n_terms or not stats.rows:
         return spark.createDataFrame([], kind)
