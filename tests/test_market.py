@@ -408,3 +408,24 @@ def test_outcomes_shuffle_trades_once(spark, tmp_path):
     marks = spark.range(9).selectExpr("'A' as market", "id as at", "0 as which", "false as after", "named_struct('id', id) as row")
     plan = outcomes._merged(marks, trades, 60)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1
+
+
+# the last entry is 0 / 0, which SQL takes for more than any number
+@pytest.mark.parametrize("at,direction,net,hit", [(1, "sell", math.inf, True), (1, "buy", -100.0, False), (0, "buy", math.inf, True), (0, "sell", -100.0, True)])
+def test_a_price_of_zero_is_infinitely_far(spark, at, direction, net, hit):
+    prices = [0.0 if k == at else 5.0 for k in range(2)]
+    trades = spark.createDataFrame([("A", k * MICROS, k, p) for k, p in enumerate(prices)], "market string, ts bigint, seq bigint, price double")
+    signal = spark.createDataFrame([("A", 0, 0, "x", "r", direction)], "market string, ts bigint, seq bigint, signal_type string, rule_id string, direction string")
+    done = outcomes.outcomes(signal, trades, 1, 1, 10.0)
+    assert done.first().reached_target == hit
+    assert paper.paper_trades(done, 0, MICROS, 0.0).first().net_pct == net
+    held = paper.hold(trades, 0, 2 * MICROS, 0.0)
+    assert held.first().hold_pct == (-100.0 if at else math.inf)
+
+
+def test_a_market_result_that_is_no_number_stays(spark):
+    held = spark.createDataFrame([("A", None, None, math.nan), ("B", 1.0, 1.0, 0.0)], "market string, first_price double, last_price double, hold_pct double")
+    done = spark.createDataFrame([("B", "market", None, 1, 0, 0, 1, math.inf, math.nan)], "market string, section string, rule_key string, trades bigint, skipped bigint, incomplete bigint, wins bigint, mean_net_pct double, return_pct double")
+    got = {r.market: r for r in paper.by_market(done, held).collect()}
+    assert got["A"].first_price is None and math.isnan(got["A"].hold_pct) and got["A"].trades == 0
+    assert math.isnan(got["B"].return_pct) and got["B"].mean_net_pct == math.inf

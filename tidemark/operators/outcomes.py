@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import quotient
 from tidemark.functions.timeline import MICROS, block_of, fitting_block
 from tidemark.sources.store import discard, shared_table
 
@@ -152,7 +153,8 @@ def outcomes(signals: DataFrame, trades: DataFrame, horizon: int, max_lag: int,
     # no trade lies between the signal and its entry, so their ranges are one
     entry = F.when(F.col("_entry.ts") <= F.col("ts") + max_lag * MICROS, F.col("_entry.price"))
     complete = entry.isNotNull() & F.col("_exit").isNotNull()
-    up = (F.try_divide(F.col("_range.high"), entry) - 1) * 100 >= target_pct
-    down = (F.try_divide(entry, F.col("_range.low")) - 1) * 100 >= target_pct
+    # a price of 0 is infinitely far from any other
+    up = (quotient(F.col("_range.high"), entry) - 1) * 100 >= target_pct
+    down = (quotient(entry, F.col("_range.low")) - 1) * 100 >= target_pct
     hit = F.coalesce(F.when(F.col("direction") == "buy", up).otherwise(down), F.lit(False))
     return df.select(*signals.columns, entry.alias("entry_price"), F.col("_exit.price").alias("horizon_price"), complete.alias("complete"), F.when(complete, hit).alias("reached_target"), F.col("_exit.ts").alias("exit_ts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import quotient
 from tidemark.functions.timeline import MICROS, block_of, fitting_block, one_at_a_time
 from tidemark.sources.store import shared_table
 
@@ -18,7 +19,7 @@ def cooldown(signals: DataFrame, keys: list[str], seconds: int, order: list[str]
 
 
 def net_pct(direction: Column, entry: Column, exit_: Column, round_trip: float) -> Column:
-    up, down = (F.try_divide(exit_, entry) - 1) * 100, (F.try_divide(entry, exit_) - 1) * 100
+    up, down = (quotient(exit_, entry) - 1) * 100, (quotient(entry, exit_) - 1) * 100
     return F.when(direction == "buy", up).otherwise(down) - round_trip
 
 
@@ -64,13 +65,14 @@ def hold(trades: DataFrame, start_ts: int, end_ts: int, round_trip: float) -> Da
     """Buy-and-hold per market of the window: first and last price in trade order."""
     key = F.struct("ts", "seq")
     ends = trades.where(F.col("ts").between(start_ts, end_ts - 1)).groupBy("market").agg(F.min_by("price", key).alias("first_price"), F.max_by("price", key).alias("last_price"))
-    return ends.withColumn("hold_pct", F.round((F.try_divide(F.col("last_price"), F.col("first_price")) - 1) * 100 - round_trip, 6))
+    return ends.withColumn("hold_pct", F.round((quotient(F.col("last_price"), F.col("first_price")) - 1) * 100 - round_trip, 6))
 
 
 def by_market(tallied: DataFrame, held: DataFrame) -> DataFrame:
     """Every market of the window's universe; one without trades returned nothing."""
     done = tallied.where("section = 'market'").drop("section", "rule_key")
-    joined = held.join(done, "market", "left").na.fill(0)
+    joined = held.join(done, "market", "left")  # a result that is not a number stays
+    joined = joined.withColumns({f.name: F.coalesce(f.name, F.lit(0).cast(f.dataType)) for f in done.schema.fields if f.name != "market"})
     return joined.withColumn("excess_pct", F.round(F.col("return_pct") - F.col("hold_pct"), 6))
 
 
