@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import filter_audit, ranked_search, vector_dedup
@@ -228,3 +229,17 @@ def test_shards_are_pruned(spark):
     q.weight[:] = 1000
     shards, met = index.count(), ranked_search.shard_bounds(index, spark.sparkContext.broadcast(q)).count()
     assert shards >= 16 and met <= shards / 4
+
+
+def test_search_hands_python_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    def largest(docs, *_):
+        return docs.coalesce(1).mapInArrow(sizes, "size long").agg({"size": "max"}).first()[0]
+
+    docs = spark.range(9000).selectExpr("id as doc_id", "repeat('a', 1000) as text")
+    monkeypatch.setattr(ranked_search, "_search", largest)
+    before = largest(docs)
+    assert ranked_search.search(docs, docs) < 5 << 20 < before == largest(docs)

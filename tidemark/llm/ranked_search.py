@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, materialize, table
+from tidemark.llm.common import arrow_batches, discard, materialize, table
 
 #: Bytes of terms: letters, digits and all beyond ASCII; the rest separates.
 _IN_TERM = np.zeros(256, bool)
@@ -47,6 +47,8 @@ WANTED = 1_000_000
 QUERY_TERMS = 500_000
 #: Bytes of texts that are cut into terms at once.
 SLICE = 2 << 20
+#: Size of the batches of texts and shards that Python gets: a shard's row has some 200 KB.
+BATCH = "4m"
 
 
 def released(run):
@@ -436,6 +438,11 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     scores go by the smaller doc_id, a null one last; rows that repeat an id are documents of their own. Rows of
     one item_id, also of null, are one item with the terms of all of them. Texts of any length are read whole. An empty table
     on either side gives no rows. Only the named columns are read, so others cannot clash."""
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _search(docs, items, id_col, text_col, item_col, item_text_col)
+
+
+def _search(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     stats = lengths(source).where("n > 0").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).first()
