@@ -11,6 +11,7 @@ from urllib.parse import parse_qs, urlsplit
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import timeline
 from tidemark.functions.timeline import MICROS, running
 from tidemark.operators import coverage, detect, evaluate, outcomes, paper
 from tidemark.plans import render
@@ -429,3 +430,10 @@ def test_a_market_result_that_is_no_number_stays(spark):
     got = {r.market: r for r in paper.by_market(done, held).collect()}
     assert got["A"].first_price is None and math.isnan(got["A"].hold_pct) and got["A"].trades == 0
     assert math.isnan(got["B"].return_pct) and got["B"].mean_net_pct == math.inf
+
+
+def test_blocks_are_dealt_by_rows_not_by_compressed_bytes(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "PART_ROWS", 1000)
+    trades = spark.range(9_500).selectExpr("'A' as market", "id * 36000000L as ts", "id as seq", "1D as price", "1D as volume", "'buy' as side", "cast(1 as decimal(18,2)) as notional")
+    plan = detect.prior_window(trades, 3600)._jdf.queryExecution().executedPlan().toString()
+    assert ", 10), REPARTITION_BY_NUM" in plan

@@ -39,8 +39,18 @@ def block_of(ts: str, seconds: int) -> Column:
     return F.floor(F.col(ts) / (seconds * MICROS))
 
 
-#: Rows of one key that a block may hold.
-BLOCK_ROWS = 200_000
+#: Rows of one key that a block may hold, and rows of all keys for each part that blocks are dealt into.
+BLOCK_ROWS = PART_ROWS = 50_000
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in so many parts. Left to itself Spark fits parts to the bytes they have when
+    compressed, which says little of the rows that a task then sorts in memory."""
+    return df.repartition(parts, *keys) if parts else df
+
+
+def fitting_parts(df: DataFrame) -> int:
+    return df.count() // PART_ROWS + 1
 
 
 def fitting_block(df: DataFrame, keys: list[str], least: int = 1, ts: str = "ts") -> int:
@@ -143,18 +153,18 @@ def in_blocks(df: DataFrame, seconds: int, before: int = 0, ts: str = "ts") -> D
     return df.withColumn("block", F.explode(F.array_compact(blocks) if before else F.array(b))).withColumn("own", F.col("block") == b)
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, seconds: int, ts: str = "ts") -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, seconds: int, ts: str = "ts", parts: int | None = None) -> DataFrame:
     """``value`` of the row before, within ``keys`` in the given order, over all blocks; null at the start."""
     boxed = F.struct(value.alias("v"))
     df = df.withColumn("block", block_of(ts, seconds)).withColumn("_box", boxed)
     inside = Window.partitionBy(*keys, "block").orderBy(*order)
     last = df.groupBy(*keys, "block").agg(F.max_by("_box", F.struct(*order)).alias("_last"))
     carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("block"))).drop("_last")
-    out = df.withColumn("_prev", F.lag("_box").over(inside)).join(carry, [*keys, "block"])
+    out = dealt(df, parts, *keys, "block").withColumn("_prev", F.lag("_box").over(inside)).join(carry, [*keys, "block"])
     return out.withColumn(name, F.coalesce("_prev", "_carry").getField("v")).drop("_box", "_prev", "_carry", "block")
 
 
-def edges(df: DataFrame, keys: list[str], order: list[str], active: Column, seconds: int) -> DataFrame:
+def edges(df: DataFrame, keys: list[str], order: list[str], active: Column, seconds: int, parts: int | None = None) -> DataFrame:
     """Rows where ``active`` turns true; any row where it is not re-arms."""
-    df = previous(df.withColumn("_active", active), keys, order, F.col("_active"), "_was", seconds)
+    df = previous(df.withColumn("_active", active), keys, order, F.col("_active"), "_was", seconds, parts=parts)
     return df.where(F.col("_active") & ~F.coalesce("_was", F.lit(False))).drop("_active", "_was")

@@ -7,7 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeline import MICROS, edges, fitting_block, in_blocks, previous, running
+from tidemark.functions.timeline import MICROS, dealt, edges, fitting_block, fitting_parts, in_blocks, previous, running
+from tidemark.sources.store import shared_table
 
 ORDER = ["ts", "seq"]
 SIGNAL = ["market", "ts", "seq", "signal_type", "rule_id", "direction", "feature_value", "baseline"]
@@ -22,16 +23,18 @@ def number(x: float) -> str:
     return format(Decimal(repr(float(x))).normalize(), "f")
 
 
-def prior_window(trades: DataFrame, seconds: int, block: int | None = None) -> DataFrame:
+def prior_window(trades: DataFrame, seconds: int, block: int | None = None, parts: int | None = None) -> DataFrame:
     """Trades with ``n`` and ``total`` (notional) of the trades before in the same market, not older
     than ``seconds``; trades of the same time and lower seq count as before.
 
     Each trade enters a running sum at its time and leaves it right after time + seconds, so a row
     costs the same however many trades the window holds. Blocks follow the busiest market's rate."""
+    parts = parts or fitting_parts(trades)
     block = max(block or fitting_block(trades, ["market"], seconds), seconds)
     rows = in_blocks(trades, block, seconds)
     moves = F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("ts") + seconds * MICROS + 1).alias("at"), F.lit(-1).alias("sign")))
     both = rows.select("*", F.explode(moves).alias("_move")).withColumns({"at": F.col("_move.at"), "sign": F.col("_move.sign")}).drop("_move")
+    both = dealt(both, parts, "market", "block")
     running_sum = Window.partitionBy("market", "block").orderBy("at", "sign", "seq").rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("n", F.coalesce(F.sum("sign").over(running_sum), F.lit(0)))
     both = both.withColumn("total", F.coalesce(F.sum(F.col("notional") * F.col("sign")).over(running_sum), F.lit(0)).cast("decimal(38,2)"))
@@ -57,16 +60,18 @@ def _trigger() -> Column:
 def trade_signals(trades: DataFrame, large: list[float], rates: list[float], seconds: int, block: int | None = None) -> list[DataFrame]:
     """Signals of large trades and of the trade rate, with their evidence, over one prior window."""
     block = max(block or fitting_block(trades, ["market"], seconds), seconds)
-    window = prior_window(trades, seconds, block)
+    parts = fitting_parts(trades)
+    # read four times: by each kind of rule for its rows and for the last ones of blocks
+    window = shared_table(prior_window(trades, seconds, block, parts), "prior-window")
     df = _rules(window, "large", large)
     active = (F.col("n") >= LEAST) & (F.col("notional").cast("double") > F.col("baseline") * F.col("rule.at"))
     seen = F.struct(F.lit("trade").alias("source"), _trigger(), F.col("n").alias("rolling_trade_count"), F.col("total").cast("double").alias("rolling_notional_sum"), F.col("baseline").alias("rolling_notional_mean"))
-    big = _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "large_aggressive_trade", F.col("side"), F.col("notional"), F.col("baseline"), seen)
+    big = _signals(edges(df, ["market", "rule_id"], ORDER, active, block, parts), "large_aggressive_trade", F.col("side"), F.col("notional"), F.col("baseline"), seen)
     df = _rules(window, "rate", rates)
     rate, base = F.col("n") / F.lit(float(seconds)), F.lit(LEAST / seconds)
     active = (F.col("n") >= LEAST) & (rate > base * F.col("rule.at"))
     seen = F.struct(F.lit("trade").alias("source"), _trigger(), F.col("n").alias("rolling_trade_count"), F.lit(seconds).alias("window_seconds"), rate.alias("rolling_rate_per_second"), base.alias("baseline_rate_per_second"))
-    return [big, _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "trade_rate_acceleration", F.col("side"), rate, base, seen)]
+    return [big, _signals(edges(df, ["market", "rule_id"], ORDER, active, block, parts), "trade_rate_acceleration", F.col("side"), rate, base, seen)]
 
 
 def large_trades(trades: DataFrame, multiples: list[float], seconds: int, block: int | None = None) -> DataFrame:

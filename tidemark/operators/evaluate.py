@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeline import MICROS, utc_date
+from tidemark.functions.timeline import MICROS, dealt, fitting_parts, utc_date
 from tidemark.operators.outcomes import outcomes
 from tidemark.sources.store import shared_table
 
@@ -54,7 +54,7 @@ def control_pairs(done: DataFrame, trades: DataFrame, horizon: int, max_lag: int
     before = Window.partitionBy("market", "date").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("in_step").over(before), F.lit(0)))
     rank = Window.partitionBy("market", "date", "step").orderBy("ts", "seq")
-    numbered = day.withColumn("place", F.row_number().over(rank) - 1).select("market", "date", "step", "place", F.col("ts").alias("control_ts"))
+    numbered = dealt(day.select("market", "date", "step", "ts", "seq"), fitting_parts(trades), "market", "date", "step").withColumn("place", F.row_number().over(rank) - 1).select("market", "date", "step", "place", F.col("ts").alias("control_ts"))
     signals = done.where("complete").withColumn("date", utc_date()).join(control_pool(trades, horizon), ["market", "date"])
     split = F.when(F.col("date") <= F.lit(tuning_end).cast("date"), "train").otherwise("validation")
     signals = signals.withColumn("nth", draw(F.col("pool_n"), F.lit(seed), split, rule_key(), F.col("market"), F.col("ts"), F.col("seq")))

@@ -12,15 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import quotient
-from tidemark.functions.timeline import MICROS, block_of, fitting_block
+from tidemark.functions.timeline import MICROS, block_of, dealt, fitting_block, fitting_parts
 from tidemark.sources.store import discard, shared_table
 
 #: Trades of a leaf and children of a node: what one request reads at most.
 LEAF = 64
-_TRADE = "struct<place:int,ts:bigint,seq:bigint,price:double>"
 
 
-def _merged(marks: DataFrame, trades: DataFrame, block: int) -> DataFrame:
+def _merged(marks: DataFrame, trades: DataFrame, block: int, parts: int | None = None) -> DataFrame:
     """One row per leaf of trades, and one per LEAF marks, of each (market, block), from one sort of both.
 
     ``marks`` has market, at, which, after (whether trades of the time itself count as ahead) and row. A
@@ -29,6 +28,7 @@ def _merged(marks: DataFrame, trades: DataFrame, block: int) -> DataFrame:
     both = marks.select("market", "at", kind.alias("kind"), F.struct("which", "row").alias("mark"))
     own = trades.select("market", F.col("ts").alias("at"), F.lit(1).alias("kind"), "seq", "price")
     both = both.unionByName(own, allowMissingColumns=True).withColumn("block", block_of("at", block))
+    both = dealt(both, parts, "market", "block")
     before = Window.partitionBy("market", "block").orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, -1)
     is_trade = F.col("kind") == 1
     ahead = F.coalesce(F.sum(is_trade.cast("int")).over(before), F.lit(0)).cast("int")
@@ -44,16 +44,16 @@ def _merged(marks: DataFrame, trades: DataFrame, block: int) -> DataFrame:
 
 
 def _levels(leaves: DataFrame, levels: int) -> DataFrame:
-    """(market, level, node, trades, lows, highs): the leaves at level 0, and above them nodes of LEAF children
-    until one node of a market is left."""
-    prices = F.transform("trades", lambda t: t["price"])
-    out = leaves.select("market", F.lit(0).alias("level"), "node", "trades", prices.alias("lows"), prices.alias("highs"))
+    """(market, level, node, times, seqs, lows, highs): the leaves at level 0, whose prices are lows alone, and above
+    them nodes of LEAF children until one node of a market is left."""
+    of = lambda field: F.transform("trades", lambda t: t[field])
+    out = leaves.select("market", F.lit(0).alias("level"), "node", of("ts").alias("times"), of("seq").alias("seqs"), of("price").alias("lows"))
     below = leaves.select("market", "node", "low", "high")
     for level in range(1, levels + 1):
         child = F.struct("node", "low", "high")
         nodes = below.groupBy("market", F.floor(F.col("node") / LEAF).alias("node")).agg(F.sort_array(F.collect_list(child)).alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
-        held = nodes.select("market", F.lit(level).alias("level"), "node", F.lit(None).cast(f"array<{_TRADE}>").alias("trades"), F.transform("c", lambda x: x["low"]).alias("lows"), F.transform("c", lambda x: x["high"]).alias("highs"))
-        out, below = out.unionByName(held), nodes.select("market", "node", "low", "high")
+        held = nodes.select("market", F.lit(level).alias("level"), "node", F.transform("c", lambda x: x["low"]).alias("lows"), F.transform("c", lambda x: x["high"]).alias("highs"))
+        out, below = out.unionByName(held, allowMissingColumns=True), nodes.select("market", "node", "low", "high")
     return out
 
 
@@ -65,11 +65,16 @@ def levels_above(most: int) -> int:
     return level
 
 
-def _request(name: str, level: int, node: Column, first: Column, last: Column) -> Column:
+def _spot(number: Column) -> Column:
+    """A trade's number as its leaf and the place in it."""
+    return F.struct(F.floor(number / LEAF).alias("node"), F.pmod(number, F.lit(LEAF)).cast("int").alias("place"))
+
+
+def _request(name: int, level: int, node: Column, first: Column, last: Column) -> Column:
     return F.struct(F.lit(name).alias("name"), F.lit(level).alias("level"), node.cast("bigint").alias("node"), first.cast("int").alias("first"), last.cast("int").alias("last"))
 
 
-def _cover(name: str, start: Column, end: Column, levels: int) -> list[Column]:
+def _cover(name: int, start: Column, end: Column, levels: int) -> list[Column]:
     """Requests for the nodes that cover the places from ``start`` to ``end`` (structs node, place), two a
     level at most; null where there is nothing to ask."""
     out, level = [], 0
@@ -93,13 +98,15 @@ def look_up(probes: DataFrame, trades: DataFrame, first: dict[str, str], ranges:
     high) of prices from one column's time to another's, both included; null if there is none.
 
     Trades are read, shuffled and sorted once for all of them. Every probe then asks for one leaf per trade and two
-    nodes a level per range, so the work is linear in probes and trades whatever a range holds. Rows that repeat stay."""
+    nodes a level per range, so the work is linear in probes and trades whatever a range holds. Meanwhile a probe is
+    but its number in a table that is written first. Rows that repeat stay."""
+    columns, parts = probes.columns, fitting_parts(trades)
     block = block or fitting_block(trades, ["market"])
-    columns = probes.columns
+    probes = shared_table(probes.withColumn("_probe", F.monotonically_increasing_id()), "probes")
     marks = sorted({(c, False) for c in first.values()} | {(a, False) for a, _ in ranges.values()} | {(b, True) for _, b in ranges.values()})
     named = [F.struct(F.lit(k).alias("which"), F.col(c).alias("at"), F.lit(after).alias("after")) for k, (c, after) in enumerate(marks)]
-    asked = probes.select("market", F.struct(*columns).alias("row"), F.explode(F.array(*named)).alias("m")).select("market", "row", "m.*")
-    merged = shared_table(_merged(asked.where("at is not null"), trades, block), "merged")
+    asked = probes.select("market", F.col("_probe").alias("row"), F.explode(F.array(*named)).alias("m")).select("market", "row", "m.*")
+    merged = shared_table(_merged(asked.where("at is not null"), trades, block, parts), "merged")
     # leaves are numbered through a market by counts of its blocks
     sizes = merged.groupBy("market", "block").agg(F.count(F.when(F.col("leaf"), 1)).alias("leaves"), F.coalesce(F.sum(F.when(F.col("leaf"), F.size("trades"))), F.lit(0)).alias("size"))
     earlier = Window.partitionBy("market").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,34 +114,39 @@ def look_up(probes: DataFrame, trades: DataFrame, first: dict[str, str], ranges:
     numbered = merged.join(sizes, ["market", "block"])
     leaves = numbered.where("leaf").select("market", (F.col("offset") + F.col("nth")).alias("node"), "trades", "low", "high")
     levels = levels_above(sizes.agg(F.max(F.col("offset") + F.col("leaves") - 1)).first()[0] or 0)
-    nodes = _levels(leaves, levels)
-    place = lambda n: F.struct((F.col("offset") + F.floor(n / LEAF)).alias("node"), F.pmod(n, F.lit(LEAF)).cast("int").alias("place"))
-    edge = lambda node, at: F.struct(node.alias("node"), F.lit(at).alias("place"))
-    # the trade right after a mark, or for marks after their time the last one ahead of it; both may be in another block
-    following = F.when(F.col("m.ahead") < F.col("size"), place(F.col("m.ahead"))).otherwise(edge(F.col("offset") + F.col("leaves"), 0))
-    preceding = F.when(F.col("m.ahead") > 0, place(F.col("m.ahead") - 1)).otherwise(edge(F.col("offset") - 1, LEAF - 1))
+    nodes = dealt(_levels(leaves, levels), parts, "market", "level", "node")
+    # the trade right after a mark, or for marks after their time the last one ahead of it; both may be in another
+    # block. A trade's number is its leaf's times LEAF and its place
+    begin, ahead = F.col("offset") * LEAF, F.col("m.ahead")
+    following = F.when(ahead < F.col("size"), begin + ahead).otherwise((F.col("offset") + F.col("leaves")) * LEAF)
     spots = numbered.where("not leaf").select("market", "offset", "leaves", "size", F.explode("marks").alias("m"))
-    spots = spots.select("market", F.col("m.mark.row").alias("row"), F.col("m.mark.which").alias("which"), F.when(F.col("m.after"), preceding).otherwise(following).alias("spot"))
+    spots = spots.select("market", F.col("m.mark.row").alias("row"), F.col("m.mark.which").alias("which"), F.when(F.col("m.after"), begin + ahead - 1).otherwise(following).alias("spot"))
     found = spots.groupBy("market", "row").agg(*(F.max(F.when(F.col("which") == k, F.col("spot"))).alias(f"spot{k}") for k in range(len(marks))))
-    at = {m: F.col(f"spot{k}") for k, m in enumerate(marks)}
-    requests = [_request(name, 0, at[c, False]["node"], at[c, False]["place"], at[c, False]["place"]) for name, c in first.items()]
-    for name, (a, b) in ranges.items():
-        requests += _cover(name, at[a, False], at[b, True], levels)
+    at = {m: F.when(F.col(f"spot{k}").isNotNull(), _spot(F.col(f"spot{k}"))) for k, m in enumerate(marks)}
+    names = {n: k for k, n in enumerate([*first, *ranges])}
+    requests = [F.when(at[c, False].isNotNull(), _request(names[n], 0, at[c, False]["node"], at[c, False]["place"], at[c, False]["place"])) for n, c in first.items()]
+    for n, (a, b) in ranges.items():
+        requests += _cover(names[n], at[a, False], at[b, True], levels)
     asked = found.select("market", "row", F.explode(F.array_compact(F.array(*requests))).alias("r")).select("market", "row", "r.*")
+    hits = dealt(asked, parts, "market", "level", "node").join(nodes, ["market", "level", "node"])
+    # what a probe wants of a node, before anything is sorted or kept by probes
     part = lambda values: F.slice(values, F.col("first") + 1, F.col("last") - F.col("first") + 1)
-    hits = asked.join(nodes, ["market", "level", "node"])
-    trade = F.when(F.size("trades") > F.col("first"), F.element_at("trades", F.col("first") + 1))
-    values = [F.max(F.when(F.col("name") == n, F.struct(trade["ts"].alias("ts"), trade["seq"].alias("seq"), trade["price"].alias("price")))).alias(f"f_{n}") for n in first]
-    for n in ranges:
-        mine = F.col("name") == n
-        values += [F.min(F.when(mine, F.array_min(part("lows")))).alias(f"l_{n}"), F.max(F.when(mine, F.array_max(part("highs")))).alias(f"h_{n}")]
-    # every probe is there once for itself, with or without answers
-    alone = probes.select("market", F.struct(*columns).alias("row"), F.lit(True).alias("probe"))
-    answers = hits.unionByName(alone, allowMissingColumns=True).groupBy("market", "row").agg(F.count("probe").cast("int").alias("times"), *values)
-    out = [F.when(F.col(f"f_{n}.ts").isNotNull(), F.col(f"f_{n}")).alias(n) for n in first]
-    out += [F.when(F.col(f"l_{n}").isNotNull(), F.struct(F.col(f"l_{n}").alias("low"), F.col(f"h_{n}").alias("high"))).alias(n) for n in ranges]
-    result = shared_table(answers.withColumn("row", F.explode(F.array_repeat("row", F.col("times")))).select("row.*", *out), "looked-up")
-    discard(merged, sizes)
+    one = lambda values: F.when(F.size(values) > F.col("first"), F.element_at(values, F.col("first") + 1))
+    is_range = F.col("name") >= len(first)
+    hits = hits.select(
+        "row", "name", F.when(~is_range, one("times")).alias("ts"), F.when(~is_range, one("seqs")).alias("seq"),
+        F.when(is_range, F.array_min(part("lows"))).otherwise(one("lows")).alias("low"), F.when(is_range, F.array_max(part(F.coalesce("highs", "lows")))).alias("high"),
+    )
+    of = lambda n, c, kind: kind(F.when(F.col("name") == names[n], F.col(c)))
+    values = [of(n, c, F.max).alias(f"{c}_{names[n]}") for n in first for c in ("ts", "seq", "low")]
+    values += [x for n in ranges for x in (of(n, "low", F.min).alias(f"low_{names[n]}"), of(n, "high", F.max).alias(f"high_{names[n]}"))]
+    answers = hits.groupBy(F.col("row").alias("_probe")).agg(*values)
+    got = lambda n, c: F.col(f"_a.{c}_{names[n]}")
+    out = [F.when(got(n, "ts").isNotNull(), F.struct(got(n, "ts").alias("ts"), got(n, "seq").alias("seq"), got(n, "low").alias("price"))).alias(n) for n in first]
+    out += [F.when(got(n, "low").isNotNull(), F.struct(got(n, "low").alias("low"), got(n, "high").alias("high"))).alias(n) for n in ranges]
+    whole = probes.alias("_p").join(answers.alias("_a"), F.col("_p._probe") == F.col("_a._probe"), "left")
+    result = shared_table(whole.select(*(F.col(f"_p.`{c}`") for c in columns), *out), "looked-up")
+    discard(probes, merged, sizes)
     return result
 
 
