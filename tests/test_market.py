@@ -437,3 +437,45 @@ def test_blocks_are_dealt_by_rows_not_by_compressed_bytes(spark, monkeypatch):
     trades = spark.range(9_500).selectExpr("'A' as market", "id * 36000000L as ts", "id as seq", "1D as price", "1D as volume", "'buy' as side", "cast(1 as decimal(18,2)) as notional")
     plan = detect.prior_window(trades, 3600)._jdf.queryExecution().executedPlan().toString()
     assert ", 10), REPARTITION_BY_NUM" in plan
+
+
+def plans_written(monkeypatch, *modules):
+    """The plans of all that the modules write to shared tables from now on."""
+    plans, write = [], store.shared_table
+    for module in modules:
+        monkeypatch.setattr(module, "shared_table", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *a, **k))[1], raising=False)
+    return plans
+
+
+def test_signals_sort_no_scan_of_all_trades(trades, monkeypatch):
+    # what a scan reads follows the size of files, so a sort there grows with the table
+    plans = plans_written(monkeypatch, timeline, detect)
+    found = [*detect.trade_signals(trades, [1.5, 2.0], [1.5], 30, 60), detect.wall_drop(trades.selectExpr("*", "1D as ask", "1D as bid", "price as ask_wall", "price as bid_wall"), 5.0, 60)]
+    plans += [s._jdf.queryExecution().executedPlan().toString() for s in found]
+    assert all(s.count() for s in found) and not any("SortAggregate" in p for p in plans)
+    # trades are shuffled once for all rules, by blocks
+    assert len([p for p in plans if "Generate" in p and "REPARTITION" in p]) == 1 and max(p.count("REPARTITION") for p in plans) == 1
+
+
+@pytest.mark.parametrize("block", [1, 7, 50, 10**6])
+def test_previous_tells_the_row_before_over_blocks(spark, block):
+    rng = random.Random(5)
+    rows = [(k, "AB"[k % 3 == 0], rng.choice([0, 1, 2, 60]), rng.choice([None, 1, 2])) for k in range(200)]
+    at, want, last = 0, {}, {}
+    for k, m, gap, v in rows:
+        at += gap * MICROS
+        rows[k] = (k, m, at, v)
+        want[k] = last.get(m)
+        last[m] = v
+    df = spark.createDataFrame(rows, "k int, m string, ts bigint, v int").repartition(3)
+    got = timeline.previous(df, ["m"], ["ts", "k"], F.col("v"), "before", block, F.lit(True))
+    assert {r.k: r.before for r in got.collect()} == want
+    got = timeline.previous(df, ["m"], ["ts", "k"], F.col("v"), "before", block, F.col("before") == 2).collect()
+    assert sorted(r.k for r in got) == sorted(k for k, v in want.items() if v == 2)
+
+
+def test_lookups_are_dealt_by_numbers_of_probes(spark, trades, monkeypatch):
+    monkeypatch.setattr(timeline, "PART_ROWS", 30)
+    plans = plans_written(monkeypatch, outcomes)
+    assert outcomes.first_at_or_after(trades.select("market", "ts", "seq").limit(200), trades, "ts", "found", 100).count() == 200
+    assert plans[-1].count(", 7), REPARTITION_BY_NUM") == 3  # 200 probes, their spots and their answers

@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from tidemark.functions.batches import groups
+from tidemark.sources.store import shared_table
 
 DAY = 86_400
 MICROS = 1_000_000
@@ -153,18 +154,30 @@ def in_blocks(df: DataFrame, seconds: int, before: int = 0, ts: str = "ts") -> D
     return df.withColumn("block", F.explode(F.array_compact(blocks) if before else F.array(b))).withColumn("own", F.col("block") == b)
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, seconds: int, ts: str = "ts", parts: int | None = None) -> DataFrame:
-    """``value`` of the row before, within ``keys`` in the given order, over all blocks; null at the start."""
-    boxed = F.struct(value.alias("v"))
-    df = df.withColumn("block", block_of(ts, seconds)).withColumn("_box", boxed)
-    inside = Window.partitionBy(*keys, "block").orderBy(*order)
-    last = df.groupBy(*keys, "block").agg(F.max_by("_box", F.struct(*order)).alias("_last"))
-    carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("block"))).drop("_last")
-    out = dealt(df, parts, *keys, "block").withColumn("_prev", F.lag("_box").over(inside)).join(carry, [*keys, "block"])
-    return out.withColumn(name, F.coalesce("_prev", "_carry").getField("v")).drop("_box", "_prev", "_carry", "block")
-
+def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, seconds: int, where: Column, ts: str = "ts", parts: int | None = None, placed: bool = False) -> DataFrame:
+    """Rows for which ``where`` holds, with ``name``: ``value`` of the row before, within ``keys`` in the given order,
+    over all blocks; null at the start. ``placed`` tells that ``df`` has ``block`` and no block lies in several tasks.
 
-def edges(df: DataFrame, keys: list[str], order: list[str], active: Column, seconds: int, parts: int | None = None) -> DataFrame:
-    """Rows where ``active`` turns true; any row where it is not re-arms."""
-    df = previous(df.withColumn("_active", active), keys, order, F.col("_active"), "_was", seconds, parts=parts)
-    return df.where(F.col("_active") & ~F.coalesce("_was", F.lit(False))).drop("_active", "_was")
+    A block is sorted once, in parts dealt by rows. Its first row alone does not know what is before: this one, the last one
+    and those that ``where`` holds for are written, and blocks hand on from there."""
+    if not placed:
+        df = dealt(df.withColumn("block", block_of(ts, seconds)), parts or fitting_parts(df), *keys, "block")
+    inside = Window.partitionBy(*keys, "block").orderBy(*order)
+    rows = df.withColumn("_box", F.struct(value.alias("v")))
+    rows = rows.withColumns({"_prev": F.lag("_box").over(inside), "_last": F.lead(F.lit(True)).over(inside).isNull()})
+    rows = rows.withColumns({"_first": F.col("_prev").isNull(), name: F.col("_prev.v")}).drop("_prev")
+    kept = shared_table(rows.where(F.col("_first") | F.col("_last") | where), "previous")
+    carry = kept.where("_last").select(*keys, "block", F.lag("_box").over(Window.partitionBy(*keys).orderBy("block")).alias("_carry"))
+    known = kept.join(carry, [*keys, "block"]).withColumn(name, F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col(name)))
+    return known.where(where).drop("_box", "_carry", "_first", "_last", "block")
+
+
+def edges(df: DataFrame, keys: list[str], order: list[str], active: dict[str, Column], name: str, seconds: int, parts: int | None = None, placed: bool = False) -> DataFrame:
+    """A row for each flag of ``active`` that turns true in a row of ``df``, with the flag's key in ``name``; any row
+    where it is not true re-arms it. All flags share one pass over the rows."""
+    flags = F.array(*(F.coalesce(a, F.lit(False)) for a in active.values())).cast("array<boolean>")
+    turned = [F.col("_active")[k] & ~F.coalesce(F.col("_was")[k], F.lit(False)) for k in range(len(active))]
+    any_ = reduce(lambda a, b: a | b, turned, F.lit(False))
+    df = previous(df.withColumn("_active", flags), keys, order, F.col("_active"), "_was", seconds, any_, parts=parts, placed=placed)
+    names = F.array_compact(F.array(*(F.when(t, F.lit(key)) for key, t in zip(active, turned))).cast("array<string>"))
+    return df.withColumn(name, F.explode(names)).drop("_active", "_was")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeline import MICROS, dealt, edges, fitting_block, fitting_parts, in_blocks, previous, running
-from tidemark.sources.store import shared_table
 
 ORDER = ["ts", "seq"]
 SIGNAL = ["market", "ts", "seq", "signal_type", "rule_id", "direction", "feature_value", "baseline"]
@@ -23,14 +22,19 @@ def number(x: float) -> str:
     return format(Decimal(repr(float(x))).normalize(), "f")
 
 
-def prior_window(trades: DataFrame, seconds: int, block: int | None = None, parts: int | None = None) -> DataFrame:
+def prior_window(trades: DataFrame, seconds: int, block: int | None = None) -> DataFrame:
     """Trades with ``n`` and ``total`` (notional) of the trades before in the same market, not older
     than ``seconds``; trades of the same time and lower seq count as before.
 
     Each trade enters a running sum at its time and leaves it right after time + seconds, so a row
     costs the same however many trades the window holds. Blocks follow the busiest market's rate."""
-    parts = parts or fitting_parts(trades)
     block = max(block or fitting_block(trades, ["market"], seconds), seconds)
+    return _prior_window(trades, seconds, block).drop("block")
+
+
+def _prior_window(trades: DataFrame, seconds: int, block: int) -> DataFrame:
+    """``prior_window`` with each row's ``block``; none lies in several tasks."""
+    parts = fitting_parts(trades)
     rows = in_blocks(trades, block, seconds)
     moves = F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("ts") + seconds * MICROS + 1).alias("at"), F.lit(-1).alias("sign")))
     both = rows.select("*", F.explode(moves).alias("_move")).withColumns({"at": F.col("_move.at"), "sign": F.col("_move.sign")}).drop("_move")
@@ -38,14 +42,12 @@ def prior_window(trades: DataFrame, seconds: int, block: int | None = None, part
     running_sum = Window.partitionBy("market", "block").orderBy("at", "sign", "seq").rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("n", F.coalesce(F.sum("sign").over(running_sum), F.lit(0)))
     both = both.withColumn("total", F.coalesce(F.sum(F.col("notional") * F.col("sign")).over(running_sum), F.lit(0)).cast("decimal(38,2)"))
-    return both.where("sign = 1 and own").select(*trades.columns, "n", "total", (F.col("total").cast("double") / F.greatest("n", F.lit(1))).alias("baseline"))
+    return both.where("sign = 1 and own").select(*trades.columns, "block", "n", "total", (F.col("total").cast("double") / F.greatest("n", F.lit(1))).alias("baseline"))
 
 
-def _rules(df: DataFrame, kind: str, values: list[float]) -> DataFrame:
-    """One row per rule; rules of the same name are one."""
-    rules = {f"{kind}-{number(v)}": float(v) for v in values}
-    listed = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(v).alias("at")) for k, v in rules.items()))
-    return df.withColumn("rule", F.explode(listed.cast("array<struct<id:string,at:double>>"))).withColumn("rule_id", F.col("rule.id"))
+def _rules(kind: str, values: list[float]) -> dict[str, float]:
+    """Values by the names of their rules; rules of the same name are one."""
+    return {f"{kind}-{number(v)}": float(v) for v in values}
 
 
 def _signals(df: DataFrame, kind: str, direction, feature, baseline, evidence: Column) -> DataFrame:
@@ -58,20 +60,18 @@ def _trigger() -> Column:
 
 
 def trade_signals(trades: DataFrame, large: list[float], rates: list[float], seconds: int, block: int | None = None) -> list[DataFrame]:
-    """Signals of large trades and of the trade rate, with their evidence, over one prior window."""
+    """Signals of large trades and of the trade rate, with their evidence, from one pass over the prior window."""
     block = max(block or fitting_block(trades, ["market"], seconds), seconds)
-    parts = fitting_parts(trades)
-    # read four times: by each kind of rule for its rows and for the last ones of blocks
-    window = shared_table(prior_window(trades, seconds, block, parts), "prior-window")
-    df = _rules(window, "large", large)
-    active = (F.col("n") >= LEAST) & (F.col("notional").cast("double") > F.col("baseline") * F.col("rule.at"))
+    window = _prior_window(trades, seconds, block)
+    many, rate, base = F.col("n") >= LEAST, F.col("n") / F.lit(float(seconds)), F.lit(LEAST / seconds)
+    big = {rule: many & (F.col("notional").cast("double") > F.col("baseline") * at) for rule, at in _rules("large", large).items()}
+    fast = {rule: many & (rate > base * at) for rule, at in _rules("rate", rates).items()}
+    fired = edges(window, ["market"], ORDER, big | fast, "rule_id", block, placed=True)
+    of = lambda rules: fired.where(F.col("rule_id").isin(list(rules)))
     seen = F.struct(F.lit("trade").alias("source"), _trigger(), F.col("n").alias("rolling_trade_count"), F.col("total").cast("double").alias("rolling_notional_sum"), F.col("baseline").alias("rolling_notional_mean"))
-    big = _signals(edges(df, ["market", "rule_id"], ORDER, active, block, parts), "large_aggressive_trade", F.col("side"), F.col("notional"), F.col("baseline"), seen)
-    df = _rules(window, "rate", rates)
-    rate, base = F.col("n") / F.lit(float(seconds)), F.lit(LEAST / seconds)
-    active = (F.col("n") >= LEAST) & (rate > base * F.col("rule.at"))
+    out = [_signals(of(big), "large_aggressive_trade", F.col("side"), F.col("notional"), F.col("baseline"), seen)]
     seen = F.struct(F.lit("trade").alias("source"), _trigger(), F.col("n").alias("rolling_trade_count"), F.lit(seconds).alias("window_seconds"), rate.alias("rolling_rate_per_second"), base.alias("baseline_rate_per_second"))
-    return [big, _signals(edges(df, ["market", "rule_id"], ORDER, active, block, parts), "trade_rate_acceleration", F.col("side"), rate, base, seen)]
+    return [*out, _signals(of(fast), "trade_rate_acceleration", F.col("side"), rate, base, seen)]
 
 
 def large_trades(trades: DataFrame, multiples: list[float], seconds: int, block: int | None = None) -> DataFrame:
@@ -93,11 +93,10 @@ def _levels(books: DataFrame) -> list[Column]:
 
 def imbalance(books: DataFrame, thresholds: list[float], block: int | None = None) -> DataFrame:
     block = block or fitting_block(books, ["market"])
-    df = _rules(books, "imbalance", thresholds)
     im = F.when(F.col("ask") + F.col("bid") > 0, F.try_divide(F.col("bid") - F.col("ask"), F.col("bid") + F.col("ask")))
-    df = df.withColumn("im", im)
-    active = F.coalesce(F.abs("im") >= F.col("rule.at"), F.lit(False))
-    return _signals(edges(df, ["market", "rule_id"], ORDER, active, block), "orderbook_imbalance", F.when(F.col("im") > 0, "buy").otherwise("sell"), F.col("im"), F.lit(0.0), _book(*_levels(books), F.col("im").alias("imbalance")))
+    active = {rule: F.abs("im") >= at for rule, at in _rules("imbalance", thresholds).items()}
+    fired = edges(books.withColumn("im", im), ["market"], ORDER, active, "rule_id", block)
+    return _signals(fired, "orderbook_imbalance", F.when(F.col("im") > 0, "buy").otherwise("sell"), F.col("im"), F.lit(0.0), _book(*_levels(books), F.col("im").alias("imbalance")))
 
 
 def wall_drop(books: DataFrame, floor: float, block: int | None = None) -> DataFrame:
@@ -105,8 +104,8 @@ def wall_drop(books: DataFrame, floor: float, block: int | None = None) -> DataF
     Books without levels give nothing and leave nothing to compare with."""
     wall = F.greatest("ask_wall", "bid_wall")
     df = books.withColumn("wall", wall).withColumn("wall_side", F.when(F.col("ask_wall") > F.col("bid_wall"), "sell").otherwise("buy"))
-    df = previous(df, ["market"], ORDER, F.struct("wall", "wall_side"), "before", block or fitting_block(books, ["market"]))
-    gone = df.where((F.col("before.wall") >= floor) & (F.col("wall") < F.col("before.wall") * WALL_LEFT)).withColumn("rule_id", F.lit("wall-drop"))
+    fell = (F.col("before.wall") >= floor) & (F.col("wall") < F.col("before.wall") * WALL_LEFT)
+    gone = previous(df, ["market"], ORDER, F.struct("wall", "wall_side"), "before", block or fitting_block(books, ["market"]), fell).withColumn("rule_id", F.lit("wall-drop"))
     walls = [F.col("before.wall").alias("previous_wall_krw"), F.col("before.wall_side").alias("previous_wall_side"), F.col("wall").alias("current_largest_wall_krw"), F.col("wall_side").alias("current_largest_wall_side")]
     return _signals(gone, "wall_disappearance", F.col("before.wall_side"), F.col("wall"), F.col("before.wall"), _book(*_levels(books), *walls))
 

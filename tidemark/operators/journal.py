@@ -25,7 +25,7 @@ def connections(arrivals: DataFrame, stall_seconds: int, block: int = DAY) -> Da
     none = F.lit(None).cast("bigint")
     up = epochs.select(F.col("first").alias("ts"), "epoch", F.lit("connected").alias("state"), F.floor((F.col("first") - F.col("before")) / 1000).alias("gap_ms"))
     down = epochs.where("after is not null").select(F.col("last").alias("ts"), "epoch", F.lit("disconnected").alias("state"), none.alias("gap_ms"))
-    quiet = previous(arrivals.select("epoch", "ts"), ["epoch"], ["ts"], F.col("ts"), "before", block).where(F.col("ts") - F.col("before") >= stall_seconds * MICROS)
+    quiet = previous(arrivals.select("epoch", "ts"), ["epoch"], ["ts"], F.col("ts"), "before", block, F.col("ts") - F.col("before") >= stall_seconds * MICROS)
     stalled = quiet.select((F.col("before") + stall_seconds * MICROS).alias("ts"), "epoch", F.lit("stalled").alias("state"), none.alias("gap_ms"))
     return up.unionByName(down).unionByName(stalled)
 

@@ -103,6 +103,7 @@ def look_up(probes: DataFrame, trades: DataFrame, first: dict[str, str], ranges:
     columns, parts = probes.columns, fitting_parts(trades)
     block = block or fitting_block(trades, ["market"])
     probes = shared_table(probes.withColumn("_probe", F.monotonically_increasing_id()), "probes")
+    per_probe = fitting_parts(probes)
     marks = sorted({(c, False) for c in first.values()} | {(a, False) for a, _ in ranges.values()} | {(b, True) for _, b in ranges.values()})
     named = [F.struct(F.lit(k).alias("which"), F.col(c).alias("at"), F.lit(after).alias("after")) for k, (c, after) in enumerate(marks)]
     asked = probes.select("market", F.col("_probe").alias("row"), F.explode(F.array(*named)).alias("m")).select("market", "row", "m.*")
@@ -121,7 +122,7 @@ def look_up(probes: DataFrame, trades: DataFrame, first: dict[str, str], ranges:
     following = F.when(ahead < F.col("size"), begin + ahead).otherwise((F.col("offset") + F.col("leaves")) * LEAF)
     spots = numbered.where("not leaf").select("market", "offset", "leaves", "size", F.explode("marks").alias("m"))
     spots = spots.select("market", F.col("m.mark.row").alias("row"), F.col("m.mark.which").alias("which"), F.when(F.col("m.after"), begin + ahead - 1).otherwise(following).alias("spot"))
-    found = spots.groupBy("market", "row").agg(*(F.max(F.when(F.col("which") == k, F.col("spot"))).alias(f"spot{k}") for k in range(len(marks))))
+    found = dealt(spots, per_probe, "row").groupBy("market", "row").agg(*(F.max(F.when(F.col("which") == k, F.col("spot"))).alias(f"spot{k}") for k in range(len(marks))))
     at = {m: F.when(F.col(f"spot{k}").isNotNull(), _spot(F.col(f"spot{k}"))) for k, m in enumerate(marks)}
     names = {n: k for k, n in enumerate([*first, *ranges])}
     requests = [F.when(at[c, False].isNotNull(), _request(names[n], 0, at[c, False]["node"], at[c, False]["place"], at[c, False]["place"])) for n, c in first.items()]
@@ -140,11 +141,11 @@ def look_up(probes: DataFrame, trades: DataFrame, first: dict[str, str], ranges:
     of = lambda n, c, kind: kind(F.when(F.col("name") == names[n], F.col(c)))
     values = [of(n, c, F.max).alias(f"{c}_{names[n]}") for n in first for c in ("ts", "seq", "low")]
     values += [x for n in ranges for x in (of(n, "low", F.min).alias(f"low_{names[n]}"), of(n, "high", F.max).alias(f"high_{names[n]}"))]
-    answers = hits.groupBy(F.col("row").alias("_probe")).agg(*values)
+    answers = dealt(hits.withColumnRenamed("row", "_probe"), per_probe, "_probe").groupBy("_probe").agg(*values)
     got = lambda n, c: F.col(f"_a.{c}_{names[n]}")
     out = [F.when(got(n, "ts").isNotNull(), F.struct(got(n, "ts").alias("ts"), got(n, "seq").alias("seq"), got(n, "low").alias("price"))).alias(n) for n in first]
     out += [F.when(got(n, "low").isNotNull(), F.struct(got(n, "low").alias("low"), got(n, "high").alias("high"))).alias(n) for n in ranges]
-    whole = probes.alias("_p").join(answers.alias("_a"), F.col("_p._probe") == F.col("_a._probe"), "left")
+    whole = dealt(probes, per_probe, "_probe").alias("_p").join(answers.alias("_a"), F.col("_p._probe") == F.col("_a._probe"), "left")
     result = shared_table(whole.select(*(F.col(f"_p.`{c}`") for c in columns), *out), "looked-up")
     discard(probes, merged, sizes)
     return result
