@@ -479,3 +479,8 @@ def test_lookups_are_dealt_by_numbers_of_probes(spark, trades, monkeypatch):
     plans = plans_written(monkeypatch, outcomes)
     assert outcomes.first_at_or_after(trades.select("market", "ts", "seq").limit(200), trades, "ts", "found", 100).count() == 200
     assert plans[-1].count(", 7), REPARTITION_BY_NUM") == 3  # 200 probes, their spots and their answers
+
+
+def test_a_trade_becomes_two_moves_after_it_is_shuffled(trades):
+    plan = detect.prior_window(trades, 30, 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.split("Exchange")[0].count("Generate") == 1

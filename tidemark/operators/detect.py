@@ -35,10 +35,10 @@ def prior_window(trades: DataFrame, seconds: int, block: int | None = None) -> D
 def _prior_window(trades: DataFrame, seconds: int, block: int) -> DataFrame:
     """``prior_window`` with each row's ``block``; none lies in several tasks."""
     parts = fitting_parts(trades)
-    rows = in_blocks(trades, block, seconds)
+    # dealt before a trade becomes two rows: a task that shuffles to many parts holds all that it sends
+    rows = dealt(in_blocks(trades, block, seconds), parts, "market", "block")
     moves = F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("ts") + seconds * MICROS + 1).alias("at"), F.lit(-1).alias("sign")))
     both = rows.select("*", F.explode(moves).alias("_move")).withColumns({"at": F.col("_move.at"), "sign": F.col("_move.sign")}).drop("_move")
-    both = dealt(both, parts, "market", "block")
     running_sum = Window.partitionBy("market", "block").orderBy("at", "sign", "seq").rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("n", F.coalesce(F.sum("sign").over(running_sum), F.lit(0)))
     both = both.withColumn("total", F.coalesce(F.sum(F.col("notional") * F.col("sign")).over(running_sum), F.lit(0)).cast("decimal(38,2)"))
