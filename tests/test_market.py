@@ -481,6 +481,12 @@ def test_lookups_are_dealt_by_numbers_of_probes(spark, trades, monkeypatch):
     assert plans[-1].count(", 7), REPARTITION_BY_NUM") == 3  # 200 probes, their spots and their answers
 
 
+def test_folds_are_dealt_by_rows(trades, rows, monkeypatch):
+    monkeypatch.setattr(timeline, "PART_ROWS", 50)
+    out = paper.cooldown(trades, ["market"], 45, ["ts", "seq"], 60)
+    assert out._jdf.queryExecution().executedPlan().toString().count(f", {len(rows) // 50 + 1}), REPARTITION_BY_NUM") == 2
+
+
 def test_a_trade_becomes_two_moves_after_it_is_shuffled(trades):
     plan = detect.prior_window(trades, 30, 60)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.split("Exchange")[0].count("Generate") == 1

@@ -96,7 +96,7 @@ def one_at_a_time(df: DataFrame, keys: list[str], order: list[str], until: Colum
     each block is folded with its own state. A key that never pauses is as many tasks as it has
     blocks, and the work is linear in its rows."""
     df = df.withColumns({"_block": block_of("ts", seconds), "_takes": until.isNotNull(), "_until": F.coalesce(until, F.lit(0)).cast("bigint")})
-    place = [*keys, "_block"]
+    place, parts = [*keys, "_block"], fitting_parts(df)
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in groups(batches, place):
@@ -136,12 +136,12 @@ def one_at_a_time(df: DataFrame, keys: list[str], order: list[str], until: Colum
     carry_type = StructType([*key_fields, StructField("_state", LongType())])
     steps_schema, carry_schema = to_arrow_schema(steps_type), to_arrow_schema(carry_type)
     lean = df.select(*place, "ts", "_takes", "_until", *(c for c in order if c != "ts"))
-    per_block = lean.repartition(*place).sortWithinPartitions(*place, *order).mapInArrow(steps, steps_type)
+    per_block = dealt(lean, parts, *place).sortWithinPartitions(*place, *order).mapInArrow(steps, steps_type)
     states = per_block.repartition(*keys).sortWithinPartitions(*place).mapInArrow(carry, carry_type)
     same = [df[c].eqNullSafe(F.col(f"_s.{c}")) for c in place]
     known = df.join(states.alias("_s"), reduce(lambda a, b: a & b, same)).select(*(df[c] for c in df.columns), "_state")
     kind = StructType([f for f in df.schema.fields if f.name not in ("_block", "_takes", "_until")] + [StructField(name, BooleanType())])
-    return known.repartition(*place).sortWithinPartitions(*place, *order).mapInArrow(fold, kind)
+    return dealt(known, parts, *place).sortWithinPartitions(*place, *order).mapInArrow(fold, kind)
 
 
 def in_blocks(df: DataFrame, seconds: int, before: int = 0, ts: str = "ts") -> DataFrame:
